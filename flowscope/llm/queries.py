@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from flowscope.llm import exact_dedup, ngram_join
+from flowscope.llm import exact_dedup, ngram_join, toxicity
 
 
 def queries():
     return {
         "op5_exact_dedup": exact_dedup.op5,
         "op6_ngram_jaccard_join": ngram_join.op6,
+        "op7_toxicity": toxicity.op7,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowscope.llm import exact_dedup, ngram_join, toxicity
+from flowscope.llm import exact_dedup, ngram_join, toxicity, url_filter
 
 
 def queries():
@@ -10,8 +10,9 @@ def queries():
         "op5_exact_dedup": exact_dedup.op5,
         "op6_ngram_jaccard_join": ngram_join.op6,
         "op7_toxicity": toxicity.op7,
+        "op10_url_filters": url_filter.op10,
     }
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": exact_dedup.OP5_SQL}
+    return {"op5_exact_dedup": exact_dedup.OP5_SQL, "op10_url_filters": url_filter.OP10_SQL}

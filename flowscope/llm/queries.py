@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from flowscope.llm import exact_dedup, ngram_join, toxicity, url_filter
+from flowscope.llm import decontaminate, exact_dedup, ngram_join, toxicity, url_filter
 
 
 def queries():
     return {
+        "op4_benchmark_decontamination": decontaminate.op4,
         "op5_exact_dedup": exact_dedup.op5,
         "op6_ngram_jaccard_join": ngram_join.op6,
         "op7_toxicity": toxicity.op7,

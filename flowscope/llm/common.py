@@ -119,3 +119,23 @@ def counted(df: DataFrame, key: str, alias: str) -> DataFrame:
 def lower_ascii(col):
     """Lower-cases A-Z and nothing else."""
     return F.translate(F.coalesce(col, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def text_hash(text: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def kept_rows(docs: DataFrame, verdict: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``verdict`` (doc_id, text_hash, kept; one row for each of theirs) keeps.
+
+    Only what goes is joined to the texts. Of rows repeated with the same doc_id and text one stays, if that is kept.
+    """
+    odd = verdict.groupBy(F.col("doc_id").alias("_fs_id"), F.col("text_hash").alias("_fs_hash")).agg(F.max("kept").alias("_fs_kept"), F.count("*").alias("_fs_n"))
+    odd = written(odd.filter(~F.col("_fs_kept") | (F.col("_fs_n") > 1)), "dropped")
+    keyed = docs.withColumn("_fs_text", text_hash(text))
+    same = (F.col("_fs_text") == F.col("_fs_hash")) & F.col(doc_id).eqNullSafe(F.col("_fs_id"))
+    out = keyed.join(odd, same, "left_anti").select(*docs.columns)
+    if not odd.filter("_fs_kept").isEmpty():
+        twice = keyed.join(odd.filter("_fs_kept"), same, "left_semi").dropDuplicates(["_fs_text", doc_id])
+        out = out.unionByName(twice.select(*docs.columns))
+    return out

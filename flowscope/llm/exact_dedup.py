@@ -13,9 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm.common import join_counted, lower_ascii, new_path, partitions, written
-
-DIGEST = "_fs_digest"
+from flowscope.llm.common import join_counted, kept_rows, lower_ascii, new_path, partitions, text_hash, written
 
 
 def digest(text="text"):
@@ -53,14 +51,14 @@ class DigestIndex:
         out.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
 
     def ingest(self, docs: DataFrame, batch: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """Adds a batch; returns (doc_id, digest, keep_id, group_size, kept), one row for each of its rows.
+        """Adds a batch; returns (doc_id, text_hash, digest, keep_id, group_size, kept), one row for each of its rows.
 
         Of equal texts in the batch the row with the largest doc_id stays; of rows equal in that too, one of them.
         A text that an earlier batch brought in stays with that batch: none of the new rows is kept and keep_id names
         the old one. A null text counts as empty; a null doc_id sorts below all others. An empty batch adds nothing.
         group_size counts the rows of this batch. A batch that was ingested before gives the same rows again and adds nothing.
         """
-        rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), digest(text).alias("digest")), "digests")
+        rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), digest(text).alias("digest"), text_hash(text).alias("text_hash")), "digests")
         groups = written(rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size")), "digest-groups")
         fresh = groups.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         self.append(written(fresh.select("digest", F.col("top.doc_id").alias("keep_id"), F.lit(batch).alias("batch")), "fresh"))
@@ -68,21 +66,12 @@ class DigestIndex:
         verdict = verdict.select("digest", "keep_id", "group_size", F.when(F.col("batch") == batch, F.col("top.row")).alias("keep_row"))
         total = groups.agg(F.sum("group_size")).head()[0] or 0
         out = join_counted(rows, written(verdict, "verdict"), "digest", "group_size", total)
-        return out.select("doc_id", "digest", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
-
-
-def deduplicated(spark: SparkSession, docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Only what goes is joined to the texts, by digest and doc_id."""
-    verdict = index.ingest(docs, batch)
-    odd = verdict.groupBy("digest", "doc_id").agg(F.max("kept").alias("_fs_kept"), F.count("*").alias("_fs_n")).filter(~F.col("_fs_kept") | (F.col("_fs_n") > 1))
-    odd = written(odd.withColumnsRenamed({"digest": "_fs_d", "doc_id": "_fs_id"}), "dropped")
-    keyed = docs.withColumn(DIGEST, digest())
-    same = (F.col(DIGEST) == F.col("_fs_d")) & F.col("doc_id").eqNullSafe(F.col("_fs_id"))
-    out = keyed.join(odd, same, "left_anti").select(*docs.columns)
-    if not odd.filter("_fs_kept").isEmpty():  # rows repeated with the same doc_id: one of each stays
-        twice = keyed.join(odd.filter("_fs_kept"), same, "left_semi").dropDuplicates([DIGEST, "doc_id"])
-        out = out.unionByName(twice.select(*docs.columns))
-    return out
+        return out.select("doc_id", "text_hash", "digest", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    return kept_rows(docs, index.ingest(docs, batch))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowscope.llm import decontaminate, exact_dedup, ngram_join, toxicity, url_filter
+from flowscope.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op5_exact_dedup": exact_dedup.op5,
         "op6_ngram_jaccard_join": ngram_join.op6,
         "op7_toxicity": toxicity.op7,
+        "op9_mixing": mixing.op9,
         "op10_url_filters": url_filter.op10,
     }
 

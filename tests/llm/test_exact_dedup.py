@@ -33,7 +33,7 @@ def test_second_batch_keeps_what_the_first_brought(spark):
 def test_odd_rows(spark):
     rows = [(None, None, "q"), (1, "", "q"), (1, "", "q"), (5, "É", "a"), (6, "é", "b"), (7, "tie", None), (7, "TIE", "z"), (8, "w " * 30000, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
-    out = deduplicated(spark, docs, DigestIndex(spark, new_path(spark, "idx"), 2), "b").collect()
+    out = deduplicated(docs, DigestIndex(spark, new_path(spark, "idx"), 2), "b").collect()
     assert sorted(r.doc_id for r in out) == [1, 5, 6, 7, 8] and out[0].asDict().keys() == {"doc_id", "text", "digest"}
     empty = docs.filter("false")
-    assert deduplicated(spark, empty, DigestIndex(spark, new_path(spark, "idx"), 2), "b").count() == 0
+    assert deduplicated(empty, DigestIndex(spark, new_path(spark, "idx"), 2), "b").count() == 0

@@ -76,40 +76,21 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, label) for each node of an edge (a, b), label being the smallest node of its component.
 
-    Alternating large-star and small-star steps; each round is written to the shared folder.
+    Alternating large-star and small-star steps until only stars are left; each round is written to the shared folder.
     Stars of any size are aggregated map-side first; no node's neighbours are gathered in one task.
     """
-    spark = edges.sparkSession
     cur = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
-    before = None
     while True:
         both = cur.union(cur.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        ends = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") < F.col("a")).alias("below"), F.count_if(F.col("b") > F.col("a")).alias("above"))
+        if not ends.agg(F.count_if(F.expr("below > 1 or (below > 0 and above > 0)"))).head()[0]:
+            break
+        low = ends.select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        nxt = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct(), name)
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-        if now == before:
-            break
-        before, cur = now, nxt
-    return nxt.select(F.col("a").alias("node"), F.col("b").alias("label")).union(nxt.select(F.col("b"), F.col("b")).distinct())
-
-
-def groups_of(batches, key: str):
-    """From Arrow batches sorted by ``key``: (key, list of rows as dicts of Python values), one group in memory at a time."""
-    at, rows = None, []
-    for batch in batches:
-        names = batch.schema.names
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            row = dict(zip(names, row, strict=True))
-            if rows and row[key] != at:
-                yield at, rows
-                rows = []
-            at = row[key]
-            rows.append(row)
-    if rows:
-        yield at, rows
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
+        cur = written(small.filter("a <> b").distinct(), name)
+    return cur.select(F.col("a").alias("node"), F.col("b").alias("label")).union(cur.select("b", "b").distinct())
 
 
 def counted(df: DataFrame, key: str, alias: str) -> DataFrame:

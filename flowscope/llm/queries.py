@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from flowscope.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity, url_filter
+from flowscope.llm import decontaminate, exact_dedup, license_scan, mixing, ngram_join, token_rollup, toxicity, url_filter
 
 
 def queries():
     return {
+        "op2_token_counts": token_rollup.op2,
+        "op3_license_scans": license_scan.op3,
         "op4_benchmark_decontamination": decontaminate.op4,
         "op5_exact_dedup": exact_dedup.op5,
         "op6_ngram_jaccard_join": ngram_join.op6,

@@ -128,20 +128,21 @@ class Scanner:
         return out
 
     def _windows(self, words, base, at, t):
-        """Windows one and a half templates long, those with most of the template's words first, that don't overlap."""
+        """Aligned windows of one and a half template lengths; of those that overlap the one that covers most, then the shortest."""
         w, least = self.words[t], self.least[t]
         width = len(w) + len(w) // 2 + 1
         count = np.searchsorted(at, at + width) - np.arange(len(at))
-        taken = []
-        for k in sorted(np.flatnonzero(count >= least).tolist(), key=lambda k: (-count[k], k)):
+        found = []
+        for k in np.flatnonzero(count >= least).tolist():
             lo, hi = int(at[k]), int(at[k + count[k] - 1]) + 1
-            if any(lo < e and s < hi for s, e in taken):
-                continue
             pairs = patience(w.tolist(), words[lo:hi].tolist())
             if len(pairs) >= least:
-                s, e = lo + pairs[0][1], lo + pairs[-1][1] + 1
-                taken.append((s, e))
-                yield len(pairs), s - base, e - base
+                found.append((-len(pairs), pairs[-1][1] - pairs[0][1] + 1, lo + pairs[0][1]))
+        taken = []
+        for n, length, s in sorted(set(found)):
+            if not any(s < y and x < s + length for x, y in taken):
+                taken.append((s, s + length))
+                yield -n, s - base, s + length - base
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowscope.llm import decontaminate, exact_dedup, license_scan, mixing, ngram_join, token_rollup, toxicity, url_filter
+from flowscope.llm import decontaminate, exact_dedup, language, license_scan, mixing, ngram_join, token_rollup, toxicity, url_filter
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_exact_dedup": exact_dedup.op5,
         "op6_ngram_jaccard_join": ngram_join.op6,
         "op7_toxicity": toxicity.op7,
+        "op8_language_id": language.op8,
         "op9_mixing": mixing.op9,
         "op10_url_filters": url_filter.op10,
     }

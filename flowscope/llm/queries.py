@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from flowscope.llm import decontaminate, exact_dedup, language, license_scan, mixing, ngram_join, token_rollup, toxicity, url_filter
+from flowscope.llm import decontaminate, exact_dedup, language, license_scan, mixing, ngram_join, pii, token_rollup, toxicity, url_filter
 
 
 def queries():
     return {
+        "op1_pii": pii.op1,
         "op2_token_counts": token_rollup.op2,
         "op3_license_scans": license_scan.op3,
         "op4_benchmark_decontamination": decontaminate.op4,

@@ -1,0 +1,88 @@
+import random
+import re
+
+import pytest
+from flowscope.llm import pii
+from flowscope.llm.pii import KINDS, _examples, all_spans, base_spans, field_spans, found, luhn, op1, redacted, sha_of, train
+
+PATTERNS = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+    (r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(re.sub("[^0-9]", "", s)) <= 19 and check(re.sub("[^0-9]", "", s))),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(re.sub("[^0-9]", "", s)) <= 15),
+]
+
+
+def check(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (2 if i % 2 else 1)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def plain(text):
+    out = [(m.start(), m.end(), k) for k, (p, ok) in enumerate(PATTERNS) for m in re.finditer(p, text) if ok(m.group())]
+    return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
+
+
+@pytest.fixture(scope="module")
+def field():
+    return train()
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(1)
+    for _ in range(4000):
+        text = "".join(rng.choice("0123456789" * 2 + "@@..+- ()ab_%é") for _ in range(rng.randrange(60)))
+        assert base_spans(text) == plain(text), text
+    for d in ("4111111111111111", "4111111111111112", "79927398713"):
+        assert luhn(d) == check(d)
+
+
+def test_op1_against_the_patterns(spark, small):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = op1(spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain(texts[r.doc_id])
+        assert r.base_sha256 == sha_of(want)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for *_, k in want) for x in KINDS]
+        assert {f"{k}:{s}:{e}" for s, e, k in want} <= set(r.spans.split(","))
+
+
+def test_field_on_sentences_it_has_not_seen(field):
+    hit = made = true = 0
+    for text, gold in _examples(200, 99):
+        got, want = set(field_spans(text, field)), {(s, e, pii.TYPES[k]) for s, e, k in gold}
+        hit, made, true = hit + len(got & want), made + len(got), true + len(want)
+    assert hit / true > 0.9 and hit / made > 0.9
+
+
+def test_decoding_is_the_best_segmentation(field):
+    def every(toks, a=0):
+        if a == toks:
+            yield []
+            return
+        yield from every(toks, a + 1)
+        for b in range(a + 1, min(toks, a + pii.MOST) + 1):
+            for k in range(len(pii.TYPES)):
+                yield from ([(a, b, k), *rest] for rest in every(toks, b))
+
+    for text in ("call 555-1234 x", "1.2.3.4 b", "a@b.c"):
+        toks = pii.tokens_of(text)[:5]
+        spans, scores, _ = field.lattice(text, toks)
+        value = {(a, b, k): scores[i][k] for i, (a, b) in enumerate(spans) for k in range(len(pii.TYPES))}
+        total = lambda seg: sum(value.get(x, float("-inf")) for x in seg)
+        assert abs(total(field.best(text, toks)) - max(map(total, every(len(toks))))) < 1e-9
+
+
+def test_odd_rows(spark, field):
+    rows = [(1, None, "x"), (1, "", "x"), (None, "mail a.b@c.de now", "y"), (4, "9 " * 50000, "z"), (4, "no data", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = found(docs, field).collect()
+    assert len(got) == 5 and [[(x.kind, x.start, x.end) for x in r.base] for r in got if r.doc_id is None] == [[("email", 5, 13)]]
+    assert [r.text for r in redacted(docs, field).collect() if r.doc_id is None] == ["mail [email] now"]
+    assert found(docs.filter("false"), field).count() == 0
+    base, spans = all_spans("phone (555) 123-4567, é +1 (555) 123-4567", field)
+    assert base == [(24, 41, "phone")] and spans == [(6, 20, "phone"), (24, 41, "phone")]

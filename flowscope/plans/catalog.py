@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("graph_queries", "element_queries")
+
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= getattr(importlib.import_module(f"flowscope.plans.{m}"), name)
+    return out
+
 
 def queries():
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql():
-    return {}
+    return _all("ORACLE")

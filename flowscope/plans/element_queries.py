@@ -45,7 +45,7 @@ QUERIES = {
     "box_pair_measures": _facts,
     "overlapping_boxes": lambda s, d: el.overlapping(v.boxes(s, d)).select("shot", "a_pos", "b_pos", F.round("iou", 6).alias("iou")),
     "contained_boxes": lambda s, d: el.pairs(v.boxes(s, d), (F.col("a_pos") != F.col("b_pos")) & geo.contains()).select("shot", "a_pos", "b_pos"),
-    "box_parents": lambda s, d: _links(s, d),
+    "box_parents": lambda s, d: _links(s, d).select("shot", "pos", F.coalesce("parent", F.lit(-1)).alias("parent")),
     "box_depths": lambda s, d: el.depths(_links(s, d)).select("shot", "pos", F.col("depth").cast("bigint").alias("depth")),
     "boxes_per_depth": lambda s, d: el.depths(_links(s, d)).groupBy(F.col("depth").cast("bigint").alias("depth")).agg(F.count("*").alias("n")),
     "box_children": lambda s, d: _links(s, d).filter("parent is not null").groupBy("shot", "parent").agg(F.count("*").alias("children")).filter("children >= 2"),
@@ -60,6 +60,7 @@ QUERIES = {
     "suppressed_boxes": lambda s, d: el.suppressed(v.boxes(s, d)).select("shot", "pos"),
     "sibling_groups": lambda s, d: el.sibling_groups(v.boxes(s, d), _links(s, d)).select("shot", "parent", "kind", F.array_join("members", ",").alias("members")),
     "sibling_grids": lambda s, d: el.grids(v.boxes(s, d), _links(s, d)),
+    "layout_grid": lambda s, d: el.layout_grid(v.boxes(s, d), _links(s, d)).select("shot", "parent", "columns", "rows"),
     "parsed_detections": _detections,
     "color_conversions": _colors,
     "primary_colors": lambda s, d: _rgb(s, d).agg(F.count_distinct(color.hex_of(F.col("r"), F.col("g"), F.col("b"))).alias("colors")),
@@ -85,7 +86,7 @@ ORACLE = {
  FROM v_box a JOIN v_box b ON a.shot = b.shot AND a.pos < b.pos""",
     "overlapping_boxes": f"{_B} SELECT a.shot, a.pos AS a_pos, b.pos AS b_pos, round({_IOU}, 6) AS iou FROM v_box a JOIN v_box b ON a.shot = b.shot AND a.pos < b.pos AND {_TOUCH}",
     "contained_boxes": f"{_B} SELECT a.shot, a.pos AS a_pos, b.pos AS b_pos FROM v_box a JOIN v_box b ON a.shot = b.shot AND a.pos <> b.pos AND {_HOLD}",
-    "box_parents": f"{_LINK} SELECT * FROM link",
+    "box_parents": f"{_LINK} SELECT shot, pos, coalesce(parent, -1) AS parent FROM link",
     "box_depths": f"{_DEPTH} SELECT * FROM tree",
     "boxes_per_depth": f"{_DEPTH} SELECT depth, count(*) AS n FROM tree GROUP BY depth",
     "box_children": f"{_LINK} SELECT shot, parent, count(*) AS children FROM link WHERE parent IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Each event is an interaction; its session is the user.
 EVENT_SQL = """v_event AS (
-  SELECT event_id AS id, user_id AS session, epoch_ms(ts) AS ts_ms, event_type AS type,
+  SELECT event_id AS id, user_id AS session, epoch_us(ts) // 1000 AS ts_ms, event_type AS type,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS x, value AS y FROM events)"""
 
 #: Each embedding is an 8 x 8 grey frame; its session is the label.

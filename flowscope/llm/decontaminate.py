@@ -84,13 +84,16 @@ class ItemIndex:
         rng = np.random.default_rng(seed)
         self.plans = {}  # steps -> [(salt, sampled steps after 0)] for each table
         for n in STEPS:
-            self.plans[n] = [(int(rng.integers(1, 2**62)), sorted(rng.choice(np.arange(1, n), min(samples - 1, n - 1), replace=False).tolist())) for _ in range(self.tables)]
+            # one sample from each part of the walk, so that a key spans several words
+            parts = np.array_split(np.arange(1, n), min(samples - 1, n - 1))
+            self.plans[n] = [(int(rng.integers(1, 2**62)), [int(rng.choice(p)) for p in parts]) for _ in range(self.tables)]
         entries = defaultdict(list)
         for i, w in self.words.items():
             if len(w):
                 raw = [len(x.strip(PUNCTUATION)) for x in self._split(dict(items)[i])]
-                for a in range(0, len(w), STRIDE):
-                    at = max(range(a, min(a + STRIDE, len(w))), key=lambda p: (raw[p], -p))
+                least = min(max(SHORT, min(16, len(w) // 2)), len(w))  # an entry without that many words after it would match by chance
+                for a in range(0, len(w) - least + 1, STRIDE):
+                    at = max(range(a, min(a + STRIDE, len(w) - least + 1)), key=lambda p: (raw[p], -p))
                     steps = max([s for s in STEPS if s <= len(w) - at], default=1)
                     entries[steps].append((i, at))
         self.keys, self.entries = {}, {}
@@ -168,6 +171,8 @@ class ItemIndex:
                 continue
             seen.add(place)
             a, b = max(lo, start - 2 * allowed), min(hi, start + len(w) + 2 * allowed)
+            if np.isin(words[a:b], w).sum() < len(w) - allowed:  # so many of the item's words must be there
+                continue
             d, end = distance(w, words[a:b])
             if d <= allowed and d < best.get((doc, item), (len(w),))[0]:
                 back, length = distance(w[::-1], words[a : a + end][::-1])

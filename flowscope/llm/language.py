@@ -39,19 +39,28 @@ def plain(html: bytes) -> bytes:
 
 
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram buckets of all texts, one after the other, and where each begins; a text is framed by spaces."""
+    """Trigram buckets of all texts, one after the other, and where each begins; a text is framed by spaces.
+
+    Places whose trigram would run into the next text have the bucket BUCKETS.
+    """
     framed = [b" %b " % t.lower() if t else b"" for t in texts]
-    raw = np.frombuffer(b"".join(framed) + b"   ", np.uint8).astype(np.uint32)
+    starts = np.cumsum([0, *map(len, framed)])
+    raw = np.frombuffer(b"".join(framed) + b"  ", np.uint8).astype(np.uint32)
     h = (raw[:-2] * np.uint32(0x9E3779B1)) ^ (raw[1:-1] * np.uint32(0x85EBCA6B)) ^ (raw[2:] * np.uint32(0xC2B2AE35))
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    return (h >> np.uint32(18)).astype(np.int64), np.cumsum([0, *map(len, framed)])
+    out = (h >> np.uint32(18)).astype(np.int64)
+    ends = starts[1:][np.diff(starts) > 0]
+    out[ends - 1] = BUCKETS
+    out[ends - 2] = BUCKETS
+    return out, starts
 
 
 class TextModel:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
-        self.table = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
+        logs = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS))
+        self.table = np.column_stack([logs, np.zeros(len(counts))]).astype(np.float32)
 
     def likelihoods(self, texts: list[bytes]) -> np.ndarray:
         """log-likelihood of each text in each language, discounted; zeros for an empty one."""
@@ -62,9 +71,6 @@ class TextModel:
         if len(full):
             for k in range(len(self.languages)):
                 out[full, k] = np.add.reduceat(self.table[k][h], starts[full], dtype=np.float64)
-            # reduceat runs to the next start; the last text's sum also has the padding's two trigrams
-            for k in range(len(self.languages)):
-                out[full[-1], k] -= self.table[k][h[starts[full[-1]] + n[full[-1]] :]].sum()
         return out / (1 + n / EFFECTIVE)[:, None]
 
 
@@ -83,7 +89,7 @@ def fit_text(docs: DataFrame, per_language: int = 2000) -> TextModel:
         for batch in batches:
             lang = np.array([languages.index(x) for x in batch.column(0).to_pylist()], np.int64)
             h, starts = buckets(batch.column(1).cast(pa.binary()).to_pylist())
-            key = np.repeat(lang, np.diff(starts)) * BUCKETS + h[: starts[-1]]
+            key = (np.repeat(lang, np.diff(starts)) * BUCKETS + h)[h < BUCKETS]
             keys, n = np.unique(key, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["k", "n"])
 

@@ -89,7 +89,7 @@ class TokenRollup:
         fs, p = self._fs(self.path)
         if not fs.exists(p):
             return []
-        names = [f"{self.path}/{s.getPath().getName()}" for s in fs.listStatus(p)]
+        names = [f"{self.path}/{n}" for s in fs.listStatus(p) if not (n := s.getPath().getName()).endswith("-names")]
         done = {n for n in names if (at := self._fs(f"{n}/_SUCCESS"))[0].exists(at[1])}
         gone = {x for n in done if "/folded-" in n for x in self._folded(n)}
         return sorted(done - {f"{self.path}/{x}" for x in gone})

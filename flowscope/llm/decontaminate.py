@@ -180,10 +180,11 @@ class ItemIndex:
         return [(doc, item, *x) for (doc, item), x in sorted(best.items())]
 
 
-def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK):
-    """The items in blocks of about ``block``, whose size is so bounded however many there are; null or blank texts match nothing."""
+def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK, chars: int = 32_000_000):
+    """The items in blocks of about ``block`` items and ``chars`` characters at most, however many there are; null or blank texts match nothing."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("i"), "text").filter("i is not null and text is not null")
-    n = max(1, -(-items.count() // block))
+    size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).head()
+    n = max(1, -(-size[0] // block), -(-size[1] // chars))
     for b in range(n):
         yield [(r.i, r.text) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == b).collect()]
 

@@ -70,7 +70,7 @@ def gap_below(a="a_", b="b_"):
 def alignment(within=5.0):
     """Aggregate over x, y, w, h: the first of left, right, center, top, bottom whose deviation is below ``within``, else mixed."""
     x, y, w, h = _c("", "x", "y", "w", "h")
-    sd = lambda c: F.coalesce(F.stddev_pop(c), F.lit(0.0)) < within
+    sd = lambda c: F.round(F.coalesce(F.stddev_pop(c), F.lit(0.0)), 6) < within
     return F.when(sd(x), "left").when(sd(x + w), "right").when(sd(x + w / 2), "center").when(sd(y), "top").when(sd(y + h), "bottom").otherwise("mixed")
 
 

@@ -104,8 +104,8 @@ UNION ALL SELECT shot, pos, 'editable', 0.95 FROM t WHERE type IN ('input', 'tex
 SELECT shot, count(*) FILTER (confidence < 0.6) AS unsure, coalesce(any_value(n), 0) AS overlaps, count(*) FILTER (x < 0 OR y < 0) AS outside FROM v_box LEFT JOIN met USING (shot) GROUP BY shot""",
     "box_spacing": f"""{_B}, g AS (SELECT *, greatest(0.0, x - lag(x + w) OVER (PARTITION BY shot ORDER BY x, pos)) AS g0, lag(x) OVER (PARTITION BY shot ORDER BY x, pos) AS before FROM v_box)
 SELECT shot, count(*) AS n, round(coalesce(avg(CASE WHEN before IS NOT NULL THEN g0 ELSE 0.0 END), 0), 4) AS mean_gap, round(stddev_pop(w), 4) AS deviation,
- CASE WHEN stddev_pop(x) < 5 THEN 'left' WHEN stddev_pop(x + w) < 5 THEN 'right' WHEN stddev_pop(x + w / 2) < 5 THEN 'center'
-      WHEN stddev_pop(y) < 5 THEN 'top' WHEN stddev_pop(y + h) < 5 THEN 'bottom' ELSE 'mixed' END AS alignment FROM g GROUP BY shot""",
+ CASE WHEN round(stddev_pop(x), 6) < 5 THEN 'left' WHEN round(stddev_pop(x + w), 6) < 5 THEN 'right' WHEN round(stddev_pop(x + w / 2), 6) < 5 THEN 'center'
+      WHEN round(stddev_pop(y), 6) < 5 THEN 'top' WHEN round(stddev_pop(y + h), 6) < 5 THEN 'bottom' ELSE 'mixed' END AS alignment FROM g GROUP BY shot""",
     "overall_confidence": f"{_B} SELECT shot, round(avg(confidence), 6) AS confidence FROM v_box GROUP BY shot",
     "type_distribution": f"{_B} SELECT {_TYPE} AS type, count(*) AS n FROM v_box GROUP BY 1",
     "largest_boxes": f"{_B} SELECT shot, pos, w * h AS area FROM v_box ORDER BY area DESC, shot, pos LIMIT 5",

@@ -56,6 +56,17 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def pieces(texts: list[bytes], most: int = 1_000_000):
+    """Slices of a batch whose texts have about ``most`` bytes together, so that work space does not grow with the batch."""
+    a, size = 0, 0
+    for b, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield slice(a, b)
+            a, size = b, 0
+        size += len(t)
+    yield slice(a, len(texts))
+
+
 class TextModel:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
@@ -64,6 +75,9 @@ class TextModel:
 
     def likelihoods(self, texts: list[bytes]) -> np.ndarray:
         """log-likelihood of each text in each language, discounted; zeros for an empty one."""
+        return np.concatenate([self._likelihoods(texts[p]) for p in pieces(texts)])
+
+    def _likelihoods(self, texts: list[bytes]) -> np.ndarray:
         h, starts = buckets(texts)
         n = np.diff(starts)
         out = np.zeros((len(texts), len(self.languages)))
@@ -88,9 +102,12 @@ def fit_text(docs: DataFrame, per_language: int = 2000) -> TextModel:
     def run(batches):
         for batch in batches:
             lang = np.array([languages.index(x) for x in batch.column(0).to_pylist()], np.int64)
-            h, starts = buckets(batch.column(1).cast(pa.binary()).to_pylist())
-            key = (np.repeat(lang, np.diff(starts)) * BUCKETS + h)[h < BUCKETS]
-            keys, n = np.unique(key, return_counts=True)
+            texts, total = batch.column(1).cast(pa.binary()).to_pylist(), np.zeros(len(languages) * BUCKETS, np.int64)
+            for p in pieces(texts):
+                h, starts = buckets(texts[p])
+                total += np.bincount((np.repeat(lang[p], np.diff(starts)) * BUCKETS + h)[h < BUCKETS], minlength=len(total))
+            keys = np.flatnonzero(total)
+            n = total[keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["k", "n"])
 
     got = rows.filter(draw < limit).select("lang", "text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
@@ -107,7 +124,7 @@ def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     def run(batches):
         for batch in batches:
             marked = batch.column(6).to_pylist()
-            texts = [plain(t or b"") if m else t or b"" for m, t in zip(marked, batch.column(7).cast(pa.binary()).to_pylist(), strict=True)]
+            texts = [plain(t.as_py() or b"") if m else t.as_py() or b"" for m, t in zip(marked, batch.column(7).cast(pa.binary()), strict=True)]
             ll = shipped.value.likelihoods(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(list(ll), pa.list_(pa.float64()))], [*keep, "ll"])
 

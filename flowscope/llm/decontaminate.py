@@ -6,7 +6,9 @@ random bit of (step, word) says so. Every window of a document, as long as the i
 way and hashed at ``samples`` sampled steps; ``tables`` independent walks reach the target recall. The samples are
 evaluated step by step for all windows at once, and a window whose sampled words so far begin no item's key is left:
 that is the same table look-up, made early. Step 0, the window's first word, is always sampled; so each item is entered from
-several places, the longest word of every ``STRIDE`` words. What collides is verified by its edit distance.
+several places, the longest word of every ``STRIDE`` words. Items of fewer than ``WALKED`` words have too few places for
+that and are found without loss: cut into one piece more than edits are allowed, at least one piece stands unedited in any
+leak. What collides is verified by its edit distance.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 STRIDE = 5
 #: Items with fewer words count as leaked only if met word for word.
 SHORT = 8
+#: Items with fewer words are found by their pieces, longer ones by walks.
+WALKED = 32
 #: Steps of a walk: the largest of these that the rest of the item has words for.
 STEPS = (4, 8, 16, 32)
 #: Items are indexed and broadcast in blocks of so many.
@@ -87,15 +91,23 @@ class ItemIndex:
             # one sample from each part of the walk, so that a key spans several words
             parts = np.array_split(np.arange(1, n), min(samples - 1, n - 1))
             self.plans[n] = [(int(rng.integers(1, 2**62)), [int(rng.choice(p)) for p in parts]) for _ in range(self.tables)]
-        entries = defaultdict(list)
+        entries, self.pieces = defaultdict(list), {}  # pieces: words -> (keys after each word, last key -> [(item, place)])
         for i, w in self.words.items():
-            if len(w):
+            if 0 < len(w) < WALKED:
+                cuts = [len(w) * p // (self.allowed[i] + 1) for p in range(self.allowed[i] + 2)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    levels, last = self.pieces.setdefault(b - a, ([set() for _ in range(b - a)], defaultdict(list)))
+                    for level, key in enumerate(self._run(w, np.array([a]), b - a)):
+                        levels[level].add(int(key[0]))
+                    last[int(key[0])].append((i, a))
+            elif len(w):
                 raw = [len(x.strip(PUNCTUATION)) for x in self._split(dict(items)[i])]
                 least = min(max(SHORT, min(16, len(w) // 2)), len(w))  # an entry without that many words after it would match by chance
                 for a in range(0, len(w) - least + 1, STRIDE):
                     at = max(range(a, min(a + STRIDE, len(w) - least + 1)), key=lambda p: (raw[p], -p))
                     steps = max([s for s in STEPS if s <= len(w) - at], default=1)
                     entries[steps].append((i, at))
+        self.pieces = {n: ([np.array(sorted(x), np.uint64) for x in levels], dict(last)) for n, (levels, last) in self.pieces.items()}
         self.keys, self.entries = {}, {}
         for n, places in entries.items():
             for t, (salt, sampled) in enumerate(self.plans.get(n, [(1, [])])):
@@ -110,11 +122,25 @@ class ItemIndex:
         self.any_first = np.zeros(1 << 16, bool)
         for heads in self.first.values():
             self.any_first[[h >> 48 for h in heads]] = True
+        self.any_piece = np.zeros(1 << 16, bool)
+        for n, (levels, _) in self.pieces.items():
+            self.any_piece[(levels[0] >> np.uint64(48)).astype(np.int64)] = True
 
     @staticmethod
     def _split(text):
         return [x for x in (text or "").split() if x.lower().strip(PUNCTUATION)]
 
+    @staticmethod
+    def _run(words, starts, n):
+        """Keys of the n words from ``starts`` after each word; takes back which to go on with."""
+        key = words[starts]
+        going = yield key
+        for j in range(1, n):
+            if going is not None:
+                starts, key = starts[going], key[going]
+            key = mixed(key ^ words[starts + j], j)
+            going = yield key
+
     @staticmethod
     def _walk(words, starts, salt, sampled):
         """Keys of the walks from ``starts`` after each sampled step; yields as it goes, and takes back which walks to go on with."""
@@ -151,6 +177,21 @@ class ItemIndex:
                 else:
                     for s, k in zip(now.tolist(), key.tolist(), strict=True):
                         out.update((i, s - at) for i, at in self.entries[n, t].get(k, ()))
+        hot = np.flatnonzero(self.any_piece[(words >> np.uint64(48)).astype(np.int64)])
+        for n, (levels, last) in self.pieces.items():
+            now = hot[hot <= len(words) - n]
+            run = self._run(words, now, n)
+            key = next(run)
+            for level, known in enumerate(levels):
+                going = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
+                if not len(going):
+                    break
+                now = now[going]
+                if level + 1 < n:
+                    key = run.send(going)
+                else:
+                    for s, k in zip(now.tolist(), key[going].tolist(), strict=True):
+                        out.update((i, s - at) for i, at in last[k])
         return out
 
     def leaks(self, words: np.ndarray, bounds: np.ndarray):

@@ -70,3 +70,17 @@ def test_odd_rows(spark):
     assert got == [(-1, 4, 0, 1, 3), (3, 1, 0, 1, 13), (3, 1, 1, 0, 11)]
     assert sorted(r.doc_id for r in decontaminated(docs, bench).collect()) == [1, 2, 5]
     assert leaks(docs, bench.filter("false")).count() == 0 and decontaminated(docs.filter("false"), bench).count() == 0
+
+
+def test_short_items_are_found_without_loss():
+    rng = random.Random(8)
+    for size in range(8, 32):
+        item = [f"i{size}x{j}" for j in range(size)]
+        index, memo, texts = ItemIndex([(1, " ".join(item))]), Words(), []
+        for p in range(size):  # each single edit, the entry words' too
+            for new in ([], ["other"], [item[p], "other"]):
+                texts.append(" ".join(["so", *item[:p], *new, *item[p + 1 :], "on"]))
+        texts += [" ".join(edited(item, int(0.2 * size), rng)) for _ in range(100)]
+        words, bounds = batch_words(pa.array(texts), memo)
+        got = {d for d, *_ in index.leaks(words, bounds)}
+        assert got == set(range(len(texts)))

@@ -131,28 +131,32 @@ class Field:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
-    def lattice(self, text: str, toks):
-        """(a, b, scores by type, features) of every candidate segment: it has a digit, an at-sign or the words at and dot."""
+    def lattice(self, text: str, toks, after: int = 0):
+        """(a, b, scores by type, features) of every candidate segment that ends behind ``after`` tokens: it has a digit, an at-sign or the words at and dot."""
         real = [any(c in "0123456789@" for c in text[x:y]) or text[x:y].lower() in ("at", "dot") for x, y in toks]
         seen = np.concatenate([[0], np.cumsum(real)])
-        spans = [(a, b) for a in range(len(toks)) for b in range(a + 1, min(a + MOST, len(toks)) + 1) if seen[b] > seen[a] and toks[b - 1][1] - toks[a][0] <= 120]
+        spans = [(a, b) for a in range(len(toks)) for b in range(max(a, after) + 1, min(a + MOST, len(toks)) + 1) if seen[b] > seen[a] and toks[b - 1][1] - toks[a][0] <= 120]
         f = np.array([features(text, toks, a, b) for a, b in spans]).reshape(len(spans), N)
         return spans, f @ self.weights.T, f
 
     def best(self, text: str, toks) -> list[tuple[int, int, int]]:
-        """The segments (a, b, type) of the best segmentation."""
-        spans, scores, _ = self.lattice(text, toks)
-        ends: list[list[tuple[float, int, int]]] = [[] for _ in range(len(toks) + 1)]
-        for (a, b), row in zip(spans, scores, strict=True):
-            k = int(row.argmax())
-            if row[k] > 0:
-                ends[b].append((float(row[k]), a, k))
+        """The segments (a, b, type) of the best segmentation; the lattice is built block by block, the values are carried on."""
         value, back = [0.0] * (len(toks) + 1), [None] * (len(toks) + 1)
-        for b in range(1, len(toks) + 1):
-            value[b] = value[b - 1]
-            for x, a, k in ends[b]:
-                if value[a] + x > value[b]:
-                    value[b], back[b] = value[a] + x, (a, k)
+        for lo in range(0, len(toks), PIECE):
+            hi = min(lo + PIECE, len(toks))
+            left = max(0, lo - MOST - 4)  # segments that end in this block, and the cues before them
+            near = toks[left:hi]
+            spans, scores, _ = self.lattice(text, near, lo - left)
+            ends: list[list[tuple[float, int, int]]] = [[] for _ in range(hi - left + 1)]
+            for (a, b), row in zip(spans, scores, strict=True):
+                k = int(row.argmax())
+                if row[k] > 0:
+                    ends[b].append((float(row[k]), a + left, k))
+            for b in range(lo + 1, hi + 1):
+                value[b] = value[b - 1]
+                for x, a, k in ends[b - left]:
+                    if value[a] + x > value[b]:
+                        value[b], back[b] = value[a] + x, (a, k)
         out, b = [], len(toks)
         while b > 0:
             if back[b] is None:
@@ -256,6 +260,8 @@ def train(examples: int = 500, passes: int = 6, rate: float = 0.15, decay: float
     return field
 
 
+#: Tokens decoded at once.
+PIECE = 400
 _OBSCURED = re.compile(r"[^\W_]+ at [^\W_]+ dot [^\W_]+", re.I)
 _NUMBER = re.compile(r"[^\s]*[0-9@][^\s]*")
 
@@ -278,13 +284,11 @@ def stretches(text: str) -> list[tuple[int, int]]:
 
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the field's segments. Long stretches are decoded in pieces at their white space."""
+    """(start, end, type) of the field's segments, each stretch decoded as a whole."""
     out = []
     for s, e in stretches(text):
         toks = [(x + s, y + s) for x, y in tokens_of(text[s:e])]
-        for i in range(0, len(toks), 400):
-            piece = toks[i : i + 400]
-            out += [(piece[a][0], piece[b - 1][1], TYPES[k]) for a, b, k in field.best(text, piece)]
+        out += [(toks[a][0], toks[b - 1][1], TYPES[k]) for a, b, k in field.best(text, toks)]
     return out
 
 

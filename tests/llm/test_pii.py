@@ -86,3 +86,12 @@ def test_odd_rows(spark, field):
     assert found(docs.filter("false"), field).count() == 0
     base, spans = all_spans("phone (555) 123-4567, é +1 (555) 123-4567", field)
     assert base == [(24, 41, "phone")] and spans == [(6, 20, "phone"), (24, 41, "phone")]
+
+
+def test_no_span_is_lost_at_a_cut(field, monkeypatch):
+    rows = " ".join(f"row{i} {i % 97} call (415) 555-{1000 + i}" for i in range(300))
+    assert sum(k == "phone" for _, _, k in field_spans(rows, field)) == 300
+    whole = field_spans(rows, field)
+    for piece in (7, 50, 10**6):
+        monkeypatch.setattr(pii, "PIECE", piece)
+        assert field_spans(rows, field) == whole

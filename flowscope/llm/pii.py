@@ -105,7 +105,7 @@ def features(text: str, toks: list[tuple[int, int]], a: int, b: int) -> np.ndarr
     f[11] = "@" in seg
     f[12] = len(low) >= 5 and low[-2] == "dot" and "at" in low[1:-2] and letters > 4
     f[13] = seg.count(".") == 3 and len(groups) == 4
-    f[14] = f[13] and all(int(w) <= 255 for w in words if w.isdigit()) and not letters
+    f[14] = f[13] and all(len(w.lstrip("0")) <= 3 and int(w[-3:]) <= 255 for w in words if w.isdigit()) and not letters
     f[15], f[16] = seg[0] == "+", "(" in seg and ")" in seg
     f[17] = not letters and n >= 7 and groups[-2:] in ([3, 4], [2, 2], [4, 4], [3, 3]) and len(groups) >= 2
     f[18] = len(groups) >= 3 and set(groups[:-1]) == {4}
@@ -135,7 +135,7 @@ class Field:
         """(a, b, scores by type, features) of every candidate segment that ends behind ``after`` tokens: it has a digit, an at-sign or the words at and dot."""
         real = [any(c in "0123456789@" for c in text[x:y]) or text[x:y].lower() in ("at", "dot") for x, y in toks]
         seen = np.concatenate([[0], np.cumsum(real)])
-        spans = [(a, b) for a in range(len(toks)) for b in range(max(a, after) + 1, min(a + MOST, len(toks)) + 1) if seen[b] > seen[a] and toks[b - 1][1] - toks[a][0] <= 120]
+        spans = [(a, b) for a in range(len(toks)) for b in range(max(a, after) + 1, min(a + MOST, len(toks)) + 1) if seen[b] > seen[a]]
         f = np.array([features(text, toks, a, b) for a, b in spans]).reshape(len(spans), N)
         return spans, f @ self.weights.T, f
 
@@ -262,6 +262,7 @@ def train(examples: int = 500, passes: int = 6, rate: float = 0.15, decay: float
 
 #: Tokens decoded at once.
 PIECE = 400
+_AT = re.compile(" at ", re.I)
 _OBSCURED = re.compile(r"[^\W_]+ at [^\W_]+ dot [^\W_]+", re.I)
 _NUMBER = re.compile(r"[^\s]*[0-9@][^\s]*")
 
@@ -269,7 +270,7 @@ _NUMBER = re.compile(r"[^\s]*[0-9@][^\s]*")
 def stretches(text: str) -> list[tuple[int, int]]:
     """Where the field looks: white-space words with a digit or at-sign, up to three words before and one after, joined if they meet."""
     hits = [m.span() for m in _NUMBER.finditer(text)]
-    if " at " in text:
+    if _AT.search(text):
         hits = sorted(hits + [m.span() for m in _OBSCURED.finditer(text)])
     out: list[tuple[int, int]] = []
     for s, e in hits:
@@ -297,7 +298,7 @@ def all_spans(text: str | None, field: Field):
     if not text:
         return [], []
     base = base_spans(text)
-    added = [] if not _ANY.search(text) and " at " not in text else field_spans(text, field)
+    added = [] if not _ANY.search(text) and not _AT.search(text) else field_spans(text, field)
     merged, order = list(base), {k: i for i, k in enumerate(TYPES)}
     taken = sorted((s, e) for s, e, _ in base)
     reach = np.maximum.accumulate([e for _, e in taken]) if taken else np.zeros(0)

@@ -95,3 +95,13 @@ def test_no_span_is_lost_at_a_cut(field, monkeypatch):
     for piece in (7, 50, 10**6):
         monkeypatch.setattr(pii, "PIECE", piece)
         assert field_spans(rows, field) == whole
+
+
+def test_long_keys_and_capital_letters(field):
+    rng = random.Random(4)
+    for size in (128, 256, 1000):
+        key = "a1" + "".join(rng.choice("0123456789abcdef") for _ in range(size - 2))
+        text = f'the token = "{key}" here'
+        assert (text.index(key), text.index(key) + size, "secret") in all_spans(text, field)[1]
+    assert all_spans("mail JOHN AT HOST DOT COM now", field)[1] == [(5, 25, "email")]
+    assert all_spans("so 1.2.3." + "9" * 6000 + " on", field)[0] == []

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 _own_dirs: dict[str, str] = {}
 
 
@@ -120,3 +125,64 @@ def kept_rows(docs: DataFrame, verdict: DataFrame, doc_id: str = "doc_id", text:
         twice = keyed.join(odd.filter("_fs_kept"), same, "left_semi").dropDuplicates(["_fs_text", doc_id])
         out = out.unionByName(twice.select(*docs.columns))
     return out
+
+
+#: Bytes of text that a Python worker works on at a time, and that its word memory may hold.
+PIECE_BYTES, MEMO_BYTES = 1 << 20, 16 << 20
+
+
+def pieces(sizes, most: int = PIECE_BYTES):
+    """Slices of consecutive items whose ``sizes`` add up to about ``most``; a single larger item is a slice of its own."""
+    a, total = 0, 0
+    for b, n in enumerate(sizes):
+        if b > a and total + n > most:
+            yield slice(a, b)
+            a, total = b, 0
+        total += n
+    if a < len(sizes):
+        yield slice(a, len(sizes))
+
+
+def bounded(batches, text: int, most: int = PIECE_BYTES):
+    """The rows of Arrow batches in slices with about ``most`` bytes in column ``text``: work space doesn't grow with the batch.
+
+    A null counts nothing; no row is left out or cut.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for part in pieces(sizes.tolist(), most):
+            yield batch.slice(part.start, part.stop - part.start)
+    pa.default_memory_pool().release_unused()
+
+
+def white_cut(text: bytes, most: int = PIECE_BYTES):
+    """A text in stretches of about ``most`` bytes, cut only at white space, so that no word is cut."""
+    at = 0
+    while len(text) - at > most:
+        m = _WHITE.search(text, at + most)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
+class Memo(dict):
+    """Remembers what ``of_key`` gives for a word, in a bounded number of bytes; long words aren't remembered."""
+
+    LONGEST, ENTRY = 64, 150
+
+    def __init__(self, most: int = MEMO_BYTES):
+        super().__init__()
+        self.most = max(1, most // (self.LONGEST + self.ENTRY))
+
+    def of_key(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.of_key(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value

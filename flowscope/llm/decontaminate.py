@@ -5,17 +5,18 @@ longer one in which few edits become few differing places: at step t it emits th
 random bit of (step, word) says so. Every window of a document, as long as the item it is compared with, is embedded this
 way and hashed at ``samples`` sampled steps; ``tables`` independent walks reach the target recall. The samples are
 evaluated step by step for all windows at once, and a window whose sampled words so far begin no item's key is left:
-that is the same table look-up, made early. Step 0, the window's first word, is always sampled; so each item is entered from
-several places, the longest word of every ``STRIDE`` words. Items of fewer than ``WALKED`` words have too few places for
-that and are found without loss: cut into one piece more than edits are allowed, at least one piece stands unedited in any
-leak. What collides is verified by its edit distance.
+that is the same table look-up, made early. Step 0, the window's first word, is always sampled; so each item is entered
+from several places, the longest word of every ``STRIDE`` words.
+
+Items of fewer than ``WALKED`` words have too few places to enter them from for the target recall. What their walks miss is
+found by pieces: cut into one piece more than edits are allowed, at least one piece stands unedited in any leak. All that
+collides, by walks or pieces, is verified by its edit distance.
 """
 
 from __future__ import annotations
 
 import math
 import string
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,33 +24,36 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowscope.llm.common import Memo, bounded, white_cut, written
+
 STRIDE = 5
-#: Items with fewer words count as leaked only if met word for word.
-SHORT = 8
-#: Items with fewer words are found by their pieces, longer ones by walks.
+#: Items with fewer words are only found by their pieces.
+LEAST_WALK = 8
+#: Items with fewer words are found by their pieces too.
 WALKED = 32
 #: Steps of a walk: the largest of these that the rest of the item has words for.
 STEPS = (4, 8, 16, 32)
-#: Items are indexed and broadcast in blocks of so many.
-ITEM_BLOCK = 20_000
+#: Items are indexed and broadcast in blocks of so many items and characters at most.
+ITEM_BLOCK, ITEM_CHARS = 20_000, 8_000_000
 PUNCTUATION = string.punctuation + "«»“”„’‘¿¡…–—"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64(48)
 
 
-class Words(dict):
-    """raw word (bytes) -> 64-bit hash of the folded word, 0 if nothing is left of it; remembers a bounded number."""
+class Words(Memo):
+    """raw word (bytes) -> 64-bit hash of the folded word, 0 if nothing is left of it."""
 
-    def __missing__(self, raw: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        word = raw.decode("utf8", "replace").lower().strip(PUNCTUATION)
-        h = self[raw] = xxhash.xxh64_intdigest(word) | 1 if word else 0
-        return h
+    def of_key(self, key: bytes) -> int:
+        word = key.decode("utf8", "replace").lower().strip(PUNCTUATION)
+        return xxhash.xxh64_intdigest(word) | 1 if word else 0
 
     def of(self, text: bytes | None) -> np.ndarray:
-        raw = text.split() if text else []
-        out = np.fromiter(map(self.__getitem__, raw), np.uint64, len(raw))
-        return out[out != 0]
+        out = [np.empty(0, np.uint64)]
+        for part in white_cut(text or b""):
+            raw = part.split()
+            out.append(np.fromiter(map(self.__getitem__, raw), np.uint64, len(raw)))
+        flat = np.concatenate(out)
+        return flat[flat != 0]
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -77,128 +81,132 @@ def distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def _walk(words, starts, salt, sampled):
+    """Keys of the walks from ``starts`` after each sampled step; yields as it goes, and takes back which walks to go on with.
+
+    A walk stands still at the zero behind a document.
+    """
+    at = starts.copy()
+    key = mixed(words[at], salt)
+    going = yield key
+    t = 0
+    for s in sampled:
+        if going is not None:
+            at, key = at[going], key[going]
+        while t < s:
+            here = words[at]
+            on = (mixed(here, salt + 7919 * t + 1) >> np.uint64(63)).astype(np.int64) * (here != 0)
+            at = np.minimum(at + on, len(words) - 1)
+            t += 1
+        key = mixed(key ^ words[at], salt + s)
+        going = yield key
+
+
+def _run(words, starts, n):
+    """Keys of the n words from ``starts`` after each word; takes back which to go on with."""
+    key = words[starts]
+    going = yield key
+    for j in range(1, n):
+        if going is not None:
+            starts, key = starts[going], key[going]
+        key = mixed(key ^ words[starts + j], j)
+        going = yield key
+
+
+class Table:
+    """What the keys of one table stand for: sorted keys of each level, and (item, place) by the last."""
+
+    def __init__(self, levels: list[np.ndarray], items: np.ndarray, places: np.ndarray):
+        self.levels = [np.unique(x) for x in levels]
+        order = np.argsort(levels[-1], kind="stable")
+        self.keys, self.items, self.places = levels[-1][order], items[order].astype(np.int32), places[order].astype(np.int32)
+
+    def search(self, starts: np.ndarray, keys_of) -> np.ndarray:
+        """Rows (item, start of the item) of all that collides; ``keys_of`` generates keys level by level."""
+        now, key = starts, next(keys_of)
+        for level, known in enumerate(self.levels):
+            going = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
+            if not len(going):
+                return np.empty((0, 2), np.int64)
+            now = now[going]
+            if level + 1 < len(self.levels):
+                key = keys_of.send(going)
+            else:
+                key = key[going]
+        lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.column_stack([self.items[at].astype(np.int64), np.repeat(now, n) - self.places[at]])
+
+
 class ItemIndex:
-    """The hash tables of a block of items; small enough to be broadcast."""
+    """The hash tables of a block of items (id, text), as arrays; small enough to be broadcast. Items are known by their position."""
 
     def __init__(self, items, tolerance: float = 0.2, recall: float = 0.98, agree: float = 0.75, samples: int = 4, seed: int = 11):
         memo = Words()
-        self.words = {i: memo.of((t or "").encode()) for i, t in items}
-        self.allowed = {i: int(tolerance * len(w)) if len(w) >= SHORT else 0 for i, w in self.words.items()}
-        self.tables = tables_for(recall, agree, samples - 1)
+        self.ids = [i for i, _ in items]
+        self.words = [memo.of((t or "").encode()) for _, t in items]
+        self.allowed = [int(tolerance * len(w) + 1e-9) for w in self.words]
         rng = np.random.default_rng(seed)
         self.plans = {}  # steps -> [(salt, sampled steps after 0)] for each table
         for n in STEPS:
             # one sample from each part of the walk, so that a key spans several words
             parts = np.array_split(np.arange(1, n), min(samples - 1, n - 1))
-            self.plans[n] = [(int(rng.integers(1, 2**62)), [int(rng.choice(p)) for p in parts]) for _ in range(self.tables)]
-        entries, self.pieces = defaultdict(list), {}  # pieces: words -> (keys after each word, last key -> [(item, place)])
-        for i, w in self.words.items():
+            self.plans[n] = [(int(rng.integers(1, 2**62)), [int(rng.choice(p)) for p in parts]) for _ in range(tables_for(recall, agree, samples - 1))]
+        entries: dict[int, list] = {}
+        cuts: dict[int, list] = {}
+        for i, ((_, text), w) in enumerate(zip(items, self.words, strict=True)):
+            if len(w) >= LEAST_WALK:
+                for at in self._entries(text, len(w)):
+                    entries.setdefault(max(s for s in STEPS if s <= len(w) - at), []).append((i, at))
             if 0 < len(w) < WALKED:
-                cuts = [len(w) * p // (self.allowed[i] + 1) for p in range(self.allowed[i] + 2)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    levels, last = self.pieces.setdefault(b - a, ([set() for _ in range(b - a)], defaultdict(list)))
-                    for level, key in enumerate(self._run(w, np.array([a]), b - a)):
-                        levels[level].add(int(key[0]))
-                    last[int(key[0])].append((i, a))
-            elif len(w):
-                raw = [len(x.strip(PUNCTUATION)) for x in self._split(dict(items)[i])]
-                least = min(max(SHORT, min(16, len(w) // 2)), len(w))  # an entry without that many words after it would match by chance
-                for a in range(0, len(w) - least + 1, STRIDE):
-                    at = max(range(a, min(a + STRIDE, len(w) - least + 1)), key=lambda p: (raw[p], -p))
-                    steps = max([s for s in STEPS if s <= len(w) - at], default=1)
-                    entries[steps].append((i, at))
-        self.pieces = {n: ([np.array(sorted(x), np.uint64) for x in levels], dict(last)) for n, (levels, last) in self.pieces.items()}
-        self.keys, self.entries = {}, {}
-        for n, places in entries.items():
-            for t, (salt, sampled) in enumerate(self.plans.get(n, [(1, [])])):
-                levels, last = [set() for _ in range(len(sampled) + 1)], defaultdict(list)
-                for i, at in places:
-                    for level, key in enumerate(self._walk(self.words[i], np.array([at]), salt, sampled)):
-                        levels[level].add(int(key[0]))
-                    last[int(key[0])].append((i, at))
-                self.keys[n, t] = [np.array(sorted(x), np.uint64) for x in levels]
-                self.entries[n, t] = dict(last)
-        self.first = {n: {int(self.words[i][at]) for i, at in places} for n, places in entries.items()}
-        self.any_first = np.zeros(1 << 16, bool)
-        for heads in self.first.values():
-            self.any_first[[h >> 48 for h in heads]] = True
-        self.any_piece = np.zeros(1 << 16, bool)
-        for n, (levels, _) in self.pieces.items():
-            self.any_piece[(levels[0] >> np.uint64(48)).astype(np.int64)] = True
-
-    @staticmethod
-    def _split(text):
-        return [x for x in (text or "").split() if x.lower().strip(PUNCTUATION)]
+                ends = [len(w) * p // (self.allowed[i] + 1) for p in range(self.allowed[i] + 2)]
+                for a, b in zip(ends, ends[1:], strict=False):
+                    cuts.setdefault(b - a, []).append((i, a))
+        starts = np.cumsum([0, *(len(w) + 1 for w in self.words)])
+        flat = np.concatenate([np.append(w, np.uint64(0)) for w in self.words] or [np.zeros(0, np.uint64)])
+        self.walks, self.pieces = {}, {}
+        for n, rows in entries.items():
+            item, place = np.array(rows, np.int64).T
+            at = starts[item] + place
+            self.walks[n] = (np.unique(flat[at]), [Table(list(_walk(flat, at, salt, sampled)), item, place) for salt, sampled in self.plans[n]])
+        for n, rows in cuts.items():
+            item, place = np.array(rows, np.int64).T
+            self.pieces[n] = Table(list(_run(flat, starts[item] + place, n)), item, place)
+        self.any_first, self.any_piece = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        for heads, _ in self.walks.values():
+            self.any_first[(heads >> _TOP).astype(np.int64)] = True
+        for table in self.pieces.values():
+            self.any_piece[(table.levels[0] >> _TOP).astype(np.int64)] = True
 
     @staticmethod
-    def _run(words, starts, n):
-        """Keys of the n words from ``starts`` after each word; takes back which to go on with."""
-        key = words[starts]
-        going = yield key
-        for j in range(1, n):
-            if going is not None:
-                starts, key = starts[going], key[going]
-            key = mixed(key ^ words[starts + j], j)
-            going = yield key
-
-    @staticmethod
-    def _walk(words, starts, salt, sampled):
-        """Keys of the walks from ``starts`` after each sampled step; yields as it goes, and takes back which walks to go on with."""
-        at = starts.copy()
-        key = mixed(words[at], salt)
-        going = yield key
-        t = 0
-        for s in sampled:
-            if going is not None:
-                at, key = at[going], key[going]
-            while t < s:
-                at = np.minimum(at + (mixed(words[at], salt + 7919 * t + 1) >> np.uint64(63)).astype(np.int64), len(words) - 1)
-                t += 1
-            key = mixed(key ^ words[at], salt + s)
-            going = yield key
-
-    def candidates(self, words: np.ndarray):
-        """(item, start) of windows that collide with an item in some table."""
-        hot = np.flatnonzero(self.any_first[(words >> np.uint64(48)).astype(np.int64)])
-        out = set()
-        for n, heads in self.first.items():
-            starts = hot[np.isin(words[hot], np.fromiter(heads, np.uint64, len(heads)))]
-            if not len(starts):
-                continue
-            for t, (salt, sampled) in enumerate(self.plans.get(n, [(1, [])])):
-                now, walk = starts, self._walk(words, starts, salt, sampled)
-                key = next(walk)
-                for level in range(1, len(sampled) + 1):
-                    known = self.keys[n, t][level - 1]
-                    going = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
-                    if not len(going):
-                        break
-                    now, key = now[going], walk.send(going)
-                else:
-                    for s, k in zip(now.tolist(), key.tolist(), strict=True):
-                        out.update((i, s - at) for i, at in self.entries[n, t].get(k, ()))
-        hot = np.flatnonzero(self.any_piece[(words >> np.uint64(48)).astype(np.int64)])
-        for n, (levels, last) in self.pieces.items():
-            now = hot[hot <= len(words) - n]
-            run = self._run(words, now, n)
-            key = next(run)
-            for level, known in enumerate(levels):
-                going = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
-                if not len(going):
-                    break
-                now = now[going]
-                if level + 1 < n:
-                    key = run.send(going)
-                else:
-                    for s, k in zip(now.tolist(), key[going].tolist(), strict=True):
-                        out.update((i, s - at) for i, at in last[k])
-        return out
+    def _entries(text: str, n: int):
+        """Where walks enter an item: in every STRIDE words the longest, with enough words behind it."""
+        size = [len(x) for x in (r.lower().strip(PUNCTUATION) for r in text.split()) if x]
+        last = n - max(STEPS[0], min(16, n // 2))  # an entry without that many words after it would match by chance
+        return [max(range(a, min(a + STRIDE, last + 1)), key=lambda p: (size[p], -p)) for a in range(0, last + 1, STRIDE)]
+
+    def candidates(self, words: np.ndarray) -> np.ndarray:
+        """Rows (item, start) of windows that collide with an item in some table."""
+        out = [np.empty((0, 2), np.int64)]
+        top = (words >> _TOP).astype(np.int64)
+        hot = np.flatnonzero(self.any_first[top])
+        for n, (heads, tables) in self.walks.items():
+            starts = hot[np.isin(words[hot], heads)]
+            if len(starts):
+                out += [table.search(starts, _walk(words, starts, salt, sampled)) for table, (salt, sampled) in zip(tables, self.plans[n], strict=True)]
+        hot = np.flatnonzero(self.any_piece[top])
+        for n, table in self.pieces.items():
+            starts = hot[hot <= len(words) - n]
+            if len(starts):
+                out.append(table.search(starts, _run(words, starts, n)))
+        return np.unique(np.concatenate(out), axis=0)
 
     def leaks(self, words: np.ndarray, bounds: np.ndarray):
         """(document, item, distance, start, end) for the documents that ``bounds`` cuts ``words`` into: each item's best place."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         seen = set()
-        for item, start in sorted(self.candidates(words)):
+        for item, start in self.candidates(words).tolist():
             w, allowed = self.words[item], self.allowed[item]
             doc = int(np.searchsorted(bounds, min(max(start, 0) + len(w) // 2, len(words) - 1), "right")) - 1
             lo, hi = int(bounds[doc]), int(bounds[doc + 1]) - 1  # a document ends with a zero
@@ -221,13 +229,14 @@ class ItemIndex:
         return [(doc, item, *x) for (doc, item), x in sorted(best.items())]
 
 
-def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK, chars: int = 32_000_000):
+def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK, chars: int = ITEM_CHARS):
     """The items in blocks of about ``block`` items and ``chars`` characters at most, however many there are; null or blank texts match nothing."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("i"), "text").filter("i is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("i"), "text").filter("text is not null")
     size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).head()
     n = max(1, -(-size[0] // block), -(-size[1] // chars))
     for b in range(n):
-        yield [(r.i, r.text) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == b).collect()]
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "text"), F.lit(n)) == b)
+        yield sorted(((r.i, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), n
 
 
 def batch_words(texts: pa.Array, memo: Words):
@@ -241,45 +250,59 @@ def batch_words(texts: pa.Array, memo: Words):
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, item_id, distance, start, end) of each item found in a row's whole text.
 
-    distance is in words, at most 0.2 of the item's; start and end count words. Null and empty texts hold nothing;
-    repeated rows, equal or null doc_ids are searched row by row. An empty benchmark finds nothing.
+    distance is in words, at most 0.2 of the item's (rounded down: items of fewer than five words must stand word for
+    word); start and end count words; of several places of an item in a row the one with the least distance, then the first.
+    Null, empty and blank texts hold nothing and are no items. Repeated rows, equal or null doc_ids are searched row by
+    row; repeated items and items with equal or null ids are items of their own. No documents or no items: no rows.
+    Other columns of either table don't matter.
     """
     spark, out = docs.sparkSession, None
     cols = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    for block in item_blocks(benchmark):
+    for block, blocks in item_blocks(benchmark):
         shipped = spark.sparkContext.broadcast(ItemIndex(block, **options))
 
         def run(batches, shipped=shipped):
             index, memo = shipped.value, Words()
-            for batch in batches:
+            for batch in bounded(batches, 1):
                 words, bounds = batch_words(batch.column(1), memo)
                 ids = batch.column(0).to_pylist()
-                rows = [(ids[d], *x) for d, *x in index.leaks(words, bounds)]
+                rows = [(ids[d], index.ids[i], *x) for d, i, *x in index.leaks(words, bounds)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], ["doc_id", "item_id", "distance", "start", "end"])
 
         found = cols.mapInArrow(run, "doc_id long, item_id long, distance long, start long, end long")
+        if blocks > 1:  # one index at a time in memory
+            found = written(found, "leaks")
+            shipped.destroy()
         out = found if out is None else out.union(found)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no item."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no item.
+
+    A null, empty or blank text holds nothing and stays; repeated rows are judged alike, so they stay or go together.
+    No items: all rows stay; an empty table stays empty. A column of any name may stand beside the text.
+    """
     at, spark = docs.columns.index(text), docs.sparkSession
-    for block in item_blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(ItemIndex(block))
+    for block, blocks in item_blocks(benchmark):
+        shipped = spark.sparkContext.broadcast(ItemIndex(block, **options))
 
         def run(batches, shipped=shipped):
             index, memo = shipped.value, Words()
-            for batch in batches:
+            for batch in bounded(batches, at):
                 words, bounds = batch_words(batch.column(at), memo)
                 clean = np.ones(batch.num_rows, bool)
                 clean[[d for d, *_ in index.leaks(words, bounds)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if blocks > 1:
+            docs = written(docs, "clean")
+            shipped.destroy()
     return docs
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``leaks`` of all benchmark items in all documents."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return leaks(docs, items)

@@ -1,7 +1,7 @@
 """Personal data: base patterns, and a semi-Markov conditional random field over whole spans.
 
-The base kinds are found by their patterns, leftmost and non-overlapping. The field sees stretches of text around digits
-and at-signs, cut into tokens; a candidate segment is a run of up to ``MOST`` tokens scored as a whole (its digits, groups,
+The base kinds are found by their patterns, leftmost and non-overlapping. The field sees stretches of text around digits,
+at-signs, "at" with "dot", and what follows a secret's cue, cut into tokens; a candidate segment is a run of up to ``MOST`` tokens scored as a whole (its digits, groups,
 checksums, separators, the cue before it), and dynamic programming chooses boundaries and types together. It adds spans
 the patterns can't see, such as phone numbers without a plus, cards in spaced groups of other kinds, addresses written
 "name at host dot com", and secrets; it never removes or changes a base span.
@@ -13,14 +13,18 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowscope.llm.common import bounded
+
 KINDS = ("email", "ip", "card", "phone")
 TYPES = (*KINDS, "secret")
 MOST = 9
@@ -75,54 +79,104 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # --- the field
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-_CUES = {"email": 0, "mail": 0, "address": 0, "ip": 1, "server": 1, "addr": 1, "card": 2, "visa": 2, "payment": 2, "phone": 3, "call": 3, "tel": 3, "fax": 3, "mobile": 3, "token": 4, "key": 4, "password": 4, "secret": 4, "api": 4}
+_CUES = {"email": 0, "mail": 0, "address": 0, "ip": 1, "server": 1, "addr": 1, "card": 2, "visa": 2, "payment": 2, "phone": 3, "call": 3, "tel": 3, "fax": 3, "mobile": 3, "token": 4, "key": 4, "password": 4, "passwd": 4, "pwd": 4, "passcode": 4, "secret": 4, "api": 4}
 _NAMES = (
     "bias", "tokens", "no digit", "digits < 5", "digits 5-6", "digits 7", "digits 8-9", "digits 10-11", "digits 12-15", "digits 14-19 with checksum", "digits 14-19 without",
     "at-sign", "word at word dot", "dots 3", "four parts to 255", "opens +", "has ()", "groups of phone", "groups of four", "letters and digits >= 16", "hex >= 24",
-    "quoted", "edge mark", "spaces", "words", "dash", "colon or slash", "cue email", "cue ip", "cue card", "cue phone", "cue secret", "decimal or date",
+    "quoted", "edge mark", "spaces", "words", "dash", "colon or slash", "cue email", "cue ip", "cue card", "cue phone", "cue secret", "decimal or date", "whole between spaces or quotes", "whole behind a secret's cue",
 )
 N = len(_NAMES)
 
 
-def features(text: str, toks: list[tuple[int, int]], a: int, b: int) -> np.ndarray:
-    """Of the whole segment toks[a:b]."""
-    s, e = toks[a][0], toks[b - 1][1]
-    seg = text[s:e]
-    words = [text[x:y] for x, y in toks[a:b]]
-    d = digits_of(seg)
-    n = len(d)
-    groups = [len(w) for w in words if w.isdigit()]
-    letters = sum(c.isalpha() for c in seg)
-    solid = n and letters and " " not in seg
-    low = [w.lower() for w in words]
-    f = np.zeros(N)
-    f[0], f[1] = 1, (b - a) / MOST
-    f[2] = n == 0
-    f[3:9] = (0 < n < 5, 5 <= n <= 6, n == 7, 8 <= n <= 9, 10 <= n <= 11, 12 <= n <= 15)
-    card = 14 <= n <= 19 and not letters
-    f[9] = card and luhn(d)
-    f[10] = card and not f[9]
-    f[11] = "@" in seg
-    f[12] = len(low) >= 5 and low[-2] == "dot" and "at" in low[1:-2] and letters > 4
-    f[13] = seg.count(".") == 3 and len(groups) == 4
-    f[14] = f[13] and all(len(w.lstrip("0")) <= 3 and int(w[-3:]) <= 255 for w in words if w.isdigit()) and not letters
-    f[15], f[16] = seg[0] == "+", "(" in seg and ")" in seg
-    f[17] = not letters and n >= 7 and groups[-2:] in ([3, 4], [2, 2], [4, 4], [3, 3]) and len(groups) >= 2
-    f[18] = len(groups) >= 3 and set(groups[:-1]) == {4}
-    f[19] = bool(solid) and len(words) == 1 and len(seg) >= 16
-    f[20] = len(words) == 1 and len(seg) >= 24 and n > 2 and all(c in "0123456789abcdefABCDEF" for c in seg)
-    f[21] = s > 0 and text[s - 1] in "\"'" and e < len(text) and text[e] in "\"'"
-    f[22] = (not words[0][0].isalnum() and words[0] not in "+(") or (not words[-1][-1].isalnum())
-    f[23] = " " in seg
-    f[24] = sum(w.isalpha() for w in words) > 1
-    f[25] = "-" in seg
-    f[26] = ":" in seg or "/" in seg
-    for i in range(max(0, a - 4), a):
-        cue = _CUES.get(text[toks[i][0] : toks[i][1]].lower())
-        if cue is not None:
-            f[27 + cue] = 1
-    f[32] = (len(groups) == 2 and seg.count(".") == 1 and not letters) or (len(groups) == 3 and len(groups) == len([g for g in groups if g <= 4]) and n in (6, 8) and not letters)
-    return f
+def lengths(*groups: bool) -> np.ndarray:
+    """Running counts: how many are true before each place."""
+    return np.column_stack([np.concatenate([[0], np.cumsum(g)]) for g in groups])
+
+
+class Segments:
+    """Features of whole segments toks[a:b], for many at once, from running counts over the tokens."""
+
+    def __init__(self, text: str, toks: list[tuple[int, int]]):
+        self.text, self.toks, n = text, toks, len(toks)
+        words = [text[x:y] for x, y in toks]
+        low = [w.lower() for w in words]
+        flag = lambda test: np.fromiter(map(test, words), bool, n)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        self.starts, self.ends = np.array([x for x, _ in toks], np.int64), np.array([y for _, y in toks], np.int64)
+        digits = np.fromiter((sum("0" <= c <= "9" for c in w) for w in words), np.int64, n)
+        number = digits == sizes
+        self.gap = lengths(np.concatenate([[False], self.starts[1:] > self.ends[:-1]]) if n else [])
+        self.digits = np.concatenate([[0], np.cumsum(digits)])
+        self.letters = np.concatenate([[0], np.cumsum(np.fromiter((sum(c.isalpha() for c in w) for w in words), np.int64, n))])
+        is_of = lambda chars: flag(lambda w: w in chars)
+        big = np.fromiter((d and (len(w.lstrip("0")) > 3 or int(w[-3:]) > 255) for w, d in zip(words, number.tolist(), strict=True)), bool, n)
+        alnum = flag(str.isalnum)
+        self.counts = {
+            k: np.concatenate([[0], np.cumsum(v)])
+            for k, v in {
+                "number": number, "big": big, "not 4": number & (sizes != 4), "over 4": number & (sizes > 4), "alpha": flag(str.isalpha), "odd": ~alnum & ~is_of("_-"), "at-sign": is_of("@"), "dots": is_of("."), "(": is_of("("), ")": is_of(")"), "dash": is_of("-"), "colon": is_of(":/"),
+                "at": np.fromiter((w == "at" for w in low), bool, n), "dot": np.fromiter((w == "dot" for w in low), bool, n), **{f"cue {c}": np.fromiter((_CUES.get(w, -1) == c for w in low), bool, n) for c in range(5)},
+            }.items()
+        }
+        self.sizes, self.alnum, self.plus, self.opens = sizes, alnum, is_of("+"), is_of("+(")
+        self.hex = (sizes >= 24) & (digits > 2) & flag(lambda w: len(w) >= 24 and not w.strip("0123456789abcdefABCDEF"))
+        at = np.where(number, np.arange(n), -1)
+        self.next_at = np.minimum.accumulate(np.where(np.fromiter((w == "at" for w in low), bool, n), np.arange(n), n)[::-1])[::-1]
+        self.last = np.maximum.accumulate(np.concatenate([[-1], at]))  # the last number before a place
+        edge = lambda c: c.isspace() or c in "\"'"
+        self.left = np.fromiter((x == 0 or edge(text[x - 1]) for x, _ in toks), bool, n)
+        self.right = np.fromiter((y == len(text) or edge(text[y]) or (text[y] in ".,;!" and (y + 1 == len(text) or text[y + 1].isspace())) for _, y in toks), bool, n)
+        self.quotes = (np.fromiter((x > 0 and text[x - 1] in "\"'" for x, _ in toks), bool, n), np.fromiter((y < len(text) and text[y] in "\"'" for _, y in toks), bool, n))
+        self.behind_cue = np.zeros(n, bool)
+        for x in secret_places(text, self.starts):
+            self.behind_cue[x] = True
+
+    def features(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        of = lambda k, a=a, b=b: self.counts[k][b] - self.counts[k][a]
+        n, letters, numbers, dots = self.digits[b] - self.digits[a], self.letters[b] - self.letters[a], of("number"), of("dots")
+        gaps = self.gap[b, 0] - self.gap[np.minimum(a + 1, len(self.gap) - 1), 0]
+        size, plain = self.ends[b - 1] - self.starts[a], letters == 0
+        f = np.zeros((len(a), N))
+        f[:, 0], f[:, 1], f[:, 2] = 1, (b - a) / MOST, n == 0
+        for k, (lo, hi) in enumerate(((1, 4), (5, 6), (7, 7), (8, 9), (10, 11), (12, 15))):
+            f[:, 3 + k] = (lo <= n) & (n <= hi)
+        for i in np.flatnonzero((14 <= n) & (n <= 19) & plain).tolist():
+            f[i, 9 if luhn(digits_of(self.text[self.starts[a[i]] : self.ends[b[i] - 1]])) else 10] = 1
+        f[:, 11] = of("at-sign") > 0
+        f[:, 12] = self._obscured(a, b) & (letters > 4)
+        f[:, 13] = (dots == 3) & (numbers == 4)
+        f[:, 14] = (f[:, 13] > 0) & (of("big") == 0) & plain
+        f[:, 15], f[:, 16] = self.plus[a], (of("(") > 0) & (of(")") > 0)
+        last = self.last[b]
+        before = self.last[np.maximum(last, 0)]
+        some = (numbers >= 2) & (before >= 0)
+        x, y = self.sizes[np.maximum(before, 0)], self.sizes[np.maximum(last, 0)]
+        f[:, 17] = some & plain & (n >= 7) & (((x == y) & (2 <= x) & (x <= 4)) | ((x == 3) & (y == 4)))
+        f[:, 18] = (numbers >= 3) & (of("not 4") - (y != 4) == 0)
+        f[:, 19] = (n > 0) & (letters > 0) & (gaps == 0) & (size >= 16) & (of("odd") == 0) & (self.sizes[b - 1] >= 16)
+        f[:, 20] = (b - a == 1) & self.hex[a]
+        f[:, 21] = self.quotes[0][a] & self.quotes[1][b - 1]
+        f[:, 22] = (~self.alnum[a] & ~self.opens[a]) | ~self.alnum[b - 1]
+        f[:, 23], f[:, 24] = gaps > 0, of("alpha") > 1
+        f[:, 25], f[:, 26] = of("dash") > 0, of("colon") > 0
+        for c in range(5):
+            f[:, 27 + c] = of(f"cue {c}", np.maximum(a - 4, 0), a) > 0
+        f[:, 32] = plain & (((numbers == 2) & (dots == 1)) | ((numbers == 3) & (of("over 4") == 0) & ((n == 6) | (n == 8))))
+        whole = self.left[a] & self.right[b - 1] & (gaps == 0)
+        f[:, 33], f[:, 34] = whole, whole & self.behind_cue[a]
+        return f
+
+
+    def _obscured(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``name at host dot com`` with or without brackets: a name without gaps, and one word behind the dot."""
+        of = lambda k, x, y: self.counts[k][y] - self.counts[k][x]
+        n = len(self.sizes)
+        at = np.minimum(self.next_at[a], n - 1)
+        name_end = np.maximum(np.where(of("(", np.maximum(at - 1, 0), at) > 0, at - 1, at), a)
+        solid = self.gap[name_end, 0] - self.gap[np.minimum(a + 1, name_end), 0] == 0
+        back = np.maximum(np.where(of(")", np.maximum(b - 2, 0), b - 1) > 0, b - 3, b - 2), 0)
+        one = (of("dot", a, b) == 1) & (of("at", a, b) == 1) & (of("dot", back, back + 1) > 0)
+        return (b - a >= 5) & one & solid & (a < name_end) & (at + 1 < back) & self.alnum[a] & self.alnum[b - 1]
 
 
 class Field:
@@ -131,66 +185,74 @@ class Field:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
-    def lattice(self, text: str, toks, after: int = 0):
-        """(a, b, scores by type, features) of every candidate segment that ends behind ``after`` tokens: it has a digit, an at-sign or the words at and dot."""
-        real = [any(c in "0123456789@" for c in text[x:y]) or text[x:y].lower() in ("at", "dot") for x, y in toks]
-        seen = np.concatenate([[0], np.cumsum(real)])
-        spans = [(a, b) for a in range(len(toks)) for b in range(max(a, after) + 1, min(a + MOST, len(toks)) + 1) if seen[b] > seen[a]]
-        f = np.array([features(text, toks, a, b) for a, b in spans]).reshape(len(spans), N)
-        return spans, f @ self.weights.T, f
-
-    def best(self, text: str, toks) -> list[tuple[int, int, int]]:
+    def lattice(self, text: str, toks, marks: np.ndarray, after: int = 0):
+        """(a, b, scores by type, features) of every candidate segment that ends behind ``after`` tokens: it has a marked token."""
+        n = len(toks)
+        seen = np.concatenate([[0], np.cumsum(marks)])
+        a = np.concatenate([np.arange(max(0, n - k + 1)) for k in range(1, MOST + 1)])
+        b = a + np.repeat(np.arange(1, MOST + 1), [max(0, n - k + 1) for k in range(1, MOST + 1)])
+        real = (seen[b] > seen[a]) & (b > after)
+        a, b = a[real], b[real]
+        f = Segments(text, toks).features(a, b) if len(a) else np.zeros((0, N))
+        return a, b, f @ self.weights.T, f
+
+    def best(self, text: str, toks, marks: np.ndarray) -> list[tuple[int, int, int]]:
         """The segments (a, b, type) of the best segmentation; the lattice is built block by block, the values are carried on."""
         value, back = [0.0] * (len(toks) + 1), [None] * (len(toks) + 1)
         for lo in range(0, len(toks), PIECE):
             hi = min(lo + PIECE, len(toks))
             left = max(0, lo - MOST - 4)  # segments that end in this block, and the cues before them
-            near = toks[left:hi]
-            spans, scores, _ = self.lattice(text, near, lo - left)
-            ends: list[list[tuple[float, int, int]]] = [[] for _ in range(hi - left + 1)]
-            for (a, b), row in zip(spans, scores, strict=True):
-                k = int(row.argmax())
-                if row[k] > 0:
-                    ends[b].append((float(row[k]), a + left, k))
-            for b in range(lo + 1, hi + 1):
-                value[b] = value[b - 1]
-                for x, a, k in ends[b - left]:
-                    if value[a] + x > value[b]:
-                        value[b], back[b] = value[a] + x, (a, k)
-        out, b = [], len(toks)
-        while b > 0:
-            if back[b] is None:
-                b -= 1
+            a, b, scores, _ = self.lattice(text, toks[left:hi], marks[left:hi], lo - left)
+            ends: dict[int, list[tuple[float, int, int]]] = {}
+            if len(a):
+                kind, top = scores.argmax(1), scores.max(1)
+                good = top > 0
+                for x, i, j, k in zip(top[good].tolist(), a[good].tolist(), b[good].tolist(), kind[good].tolist(), strict=True):
+                    ends.setdefault(j + left, []).append((x, i + left, k))
+            for j in range(lo + 1, hi + 1):
+                value[j] = value[j - 1]
+                for x, i, k in ends.get(j, ()):
+                    if value[i] + x > value[j]:
+                        value[j], back[j] = value[i] + x, (i, k)
+        out, j = [], len(toks)
+        while j > 0:
+            if back[j] is None:
+                j -= 1
             else:
-                a, k = back[b]
-                out.append((a, b, k))
-                b = a
+                i, k = back[j]
+                out.append((i, j, k))
+                j = i
         return out[::-1]
 
-    def gradient(self, text: str, toks, gold: set[tuple[int, int, int]]) -> np.ndarray:
-        """Of the log-likelihood: observed less expected features, by the segmental forward and backward sums."""
-        spans, scores, f = self.lattice(text, toks)
-        n = len(toks)
-        by_end, by_start = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-        total = np.logaddexp.reduce(scores, axis=1) if len(spans) else np.zeros(0)
-        for i, (a, b) in enumerate(spans):
-            by_end[b].append(i)
-            by_start[a].append(i)
-        fwd, bwd = np.zeros(n + 1), np.zeros(n + 1)
-        for b in range(1, n + 1):
-            fwd[b] = np.logaddexp.reduce([fwd[b - 1], *(fwd[spans[i][0]] + total[i] for i in by_end[b])])
-        for a in range(n - 1, -1, -1):
-            bwd[a] = np.logaddexp.reduce([bwd[a + 1], *(bwd[spans[i][1]] + total[i] for i in by_start[a])])
-        grad = np.zeros_like(self.weights)
-        for i, (a, b) in enumerate(spans):
-            p = np.exp(scores[i] + fwd[a] + bwd[b] - fwd[n])
-            grad -= p[:, None] * f[i]
-            for k in range(len(TYPES)):
-                if (a, b, k) in gold:
-                    grad[k] += f[i]
+    def gradient(self, prepared, gold: list[tuple[int, int]], n: int) -> np.ndarray:
+        """Of the log-likelihood: observed less expected features, by the segmental forward and backward sums.
+
+        prepared: (a, b, features) of the candidates; gold: (candidate, type) of the right ones; n: number of tokens.
+        """
+        a, b, f = prepared
+        scores = f @ self.weights.T
+        total = np.logaddexp.reduce(scores, axis=1)
+        ends, starts = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
+        for x, y, v in zip(a.tolist(), b.tolist(), total.tolist(), strict=True):
+            ends[y].append((x, v))
+            starts[x].append((y, v))
+        fwd, bwd = [0.0] * (n + 1), [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            fwd[j] = log_sum([fwd[j - 1], *(fwd[i] + v for i, v in ends[j])])
+        for i in range(n - 1, -1, -1):
+            bwd[i] = log_sum([bwd[i + 1], *(bwd[j] + v for j, v in starts[i])])
+        p = np.exp(scores + (np.array(fwd)[a] + np.array(bwd)[b] - fwd[n])[:, None])
+        grad = -(p.T @ f)
+        for i, k in gold:
+            grad[k] += f[i]
         return grad
 
 
+def log_sum(x: list[float]) -> float:
+    top = max(x)
+    return top if len(x) == 1 else top + math.log(sum(math.exp(v - top) for v in x))
+
+
 def tokens_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text)]
 
@@ -210,12 +272,21 @@ def _examples(n: int, seed: int):
         return rng.choice([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{num(2)} {num(3)} {num(3)} {num(3)}", f"{num(3)} {num(3)} {num(4)}"])
 
     def secret():
-        k = rng.choice([24, 32, 40, 64])
-        s = "".join(rng.choice("0123456789abcdef") for _ in range(k))
+        kind, mixed = rng.randrange(8), string.ascii_letters + string.digits
+        some = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+        if kind == 0:
+            return rng.choice(["AKIA", "ASIA"]) + some(string.ascii_uppercase + string.digits, 14) + num(2)
+        if kind == 1:
+            return rng.choice(["ghp_", "sk-", "sk_live_", "xoxb-"]) + num(1) + some(mixed, rng.choice([20, 24, 36]))
+        if kind == 2:  # a password: only its cue and marks give it away
+            return some(string.ascii_letters, 3) + some("!#%&*-_", rng.randrange(2)) + some(mixed, rng.randrange(3, 8)) + num(1) + some("!#%&*-_", rng.randrange(2)) + some(mixed, 1)
+        if kind == 3:
+            return num(1) + some(mixed, rng.choice([19, 24, 32, 40]))
+        s = some("0123456789abcdef", rng.choice([24, 32, 40, 64, 128]))
         return s if digits_of(s) and s.strip("0123456789") else "a1" + s
 
     make = {
-        0: lambda: rng.choice([f"{word()}.{num(2)}@{word()}{num(1)}.example.com", f"{word()}@{word()}.org", f"{word()} at {word()} dot com", f"{word()}@{word()}.co.uk"]),
+        0: lambda: rng.choice([f"{word()}.{num(2)}@{word()}{num(1)}.example.com", f"{word()}@{word()}.org", f"{word()} at {word()} dot {rng.choice(['com', 'org', 'net'])}", f"{word()} (at) {word()} (dot) com", f"{word()}@{word()}.co.uk"]),
         1: lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
         2: card,
         3: phone,
@@ -225,7 +296,7 @@ def _examples(n: int, seed: int):
         lambda: num(rng.randrange(1, 7)), lambda: f"{num(1)}.{num(1)}", lambda: f"{num(2)},{num(3)}", lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: f"{num(2)}%", lambda: f"{num(1)}.{num(2)}.{num(1)}",
         lambda: f"v{num(1)}", lambda: f"{num(3)} {word()} {num(2)}", lambda: f"{word()}{num(2)}", lambda: f"{num(4)}/{num(2)}", lambda: f"@{word()}", lambda: num(rng.choice([8, 12, 20, 22])), lambda: f"999.{num(3)}.300.{num(2)}", lambda: f"{word()} at {word()} the dot", lambda: f"{num(1)} - {num(2)} - {num(3)}",
     ]
-    cues = {0: ["email", "mail"], 1: ["ip", "server"], 2: ["card", "visa"], 3: ["phone", "call", "tel"], 4: ["token =", "key:"]}
+    cues = {0: ["email", "mail"], 1: ["ip", "server"], 2: ["card", "visa"], 3: ["phone", "call", "tel"], 4: ["token =", "key:", "password:", "secret =", "passwd ="]}
     for _ in range(n):
         text, gold = word(), []
         for _ in range(rng.randrange(1, 4)):
@@ -234,9 +305,9 @@ def _examples(n: int, seed: int):
                 text += rng.choice(other)()
             else:
                 k = rng.choice([0, 1, 2, 3, 4])
-                if rng.random() < 0.3:
-                    text += rng.choice(cues[k]) + " "
                 s = make[k]()
+                if rng.random() < (0.3 if k < 4 or len(s) > 18 else 1.0):
+                    text += rng.choice(cues[k]) + " "
                 mark = '"' if k == 4 and rng.random() < 0.7 else ""
                 gold.append((len(text) + len(mark), len(text) + len(mark) + len(s), k))
                 text += mark + s + mark
@@ -244,13 +315,15 @@ def _examples(n: int, seed: int):
         yield text + word(), gold
 
 
-def train(examples: int = 500, passes: int = 6, rate: float = 0.15, decay: float = 1e-4, seed: int = 23) -> Field:
+def train(examples: int = 900, passes: int = 6, rate: float = 0.15, decay: float = 1e-4, seed: int = 23) -> Field:
     field, rng, data = Field(np.zeros((len(TYPES), N))), np.random.default_rng(seed), []
     field.weights[:, 0] = -2
     for text, gold in _examples(examples, seed):
         toks = tokens_of(text)
         starts, ends = {s: i for i, (s, _) in enumerate(toks)}, {e: i + 1 for i, (_, e) in enumerate(toks)}
-        data.append((text, toks, {(starts[s], ends[e], k) for s, e, k in gold if s in starts and e in ends}))
+        a, b, _, f = field.lattice(text, toks, marked(text, toks))
+        place = {x: i for i, x in enumerate(zip(a.tolist(), b.tolist(), strict=True))}
+        data.append(((a, b, f), [(place[x], k) for s, e, k in gold if (x := (starts.get(s), ends.get(e))) in place], len(toks)))
     seen = np.full_like(field.weights, 1e-6)
     for _ in range(passes):
         for i in rng.permutation(len(data)):
@@ -262,43 +335,64 @@ def train(examples: int = 500, passes: int = 6, rate: float = 0.15, decay: float
 
 #: Tokens decoded at once.
 PIECE = 400
-_AT = re.compile(" at ", re.I)
-_OBSCURED = re.compile(r"[^\W_]+ at [^\W_]+ dot [^\W_]+", re.I)
-_NUMBER = re.compile(r"[^\s]*[0-9@][^\s]*")
+_DIGITS = re.compile(r"[0-9@]+")
+_AT, _DOT = re.compile(r"\bat\b", re.I), re.compile(r"\bdot\b", re.I)
+_SECRET = re.compile(r"\b(?:password|passwd|pwd|passcode|secret|token|key)[\"']?\s{0,3}(?:[:=]|\bis\b)\s{0,3}[\"']?", re.I)
+
+
+def marked(text: str, toks: list[tuple[int, int]]) -> np.ndarray:
+    """Tokens that may make a segment: with a digit or at-sign, ``at`` with a ``dot`` soon after it, and what a secret's cue is followed by."""
+    out, starts = np.zeros(len(toks), bool), np.array([s for s, _ in toks], np.int64)
+    at = np.array([(m.start(), m.end() - 1) for m in _DIGITS.finditer(text)], np.int64).reshape(-1, 2)
+    out[np.searchsorted(starts, at.ravel(), "right") - 1] = True
+    if _AT.search(text) and _DOT.search(text):
+        ats, dots = (np.searchsorted(starts, [m.start() for m in x.finditer(text)], "right") - 1 for x in (_AT, _DOT))
+        k = np.searchsorted(dots, ats + 2)
+        for a, d in zip(ats[k < len(dots)].tolist(), dots[k[k < len(dots)]].tolist(), strict=True):
+            out[[a, d]] |= d - a <= MOST - 3
+    out[secret_places(text, starts)] = True
+    return out
+
 
+def secret_places(text: str, starts: np.ndarray) -> list[int]:
+    """Tokens, given by where they start, that stand right behind a secret's cue."""
+    ends = [m.end() for m in _SECRET.finditer(text, int(starts[0]), int(starts[-1]) + 1)] if len(starts) else []
+    at = np.searchsorted(starts, ends)
+    return [int(k) for k, e in zip(at, ends, strict=True) if k < len(starts) and starts[k] == e]
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Where the field looks: white-space words with a digit or at-sign, up to three words before and one after, joined if they meet."""
-    hits = [m.span() for m in _NUMBER.finditer(text)]
-    if _AT.search(text):
-        hits = sorted(hits + [m.span() for m in _OBSCURED.finditer(text)])
+
+def stretches(marks: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of tokens where the field looks: all candidate segments of a marked token and the cues before them, joined if they meet."""
     out: list[tuple[int, int]] = []
-    for s, e in hits:
-        for _ in range(3):
-            s = max(text.rfind(" ", 0, max(0, s - 1)) + 1, s - 40, 0)
-        e = min(len(text), e + 12)
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
+    for i in np.flatnonzero(marks).tolist():
+        a, b = max(0, i - MOST - 4), min(len(marks), i + MOST)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
         else:
-            out.append((s, e))
+            out.append((a, b))
     return out
 
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the field's segments, each stretch decoded as a whole."""
-    out = []
-    for s, e in stretches(text):
-        toks = [(x + s, y + s) for x, y in tokens_of(text[s:e])]
-        out += [(toks[a][0], toks[b - 1][1], TYPES[k]) for a, b, k in field.best(text, toks)]
+    """(start, end, type) of the field's segments, each stretch decoded as a whole; linear in the text."""
+    out, toks = [], tokens_of(text)
+    marks = marked(text, toks)
+    for lo, hi in stretches(marks):
+        near = toks[lo:hi]
+        out += [(near[a][0], near[b - 1][1], TYPES[k]) for a, b, k in field.best(text, near, marks[lo:hi])]
     return out
 
 
+def to_be_looked_at(text: str) -> bool:
+    return bool(_ANY.search(text) or _SECRET.search(text) or (_AT.search(text) and _DOT.search(text)))
+
+
 def all_spans(text: str | None, field: Field):
     """(base spans, all spans); added ones overlap no base span."""
     if not text:
         return [], []
     base = base_spans(text)
-    added = [] if not _ANY.search(text) and not _AT.search(text) else field_spans(text, field)
+    added = field_spans(text, field) if to_be_looked_at(text) else []
     merged, order = list(base), {k: i for i, k in enumerate(TYPES)}
     taken = sorted((s, e) for s, e, _ in base)
     reach = np.maximum.accumulate([e for _, e in taken]) if taken else np.zeros(0)
@@ -313,13 +407,14 @@ def found(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", t
     """(doc_id, base, spans) of every row: arrays of (kind, start, end) in code points, end exclusive.
 
     Null and empty texts have no spans. Rows are searched one by one, so repeated rows and null doc_ids are of no concern.
+    Of base and added spans with one start the order is that of ``TYPES``. An empty table gives no rows.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(field or train())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         rows = lambda spans: [{"kind": k, "start": s, "end": e} for s, e, k in spans]
-        for batch in batches:
+        for batch in bounded(batches, 1):
             both = [all_spans(t, shipped.value) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rows(b) for b, _ in both], kind), pa.array([rows(a) for _, a in both], kind)], ["doc_id", "base", "spans"])
 
@@ -329,7 +424,11 @@ def found(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", t
 
 
 def redacted(docs: DataFrame, field: Field | None = None, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with each span of the text replaced by its kind in brackets."""
+    """The rows of ``docs``, all columns, with each span of the text replaced by its kind in brackets.
+
+    Of spans that overlap the first stands for the others' beginning, what goes on behind it goes too. Null and empty texts
+    stay as they are; repeated rows are changed alike; an empty table stays empty. Other columns don't matter.
+    """
     at, shipped = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(field or train())
 
     def clean(t):
@@ -341,17 +440,18 @@ def redacted(docs: DataFrame, field: Field | None = None, text: str = "text") ->
         return t and "".join(out) + t[last:]
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, at):
             yield batch.set_column(at, batch.schema.field(at), pa.array([clean(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document: base counts and their digest; what the field adds in ``n_secret`` (secrets), ``n_added`` (of any kind) and in ``n_spans`` (base and added)."""
     rows = found(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
-    counts = [of(k) for k in KINDS]
+    of = lambda k, c="base": F.size(F.filter(c, lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    counts = [*(of(k) for k in KINDS), of("secret", "spans"), (F.size("spans") - F.size("base")).cast("bigint").alias("n_added"), F.size("spans").cast("bigint").alias("n_spans")]
     return rows.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 

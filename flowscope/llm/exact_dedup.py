@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +38,13 @@ class DigestIndex:
             )
 
     def read(self) -> DataFrame:
-        try:
-            self.spark.catalog.refreshTable(self.table)
-        except AnalysisException:  # nothing has been written to its folder yet
+        """(digest, keep_id, batch) of all that was appended; an index that can't be read is an error, not an empty one."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p) or not any(s.getPath().getName().startswith("part-") for s in fs.listStatus(p)):
             return self.spark.createDataFrame([], self.SCHEMA)
+        self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
 
     def append(self, fresh: DataFrame) -> None:
@@ -70,11 +72,15 @@ class DigestIndex:
 
 
 def deduplicated(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns: of equal texts in A-Z's lower case the row with the largest doc_id.
+
+    A null text counts as empty; a null doc_id is the smallest; of rows that repeat one stays; an empty table stays empty.
+    """
     return kept_rows(docs, index.ingest(docs, batch))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the first batch of a new index."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = DigestIndex(spark, new_path(spark, "digest-index")).ingest(docs, "all")
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm.common import join_counted, written
+from flowscope.llm.common import bounded, join_counted, pieces, written
 
 BUCKETS = 1 << 14
-#: Languages with the most rows that are told apart; others have no model.
-MOST_LANGUAGES = 100
+#: More languages are refused: a model takes 64 kB for each. Name the ones to tell apart then.
+MOST_LANGUAGES = 1000
 #: Trigrams overlap and repeat: n of them count as n / (1 + n / EFFECTIVE).
 EFFECTIVE = 40.0
 #: Weight of the domain's distribution in a host's, and of the whole table's in a domain's, in rows.
@@ -29,13 +29,43 @@ SMOOTH = 5.0
 #: Rows of evidence below which a declaration or suffix says little.
 PSEUDO = 20.0
 
-_TAGS = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 _ENTITY = re.compile(rb"&[#\w]+;")
+_OPEN = re.compile(rb"(script|style)\b", re.I)
+_CLOSE = {k: re.compile(rb"</" + k + rb"\s*>", re.I) for k in (b"script", b"style")}
+
+
+def without_tags(html: bytes) -> bytes:
+    """No comments, scripts, styles and tags; what isn't closed: a script is its tag only, a tag is text. Linear: no end is looked for twice."""
+    out, at, missing = [], 0, set()
+
+    def end_of(kind, find) -> int:
+        if kind in missing:
+            return -1
+        end = find()
+        if end < 0:
+            missing.add(kind)
+        return end
+
+    start = html.find(b"<")
+    while start >= 0:
+        end = -1
+        if html.startswith(b"<!--", start):
+            end = end_of("comment", lambda s=start: html.find(b"-->", s + 4) + 3 if html.find(b"-->", s + 4) >= 0 else -1)
+        elif m := _OPEN.match(html, start + 1):
+            name = m.group(1).lower()
+            end = end_of(name, lambda s=m.end(), name=name: x.end() if (x := _CLOSE[name].search(html, s)) else -1)
+        if end < 0:
+            end = end_of("tag", lambda s=start: html.find(b">", s) + 1 or -1)
+        if end < 0:
+            break
+        out.append(html[at:start])
+        at, start = end, html.find(b"<", end)
+    return b" ".join([*out, html[at:]])
 
 
 def plain(html: bytes) -> bytes:
     """Text of a page: no comments, scripts, styles, tags or entities."""
-    return _ENTITY.sub(b" ", _TAGS.sub(b" ", html))
+    return _ENTITY.sub(b" ", without_tags(html))
 
 
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,17 +86,6 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def pieces(texts: list[bytes], most: int = 1_000_000):
-    """Slices of a batch whose texts have about ``most`` bytes together, so that work space does not grow with the batch."""
-    a, size = 0, 0
-    for b, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield slice(a, b)
-            a, size = b, 0
-        size += len(t)
-    yield slice(a, len(texts))
-
-
 class TextModel:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
@@ -75,7 +94,7 @@ class TextModel:
 
     def likelihoods(self, texts: list[bytes]) -> np.ndarray:
         """log-likelihood of each text in each language, discounted; zeros for an empty one."""
-        return np.concatenate([self._likelihoods(texts[p]) for p in pieces(texts)])
+        return np.concatenate([np.zeros((0, len(self.languages))), *(self._likelihoods(texts[p]) for p in pieces(list(map(len, texts))))])
 
     def _likelihoods(self, texts: list[bytes]) -> np.ndarray:
         h, starts = buckets(texts)
@@ -88,27 +107,35 @@ class TextModel:
         return out / (1 + n / EFFECTIVE)[:, None]
 
 
-def fit_text(docs: DataFrame, per_language: int = 2000) -> TextModel:
-    """From the ``lang`` of documents; rows without a language or text don't count. No rows: a model of no language."""
+def fit_text(docs: DataFrame, per_language: int = 2000, languages: list[str] | None = None) -> TextModel:
+    """From the ``lang`` of documents, about ``per_language`` rows of each, drawn by a hash of doc_id.
+
+    All languages that occur, or those named. Rows without a language or text don't count; rows with a null doc_id share
+    one draw; repeated rows count as often as they are drawn. No rows: a model of no language.
+    """
+    if languages is not None:
+        docs = docs.filter(F.col("lang").isin(languages))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").filter("lang is not null and lang <> '' and length(text) > 0")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: name those to tell apart")
     languages = sorted(r["lang"] for r in sizes)
     share = {r["lang"]: min(1.0, per_language / r["count"]) for r in sizes}
     if not languages:
         return TextModel([], np.zeros((0, BUCKETS)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    place = {x: i for i, x in enumerate(languages)}
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in share.items()], F.lit(0.0))
 
     def run(batches):
-        for batch in batches:
-            lang = np.array([languages.index(x) for x in batch.column(0).to_pylist()], np.int64)
-            texts, total = batch.column(1).cast(pa.binary()).to_pylist(), np.zeros(len(languages) * BUCKETS, np.int64)
-            for p in pieces(texts):
-                h, starts = buckets(texts[p])
-                total += np.bincount((np.repeat(lang[p], np.diff(starts)) * BUCKETS + h)[h < BUCKETS], minlength=len(total))
-            keys = np.flatnonzero(total)
-            n = total[keys]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["k", "n"])
+        total = np.zeros(len(languages) * BUCKETS, np.int64)
+        for batch in bounded(batches, 1):
+            lang = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            h, starts = buckets(batch.column(1).cast(pa.binary()).to_pylist())
+            keys, n = np.unique((np.repeat(lang, np.diff(starts)) * BUCKETS + h)[h < BUCKETS], return_counts=True)
+            total[keys] += n
+        keys = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys])], ["k", "n"])
 
     got = rows.filter(draw < limit).select("lang", "text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(languages) * BUCKETS)
@@ -122,7 +149,7 @@ def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     keep = ["doc_id", "page_id", "host", "domain", "suffix", "declared"]
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 7, 4 << 20):
             marked = batch.column(6).to_pylist()
             texts = [plain(t.as_py() or b"") if m else t.as_py() or b"" for m, t in zip(marked, batch.column(7).cast(pa.binary()), strict=True)]
             ll = shipped.value.likelihoods(texts)
@@ -212,5 +239,6 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page and document."""
     docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
     return identified(page_rows(pages).unionByName(document_rows(docs)), fit_text(docs))

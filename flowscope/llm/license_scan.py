@@ -15,23 +15,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowscope.llm.common import bounded
 from flowscope.llm.decontaminate import Words, batch_words
 
-#: Texts of public licences and their usual notices (fixed values).
+#: Texts of public licences and their usual notices (fixed values). Longer ones, such as the whole GPL, come from ``load_templates``.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "All-rights-reserved": "All rights reserved.",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to https://unlicense.org""",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
+    "LGPL-3.0-header": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public License along with this library. If not, see https://www.gnu.org/licenses/.""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
 
 
+def load_templates(spark: SparkSession, path: str, most: int = 4_000_000) -> dict[str, str]:
+    """Whole licence texts from the files of a folder, by file name; more than ``most`` characters in all are refused, as they are broadcast."""
+    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.txt)?$", 1).alias("name"), "value")
+    size = files.agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).head()[0]
+    if size > most:
+        raise ValueError(f"{size} characters of templates; {most} at most")
+    return {r["name"]: r["value"] for r in files.collect()}
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs that increases in both places; the pairs come sorted by the first."""
     tops, at, back = [], [], []
@@ -47,10 +110,22 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common(a: list, b: list) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence."""
-    n = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+def reach(a: list, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequence of a with each beginning of b."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == np.uint64(x))))
+    return row
+
+
+def common(a: list, b: list, cells: int = 4_000_000) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; a table of more than ``cells`` is halved first, so memory is bounded."""
     other = np.array(b, np.uint64)
+    if len(a) > 1 and len(a) * len(b) > cells:
+        half = len(a) // 2
+        cut = int(np.argmax(reach(a[:half], other) + reach(a[half:][::-1], other[::-1])[::-1]))
+        return common(a[:half], b[:cut], cells) + [(i + half, j + cut) for i, j in common(a[half:], b[cut:], cells)]
+    n = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     for i in range(len(a) - 1, -1, -1):
         step = np.maximum(n[i + 1, :-1], n[i + 1, 1:] + (other == np.uint64(a[i])))
         n[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
@@ -123,21 +198,33 @@ class Scanner:
         reach = np.zeros((len(bounds), len(self.words)), np.int32)
         np.add.at(reach, seen // len(self.vocabulary), self.has[seen % len(self.vocabulary)])
         for d, t in zip(*np.nonzero(reach >= np.array(self.least)), strict=True):
-            mine = (doc == d) & (self.has[word, t] > 0)
-            out += [(int(d), int(t), *x) for x in self._windows(words, int(bounds[d]), at[mine], int(t))]
+            lo, hi = np.searchsorted(doc, [d, d + 1])
+            mine = at[lo:hi][self.has[word[lo:hi], t] > 0]
+            out += [(int(d), int(t), *x) for x in self._windows(words, int(bounds[d]), mine, int(t))]
         return out
 
     def _windows(self, words, base, at, t):
-        """Aligned windows of one and a half template lengths; of those that overlap the one that covers most, then the shortest."""
+        """Aligned windows of one and a half template lengths; of those that overlap the one that covers most, then the shortest.
+
+        A window that begins m of the template's words later covers m more of them at most: so many are passed over if
+        that can't reach what is needed, or what an overlapping window has.
+        """
         w, least = self.words[t], self.least[t]
-        width = len(w) + len(w) // 2 + 1
-        count = np.searchsorted(at, at + width) - np.arange(len(at))
-        found = []
-        for k in np.flatnonzero(count >= least).tolist():
-            lo, hi = int(at[k]), int(at[k + count[k] - 1]) + 1
-            pairs = patience(w.tolist(), words[lo:hi].tolist())
-            if len(pairs) >= least:
-                found.append((-len(pairs), pairs[-1][1] - pairs[0][1] + 1, lo + pairs[0][1]))
+        width, k = len(w) + len(w) // 2 + 1, 0
+        able = np.flatnonzero(np.searchsorted(at, at + width) - np.arange(len(at)) >= least)
+        found, best, best_end, template = [], 0, -1, w.tolist()
+        while (i := int(np.searchsorted(able, k))) < len(able):
+            k = int(able[i])
+            lo = int(at[k])
+            hi = int(at[int(np.searchsorted(at, lo + width)) - 1]) + 1
+            pairs = patience(template, words[lo:hi].tolist())
+            n, end = len(pairs), lo + pairs[-1][1] + 1 if pairs else lo
+            best = best if lo < best_end else 0
+            if n >= least:
+                found.append((-n, end - lo - pairs[0][1], lo + pairs[0][1]))
+                if n >= best:
+                    best, best_end = n, end
+            k = max(k + 1, int(np.searchsorted(at, end))) if n == len(w) else k + max(1, max(least, best) - n)
         taken = []
         for n, length, s in sorted(set(found)):
             if not any(s < y and x < s + length for x, y in taken):
@@ -148,13 +235,15 @@ class Scanner:
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, coverage, start, end) of each place in a whole text that covers a template; start and end count words.
 
-    Null and empty texts have none. Rows are scanned one by one: repeated rows and null doc_ids give rows of their own.
+    Null, empty and blank texts have none. Rows are scanned one by one: repeated rows and null doc_ids give rows of their own.
+    Of places of one template that overlap the one that covers most is reported, then the shortest, then the first; places
+    of different templates may overlap. No documents or no templates: no rows. Other columns don't matter.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, coverage))
 
     def run(batches):
         scanner, memo = shipped.value, Words()
-        for batch in batches:
+        for batch in bounded(batches, 1):
             words, bounds = batch_words(batch.column(1), memo)
             ids = batch.column(0).to_pylist()
             rows = [(ids[d], scanner.names[t], n / len(scanner.words[t]), s, e) for d, t, n, s, e in scanner.scan(words, bounds)]
@@ -166,4 +255,5 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence texts and notices of ``TEMPLATES`` in every document."""
     return licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm.common import new_path, remove
+from flowscope.llm.common import bounded, new_path, remove
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("docs", "tokens", "chars")
@@ -24,54 +24,82 @@ PART = "source string, lang string, tokenizer string, docs bigint, tokens bigint
 
 
 class Counter:
-    """Token counts by a byte-level BPE whose ranks are read from a file on each worker, pre-tokens remembered."""
+    """Token counts by a byte-level BPE, given its ranks file's lines; short pre-tokens are remembered, in a bounded number."""
 
-    def __init__(self, path: str, pattern: str, most: int = 300_000):
+    def __init__(self, ranks: bytes, pattern: str, most: int = 100_000):
         import regex
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(pattern).finditer
         self.known, self.most = {}, most
 
     def count(self, text: str | None) -> int:
         n, known = 0, self.known
-        for piece in self.split(text or ""):
+        for m in self.split(text or ""):
+            piece = m.group()
             k = known.get(piece)
             if k is None:
                 k = len(self.encode(piece))
-                if len(known) >= self.most:
-                    known.clear()
-                known[piece] = k
+                if len(piece) <= 64:
+                    if len(known) >= self.most:
+                        known.clear()
+                    known[piece] = k
             n += k
         return n
 
 
+def ranks_of(spark: SparkSession, path: str, most: int = 32_000_000) -> bytes:
+    """The bytes of a vocabulary file, which all workers get; a larger one than ``most`` is refused."""
+    row = spark.read.format("binaryFile").load(path).select("length", "content").head()
+    if row["length"] > most:
+        raise ValueError(f"{path}: {row['length']} bytes, {most} at most")
+    return bytes(row["content"])
+
+
 def token_counts(docs: DataFrame, path: str, pattern: str, version: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, source, lang, tokenizer, tokens, chars) of every row; a null text counts as empty, null source or lang stay null."""
+    """(doc_id, source, lang, words, tokens, chars, tokenizer) of every row.
+
+    A null text counts as empty: no words, tokens or characters. Null source or lang stay null and are values of their
+    own. Repeated rows are counted each; null doc_ids are of no concern; an empty table gives no rows.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(ranks_of(docs.sparkSession, path))
 
     def run(batches):
-        counter = Counter(path, pattern)
-        for batch in batches:
+        counter = Counter(shipped.value, pattern)
+        for batch in bounded(batches, 3):
             counts = [counter.count(t) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(counts, pa.int64()), batch.column(4)], ["doc_id", "source", "lang", "tokens", "chars"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), batch.column(4), pa.array(counts, pa.int64()), batch.column(5)], ["doc_id", "source", "lang", "words", "tokens", "chars"])
 
-    cols = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text).alias("text"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("chars"))
-    out = cols.mapInArrow(run, "doc_id long, source string, lang string, tokens long, chars long")
+    value = F.coalesce(F.col(text), F.lit(""))
+    cols = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text).alias("text"), F.regexp_count(value, F.lit(r"\S+")).cast("bigint").alias("words"), F.length(value).cast("bigint").alias("chars"))
+    out = cols.mapInArrow(run, "doc_id long, source string, lang string, words long, tokens long, chars long")
     return out.withColumn("tokenizer", F.lit(version))
 
 
 def changes(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
-    """Signed rows that lead from the counts ``before`` to those ``after``; None: nothing there."""
+    """Signed rows that lead from the counts ``before`` to those ``after``; None: nothing there.
+
+    Null counts add nothing; a row that is in both cancels out; repeated rows count each.
+    """
     cols = lambda df, sign: df.select(*KEYS, F.lit(sign).cast("bigint").alias("docs"), (F.col("tokens") * sign).alias("tokens"), (F.col("chars") * sign).alias("chars"))
     parts = [cols(df, sign) for df, sign in ((before, -1), (after, 1)) if df is not None]
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 
 
+def revisions(counts: DataFrame, was: str, now: str) -> DataFrame:
+    """Signed rows that replace each row's count ``was`` by ``now``, from one pass over ``counts``."""
+    both = F.array(F.struct(F.lit(-1).cast("bigint").alias("docs"), (-F.col(was)).alias("tokens"), (-F.col("chars")).alias("chars")), F.struct(F.lit(1).cast("bigint").alias("docs"), F.col(now).alias("tokens"), F.col("chars").alias("chars")))
+    return counts.select(*KEYS, F.inline(both))
+
+
+#: A part with this empty file counts; Spark's readers pass over it.
+COMMITTED = "_COMMITTED"
+
+
 class TokenRollup:
-    """Totals in the folder ``path``: one folder of Parquet a committed batch."""
+    """Totals in the folder ``path``: one folder of Parquet a batch, committed by an empty file of our own once it is whole."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -90,7 +118,7 @@ class TokenRollup:
         if not fs.exists(p):
             return []
         names = [f"{self.path}/{n}" for s in fs.listStatus(p) if not (n := s.getPath().getName()).endswith("-names")]
-        done = {n for n in names if (at := self._fs(f"{n}/_SUCCESS"))[0].exists(at[1])}
+        done = {n for n in names if (at := self._fs(f"{n}/{COMMITTED}"))[0].exists(at[1])}
         gone = {x for n in done if "/folded-" in n for x in self._folded(n)}
         return sorted(done - {f"{self.path}/{x}" for x in gone})
 
@@ -100,13 +128,18 @@ class TokenRollup:
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Adds signed rows (source, lang, tokenizer, docs, tokens, chars); False if the batch was committed before."""
         part = self._part(batch)
-        fs, done = self._fs(f"{part}/_SUCCESS")
+        fs, done = self._fs(f"{part}/{COMMITTED}")
         if fs.exists(done) or self._taken(batch):
             return False
         sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in SUMS]
         deltas.groupBy(*KEYS).agg(*sums).write.mode("overwrite").parquet(part)
+        self._seal(part)
         return True
 
+    def _seal(self, part: str) -> None:
+        fs, done = self._fs(f"{part}/{COMMITTED}")
+        fs.create(done, True).close()
+
     def _taken(self, batch: str) -> bool:
         name = self._part(batch).rsplit("/", 1)[1]
         return any(name in self._folded(p) for p in self.parts() if "/folded-" in p)
@@ -125,6 +158,7 @@ class TokenRollup:
         to = f"{self.path}/folded-{hashlib.sha256(json.dumps(names).encode()).hexdigest()[:24]}"
         self.spark.createDataFrame([(json.dumps(names),)], "names string").coalesce(1).write.mode("overwrite").parquet(f"{to}-names")
         self.totals().write.mode("overwrite").parquet(to)
+        self._seal(to)
         for p in parts:
             remove(self.spark, p)
 
@@ -140,7 +174,7 @@ def op2(spark: SparkSession, sf_dir: str, tokenizer: str = "/opt/tokenizers/byte
     rough = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(version).alias("tokenizer"), F.regexp_count(text, F.lit(r"\S+")).cast("bigint").alias("tokens"), F.length(text).cast("bigint").alias("chars"))
     store.commit("provisional", changes(None, rough))
     store.commit("provisional", changes(None, rough))
-    store.commit("counted", changes(rough, token_counts(docs, tokenizer, PATTERN, version)))
+    store.commit("counted", revisions(token_counts(docs, tokenizer, PATTERN, version), "words", "tokens"))
     return store.totals()
 
 

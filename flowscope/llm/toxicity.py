@@ -1,11 +1,12 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-A token's score is the log-odds of its rates in toxic and other training texts under a Dirichlet prior; a word's prior is
-centred on its five-letter prefix's, whose own prior is even. A drift makes ordinary text score below zero, so the linear
+A token's score is the log-odds of its rates in toxic and other training texts, each class's rates being the posterior mean
+under a Dirichlet prior over the vocabulary. The prior of prefixes (five letters) is even between the classes; a word's
+pseudo-counts lean to the class that its prefix leans to. A drift makes ordinary text score below zero, so the linear
 Ruzzo-Tompa scan yields every maximal segment. The best segment's score is calibrated by its extreme-value law
 (Karlin-Altschul: E = K * length * exp(-lambda * score)), and a logistic curve over it gives a probability.
 
-The fit reads ``train_rows`` labelled rows at most (half of them per class), chosen by a hash of the doc_id, and keeps
+The fit reads a bounded sample, ``train_rows`` labelled rows at most (half of them per class), chosen by a hash of the doc_id, and keeps
 ``vocabulary`` tokens at most, so what is broadcast has a fixed bound. Scoring reads every row and whole text.
 """
 
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm.common import written
+from flowscope.llm.common import bounded, written
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIX, STRENGTH, DRIFT = 5, 2.0, 0.5
+#: Token scores are counted in steps of 1/STEPS.
+STEPS = 1024
 #: A passage is reported if so many are expected by chance in a text of its length.
 PASSAGE_E = 0.01
 
@@ -78,36 +81,63 @@ class Weights(dict):
         return w
 
 
+def posterior(y: np.ndarray, n: float, alpha: np.ndarray) -> np.ndarray:
+    """Mean rates of tokens with counts y of n in all, under a Dirichlet prior with pseudo-counts alpha."""
+    return (y + alpha) / (n + alpha.sum())
+
+
 def fit_weights(table: list[tuple[str, float, float]], n1: float, n0: float) -> dict[str, float]:
-    """token -> score, from its counts in toxic and other texts that have n1 and n0 tokens; prefixes end in ``*``."""
-    scale = (n1 + n0) / 2
+    """token -> score, from its counts in toxic and other texts that have n1 and n0 tokens; prefixes end in ``*``.
+
+    A class's pseudo-counts are in proportion to its tokens, so that what was never seen scores no more than the drift.
+    """
+    part1, part0 = 2 * n1 / max(n1 + n0, 1), 2 * n0 / max(n1 + n0, 1)
 
-    def share(y1, y0, centre):
-        a, b = y1 / max(n1, 1) * scale, y0 / max(n0, 1) * scale
-        weight = (y1 + y0) / max(a + b, 1e-9)  # as many observations as were made, at balanced rates
-        return (a * weight + STRENGTH * centre) / ((a + b) * weight + STRENGTH)
+    def odds(rows, lean):
+        y1, y0 = (np.array([r[k] for r in rows], float) for k in (1, 2))
+        return np.log(posterior(y1, n1, 2 * STRENGTH * part1 * lean)) - np.log(posterior(y0, n0, 2 * STRENGTH * part0 * (1 - lean)))
 
-    odds = lambda q: math.log(q / (1 - q)) - DRIFT
-    prefix = {t: share(y1, y0, 0.5) for t, y1, y0 in table if t.endswith("*")}
-    out = {t: odds(q) for t, q in prefix.items()}
-    out |= {t: odds(share(y1, y0, prefix.get(t[:PREFIX] + "*", 0.5))) for t, y1, y0 in table if not t.endswith("*")}
-    return out
+    prefixes, words = [r for r in table if r[0].endswith("*")], [r for r in table if not r[0].endswith("*")]
+    score = dict(zip((r[0] for r in prefixes), odds(prefixes, np.full(len(prefixes), 0.5)).tolist(), strict=True))
+    lean = 1 / (1 + np.exp(-np.array([score.get(t[:PREFIX] + "*", 0.0) for t, _, _ in words])))
+    score |= dict(zip((r[0] for r in words), odds(words, lean).tolist(), strict=True))
+    return {t: x - DRIFT for t, x in score.items()}
 
 
 def scores_of(words: list[str], weights: Weights) -> np.ndarray:
     return np.fromiter(map(weights.__getitem__, words), np.float64, len(words))
 
 
-def extreme_value(scores: list[np.ndarray]) -> tuple[float, float]:
-    """lambda and ln K from ordinary texts: E[exp(lambda s)] = 1, and Gumbel's mean of the best segments."""
-    flat = np.concatenate([*scores, [-DRIFT, DRIFT / 2]])
+def root_of(score: np.ndarray, n: np.ndarray) -> float:
+    """lambda with E[exp(lambda s)] = 1 over tokens of ordinary texts: scores and how often each occurs."""
+    score, n = np.append(score, [-DRIFT, DRIFT / 2]), np.append(n, [1.0, 1.0])
     lo, hi = 1e-3, 20.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if np.mean(np.exp(np.minimum(mid * flat, 500))) < 1 else (lo, mid)
-    lam = min(max(lo, 0.05), 5.0)
-    best = [lam * max((s for _, _, s in ruzzo_tompa(x)), default=0.0) - math.log(len(x)) for x in scores if len(x)]
-    return lam, (float(np.mean(best)) if best else 0.0) - np.euler_gamma
+        lo, hi = (mid, hi) if np.average(np.exp(np.minimum(mid * score, 500)), weights=n) < 1 else (lo, mid)
+    return min(max(lo, 0.05), 5.0)
+
+
+def extreme_value(scored: DataFrame) -> tuple[float, float]:
+    """lambda and ln K from all ordinary training texts, by aggregates: the distribution of token scores, and Gumbel's mean of the best segments."""
+
+    def tally(batches):
+        for batch in bounded(batches, 0):
+            flat = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(x, np.float32) for x in batch.column(0).to_pylist())])
+            keys, n = np.unique(np.rint(flat.astype(float) * STEPS).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], ["k", "n"])
+
+    def best(batches):
+        for batch in bounded(batches, 0):
+            x = [np.frombuffer(b, np.float32).astype(float) for b in batch.column(0).to_pylist()]
+            x = [(max((s for _, _, s in ruzzo_tompa(f)), default=0.0), math.log(len(f))) for f in x if len(f)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in x], pa.float64()) for c in (0, 1)], ["best", "length"])
+
+    plain = scored.filter("y = 0").select("scores")
+    rows = plain.mapInArrow(tally, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()  # as many as there are steps between the extreme scores
+    lam = root_of(np.array([r.k / STEPS for r in rows]), np.array([float(r.n) for r in rows]))
+    mean = plain.mapInArrow(best, "best double, length double").agg(F.avg("best").alias("best"), F.avg("length").alias("length")).head()
+    return lam, (lam * mean.best - mean.length if mean.best is not None else 0.0) - np.euler_gamma
 
 
 def evidence(segments, n: int, lam: float, ln_k: float) -> tuple[float, float]:
@@ -137,7 +167,8 @@ def training_rows(labels: DataFrame, train_rows: int, holdout: int) -> DataFrame
 
 
 def held_out(holdout: int = 5):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % holdout == 0
+    """Rows that labels are never learned from; a null doc_id has no label and is none of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % holdout == 0, F.lit(False))
 
 
 class ToxicityModel:
@@ -163,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, vocabulary
     sample = written(sample.select("fold", "y", "text"), "train-texts")
 
     def count(batches):
-        for batch in batches:
+        for batch in bounded(batches, 2, 8 << 20):
             c = Counter()
             for fold, y, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 words = tokens(text)
@@ -194,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, vocabulary
 
     def features(batches):
         own = [Weights(w) for w in by_fold]
-        for batch in batches:
+        for batch in bounded(batches, 2):
             y, s = [], []
             for fold, label, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 y.append(label)
@@ -202,15 +233,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, vocabulary
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([x.tobytes() for x in s], pa.binary())], ["y", "scores"])
 
     scored = written(sample.mapInArrow(features, "y int, scores binary"), "train-scores")
-    plain = [np.frombuffer(r[0], np.float32).astype(float) for r in scored.filter("y = 0").select("scores").limit(2000).collect()]
-    lam, ln_k = extreme_value(plain)
+    lam, ln_k = extreme_value(scored)
 
     def gather(batches):
-        for batch in batches:
+        for batch in bounded(batches, 1):
             x = [(f := np.frombuffer(b, np.float32).astype(float), evidence(ruzzo_tompa(f), len(f), lam, ln_k))[1] for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], ["y", "best", "more"])
 
-    rows = np.array([tuple(r) for r in scored.mapInArrow(gather, "y int, best double, more double").collect()], float)
+    rows = np.array([tuple(r) for r in scored.mapInArrow(gather, "y int, best double, more double").orderBy("y", "best", "more").collect()], float)  # train_rows at most
     return ToxicityModel(of_folds([0, 1]), lam, ln_k, fit_logistic(rows[:, 1:], rows[:, 0]).tolist())
 
 
@@ -225,7 +255,7 @@ def scored(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text:
     def run(batches):
         m = shipped.value
         weights = Weights(m.weights)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             score, passages = [], []
             for text in batch.column(1).to_pylist():
                 p, found = m.judge(text, weights)
@@ -240,20 +270,25 @@ def scored(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text:
 
 
 def accepted(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below 0.5."""
+    """The rows of ``docs``, all columns, whose text scores below 0.5.
+
+    Null, empty and blank texts have no evidence against them and stay, unless the fit had toxic rows only; repeated rows
+    stay or go together; a score of exactly 0.5 goes; an empty table stays empty. Other columns don't matter.
+    """
     at = docs.columns.index(text)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shipped.value
         weights = Weights(m.weights)
-        for batch in batches:
+        for batch in bounded(batches, at):
             yield batch.filter(pa.array([m.judge(t, weights)[0] < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, learned from the labels that aren't held out; n_passages: its significant passages."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = scored(docs, fit(docs, labels))
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("bigint").alias("n_passages"))

@@ -25,6 +25,15 @@ def test_nested_rules_and_hot_hosts(spark):
     rules = list({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in [(rng.choice(["org", "a.org", "b.a.org", "com", "x.com"]), rng.choice(["", "/", "/a", "/a/", "/a/b", "/a/bc", "/ab", "/a/b/c"])) for _ in range(60)]}.values())
     urls = [(i, "http://" + rng.choice(["a.org", "A.org", "b.a.org", "z.b.a.org", "x.com", "y.x.com", "org", "aorg", "net", "org:80"]) + rng.choice(["", "/", "/a", "/a/b", "/a/bcd", "/a/b/c/d", "/ab?q=/a", "/b#/a", "?x", "/\U0001f600"])) for i in range(600)]
     pages = spark.createDataFrame(urls, "page_id long, url string")
+    for sweep in (100_000, 7):  # without and with salts
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judged(pages, spark.createDataFrame(rules, "host string, path string, action string"), sweep=sweep).collect()}
+        assert got == {i: brute(u, rules) for i, u in urls}
+
+
+def test_paths_that_go_on_with_the_last_characters(spark):
+    rules = [("a.org", "/x/", "block"), ("a.org", "/x/\u00ff", "allow"), ("org", "/x/\U0010ffff", "allow"), ("org", "x", "block"), ("org", "", "allow")]
+    urls = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in ("a.org", "b.org", "w.a.org") for p in ("/x/\U0010ffffz", "/x/\u00ff\u00ff", "/x", "/x/", "/y", "", "/x0", "/x\U0010ffff", "/x/\u0100"))]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judged(pages, spark.createDataFrame(rules, "host string, path string, action string")).collect()}
     assert got == {i: brute(u, rules) for i, u in urls}
 

@@ -87,25 +87,34 @@ def visits(steps: DataFrame) -> DataFrame:
 
 
 def with_cut(df: DataFrame) -> DataFrame:
-    """A level's rows cut from their lineage: reliable checkpoint where the session has a folder for it, else cached."""
-    spark = df.sparkSession
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    """A level's rows cut from their lineage: a reliable checkpoint in the session's folder for them.
 
-
-def distances(edges: DataFrame, start: str, at_most: int = 100) -> DataFrame:
+    The folder is the context's, or that named in spark.checkpoint.dir; on a single machine without either, cached only.
+    """
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not sc.getCheckpointDir() and folder:
+        sc.setCheckpointDir(folder)
+    if sc.getCheckpointDir():
+        return df.checkpoint()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return df.persist()
+
+
+def distances(edges: DataFrame, start: str) -> DataFrame:
     """(state, distance, path) of every state reached from ``start`` in fewest steps; of equal paths the least by its states.
 
-    A frontier a round: each joins the edges once and the states already reached once. The start is reached by itself.
+    A frontier a round, until none is left: each joins the edges once and the states already reached once. The start is
+    reached by itself.
     """
     e = with_cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    seen = edges.sparkSession.createDataFrame([(start, 0, [start])], "state string, distance int, path array<string>")
-    frontier = seen
-    for level in range(1, at_most + 1):
+    frontier = edges.sparkSession.createDataFrame([(start, 0, [start])], "state string, distance int, path array<string>")
+    seen, level = frontier, 0
+    while not frontier.isEmpty():
+        level += 1
         nxt = frontier.join(e, F.col("state") == F.col("src")).select(F.col("dst").alias("state"), F.lit(level).alias("distance"), F.concat("path", F.array("dst")).alias("path"))
-        nxt = nxt.groupBy("state", "distance").agg(F.min("path").alias("path")).join(seen.select("state"), "state", "left_anti")
-        frontier = with_cut(nxt)
-        if frontier.isEmpty():
-            break
+        frontier = with_cut(nxt.groupBy("state", "distance").agg(F.min("path").alias("path")).join(seen.select("state"), "state", "left_anti"))
         seen = seen.union(frontier)
     return seen
 

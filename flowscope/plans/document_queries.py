@@ -46,7 +46,7 @@ QUERIES = {
 }
 
 _E = f"WITH {v.EDGE_SQL}"
-_N = "CASE type_no " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(el.TYPES)) + " ELSE 'unknown' END"
+_N = "coalesce((['button','text','image','input','link','container','navigation','header','footer','sidebar','card','list','table','video','icon','logo','menu','form','textarea','select','checkbox','radio','unknown'])[type_no + 1], 'unknown')"
 ORACLE = {
     "formula_values": "SELECT l_orderkey, l_linenumber, least(greatest(l_extendedprice * (1 - l_discount) / l_quantity + -l_tax * 100, 0), 1500) AS value FROM lineitem",
     "dot_export": f"""{_E}, n AS (SELECT state, count(*) AS visits FROM v_step GROUP BY state), e AS (SELECT src, dst, count(*) AS c FROM v_edge GROUP BY 1, 2)

@@ -21,9 +21,14 @@ QUERIES = {
     "dominant_colors": lambda s, d: v.frames(s, d).select("frame_no", F.array_join(fr.dominant(), ",").alias("colors")),
     "frame_measures": lambda s, d: fr.region_measures(v.frame_pairs(s, d)).select(*_KEYS, F.round("similarity", 6).alias("similarity"), F.col("size").cast("bigint").alias("size"), "empty", F.round("average", 5).alias("average"), "style", "resized", "text", "animated"),
     "content_bounds": lambda s, d: fr.content_bounds(v.frames(s, d), 120).select("frame_no", *(F.col(c).cast("bigint").alias(c) for c in ("x", "y", "w", "h")), "alignment"),
-    "changed_regions": lambda s, d: fr.regions(v.frame_pairs(s, d)).select(*_KEYS, "n", "x", "y", "w", "h", F.round("intensity", 6).alias("intensity"), F.round("confidence", 6).alias("confidence")),
+    "changed_regions": lambda s, d: fr.regions(v.frame_pairs(s, d), kinds=False).select(*_KEYS, "n", "x", "y", "w", "h", F.round("intensity", 6).alias("intensity"), F.round("confidence", 6).alias("confidence")),
+    "color_pair_metrics": lambda s, d: _rounded(fr.metrics(v.color_pairs(s, d), planes=fr.RGB), _KEYS, ["mse", "psnr", "histogram_diff", "edge_diff", "color_diff"]),
+    "color_measures": lambda s, d: fr.region_measures(v.color_pairs(s, d), planes=fr.RGB).select(*_KEYS, F.round("similarity", 6).alias("similarity"), F.col("size").cast("bigint").alias("size"), F.round("average", 5).alias("average"), "style"),
+    "visual_similarity": lambda s, d: v.color_pairs(s, d).select(*_KEYS, F.round(fr.visual_similarity(), 6).alias("similarity")),
+    "visual_differences": lambda s, d: fr.visual_differences(v.color_pairs(s, d)),
+    "content_padding": lambda s, d: fr.content_bounds(v.frames(s, d), 120).select("frame_no", *(F.col(f"padding.{c}").cast("bigint").alias(c) for c in ("top", "right", "bottom", "left"))),
     "region_kinds": lambda s, d: fr.regions(v.frame_pairs(s, d), reach=4, step=1).select(*_KEYS, "region", "kind"),
-    "total_regions": lambda s, d: fr.regions(v.frame_pairs(s, d)).groupBy("session").agg(F.count("*").alias("n")),
+    "total_regions": lambda s, d: fr.regions(v.frame_pairs(s, d), kinds=False).groupBy("session").agg(F.count("*").alias("n")),
 }
 
 _P = f"WITH RECURSIVE {v.PAIR_SQL}"
@@ -34,27 +39,60 @@ def _sobel(px):
     at = lambda dy, dx: f"{px}[i + {dy * 8 + dx} + 1]"
     gx = f"({at(-1, 1)} + 2 * {at(0, 1)} + {at(1, 1)} - {at(-1, -1)} - 2 * {at(0, -1)} - {at(1, -1)})"
     gy = f"({at(1, -1)} + 2 * {at(1, 0)} + {at(1, 1)} - {at(-1, -1)} - 2 * {at(-1, 0)} - {at(-1, 1)})"
-    return f"list_transform(range(0, 64), lambda i: CASE WHEN i // 8 IN (0, 7) OR i % 8 IN (0, 7) THEN 0 ELSE least(255, CAST(floor(sqrt({gx} * {gx} + {gy} * {gy})) AS BIGINT)) END)"
+    return f"list_transform(range(0, 64), lambda i: CASE WHEN i // 8 IN (0, 7) OR i % 8 IN (0, 7) THEN 0 ELSE CAST(floor(sqrt({gx} * {gx} + {gy} * {gy})) AS BIGINT) % 256 END)"
 
 
 _FRAME = f"WITH {v.FRAME_SQL}"
 _IN = "list_filter(range(0, 64), lambda i: px[i + 1] < 120)"
 _XS, _YS = f"list_transform({_IN}, lambda i: i % 8)", f"list_transform({_IN}, lambda i: i // 8)"
-_TURN = "len(list_filter(range(1, 64), lambda i: i % 8 <> 0 AND ({0}[i + 1] > 128) <> ({0}[i] > 128))) / 64.0::DOUBLE"
+_TURN = "len(list_filter(range(0, 64), lambda i: ({0}[i + 1] > 128) <> (i % 8 <> 0 AND {0}[CASE WHEN i = 0 THEN 1 ELSE i END] > 128))) / 64.0::DOUBLE"
 _RADII = "list_transform(list_filter(range(0, 64), lambda i: abs(px[i + 1] - prev_px[i + 1]) > 25), lambda i: sqrt((i % 8 - 4) * (i % 8 - 4) + (i // 8 - 4) * (i // 8 - 4)))"
 _BIG = "len(list_filter({0}, lambda p: p > 10))"
+_C = f"WITH RECURSIVE {v.RGB_SQL}"
+_Z = "list_zip(r, g, b, prev_r, prev_g, prev_b)"
+_YIQ = [(0.29889531, 0.58662247, 0.11448223, 0.5053), (0.59597799, -0.2741761, -0.32180189, 0.299), (0.21147017, -0.52261711, 0.31114694, 0.1957)]
+_FAR = " + ".join(f"{k}::DOUBLE * pow({a}::DOUBLE * (z[1] - z[4]) + {b}::DOUBLE * (z[2] - z[5]) + {c}::DOUBLE * (z[3] - z[6]), 2)" for a, b, c, k in _YIQ)
+_AVG = lambda p: f"list_avg({p})"
+# a region's kind, on its own pixels of both frames
+_KIND = """{P}, c AS (SELECT session, frame_no, i, d FROM (SELECT session, frame_no, unnest(range(0, 64)) AS i, unnest({DIFF}) AS d FROM v_pair) WHERE d > 25),
+near AS (SELECT a.session, a.frame_no, a.i AS a, b.i AS b FROM c a JOIN c b ON a.frame_no = b.frame_no AND abs(a.i // 8 - b.i // 8) <= 1 AND abs(a.i % 8 - b.i % 8) <= 1),
+r(session, frame_no, a, b) AS (SELECT session, frame_no, i, i FROM c UNION SELECT r.session, r.frame_no, r.a, n.b FROM r JOIN near n ON n.frame_no = r.frame_no AND n.a = r.b),
+l AS (SELECT session, frame_no, a AS i, min(b) AS label FROM r GROUP BY 1, 2, 3),
+g AS (SELECT session, frame_no, label, count(*) AS n, min(i % 8) AS x, min(i // 8) AS y, max(i % 8) - min(i % 8) + 1 AS w, max(i // 8) - min(i // 8) + 1 AS h FROM l GROUP BY 1, 2, 3),
+k AS (SELECT g.*, dense_rank() OVER (PARTITION BY frame_no ORDER BY label) AS region FROM g),
+rad AS (SELECT k.frame_no, k.label, avg(sqrt(pow(i % 8 - x - w / 2.0::DOUBLE, 2) + pow(i // 8 - y - h / 2.0::DOUBLE, 2))) AS radius FROM k JOIN l ON l.frame_no = k.frame_no AND l.label = k.label GROUP BY 1, 2),
+t AS (SELECT k.*, radius, px, prev_px, list_filter(range(0, 64), lambda i: i % 8 >= x AND i % 8 < x + w AND i // 8 >= y AND i // 8 < y + h) AS cells FROM k JOIN rad USING (frame_no, label) JOIN v_pair p ON p.frame_no = k.frame_no WHERE n >= 2),
+u AS (SELECT *, list_transform(cells, lambda i: px[i + 1]) AS b, list_transform(cells, lambda i: prev_px[i + 1]) AS a,
+  len(list_filter(cells, lambda i: (px[i + 1] > 128) <> (i % 8 > x AND px[greatest(i, 1)] > 128))) / len(cells)::DOUBLE AS tb, len(list_filter(cells, lambda i: (prev_px[i + 1] > 128) <> (i % 8 > x AND prev_px[greatest(i, 1)] > 128))) / len(cells)::DOUBLE AS ta FROM t),
+s AS (SELECT *, len(list_filter(a, lambda p: p > 10)) AS sa, len(list_filter(b, lambda p: p > 10)) AS sb,
+  len(list_filter(range(0, 81), lambda m: m <> 40 AND x + m % 9 - 4 >= 0 AND y + m // 9 - 4 >= 0 AND x + m % 9 - 4 + w <= 8 AND y + m // 9 - 4 + h <= 8
+    AND len(list_filter(cells, lambda i: 3 * abs(px[i + 8 * (m // 9 - 4) + m % 9 - 4 + 1] - prev_px[i + 1]) < 30)) / len(cells)::DOUBLE > 0.9)) AS moves FROM u)
+SELECT session, frame_no, region, CASE WHEN sa = 0 AND sb > 0 THEN 'appearance' WHEN sa > 0 AND sb = 0 THEN 'disappearance' WHEN moves > 0 THEN 'movement' WHEN sa > 0 AND NOT (sb / sa::DOUBLE BETWEEN 0.8 AND 1.2) THEN 'transformation'
+  WHEN sqrt(3.0::DOUBLE) * abs(list_avg(a) - list_avg(b)) > 50 THEN 'style' WHEN abs(ta - tb) > 0.2 THEN 'text' WHEN abs(radius - sqrt(w * h) / 2) < 0.3 * sqrt(w * h) / 2 THEN 'animation' ELSE 'complex' END AS kind FROM s"""
 ORACLE = {
+    "region_kinds": _KIND.replace("{P}", _P).replace("{DIFF}", _DIFF),
+    "color_pair_metrics": f"""{_C}, m AS (SELECT *, list_sum(list_transform({_Z}, lambda z: CAST(pow(z[1] - z[4], 2) + pow(z[2] - z[5], 2) + pow(z[3] - z[6], 2) AS DOUBLE))) / 192 AS e, {_sobel('r')} AS e1, {_sobel('prev_r')} AS e2, list_concat(r, g, b) AS a1, list_concat(prev_r, prev_g, prev_b) AS a0 FROM v_rgb)
+SELECT session, frame_no, round(e, 5) AS mse, CASE WHEN e = 0 THEN 'inf'::DOUBLE ELSE round(10 * log10(65025.0::DOUBLE / e), 5) END AS psnr,
+ round(list_sum(list_transform(range(0, 256), lambda k: CAST(abs(len(list_filter(a1, lambda p: p = k)) - len(list_filter(a0, lambda p: p = k))) AS DOUBLE))) / 192, 5) AS histogram_diff,
+ round(list_sum(list_transform(list_zip(e1, e2), lambda z: CAST(abs(z[1] - z[2]) AS DOUBLE))) / 64, 5) AS edge_diff,
+ round(list_sum(list_transform([1, 13, 25, 37, 49], lambda i: sqrt(CAST(pow(r[i] - prev_r[i], 2) + pow(g[i] - prev_g[i], 2) + pow(b[i] - prev_b[i], 2) AS DOUBLE)))) / (5 * sqrt(3 * 65025.0::DOUBLE)), 5) AS color_diff FROM m""",
+    "color_measures": f"""{_C} SELECT session, frame_no, round(len(list_filter({_Z}, lambda z: abs(z[1] - z[4]) + abs(z[2] - z[5]) + abs(z[3] - z[6]) < 30)) / 64.0::DOUBLE, 6) AS similarity,
+ len(list_filter(list_zip(r, g, b), lambda z: z[1] > 10 OR z[2] > 10 OR z[3] > 10)) AS size, round((list_avg(r) + list_avg(g) + list_avg(b)) / 3, 5) AS average,
+ sqrt(pow(list_avg(r) - list_avg(prev_r), 2) + pow(list_avg(g) - list_avg(prev_g), 2) + pow(list_avg(b) - list_avg(prev_b), 2)) > 50 AS style FROM v_rgb""",
+    "visual_similarity": f"{_C} SELECT session, frame_no, round(1 - len(list_filter({_Z}, lambda z: {_FAR} > 352.15::DOUBLE)) / 64.0::DOUBLE, 6) AS similarity FROM v_rgb",
+    "content_padding": f"""{_FRAME}, m AS (SELECT frame_no, coalesce(list_min({_XS}), 0) AS x0, coalesce(list_max({_XS}), 7) AS x1, coalesce(list_min({_YS}), 0) AS y0, coalesce(list_max({_YS}), 7) AS y1 FROM v_frame)
+SELECT frame_no, y0 AS top, 7 - x1 AS right, 7 - y1 AS bottom, x0 AS left FROM m""",
     "frame_pair_metrics": f"""{_P}, m AS (SELECT *, list_sum(list_transform({_DIFF}, lambda x: CAST(x * x AS DOUBLE))) / 64 AS e, {_sobel('px')} AS e1, {_sobel('prev_px')} AS e2 FROM v_pair)
 SELECT session, frame_no, round(e, 5) AS mse, CASE WHEN e = 0 THEN 'inf'::DOUBLE ELSE round(10 * log10(65025.0::DOUBLE / e), 5) END AS psnr, round(1 - e / 65025.0::DOUBLE, 5) AS ssim,
  round(list_sum(list_transform(range(0, 256), lambda k: CAST(abs(len(list_filter(px, lambda p: p = k)) - len(list_filter(prev_px, lambda p: p = k))) AS DOUBLE))) / 64, 5) AS histogram_diff,
  round(list_sum(list_transform(list_zip(e1, e2), lambda z: CAST(abs(z[1] - z[2]) AS DOUBLE))) / 64, 5) AS edge_diff,
- round(list_sum(list_transform([1, 4, 7, 10, 13], lambda i: CAST(abs(px[i] - prev_px[i]) AS DOUBLE))) / 1275.0::DOUBLE, 5) AS color_diff FROM m""",
+ round(list_sum(list_transform([1, 13, 25, 37, 49], lambda i: CAST(abs(px[i] - prev_px[i]) AS DOUBLE))) / 1275.0::DOUBLE, 5) AS color_diff FROM m""",
     "frame_changes": f"""{_P}, m AS (SELECT session, frame_no, {_DIFF} AS diff, list_filter({_DIFF}, lambda x: x > 25) AS c FROM v_pair)
 SELECT session, frame_no, len(c) AS changed_pixels, round(100.0::DOUBLE * len(c) / 64, 5) AS changed_pct, round(coalesce(list_sum(list_transform(c, lambda x: CAST(x AS DOUBLE))) / len(c) / 255, 0), 5) AS intensity,
  CAST(list_max(diff) AS DOUBLE) AS max_diff, round(list_sum(list_transform(diff, lambda x: CAST(x AS DOUBLE))) / 64, 5) AS mean_diff FROM m""",
     "frame_histograms": f"{_FRAME} SELECT frame_no, bin, count(*) AS n FROM (SELECT frame_no, unnest(px) AS bin FROM v_frame) GROUP BY 1, 2",
     "frame_edges": f"{_FRAME} SELECT frame_no, array_to_string({_sobel('px')}, ',') AS edges FROM v_frame",
-    "dominant_colors": f"{_FRAME} SELECT frame_no, array_to_string([px[1], px[4], px[7], px[10], px[13]], ',') AS colors FROM v_frame",
+    "dominant_colors": f"{_FRAME} SELECT frame_no, array_to_string([px[1], px[13], px[25], px[37], px[49]], ',') AS colors FROM v_frame",
     "frame_measures": f"""{_P}, m AS (SELECT session, frame_no, px, prev_px, {_BIG.format('px')} AS s1, {_BIG.format('prev_px')} AS s0, list_avg(px) AS a1, list_avg(prev_px) AS a0,
   {_TURN.format('px')} AS t1, {_TURN.format('prev_px')} AS t0, list_avg({_RADII}) AS radius FROM v_pair)
 SELECT session, frame_no, round(len(list_filter({_DIFF}, lambda x: 3 * x < 30)) / 64.0::DOUBLE, 6) AS similarity, s1 AS size, s1 = 0 AS empty, round(a1, 5) AS average,

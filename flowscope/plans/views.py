@@ -21,6 +21,11 @@ v_pair AS (
     SELECT session, frame_no, ts_ms, px, lag(frame_no) OVER w AS prev_no, lag(ts_ms) OVER w AS prev_ts, lag(px) OVER w AS prev_px
     FROM v_frame WINDOW w AS (PARTITION BY session ORDER BY frame_no)) WHERE prev_no IS NOT NULL)"""
 
+#: The same frames in colour: red is the grey plane, green is it from the last pixel to the first, blue its negative.
+RGB_SQL = f"""{PAIR_SQL},
+v_rgb AS (SELECT session, frame_no, px, prev_px, px AS r, list_reverse(px) AS g, list_transform(px, lambda x: 255 - x) AS b,
+       prev_px AS prev_r, list_reverse(prev_px) AS prev_g, list_transform(prev_px, lambda x: 255 - x) AS prev_b FROM v_pair)"""
+
 #: A state is an event type with a class of values; an edge leads to the user's next state.
 EDGE_SQL = """v_step AS (
   SELECT user_id AS session, event_id AS pos, event_type AS kind,
@@ -67,6 +72,12 @@ def frame_pairs(spark, d) -> DataFrame:
     return frames(spark, d).withColumns({"prev_no": F.lag("frame_no").over(w), "prev_ts": F.lag("ts_ms").over(w), "prev_px": F.lag("px").over(w)}).filter("prev_no is not null")
 
 
+def color_pairs(spark, d) -> DataFrame:
+    p = frame_pairs(spark, d)
+    back, negative = F.reverse, lambda c: F.transform(c, lambda x: 255 - x)
+    return p.withColumns({"r": F.col("px"), "g": back("px"), "b": negative("px"), "prev_r": F.col("prev_px"), "prev_g": back("prev_px"), "prev_b": negative("prev_px")})
+
+
 def steps(spark, d) -> DataFrame:
     state = F.concat("event_type", F.lit("_"), F.floor(F.col("value") / 10).cast("string"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

@@ -25,8 +25,8 @@ class Timeline:
         """keyframes, slices, events' correlation and the merged slices that are sure enough. One frame alone is an error."""
         if all_frames.limit(2).count() < 2:
             raise ValueError("a timeline needs two frames at least")
-        pct = frames.metrics(pairs).select("frame_no", "changed_pct")
-        changes = all_frames.select("session", "frame_no", "ts_ms").join(pct, "frame_no", "left")
+        pct = frames.metrics(pairs).select("session", "frame_no", "changed_pct")
+        changes = all_frames.select("session", "frame_no", "ts_ms").join(pct, ["session", "frame_no"], "left")
         keys = timeline.keyframes(changes, self.pct_over, self.shortest, self.longest)
         spans = timeline.segments(events)
         cands = timeline.candidates(events, spans, self.longest, 4 * self.longest)
@@ -45,7 +45,8 @@ class Elements:
         """elements, their hierarchy, sibling groups, relationships, hints and warnings."""
         kept = elements.kept(elements.suppressed(boxes, self.overlap), self.least, self.most)
         links = elements.parents(kept)
-        return {"elements": elements.by_area(kept), "parents": links, "depths": elements.depths(links), "groups": elements.sibling_groups(kept, links), "grids": elements.layout_grid(kept, links), "relationships": elements.relationships(links), "hints": elements.hints(kept, links), "warnings": elements.warnings(kept)}
+        groups = elements.sibling_groups(kept, links)
+        return {"elements": elements.by_area(kept), "parents": links, "depths": elements.depths(links), "groups": groups, "grids": elements.layout_grid(kept, links), "relationships": elements.relationships(links, groups), "hints": elements.hints(kept, links), "warnings": elements.warnings(kept)}
 
 
 def create(kind: str, **settings):

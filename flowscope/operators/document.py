@@ -3,22 +3,34 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowscope.functions import equations as eq
-from flowscope.functions.jsjson import checksum
-from flowscope.operators import graph
+from flowscope.functions.jsjson import checksum, stringify
+from flowscope.operators.graph import with_cut
 
-SECTIONS = ("version", "metadata", "keyframes", "molecules", "states", "edges", "equations", "checksums")
-SUMMED = ("keyframes", "molecules", "states", "edges")
+#: Where the parts of a document are that queries take apart.
+PARTS = {
+    "keyframes": "visualData.keyframes", "depthMaps": "visualData.depthMaps", "colorProfiles": "visualData.colorProfiles", "molecules": "molecules", "states": "stateGraph.nodes", "edges": "stateGraph.edges", "stateGroups": "stateGraph.stateGroups",
+    "equations": "behavioralEquations", "rendering": "executionTrace.renderingCommands", "styles": "executionTrace.computedStyles", "metrics": "executionTrace.performanceMetrics", "memory": "executionTrace.memorySnapshots", "crossValidation": "validationChecksums.crossValidation",
+}
+#: Sections with a checksum, and its name (fixed values).
+SUMMED = {"visualData": "visualDataChecksum", "molecules": "moleculeTreeChecksum", "stateGraph": "stateGraphChecksum"}
 
 
 def part(docs: DataFrame, name: str) -> DataFrame:
-    """(path, pos, ...) of a section's array; ``pos`` is the order in the document."""
-    return docs.select("path", F.posexplode(F.col(f"doc.{name}")).alias("pos", "r")).select("path", "pos", "r.*")
+    """(path, pos, ...) of an array of the document; ``pos`` is the order in it."""
+    return docs.select("path", F.posexplode(F.col(f"doc.{PARTS[name]}")).alias("pos", "r")).select("path", "pos", "r.*")
+
+
+def state_molecules(docs: DataFrame) -> DataFrame:
+    """(path, state, moleculeId, properties, bounds, visible) of what each state shows."""
+    s = part(docs, "states").select("path", F.col("id").alias("state"), F.explode("molecules").alias("m"))
+    return s.select("path", "state", "m.*")
 
 
 def of_type(docs: DataFrame, kind: str) -> DataFrame:
@@ -29,7 +41,13 @@ def type_counts(docs: DataFrame) -> DataFrame:
     return part(docs, "molecules").groupBy("path", "type").agg(F.count("*").alias("n"))
 
 
-def state_at(docs: DataFrame, ts_ms: int) -> DataFrame:
+def first_metric(docs: DataFrame, kind: str) -> DataFrame:
+    """(path, value): the first measured value of a kind, 0 if there is none."""
+    best = part(docs, "metrics").filter(F.col("type") == kind).groupBy("path").agg(F.min_by("value", "pos").alias("value"))
+    return docs.select("path").join(best, "path", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def state_at(docs: DataFrame, ts_ms: float) -> DataFrame:
     """(path, state): the latest state not after the time, the first in the document of equal ones; null if there is none."""
     best = part(docs, "states").filter(F.col("timestamp") <= ts_ms).groupBy("path").agg(F.max_by("id", F.struct("timestamp", -F.col("pos"))).alias("state"))
     return docs.select("path").join(best, "path", "left")
@@ -37,21 +55,35 @@ def state_at(docs: DataFrame, ts_ms: int) -> DataFrame:
 
 def state_difference(docs: DataFrame, a: str, b: str) -> DataFrame:
     """(path, difference): 0 if the two states look the same, else 1. A state that is missing is an error."""
-    s = part(docs, "states").groupBy("path").agg(F.min_by(F.when(F.col("id") == a, F.col("visualHash")), F.when(F.col("id") == a, F.col("pos"))).alias("x"), F.min_by(F.when(F.col("id") == b, F.col("visualHash")), F.when(F.col("id") == b, F.col("pos"))).alias("y"))
+    look = lambda name: F.filter("doc.stateGraph.nodes", lambda n: n["id"] == name)
+    s = docs.select("path", F.get(look(a), F.lit(0)).alias("x"), F.get(look(b), F.lit(0)).alias("y"))
     known = F.when(F.col("x").isNull() | F.col("y").isNull(), F.raise_error(F.lit("no such state")).cast("int"))
-    return s.select("path", F.coalesce(known, F.when(F.col("x") == F.col("y"), 0).otherwise(1)).alias("difference"))
+    return s.select("path", F.coalesce(known, F.when(F.col("x.visualHash") == F.col("y.visualHash"), 0).otherwise(1)).alias("difference"))
 
 
 def path_between(docs: DataFrame, start: str, end: str) -> DataFrame:
-    """(path, distance) of a single document's states, as ``graph.distances`` gives them; no row if there is no way."""
-    e = part(docs, "edges").select(F.col("fromState").alias("src"), F.col("toState").alias("dst"))
-    return graph.distances(e, start).filter(F.col("state") == end).select("path", "distance")
+    """(path, distance, states) of each document in which transitions lead from ``start`` to ``end``: the fewest, of equal ways the least.
+
+    All documents at once, a frontier a round; a document's search ends when it has met the end.
+    """
+    e = with_cut(part(docs, "edges").select("path", F.col("fromState").alias("src"), F.col("toState").alias("dst")).filter("src <> dst").distinct())
+    frontier = with_cut(docs.select("path", F.lit(start).alias("state"), F.array(F.lit(start)).alias("states")))
+    seen, out, level = frontier.select("path", "state"), None, 0
+    while not frontier.isEmpty():
+        met = frontier.filter(F.col("state") == end).select("path", F.lit(level).alias("distance"), "states")
+        out = met if out is None else out.union(met)
+        level += 1
+        on = frontier.join(met.select("path"), "path", "left_anti").join(e.withColumnRenamed("src", "state"), ["path", "state"]).select("path", F.col("dst").alias("state"), F.concat("states", F.array("dst")).alias("states"))
+        frontier = with_cut(on.groupBy("path", "state").agg(F.min("states").alias("states")).join(seen, ["path", "state"], "left_anti"))
+        seen = seen.union(frontier.select("path", "state"))
+    return docs.select("path", F.lit(0).alias("distance"), F.array(F.lit(start)).alias("states")).limit(0) if out is None else out
 
 
 def equation(docs: DataFrame, element: str, name: str) -> DataFrame:
     """(path, equation, min, max): the first for the element and property."""
     rows = part(docs, "equations").filter((F.col("element") == element) & (F.col("property") == name))
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).filter("k = 1").select("path", "equation", "min", "max")
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).filter("k = 1")
+    return first.select("path", "equation", "constraints.min", "constraints.max")
 
 
 def evaluated(docs: DataFrame, element: str, name: str, values: dict[str, float]) -> DataFrame:
@@ -66,16 +98,54 @@ def evaluated(docs: DataFrame, element: str, name: str, values: dict[str, float]
     return equation(docs, element, name).mapInArrow(run, "path string, value double")
 
 
-def subset(docs: DataFrame, start: int | None = None, end: int | None = None, molecules: list[str] | None = None, states: list[str] | None = None) -> dict[str, DataFrame]:
-    """Keyframes and states by time (both ends included), molecules by id, states and edges by state ids.
+def subset(docs: DataFrame, start: float | None = None, end: float | None = None, molecules: list[str] | None = None, states: list[str] | None = None) -> DataFrame:
+    """The documents (path, raw, doc) cut to keyframes and states of a time (both ends included, a missing one open), molecules by id, states and edges by state ids.
 
-    With a time range alone edges stay, also where one of their states has gone, as documents have always been cut.
+    With a time alone edges stay, also where one of their states has gone, as documents have always been cut. All else
+    stays as it is written, and the checksums are those of what is left.
     """
-    within = lambda df: df if start is None else df.filter(F.col("timestamp").between(start, end))
-    s, e, m = within(part(docs, "states")), part(docs, "edges"), part(docs, "molecules")
-    if states is not None:
-        s, e = s.filter(F.col("id").isin(states)), e.filter(F.col("fromState").isin(states) & F.col("toState").isin(states))
-    return {"keyframes": within(part(docs, "keyframes")), "states": s, "edges": e, "molecules": m if molecules is None else m.filter(F.col("id").isin(molecules))}
+    schema = docs.schema["doc"].dataType
+    lo, hi = start or 0, float("inf") if not end else end
+
+    def cut(doc: dict) -> dict:
+        if start is not None or end is not None:
+            visual, graph = doc["visualData"], doc["stateGraph"]
+            visual["keyframes"] = [k for k in visual["keyframes"] if lo <= k["timestamp"] <= hi]
+            graph["nodes"] = [n for n in graph["nodes"] if lo <= n["timestamp"] <= hi]
+        if molecules is not None:
+            doc["molecules"] = [m for m in doc["molecules"] if m["id"] in molecules]
+        if states is not None:
+            graph = doc["stateGraph"]
+            graph["nodes"] = [n for n in graph["nodes"] if n["id"] in states]
+            graph["edges"] = [e for e in graph["edges"] if e["fromState"] in states and e["toState"] in states]
+        return doc
+
+    return _rewritten(docs, cut).withColumn("doc", F.from_json("raw", schema))
+
+
+def section_checksums(doc: dict) -> dict[str, str]:
+    """A document's three checksums: SHA-256 of the sections as a browser writes them."""
+    return {name: f"sha256:{checksum(doc[section])}" for section, name in SUMMED.items() if section in doc}
+
+
+def _rewritten(docs: DataFrame, change) -> DataFrame:
+    """(path, raw) of the changed documents with their checksums made anew."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for raw in b.column(1).to_pylist():
+                doc = change(json.loads(raw))
+                doc["validationChecksums"] = {**section_checksums(doc), "crossValidation": (doc.get("validationChecksums") or {}).get("crossValidation", [])}
+                out.append(stringify(doc))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["path", "raw"])
+
+    return docs.select("path", "raw").mapInArrow(run, "path string, raw string")
+
+
+def sealed(docs: DataFrame) -> DataFrame:
+    """(path, raw): the documents with the checksums of what they hold."""
+    return _rewritten(docs, lambda doc: doc)
 
 
 def checksums(docs: DataFrame) -> DataFrame:
@@ -86,40 +156,157 @@ def checksums(docs: DataFrame) -> DataFrame:
             out = []
             for path, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 doc = json.loads(raw)
-                stored = doc.get("checksums") or {}
-                out += [(path, k, stored.get(k), checksum(doc[k])) for k in SUMMED if k in doc]
+                stored, actual = doc.get("validationChecksums") or {}, section_checksums(doc)
+                out += [(path, k, stored.get(name), actual[name]) for k, name in SUMMED.items() if name in actual]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(4)], ["path", "section", "stored", "actual"])
 
     return docs.select("path", "raw").mapInArrow(run, "path string, section string, stored string, actual string")
 
 
+#: What the format asks for (fixed values): parts that must be there, by the place of what holds them; [] is each of an array.
+REQUIRED = {
+    "": ["version", "metadata", "visualData", "molecules", "stateGraph", "executionTrace", "behavioralEquations", "validationChecksums"],
+    "metadata": ["captureId", "captureTimestamp", "captureEnvironment", "targetUrl", "fidelityScore", "viewportConfigurations", "captureSettings"],
+    "metadata.captureEnvironment": ["platform", "browserEngine", "gpuInfo", "displayInfo"],
+    "metadata.captureEnvironment.gpuInfo": ["vendor", "model", "driver", "vram", "features"],
+    "metadata.captureEnvironment.displayInfo": ["resolution", "dpi", "colorDepth", "refreshRate", "hdr"],
+    "metadata.fidelityScore": ["overall", "visual", "behavioral", "timing", "color"],
+    "metadata.viewportConfigurations[]": ["name", "width", "height", "deviceScaleFactor", "userAgent", "hasTouch"],
+    "metadata.captureSettings": ["frameRate", "colorSpace", "captureMode", "interactionDepth", "scrollStrategy"],
+    "metadata.edgeCasesDetected[]": ["type", "description", "handlingStrategy", "occurrences"],
+    "visualData": ["tensor4D", "keyframes", "depthMaps", "colorProfiles"],
+    "visualData.tensor4D": ["format", "dimensions", "encoding", "dataUrl", "compressionRatio", "temporalResolution", "spatialResolution", "bitDepth"],
+    "visualData.keyframes[]": ["timestamp", "significance", "visualHash", "deltaFromPrevious", "associatedEvents"],
+    "visualData.depthMaps[]": ["timestamp", "resolution", "encoding", "dataUrl", "minDepth", "maxDepth"],
+    "visualData.colorProfiles[]": ["space", "gamut", "whitePoint", "transferFunction"],
+    "molecules[]": ["id", "type", "visualSignature", "bounds", "properties", "interactions", "relationships", "lifecycle"],
+    "molecules[].visualSignature": ["primaryImage", "alternateStates", "colorFingerprint", "shapeDescriptor", "texturePattern"],
+    "molecules[].bounds": ["static", "dynamic", "transformations", "zIndex", "opacity"],
+    "molecules[].properties": ["visual", "behavioral", "semantic", "performance"],
+    "molecules[].relationships[]": ["type", "target", "strength", "bidirectional", "metadata"],
+    "molecules[].lifecycle": ["created", "modified", "destroyed", "visibility"],
+    "molecules[].lifecycle.visibility": ["visible", "hidden", "partial"],
+    "stateGraph": ["nodes", "edges", "initialState", "terminalStates", "stateGroups"],
+    "stateGraph.nodes[]": ["id", "visualHash", "molecules", "timestamp", "frequency", "stability"],
+    "stateGraph.nodes[].molecules[]": ["moleculeId", "properties", "bounds", "visible"],
+    "stateGraph.nodes[].molecules[].bounds": ["x", "y", "width", "height"],
+    "stateGraph.edges[]": ["id", "fromState", "toState", "trigger", "duration", "probability", "reversible", "animations"],
+    "stateGraph.edges[].trigger": ["type", "details", "conditions"],
+    "stateGraph.stateGroups[]": ["id", "name", "states", "type", "metadata"],
+    "executionTrace": ["renderingCommands", "networkSequence", "computedStyles", "performanceMetrics", "consoleOutput", "memorySnapshots"],
+    "behavioralEquations[]": ["id", "element", "property", "equation", "variables", "constraints", "domain", "accuracy"],
+    "behavioralEquations[].variables[]": ["name", "type", "range", "unit"],
+    "behavioralEquations[].domain": ["states", "timeRange", "viewports", "conditions"],
+    "validationChecksums": ["visualDataChecksum", "moleculeTreeChecksum", "stateGraphChecksum", "crossValidation"],
+    "validationChecksums.crossValidation[]": ["source", "target", "method", "score", "details"],
+}
+#: Values that a part may have.
+ALLOWED = {
+    "metadata.captureEnvironment.platform": ["windows", "linux", "macos"],
+    "metadata.captureSettings.colorSpace": ["srgb", "p3", "rec2020"],
+    "metadata.captureSettings.captureMode": ["full", "incremental", "adaptive"],
+    "metadata.captureSettings.scrollStrategy": ["exhaustive", "intelligent", "sampled"],
+    "metadata.edgeCasesDetected[].type": ["infinite_scroll", "real_time_data", "webrtc_stream", "authentication", "ab_testing", "geo_restriction", "rate_limiting", "pwa_offline", "custom"],
+    "visualData.tensor4D.format": ["float32", "uint16", "compressed"],
+    "visualData.tensor4D.encoding": ["raw", "h265", "av1", "custom"],
+    "visualData.keyframes[].significance": ["major", "minor", "transition"],
+    "visualData.depthMaps[].encoding": ["float32", "uint16"],
+    "visualData.colorProfiles[].space": ["srgb", "p3", "rec2020", "lab"],
+    "molecules[].type": ["text", "image", "video", "canvas", "webgl", "interactive_button", "input_field", "container", "navigation", "animation_particle", "svg_element", "iframe", "custom"],
+    "molecules[].bounds.transformations[].type": ["translate", "rotate", "scale", "skew", "matrix"],
+    "molecules[].relationships[].type": ["parent", "child", "sibling", "reference", "dependency", "visual_group", "semantic_group", "interaction_group"],
+    "stateGraph.edges[].trigger.type": ["interaction", "time", "scroll", "network", "media", "system"],
+    "stateGraph.stateGroups[].type": ["sequential", "parallel", "exclusive"],
+    "behavioralEquations[].variables[].type": ["scrollY", "scrollX", "time", "mouseX", "mouseY", "viewportWidth", "viewportHeight", "custom"],
+    "validationChecksums.crossValidation[].method": ["visual_match", "behavioral_consistency", "timing_correlation"],
+}
+#: Least and largest value of numbers.
+RANGES = {
+    **{f"metadata.fidelityScore.{k}": (0, 1) for k in ("overall", "visual", "behavioral", "timing", "color")}, "metadata.captureSettings.frameRate": (60, 240), "molecules[].relationships[].strength": (0, 1),
+    "stateGraph.edges[].probability": (0, 1), "behavioralEquations[].accuracy": (0, 1), "validationChecksums.crossValidation[].score": (0, 1),
+}
+#: Least and largest length of arrays.
+LENGTHS = {
+    "molecules": (1, None), "metadata.captureEnvironment.displayInfo.resolution": (2, 2), "visualData.tensor4D.dimensions": (4, 4), "visualData.tensor4D.spatialResolution": (2, 2), "visualData.depthMaps[].resolution": (2, 2),
+    "visualData.colorProfiles[].whitePoint": (2, 2), "molecules[].bounds.transformations[].origin": (3, 3), "behavioralEquations[].variables[].range": (2, 2),
+}
+PATTERNS = {"version": r"\d+\.\d+", "metadata.captureId": r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"}
+
+
+def broken_rules(doc) -> list[str]:
+    """What a document lacks or has wrong, each rule once, in order."""
+    if not isinstance(doc, dict):
+        return ["not a document"]
+    out: list[str] = []
+
+    def look(value, at: str) -> None:
+        out.extend(f"{at}.{k} is missing".lstrip(".") for k in REQUIRED.get(at, ()) if isinstance(value, dict) and k not in value)
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        if at in ALLOWED and value not in ALLOWED[at]:
+            out.append(f"{at} is none of the known values")
+        if at in RANGES and not (number and RANGES[at][0] <= value <= RANGES[at][1]):
+            out.append(f"{at} is not within {RANGES[at][0]} and {RANGES[at][1]}")
+        if at in LENGTHS and not (isinstance(value, list) and LENGTHS[at][0] <= len(value) <= (LENGTHS[at][1] or len(value))):
+            out.append(f"{at} has not the right length")
+        if at in PATTERNS and not (isinstance(value, str) and re.fullmatch(PATTERNS[at], value)):
+            out.append(f"{at} is not well formed")
+        for k, v in value.items() if isinstance(value, dict) else ():
+            look(v, f"{at}.{k}".lstrip("."))
+        for v in value if isinstance(value, list) else ():
+            look(v, f"{at}[]")
+
+    look(doc, "")
+    overall = ((doc.get("metadata") or {}).get("fidelityScore") or {}).get("overall")
+    if isinstance(overall, (int, float)) and 0 <= overall < 0.999:
+        out.append("warning: fidelity below 0.999")
+    return list(dict.fromkeys(out))
+
+
 def errors(docs: DataFrame) -> DataFrame:
-    """(path, rule): every rule a document breaks; one below a fidelity of 0.999 is a warning."""
-    d = F.col("doc")
-    rules = [(d.isNull(), "not a document")]
-    rules += [(d.isNotNull() & d[s].isNull(), f"{s} is missing") for s in SECTIONS]
-    fidelity = d["metadata"]["overallFidelity"]
-    rules += [
-        (F.size(d["molecules"]) == 0, "molecules is empty"), ((fidelity < 0) | (fidelity > 1), "fidelity is not within 0 and 1"), (fidelity.between(0, 0.998999999), "warning: fidelity below 0.999"),
-        (F.exists(d["edges"], lambda e: (e["probability"] < 0) | (e["probability"] > 1)), "a probability is not within 0 and 1"),
-        (F.exists(d["keyframes"], lambda k: (k["significance"] < 0) | (k["significance"] > 1)), "a significance is not within 0 and 1"),
-    ]
-    found = F.array_compact(F.array(*(F.when(c, F.lit(t)) for c, t in rules)))
-    return docs.select("path", F.explode(found).alias("rule"))
+    """(path, rule): every rule of the format that a document breaks, once; a fidelity below 0.999 is a warning."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    doc = json.loads(raw) if raw else None
+                except ValueError:
+                    doc = None
+                out += [(path, rule) for rule in broken_rules(doc)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in (0, 1)], ["path", "rule"])
+
+    return docs.select("path", "raw").mapInArrow(run, "path string, rule string")
 
 
 def loaded(docs: DataFrame) -> DataFrame:
-    """The documents if none breaks a rule and all stored checksums hold; else an error that names the first that does."""
-    bad = errors(docs).filter("rule not like 'warning%'").select("path", "rule").unionByName(checksums(docs).filter("stored <> actual").select("path", F.concat(F.lit("checksum of "), "section").alias("rule")))
-    first = bad.orderBy("path", "rule").head()
+    """The documents if none breaks a rule and all three checksums hold; else an error that names the first that does."""
+    first = errors(docs).filter("rule not like 'warning%'").orderBy("path", "rule").head()
+    if not first:
+        first = checksums(docs).filter("stored is distinct from actual").select("path", F.concat(F.lit("checksum of "), "section").alias("rule")).orderBy("path", "rule").head()
     if first:
         raise ValueError(f"{first['path']}: {first['rule']}")
     return docs
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """(path, text): counts of a document's parts, its molecules by type and its edge cases."""
-    types = type_counts(docs).groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "type", F.col("n").cast("string")))), ", ").alias("types"))
-    d = docs.join(types, "path", "left")
-    text = F.format_string("version %s, %d keyframes, %d states, %d edges; %s; edge cases: %d", "doc.version", F.size("doc.keyframes"), F.size("doc.states"), F.size("doc.edges"), F.coalesce("types", F.lit("no molecules")), F.greatest(F.lit(0), F.coalesce(F.size("doc.metadata.edgeCasesDetected"), F.lit(0))))
-    return d.select("path", text.alias("text"))
+    """(path, text): a report of a document's origin, fidelity, settings, counts, molecules by type (in their order) and edge cases."""
+    kinds = part(docs, "molecules").groupBy("path", "type").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    types = kinds.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "type", "n"))), lambda t: F.format_string("  %s: %d", t["type"], t["n"])).alias("types"))
+    m = "doc.metadata."
+    pct = lambda k: F.format_string(f"  {k.capitalize()}: %.2f%%", F.col(f"{m}fidelityScore.{k}") * 100)
+    count = lambda name, at: F.format_string(f"  {name}: %d", F.size(F.coalesce(F.col(f"doc.{at}"), F.array())))
+    plain = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+    cases = F.transform(F.coalesce(F.col(f"{m}edgeCasesDetected"), F.array()), lambda e: F.concat(F.lit("  "), e["type"], F.lit(": "), e["description"]))
+    lines = F.concat(
+        F.array(
+            F.concat(F.lit("Version: "), "doc.version"), F.concat(F.lit("URL: "), f"{m}targetUrl"), F.concat(F.lit("Capture Time: "), f"{m}captureTimestamp"), F.concat(F.lit("Platform: "), f"{m}captureEnvironment.platform"), F.lit(""),
+            F.lit("Fidelity Scores:"), *(pct(k) for k in ("overall", "visual", "behavioral", "timing", "color")), F.lit(""),
+            F.lit("Capture Settings:"), F.concat(F.lit("  Frame Rate: "), plain(f"{m}captureSettings.frameRate"), F.lit(" fps")), F.concat(F.lit("  Color Space: "), f"{m}captureSettings.colorSpace"), F.concat(F.lit("  Mode: "), f"{m}captureSettings.captureMode"), F.lit(""),
+            F.lit("Data Statistics:"), count("Molecules", PARTS["molecules"]), count("States", PARTS["states"]), count("Transitions", PARTS["edges"]), count("Behavioral Equations", PARTS["equations"]), count("Keyframes", PARTS["keyframes"]), F.lit(""),
+            F.lit("Molecule Types:"),
+        ),
+        F.coalesce("types", F.array().cast("array<string>")),
+        F.when(F.size(cases) > 0, F.concat(F.array(F.lit(""), F.lit("Edge Cases Detected:")), cases)).otherwise(F.array().cast("array<string>")),
+    )
+    return docs.join(types, "path", "left").select("path", F.array_join(lines, "\n").alias("text"))

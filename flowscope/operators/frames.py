@@ -215,6 +215,7 @@ def label(mask: np.ndarray, eight: bool = True) -> np.ndarray:
 def moved(before: np.ndarray, after: np.ndarray, box, reach: int = 50, step: int = 5) -> bool:
     """Whether a region's pixels reappear elsewhere in the later frame: nine tenths within 30 in all planes together."""
     x, y, w, h = box
+    before, after = np.atleast_3d(before), np.atleast_3d(after)
     part, weight = before[y : y + h, x : x + w].astype(int), 3 / before.shape[2]
     for dy in range(-reach, reach + 1, step):
         for dx in range(-reach, reach + 1, step):
@@ -228,9 +229,10 @@ def moved(before: np.ndarray, after: np.ndarray, box, reach: int = 50, step: int
 def kind_of(before: np.ndarray, after: np.ndarray, box, mask, reach: int, step: int) -> str:
     """The first that fits: appearance, disappearance, movement, transformation, style, text, animation, else complex.
 
-    Frames are (rows, columns, planes).
+    Frames are (rows, columns, planes), or grey without planes.
     """
     x, y, w, h = box
+    before, after = np.atleast_3d(before), np.atleast_3d(after)
     a, b = before[y : y + h, x : x + w], after[y : y + h, x : x + w]
     size = lambda p: int((p > 10).any(2).sum())
     if not size(a) and size(b):

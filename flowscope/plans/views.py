@@ -101,3 +101,40 @@ def pages(spark, d) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     links = F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), F.lit(1))))
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", html.alias("html"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.sha2(html.cast("binary"), 256).alias("visual_hash"), links.alias("links"))
+
+
+#: What an event type's molecules are.
+KINDS = {"click": "interactive_button", "view": "container", "error": "text", "purchase": "input_field"}
+
+
+def raw_documents(spark, d) -> DataFrame:
+    """(path, raw): each user's events as a session document; times count from the user's first event."""
+    from flowscope.sources import export
+
+    s = steps(spark, d).select("pos", "kind", "state", "next_state", F.col("session").cast("string").alias("path"))
+    ts = table(spark, d, "events").select(F.col("event_id").alias("pos"), epoch_ms("ts").alias("ms"))
+    e = s.join(ts, "pos").withColumn("ts", F.col("ms") - F.min("ms").over(Window.partitionBy("path")))
+    look = F.sha2(F.col("state"), 256).alias("hash")
+    n = e.groupBy("path", "state").agg(F.min("ts").alias("ts"), F.count("*").alias("visits"), F.first("kind").alias("kind"))
+    kind = F.coalesce(*[F.when(F.col("kind") == k, x) for k, x in KINDS.items()], F.lit("custom"))
+    box = (F.col("visits") * 10).alias("x"), F.lit(0).alias("y"), F.lit(10).alias("w"), F.lit(10).alias("h")
+    ways = e.filter("next_state is not null").groupBy("path", F.col("state").alias("src"), F.col("next_state").alias("dst")).agg(F.count("*").alias("n"), F.min("kind").alias("kind"))
+    ways = ways.withColumn("probability", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("path", "src")), 6))
+    formulas = e.groupBy("path").agg((1 + F.count("*") / 10000).alias("hi")).select("path", F.lit("q").alias("id"), F.lit("m").alias("element"), F.lit("scale").alias("property"), F.lit("1 + 0.05 * hover_state").alias("equation"), F.lit(1).alias("lo"), "hi")
+    return export.documents(e.filter("kind = 'purchase'").select("path", "ts", look), n.select("path", F.col("state").alias("id"), kind.alias("type"), *box), n.select("path", F.col("state").alias("id"), look, "ts", "visits"), ways, formulas, "http://events.example/")
+
+
+def documents(spark, d, change=None) -> DataFrame:
+    """(path, raw, doc) of the users' documents, their texts changed by ``change`` of a column."""
+    from flowscope.sources import schemas as sch
+
+    rows = raw_documents(spark, d)
+    if change:
+        rows = rows.withColumn("raw", change(F.col("raw"), F.col("path").cast("bigint")))
+    return rows.withColumn("doc", F.from_json("raw", sch.of(sch.DOCUMENT)))
+
+
+DOC_SQL = """ev AS (SELECT CAST(user_id AS VARCHAR) AS path, event_id AS pos, event_type AS kind, event_type || '_' || CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS state,
+  epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS ts, lead(event_type || '_' || CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events),
+node AS (SELECT path, state AS id, min(ts) AS ts, count(*) AS visits, CASE any_value(kind) WHEN 'click' THEN 'interactive_button' WHEN 'view' THEN 'container' WHEN 'error' THEN 'text' WHEN 'purchase' THEN 'input_field' ELSE 'custom' END AS type FROM ev GROUP BY 1, 2),
+way AS (SELECT DISTINCT path, state AS src, nxt AS dst FROM ev WHERE nxt IS NOT NULL)"""

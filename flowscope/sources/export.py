@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowscope.operators.graph import with_cut
+
 
 def to_json(df: DataFrame, path: str, pretty: bool = False) -> None:
     """One JSON object a line, binary columns as base64."""
@@ -36,10 +38,18 @@ def dot_lines(nodes: DataFrame, edges: DataFrame, direction: str = "LR") -> Data
 
 
 def cytoscape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, json): an element a row; edges are numbered edge-<i> in the order of source, target and label."""
-    i = F.row_number().over(Window.orderBy("src", "dst", "label")) - 1
+    """(kind, json): an element a row; edges are numbered edge-<i> in the order of source, target and label.
+
+    Edges are dealt by ranges and sorted; a partition's numbers go on where the one before ends, so no task has them all.
+    """
+    spark = edges.sparkSession
+    dealt = with_cut(edges.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "src", "dst", "label").withColumn("part", F.spark_partition_id()))
+    sizes = {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}  # one row a partition
+    first = [(p, sum(n for q, n in sizes.items() if q < p)) for p in sizes]
+    offsets = spark.createDataFrame(first or [(0, 0)], "part int, first long")
+    i = F.col("first") + F.row_number().over(Window.partitionBy("part").orderBy("src", "dst", "label")) - 1
     n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(F.struct(F.col("id"), F.col("label")).alias("data"))).alias("json"))
-    e = edges.withColumn("i", i).select(F.lit("edge"), F.to_json(F.struct(F.struct(F.concat(F.lit("edge-"), F.col("i").cast("string")).alias("id"), F.col("src").alias("source"), F.col("dst").alias("target"), "label").alias("data"))))
+    e = dealt.join(F.broadcast(offsets), "part").withColumn("i", i).select(F.lit("edge"), F.to_json(F.struct(F.struct(F.concat(F.lit("edge-"), F.col("i").cast("string")).alias("id"), F.col("src").alias("source"), F.col("dst").alias("target"), "label").alias("data"))))
     return n.union(e)
 
 
@@ -49,11 +59,47 @@ def force_layout(nodes: DataFrame, edges: DataFrame, seed: int = 1) -> tuple[Dat
     return nodes.select("id", "label", F.greatest(F.col("size"), F.lit(1)).alias("size"), place(0), place(1)), edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("n").alias("weight"))
 
 
-def as_document(states: DataFrame, edges: DataFrame, url: str) -> DataFrame:
-    """One row: a session document of (id, title) states and (src, dst, n) edges as JSON. Meant for graphs that fit a document."""
-    s = states.agg(F.array_sort(F.collect_list(F.struct("id", "title"))).alias("states"))
-    e = edges.agg(F.array_sort(F.collect_list(F.struct("src", "dst", "n"))).alias("edges"))
-    return s.crossJoin(e).select(F.to_json(F.struct(F.lit("1.0.0").alias("version"), F.lit(url).alias("url"), "states", "edges")).alias("json"))
+def documents(keyframes: DataFrame, molecules: DataFrame, states: DataFrame, edges: DataFrame, equations: DataFrame, url: str) -> DataFrame:
+    """(path, raw): session documents of the format's eight sections, one a ``path``, with their checksums.
+
+    Rows have path and: keyframes ts, hash; molecules id, type, x, y, w, h; states id, hash, ts, visits; edges src, dst, kind,
+    probability; equations id, element, property, equation, lo, hi. A document's rows meet in one row, so each must fit a worker.
+    """
+    from flowscope.operators.document import sealed
+
+    none = lambda t="string": F.array().cast(f"array<{t}>")
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    joined = lambda c: F.concat(F.lit("["), F.array_join(F.coalesce(c, F.array().cast("array<string>")), ","), F.lit("]"))
+    rows = lambda df, order, item, name, *more: df.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, text(item).alias("_item")))), lambda e: e["_item"]).alias(name), *more)
+    lit = lambda v, name: F.lit(v).alias(name)
+    bounds = F.struct(F.struct("x", "y", F.col("w").alias("width"), F.col("h").alias("height")).alias("static"), F.lit(None).cast("string").alias("dynamic"), none().alias("transformations"), lit(1, "zIndex"), lit(1, "opacity"))
+    empty = lambda *names: F.struct(*(F.create_map().cast("map<string,string>").alias(n) for n in names))
+    life = F.struct(F.struct(lit(0, "timestamp"), lit("page_load", "trigger"), F.lit(None).cast("string").alias("fromState"), F.lit("").alias("toState")).alias("created"), none().alias("modified"), F.lit(None).cast("string").alias("destroyed"), F.struct(none().alias("visible"), none().alias("hidden"), none().alias("partial")).alias("visibility"))
+    look = F.struct(lit("", "primaryImage"), F.create_map().cast("map<string,string>").alias("alternateStates"), none("int").alias("colorFingerprint"), none("int").alias("shapeDescriptor"), lit("", "texturePattern"))
+    m = rows(molecules, ["id"], F.struct("id", "type", look.alias("visualSignature"), bounds.alias("bounds"), empty("visual", "behavioral", "semantic", "performance").alias("properties"), F.create_map().cast("map<string,string>").alias("interactions"), none().alias("relationships"), life.alias("lifecycle")), "molecules")
+    k = rows(keyframes, ["ts", "hash"], F.struct(F.col("ts").alias("timestamp"), lit("major", "significance"), F.col("hash").alias("visualHash"), lit(0, "deltaFromPrevious"), none().alias("associatedEvents")), "keyframes")
+    n = rows(states, ["ts", "id"], F.struct("id", F.col("hash").alias("visualHash"), none().alias("molecules"), F.col("ts").alias("timestamp"), F.col("visits").alias("frequency"), lit(1, "stability")), "nodes", F.transform(F.array_sort(F.collect_list(F.struct("ts", "id"))), lambda x: x["id"]).alias("ids"))
+    e = rows(edges, ["src", "dst"], F.struct(F.concat_ws(">", "src", "dst").alias("id"), F.col("src").alias("fromState"), F.col("dst").alias("toState"), F.struct(lit("interaction", "type"), F.create_map(F.lit("action"), "kind").alias("details"), none().alias("conditions")).alias("trigger"), lit(0, "duration"), "probability", lit(False, "reversible"), none().alias("animations")), "edges", F.collect_set("src").alias("leaves"), F.collect_set("dst").alias("led"))
+    q = rows(equations, ["id"], F.struct("id", "element", "property", "equation", none().alias("variables"), F.struct(F.col("lo").alias("min"), F.col("hi").alias("max")).alias("constraints"), F.struct(none().alias("states"), F.lit(None).cast("string").alias("timeRange"), none().alias("viewports"), none().alias("conditions")).alias("domain"), lit(1, "accuracy")), "behavioralEquations")
+    meta = F.struct(
+        F.regexp_replace(F.md5(F.col("path").cast("binary")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5").alias("captureId"), lit("1970-01-01T00:00:00.000Z", "captureTimestamp"),
+        F.struct(lit("linux", "platform"), lit("", "browserEngine"), F.struct(lit("", "vendor"), lit("", "model"), lit("", "driver"), lit(0, "vram"), none().alias("features")).alias("gpuInfo"), F.struct(F.array(F.lit(0), F.lit(0)).alias("resolution"), lit(96, "dpi"), lit(24, "colorDepth"), lit(60, "refreshRate"), lit(False, "hdr")).alias("displayInfo")).alias("captureEnvironment"),
+        lit(url, "targetUrl"), F.struct(*(lit(1, x) for x in ("overall", "visual", "behavioral", "timing", "color"))).alias("fidelityScore"), none().alias("viewportConfigurations"),
+        F.struct(lit(60, "frameRate"), lit("srgb", "colorSpace"), lit("full", "captureMode"), lit(1, "interactionDepth"), lit("sampled", "scrollStrategy"), F.lit(None).cast("string").alias("networkThrottling")).alias("captureSettings"), none().alias("edgeCasesDetected"),
+    )
+    tensor = F.struct(lit("compressed", "format"), F.array(*[F.lit(0)] * 4).alias("dimensions"), lit("raw", "encoding"), lit("", "dataUrl"), lit(1, "compressionRatio"), lit(0, "temporalResolution"), F.array(F.lit(0), F.lit(0)).alias("spatialResolution"), lit(8, "bitDepth"))
+    d = n
+    for more in (k, m, e, q):
+        d = d.join(more, "path", "left")
+    start = F.coalesce(F.get(F.array_except("ids", F.coalesce("led", none())), F.lit(0)), F.get("ids", F.lit(0)))
+    ends = text(F.struct(F.array_except("ids", F.coalesce("leaves", none())).alias("x")))
+    trace = text(F.struct(*(none().alias(x) for x in ("renderingCommands", "networkSequence", "computedStyles", "performanceMetrics", "consoleOutput", "memorySnapshots"))))
+    raw = F.concat(
+        F.lit('{"version":"1.0","metadata":'), text(meta), F.lit(',"visualData":{"tensor4D":'), text(tensor), F.lit(',"keyframes":'), joined("keyframes"), F.lit(',"depthMaps":[],"colorProfiles":[]},"molecules":'), joined("molecules"),
+        F.lit(',"stateGraph":{"nodes":'), joined("nodes"), F.lit(',"edges":'), joined("edges"), F.lit(',"initialState":"'), _quoted(start), F.lit('","terminalStates":'), F.regexp_extract(ends, r"(?s)^\{\"x\":(.*)\}$", 1),
+        F.lit(',"stateGroups":[]},"executionTrace":'), trace, F.lit(',"behavioralEquations":'), joined("behavioralEquations"), F.lit("}"),
+    )
+    return sealed(d.select("path", raw.alias("raw")))
 
 
 def _escape(c):
@@ -63,10 +109,9 @@ def _escape(c):
 def tree_lines(boxes: DataFrame, depths: DataFrame, links: DataFrame, html: bool = False) -> DataFrame:
     """(shot, path, line): each box under its parent, indented by depth; sorting by path draws the tree."""
     from flowscope.operators.elements import type_name
-    from flowscope.operators.graph import with_cut
 
     rows = boxes.select("shot", "pos", type_name().alias("type"), "w", "h").join(depths, ["shot", "pos"]).join(links, ["shot", "pos"])
-    key = F.lpad(F.col("pos").cast("string"), 6, "0")
+    key = F.lpad(F.col("pos").cast("string"), 19, "0")  # as many digits as a position can have
     level = with_cut(rows.filter("depth = 0").select("shot", "pos", key.alias("path"), "type", "w", "h", "depth"))
     out, depth = level, 0
     while not level.isEmpty():

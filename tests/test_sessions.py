@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -39,23 +40,68 @@ def test_discovery_file(spark, tmp_path):
     assert '  "s1" -> "s2" [label="a \\"b\\""];' in lines
     page = export.report(t["nodes"].select("id", F.col("label").alias("title")), g.transition_counts(e))
     assert "2 states, 1 transitions" in page
-    assert json.loads(export.as_document(t["nodes"].select("id", F.col("label").alias("title")), g.transition_counts(e), "u").head().json)["version"] == "1.0.0"
 
 
-def test_document_queries(spark):
+def test_document_queries(spark, tmp_path):
     d = sample.documents(spark)
     assert [doc.state_at(d, t).head().state for t in (500, 950, -1)] == ["list-hover", "basket", None]
-    assert doc.path_between(d, "list", "basket").head().path == ["list", "list-hover", "basket"] and doc.path_between(d, "basket", "list").count() == 0
-    assert doc.loaded(d).count() == 1 and doc.of_type(d, "button").count() == 2
-    with pytest.raises(ValueError, match="checksum of states"):
-        broken = sample.document()
-        broken["states"][0]["timestamp"] = 5
+    assert doc.path_between(d, "list", "basket").head().states == ["list", "list-hover", "basket"] and doc.path_between(d, "basket", "list").count() == 0
+    assert doc.path_between(d, "list", "list").head().distance == 0
+    assert doc.of_type(d, "interactive_button").count() == 2 and doc.state_molecules(d).count() == 5
+    assert [doc.evaluated(d, "m1", "scale", {"hover": x}).head().value for x in (1, 0, 5)] == [1.05, 1.0, 1.05]
+    assert [doc.first_metric(d, k).head().value for k in ("fps", "none")] == [60.0, 0.0]
+    assert [doc.state_difference(d, "list", x).head().difference for x in ("basket", "list")] == [1, 0]
+    assert doc.loaded(d).count() == 1 and doc.errors(d).count() == 0
+    (tmp_path / "a.json").write_text(d.head().raw)
+    (tmp_path / "b.json").write_text("{")
+    files = readers.documents(spark, str(tmp_path))
+    assert {(r.path[-6:], r.rule) for r in doc.errors(files).collect()} == {("b.json", "not a document")}
+    assert doc.loaded(files.filter("path like '%a.json'")).count() == 1
+    broken = sample.document()
+    broken["stateGraph"]["nodes"][0]["timestamp"] = 5
+    with pytest.raises(ValueError, match="checksum of stateGraph"):
         doc.loaded(sample.documents(spark, broken))
     with pytest.raises(Exception, match="no such state"):
         doc.state_difference(d, "list", "nowhere").collect()
-    only = doc.subset(d, states=["list", "list-hover"], molecules=["m2"])
-    assert [only[k].count() for k in ("states", "edges", "molecules")] == [2, 1, 1]
-    assert [r.rule for r in doc.errors(sample.documents(spark, {"version": "1"})).collect()][:1] == ["metadata is missing"]
+
+
+def test_checksums_are_those_of_the_browser_text(spark):
+    """A number written 1.0 is 1, small ones have a browser's exponent, the order of keys stays."""
+    text = '{"a":1,"b":[1e-7,0.000001,1.5],"c":null,"d":"\u00e9"}'
+    assert doc.stringify(json.loads('{"a": 1.0, "b": [1e-7, 1e-6, 1.50], "c": null, "d": "\\u00e9"}')) == text
+    made = doc.section_checksums({"visualData": {"b": 1.0, "a": 2}, "molecules": []})
+    assert made["visualDataChecksum"] == "sha256:" + hashlib.sha256(b'{"b":1,"a":2}').hexdigest() and set(made) == {"visualDataChecksum", "moleculeTreeChecksum"}
+    assert made["moleculeTreeChecksum"] == "sha256:" + hashlib.sha256(b"[]").hexdigest()
+
+
+def test_subsets_stay_documents(spark):
+    d = sample.documents(spark)
+    cut = doc.subset(d, 400, 900)
+    got = cut.head().doc
+    assert [len(got.visualData.keyframes), len(got.stateGraph.nodes), len(got.stateGraph.edges)] == [2, 2, 2]
+    assert doc.loaded(cut).count() == 1  # with new checksums
+    got = doc.subset(d, states=["list", "list-hover"], molecules=["m2"]).head().doc
+    assert [len(got.stateGraph.nodes), len(got.stateGraph.edges), len(got.molecules)] == [2, 1, 1]
+    assert len(doc.subset(d, end=500).head().doc.visualData.keyframes) == 2
+
+
+@pytest.mark.parametrize(
+    "change, rule",
+    [
+        (lambda x: x.pop("metadata"), "metadata is missing"),
+        (lambda x: x.update(molecules=[]), "molecules has not the right length"),
+        (lambda x: x.update(version="1"), "version is not well formed"),
+        (lambda x: x["stateGraph"]["edges"][0].update(probability=1.5), "stateGraph.edges[].probability is not within 0 and 1"),
+        (lambda x: x["stateGraph"]["edges"][1]["trigger"].update(type="luck"), "stateGraph.edges[].trigger.type is none of the known values"),
+        (lambda x: x["visualData"]["keyframes"][0].pop("visualHash"), "visualData.keyframes[].visualHash is missing"),
+        (lambda x: x["metadata"]["captureSettings"].update(frameRate=30), "metadata.captureSettings.frameRate is not within 60 and 240"),
+        (lambda x: x["metadata"]["fidelityScore"].update(overall=0.9), "warning: fidelity below 0.999"),
+    ],
+)
+def test_broken_documents(spark, change, rule):
+    broken = sample.document()
+    change(broken)
+    assert [r.rule for r in doc.errors(sample.documents(spark, broken)).collect()] == [rule]
 
 
 def test_pages_of_a_small_site(spark):
@@ -97,13 +143,25 @@ def test_cycles_by_component(spark):
 
 def test_pipelines(spark, tiny):
     out = session.create("timeline", shortest=0).analyze(v.frame_pairs(spark, tiny), v.frames(spark, tiny), v.events(spark, tiny))
-    assert all(df.count() >= 0 for df in out.values())
+    n = {k: df.count() for k, df in out.items()}
+    sessions = v.frames(spark, tiny).select("session").distinct().count()
+    assert n["keyframes"] - n["slices"] == sessions and n["correlations"] > 0
+    assert n["merged"] == out["merged"].filter("confidence >= 0.7").count()
     with pytest.raises(ValueError, match="two frames"):
         session.Timeline().analyze(v.frame_pairs(spark, tiny), v.frames(spark, tiny).limit(1), v.events(spark, tiny))
     parts = session.create("elements", least=0.6).decompose(v.boxes(spark, tiny))
     assert parts["depths"].count() == parts["elements"].count()
 
 
+def test_a_frame_number_of_one_session_is_not_another_s(spark):
+    rows = [(x, i, 100 * i, [200 * (x == 1 and i == 1)] * 4) for x in (1, 2) for i in range(3)]
+    frames = spark.createDataFrame(rows, "session long, frame_no long, ts_ms long, px array<int>")
+    pairs = frames.join(frames.select("session", (F.col("frame_no") + 1).alias("frame_no"), F.col("px").alias("prev_px")), ["session", "frame_no"])
+    events = spark.createDataFrame([(1, 1, 5, "a", 0.0, 0.0)], "id long, session long, ts_ms long, type string, x double, y double")
+    keys = session.create("timeline", shortest=0).analyze(pairs, frames, events)["keyframes"].collect()
+    assert sorted((r.session, r.frame_no, r.reason) for r in keys) == [(1, 0, "first"), (1, 1, "change"), (1, 2, "change"), (2, 0, "first"), (2, 2, "last")]
+
+
 def run_stream(df, name, mode):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
     q.processAllAvailable()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowscope.functions import scoring as sc
@@ -14,23 +15,27 @@ from flowscope.functions import scoring as sc
 ROLES = ("button", "link", "checkbox", "radio", "tab", "menuitem")
 MARKS = ("onclick", "ng-click", "data-click", "data-action")
 CLASSES = ("btn", "button", "clickable")
+#: Styles that hide an element and all within it.
+UNSEEN = re.compile(r"(^|;)(display:none|visibility:hidden|opacity:0(\.0*)?(;|$)|(width|height):0(px)?(;|$))")
 
 
 class _Elements(HTMLParser):
     def __init__(self):
         super().__init__()
-        self.found, self.path, self.counts = [], [], [{}]
+        self.found, self.path, self.counts, self.hidden = [], [], [{}], []
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         n = self.counts[-1][tag] = self.counts[-1].get(tag, 0) + 1
         step = f"{tag}:nth-of-type({n})"
+        hidden = any(self.hidden) or "hidden" in a or bool(UNSEEN.search(a.get("style", "").replace(" ", "").lower()))
         if self._interactive(tag, a):
             selector = f"#{a['id']}" if a.get("id") else " > ".join([*self.path, step])
-            self.found.append({"tag": tag, "role": a.get("role"), "kind": a.get("type"), "selector": selector, "hot": bool(a.keys() & {"onclick", "href", "role"}), "href": a.get("href"), "text": ""})
+            self.found.append({"tag": tag, "role": a.get("role"), "kind": a.get("type"), "selector": selector, "hot": bool(a.keys() & {"onclick", "href", "role"}), "pointer": "cursor:pointer" in a.get("style", "").replace(" ", "").lower(), "visible": not hidden, "enabled": "disabled" not in a, "href": a.get("href"), "text": ""})
         if tag not in ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"):
             self.path.append(step)
             self.counts.append({})
+            self.hidden.append(hidden)
 
     @staticmethod
     def _interactive(tag, a):
@@ -43,6 +48,7 @@ class _Elements(HTMLParser):
         for i in range(len(self.path) - 1, -1, -1):
             if self.path[i].split(":")[0] == tag:
                 del self.path[i:]
+                del self.hidden[i:]
                 del self.counts[i + 1 :]
                 break
 
@@ -52,9 +58,10 @@ class _Elements(HTMLParser):
 
 
 def detected(pages: DataFrame) -> DataFrame:
-    """(state, pos, selector, type, confidence, visible, enabled, href, text) of each page's interactive elements, each node once.
+    """(state, pos, selector, type, confidence, visible, enabled, role, href, text) of each page's interactive elements, each node once.
 
-    The tree needs a parser, in Arrow batches; type and confidence are columns.
+    visible by the styles and attributes written in the page, an element's own and those around it (see ``seen`` for places);
+    enabled unless disabled. The tree needs a parser, in Arrow batches; type and confidence are columns.
     """
 
     def run(batches):
@@ -66,9 +73,18 @@ def detected(pages: DataFrame) -> DataFrame:
                 out += [{"state": state, "pos": i} | e for i, e in enumerate(p.found)]
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    kinds = pa.schema([("state", pa.int64()), ("pos", pa.int64()), ("tag", pa.string()), ("role", pa.string()), ("kind", pa.string()), ("selector", pa.string()), ("hot", pa.bool_()), ("href", pa.string()), ("text", pa.string())])
-    rows = pages.select(F.col("id").alias("state"), "html").mapInArrow(run, "state long, pos long, tag string, role string, kind string, selector string, hot boolean, href string, text string")
-    return rows.select("state", "pos", "selector", sc.element_type(F.col("tag"), F.col("role"), F.col("kind")).alias("type"), sc.element_confidence(F.col("tag"), F.col("hot"), F.lit(False)).alias("confidence"), F.lit(True).alias("visible"), F.lit(True).alias("enabled"), "href", "text")
+    kinds = pa.schema([("state", pa.int64()), ("pos", pa.int64()), ("tag", pa.string()), ("role", pa.string()), ("kind", pa.string()), ("selector", pa.string()), ("hot", pa.bool_()), ("pointer", pa.bool_()), ("visible", pa.bool_()), ("enabled", pa.bool_()), ("href", pa.string()), ("text", pa.string())])
+    rows = pages.select(F.col("id").alias("state"), "html").mapInArrow(run, "state long, pos long, tag string, role string, kind string, selector string, hot boolean, pointer boolean, visible boolean, enabled boolean, href string, text string")
+    return rows.select("state", "pos", "selector", sc.element_type(F.col("tag"), F.col("role"), F.col("kind")).alias("type"), sc.element_confidence(F.col("tag"), F.col("hot"), F.col("pointer")).alias("confidence"), "visible", "enabled", "role", "href", "text")
+
+
+def seen(left, top, width, height, view_width, view_height, display="", visibility="", opacity=1.0, hidden_too: bool = False):
+    """Whether an element is visible: it has a size, isn't hidden by its style and, unless ``hidden_too``, meets the view."""
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    left, top, width, height, display, visibility, opacity = map(as_col, (left, top, width, height, display, visibility, opacity))
+    shown = (width > 0) & (height > 0) & (display != "none") & (visibility != "hidden") & (opacity != 0)
+    inside = (top < as_col(view_height)) & (top + height > 0) & (left < as_col(view_width)) & (left + width > 0)
+    return shown if hidden_too else shown & inside
 
 
 def action(kind):
@@ -90,7 +106,7 @@ def unexplored(elements: DataFrame, explored: DataFrame) -> DataFrame:
     return elements.join(explored.select("state", "selector"), ["state", "selector"], "left_anti")
 
 
-def next_element(elements: DataFrame, explored: DataFrame, strategy: str = "breadth-first", seed: int = 1) -> DataFrame:
+def next_element(elements: DataFrame, explored: DataFrame, strategy="breadth-first", seed: int = 1) -> DataFrame:
     """(state, pos, selector): of each state the next element that isn't explored.
 
     breadth-first takes the first found, depth-first the last, priority the highest score, guided (also "intelligent")
@@ -108,8 +124,26 @@ def next_element(elements: DataFrame, explored: DataFrame, strategy: str = "brea
         rows = rows.join(done, "state", "left").withColumn("done", F.coalesce("done", F.lit(0)))
         keys = [F.when(F.col("done") < 10, F.col("pos").cast("double")).when(F.col("done") < 50, -F.col("score").cast("double")).otherwise(dice.cast("double")), F.col("pos")]
     else:
-        keys = order.get(strategy, [F.col("pos")])
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("state").orderBy(*keys))).filter("k = 1").select("state", "pos", "selector")
+        keys = [*strategy(rows), F.col("pos")] if callable(strategy) else order.get(strategy, [F.col("pos")])
+    return queued(rows, keys).filter("place = 1").select("state", "pos", "selector")
+
+
+def queued(rows: DataFrame, keys) -> DataFrame:
+    """With ``place``: each row's place in its state's queue, 1 being the next."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("state").orderBy(*keys)))
+
+
+def exploration_statistics(elements: DataFrame, explored: DataFrame, strategy: str = "breadth-first") -> DataFrame:
+    """One row: the strategy, elements explored, elements left, and states with a score (those with elements)."""
+    done = elements.join(explored.select("state", "selector").distinct(), ["state", "selector"], "left_semi").agg(F.count("*").alias("explored"))
+    left = elements.agg(F.count("*").alias("n"), F.count_distinct("state").alias("scored"))
+    # two tables of one row each
+    return left.join(done).select(F.lit(strategy).alias("strategy"), "explored", (F.col("n") - F.col("explored")).alias("open"), "scored")
+
+
+def failed(attempts: DataFrame) -> DataFrame:
+    """Rows of interactions (state, selector, ts_ms, error) that came to nothing: clicks without a state they lead to."""
+    return attempts.select(F.concat_ws("_", F.lit("failed"), F.col("state").cast("string"), F.col("ts_ms").cast("string")).alias("id"), F.lit("click").alias("type"), "selector", F.col("state").cast("string").alias("from_state"), F.lit(None).cast("string").alias("to_state"), "ts_ms", F.lit(False).alias("successful"), F.coalesce("error", F.lit("unknown")).alias("error"))
 
 
 def open_counts(elements: DataFrame, explored: DataFrame) -> DataFrame:
@@ -119,11 +153,12 @@ def open_counts(elements: DataFrame, explored: DataFrame) -> DataFrame:
 
 
 def state_priorities(elements: DataFrame, states: DataFrame) -> DataFrame:
-    """(state, priority) from states (state, depth, title): many elements, small depth, forms and navigation first, errors last."""
-    e = elements.groupBy("state").agg(F.count("*").alias("n"), F.bool_or(F.col("type").isin("input", "select", "textarea")).alias("form"), F.bool_or(F.col("type") == "link").alias("nav"))
+    """(state, priority) from states (state, depth, url, title): many elements, small depth, forms and navigation first, errors last."""
+    leads = (F.col("type") == "link") | F.coalesce(F.col("role") == "navigation", F.lit(False))
+    e = elements.groupBy("state").agg(F.count("*").alias("n"), F.bool_or(F.col("type").isin("input", "select", "textarea")).alias("form"), F.bool_or(leads).alias("nav"))
     rows = states.join(e, "state", "left")
     no = lambda c: F.coalesce(c, F.lit(False))
-    score = sc.state_priority(F.coalesce("n", F.lit(0)), F.col("depth"), no("form"), no("nav"), F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit("error")))
+    score = sc.state_priority(F.coalesce("n", F.lit(0)), F.col("depth"), no("form"), no("nav"), F.contains(F.coalesce("url", F.lit("")), F.lit("error")) | F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit("error")))
     return rows.select("state", score.cast("bigint").alias("priority"))
 
 

@@ -19,9 +19,13 @@ def tag_sequence(html):
     return F.array_join(F.transform(F.regexp_extract_all(clean, F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), lambda t: F.lower(t)), ",")
 
 
-def with_hashes(pages: DataFrame) -> DataFrame:
-    """Adds struct_hash (of the tag sequence) and combined_hash (of visual, structural and url); nulls count as empty."""
-    out = pages.withColumn("struct_hash", F.sha2(tag_sequence(F.col("html")), 256))
+def with_hashes(pages: DataFrame, hasher=None) -> DataFrame:
+    """Adds struct_hash and combined_hash (of visual, structural and url); nulls count as empty.
+
+    ``hasher`` makes a column of the html column; by default the SHA-256 of the tag sequence.
+    """
+    own = hasher or (lambda html: F.sha2(tag_sequence(html), 256))
+    out = pages.withColumn("struct_hash", own(F.col("html")))
     return out.withColumn("combined_hash", F.sha2(F.concat_ws(":", F.coalesce("visual_hash", F.lit("")), "struct_hash", F.coalesce("url", F.lit(""))), 256))
 
 
@@ -64,11 +68,14 @@ def tree_hashes(pages: DataFrame) -> DataFrame:
 
 
 def canonical(pages: DataFrame) -> DataFrame:
-    """(id, same_as): the first state by id with the same combined hash, else with the same visual hash; an empty one matches nothing."""
-    rows = with_hashes(pages)
-    by_all = F.min("id").over(Window.partitionBy("combined_hash"))
-    by_sight = F.when(F.coalesce("visual_hash", F.lit("")) != "", F.min("id").over(Window.partitionBy("visual_hash")))
-    return rows.select("id", F.least(by_all, F.coalesce(by_sight, "id")).alias("same_as"))
+    """(id, same_as): the first state by id with the same combined hash, else with the same visual hash; an empty one matches nothing.
+
+    First states are found by partial sums and joined back, so a hash that most pages share costs no task more than others.
+    """
+    rows = with_hashes(pages).select("id", "combined_hash", F.nullif("visual_hash", F.lit("")).alias("visual_hash"))
+    first = lambda key, name: rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias(name))
+    both = rows.join(first("combined_hash", "by_all"), "combined_hash", "left").join(first("visual_hash", "by_sight"), "visual_hash", "left")
+    return both.select("id", F.least(F.coalesce("by_all", "id"), F.coalesce("by_sight", "id")).alias("same_as"))
 
 
 def jaccard(a, b, empty=1.0):
@@ -83,21 +90,34 @@ def structural_similarity(a, b, same_scroll=None, storage_a=None, storage_b=None
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(0.7 * jaccard(a, b, 0.0) + 0.2 * scroll + 0.1 * storage)
 
 
-def compared(pairs: DataFrame) -> DataFrame:
-    """Pairs of states (a_ and b_ of id, url, title, visual_hash, combined_hash, links) with similarity, differences and identical."""
+def compared(pairs: DataFrame, visual=None, like: float = 0.95, alike: float = 0.9) -> DataFrame:
+    """(a_id, b_id, visual, structural, differences, identical) of pairs of states: a_ and b_ of id, url, title, visual_hash, struct_hash, links.
+
+    States with equal visual and structural hashes are identical, whatever else they hold. ``visual`` is a column of
+    visual similarity; without it hashes decide it and it is no difference by itself. differences are (kind, severity):
+    visual and structural below their thresholds (critical below a half), content for another url (major) or title
+    (minor), interaction for another number of elements (major if more than five). Identical needs no difference and both
+    similarities.
+    """
     c = lambda n: (F.col(f"a_{n}"), F.col(f"b_{n}"))
     differs = lambda n: ~c(n)[0].eqNullSafe(c(n)[1])
-    sim = structural_similarity(*c("links"))
-    equal = c("combined_hash")[0] == c("combined_hash")[1]
+    equal = ~differs("visual_hash") & ~differs("struct_hash")
+    seen = F.when(~differs("visual_hash"), 1.0).otherwise(0.0) if visual is None else visual
+    sim, more = structural_similarity(*c("links")), F.abs(F.size("a_links") - F.size("b_links"))
+    note = lambda when, kind, severity: F.when(when, F.struct(F.lit(kind).alias("kind"), severity.alias("severity")))
+    low = lambda x: F.when(x < 0.5, "critical").otherwise("major")
     found = F.array_compact(F.array(
-        F.when(differs("visual_hash"), F.lit("visual")), F.when(sim < 0.9, F.lit("structural")), F.when(differs("url"), F.lit("url")), F.when(differs("title"), F.lit("title")), F.when(F.size("a_links") != F.size("b_links"), F.lit("elements")),
+        note(F.lit(False) if visual is None else seen < like, "visual", low(seen)), note(sim < alike, "structural", low(sim)), note(differs("url"), "content", F.lit("major")), note(differs("title"), "content", F.lit("minor")),
+        note(more > 0, "interaction", F.when(more > 5, "major").otherwise("minor")),
     ))
-    return pairs.select("a_id", "b_id", F.when(equal, 1.0).otherwise(sim).alias("similarity"), F.when(equal, F.array().cast("array<string>")).otherwise(found).alias("differences"), (equal | (F.size(found) == 0)).alias("identical"))
+    none = F.array().cast("array<struct<kind:string,severity:string>>")
+    out = pairs.withColumns({"_v": F.when(equal, 1.0).otherwise(seen), "_s": F.when(equal, 1.0).otherwise(sim), "_d": F.when(equal, none).otherwise(found)})
+    return out.select("a_id", "b_id", F.col("_v").alias("visual"), F.col("_s").alias("structural"), F.col("_d").alias("differences"), (equal | ((F.col("_v") >= like) & (F.col("_s") >= alike) & (F.size("_d") == 0))).alias("identical"))
 
 
 def neighbours(pages: DataFrame, key) -> DataFrame:
     """Each page with the next of its key, as a_ and b_ columns."""
-    cols = ["id", "url", "title", "visual_hash", "combined_hash", "links"]
+    cols = ["id", "url", "title", "visual_hash", "struct_hash", "links"]
     w = Window.partitionBy("_key").orderBy("id")
     rows = with_hashes(pages).withColumn("_key", key)
     both = rows.select(*(F.col(c).alias(f"a_{c}") for c in cols), *(F.lead(c).over(w).alias(f"b_{c}") for c in cols))

@@ -84,22 +84,34 @@ def correlated(cands: DataFrame, threshold: float = 0.6, near: float = 150.0) ->
     return per.withColumn("r", F.aggregate("cands", start, step)).select("session", "segment", "r.events", "r.confidence")
 
 
+def regions_meet(a, b):
+    """Whether any region (x, y, w, h) of one array touches one of the other; null arrays have none."""
+    touch = lambda p, q: (p["x"] <= q["x"] + q["w"]) & (q["x"] <= p["x"] + p["w"]) & (p["y"] <= q["y"] + q["h"]) & (q["y"] <= p["y"] + p["h"])
+    return F.coalesce(F.exists(a, lambda p: F.exists(b, lambda q: touch(p, q))), F.lit(False))
+
+
 def merged(spans: DataFrame, shortest: int, apart: float = 0.3) -> DataFrame:
     """Neighbouring slices of a session joined: a gap of at most twice ``shortest``, types equal or one complex, confidences
-    within ``apart``, and a common event. Only neighbours are compared, so running sums of breaks number the groups.
+    within ``apart``, and a common event or, where slices have ``regions``, regions that touch. Only neighbours are compared,
+    so running sums of breaks number the groups.
 
     (session, grp, start_ms, end_ms, type, confidence, slices, events): the type is complex unless all agree, the confidence
-    is the mean, events are without repeats.
+    is the mean, events are without repeats. ``regions`` (all) and ``frames`` (without repeats), if slices have them, in order.
     """
     w = Window.partitionBy("session").orderBy("start_ms", "segment")
     p = lambda c: F.lag(c).over(w)
+    common = F.coalesce(F.arrays_overlap(F.col("events"), p("events")), F.lit(False))
+    if "regions" in spans.columns:
+        common = common | regions_meet(F.col("regions"), p("regions"))
     same = (
         (F.col("start_ms") - p("end_ms") <= 2 * shortest) & ((F.col("type") == p("type")) | (F.col("type") == "complex") | (p("type") == "complex"))
-        & (F.abs(F.col("confidence") - p("confidence")) <= apart) & F.arrays_overlap(F.col("events"), p("events"))
+        & (F.abs(F.col("confidence") - p("confidence")) <= apart) & common
     )
     rows = spans.withColumn("grp", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w))
     kind = F.when(F.count_distinct("type") == 1, F.min("type")).otherwise("complex")
-    return rows.groupBy("session", "grp").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), kind.alias("type"), F.avg("confidence").alias("confidence"), F.count("*").alias("slices"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("events")))).alias("events"))
+    in_order = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "segment", c))), lambda e: e[c]))
+    more = [F.array_distinct(in_order("frames")).alias("frames")] * ("frames" in spans.columns) + [in_order("regions").alias("regions")] * ("regions" in spans.columns)
+    return rows.groupBy("session", "grp").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), kind.alias("type"), F.avg("confidence").alias("confidence"), F.count("*").alias("slices"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("events")))).alias("events"), *more)
 
 
 def primary_type(types: DataFrame, keys: list[str], kind: str = "type") -> DataFrame:
@@ -123,12 +135,13 @@ def top_values(rows: DataFrame, value, n: int = 3, width: int = 50) -> DataFrame
 
 
 def chains(events: DataFrame, keys: list[str], strict_reference: bool = False) -> DataFrame:
-    """One causal chain a key from (ts_ms, id, pct, confidence): trigger, links in time, duration, confidence, and its timing.
+    """One causal chain a key from (ts_ms, id, pct, confidence, delay): trigger, links in time, duration, confidence, and its timing.
 
-    settling: the last change above 1 % after the trigger; peak: the first largest change; animated: three links or more,
+    Times count from the trigger. initial_delay: the first link's delay, below 50 instantaneous; settling: the last change
+    above 1 %; peak: the first largest change, 0 if nothing changed; animated: three links or more,
     seven tenths of the inner ones between their neighbours. An id of the content, not of the clock.
     """
-    links = F.array_sort(F.collect_list(F.struct("ts_ms", "id", "pct", "confidence")))
+    links = F.array_sort(F.collect_list(F.struct("ts_ms", "id", "pct", "confidence", "delay")))
     c = events.groupBy(*keys).agg(links.alias("links"), F.avg("confidence").alias("mean"))
     n, first = F.size("links"), F.get("links", F.lit(0))
     felt = F.filter("links", lambda e: e["pct"] > 1)
@@ -147,10 +160,30 @@ def chains(events: DataFrame, keys: list[str], strict_reference: bool = False) -
     )
     span = F.get(felt, F.size(felt) - 1)["ts_ms"] - F.get(felt, F.lit(0))["ts_ms"]
     animated = smooth & (F.size(felt) > 0)
-    peak = F.get(F.filter("links", lambda e: e["pct"] == top), F.lit(0))["ts_ms"]
+    peak = F.when(top > 0, F.get(F.filter("links", lambda e: e["pct"] == top), F.lit(0))["ts_ms"] - first["ts_ms"]).otherwise(0)
     return c.select(
         *keys, F.sha2(F.concat_ws(",", F.transform("links", lambda e: e["id"].cast("string"))), 256).alias("chain_id"), first["id"].alias("trigger"), n.cast("bigint").alias("n"),
         (F.get("links", n - 1)["ts_ms"] - first["ts_ms"]).alias("duration"), sc.chain_confidence(F.col("mean"), n, strict_reference).alias("confidence"),
         F.when(F.size(felt) > 0, F.get(felt, F.size(felt) - 1)["ts_ms"] - first["ts_ms"]).otherwise(0).alias("settling"), peak.alias("peak_ms"),
+        first["delay"].alias("initial_delay"), (first["delay"] < 50).alias("instantaneous"),
         animated.alias("animated"), F.when(animated, span).alias("animation_ms"), F.when(animated, easing).alias("easing"),
     )
+
+
+def history(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """Correlations (id, ts_ms, ...) of the ``most`` events that came last; an event comes when its first correlation does."""
+    first = rows.groupBy("id").agg(F.min("ts_ms").alias("_first")).orderBy(F.desc("_first"), F.desc("id")).limit(most)
+    return rows.join(first.select("id"), "id", "left_semi")
+
+
+def event_history(rows: DataFrame, event) -> DataFrame:
+    """One event's correlations in order of time; none for an unknown one."""
+    return rows.filter(F.col("id") == F.lit(event)).orderBy("ts_ms")
+
+
+def patterns(rows: DataFrame, width: int = 50, most: int = 3) -> DataFrame:
+    """One row: the most common delays (rounded down to ``width``) and types of correlations (delay, type, confidence), and their mean confidence, 0 without any."""
+    ranked = lambda value, name: rows.groupBy(value.alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(most).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "value"))), lambda e: e["value"]).alias(name))
+    mean = rows.agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+    # three tables of one row each
+    return ranked(F.floor(F.col("delay") / width) * width, "delays").join(ranked(F.col("type"), "types")).join(mean)

@@ -51,7 +51,18 @@ def _nearest(s, d):
 
 
 def _chain_rows(s, d):
-    return v.events(s, d).select("session", "ts_ms", "id", (F.col("y") / 10).alias("pct"), (F.col("x") / 100).alias("confidence"))
+    return v.events(s, d).select("session", "ts_ms", "id", (F.col("y") / 10).alias("pct"), (F.col("x") / 100).alias("confidence"), sc.delay(F.col("x") / 100).alias("delay"))
+
+
+def _with_regions(s, d):
+    """Slices whose regions are boxes of 40 x 40 at their events' places, and whose frames are their events."""
+    box = lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), F.lit(40.0).alias("w"), F.lit(40.0).alias("h"))
+    return _slices(s, d).withColumns({"regions": F.transform("centres", box), "frames": F.transform("centres", lambda c: F.floor(c["x"] / 100).cast("bigint"))})
+
+
+def _history(s, d):
+    e = v.events(s, d)
+    return tl.history(e.select((F.col("id") % 997).alias("id"), "ts_ms", sc.delay(F.col("x") / 100).cast("bigint").alias("delay"), "type", (F.col("x") / 100).alias("confidence")), 100)
 
 
 QUERIES = {
@@ -66,7 +77,10 @@ QUERIES = {
     "primary_types": lambda s, d: tl.primary_type(v.events(s, d).select("session", "type"), ["session"]),
     "common_delays": lambda s, d: tl.top_values(v.events(s, d), F.col("y")),
     "common_types": lambda s, d: v.events(s, d).groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg(F.col("x") / 100), 6).alias("confidence")).orderBy(F.desc("n"), "type").limit(3),
-    "causal_chains": lambda s, d: (lambda c: c.select("session", "chain_id", "trigger", "n", "duration", F.round("confidence", 6).alias("confidence"), "settling", "peak_ms", "animated", F.coalesce("animation_ms", F.lit(-1)).alias("animation_ms"), F.coalesce("easing", F.lit("")).alias("easing")))(tl.chains(_chain_rows(s, d).withColumn("part", F.floor(F.col("ts_ms") / (6 * HOUR))), ["session", "part"])),
+    "causal_chains": lambda s, d: (lambda c: c.select("session", "chain_id", "trigger", "n", "duration", F.round("confidence", 6).alias("confidence"), "settling", "peak_ms", "initial_delay", "instantaneous", "animated", F.coalesce("animation_ms", F.lit(-1)).alias("animation_ms"), F.coalesce("easing", F.lit("")).alias("easing")))(tl.chains(_chain_rows(s, d).withColumn("part", F.floor(F.col("ts_ms") / (6 * HOUR))), ["session", "part"])),
+    "merged_by_regions": lambda s, d: tl.merged(_with_regions(s, d), 30 * 60 * 1000).select("session", "start_ms", "end_ms", "type", F.round("confidence", 6).alias("confidence"), "slices", F.array_join("events", ",").alias("events"), F.size("regions").cast("bigint").alias("regions"), F.array_join("frames", ",").alias("frames")),
+    "correlation_history": lambda s, d: _history(s, d).groupBy("id").agg(F.count("*").alias("n"), F.max("ts_ms").alias("last_ms")),
+    "correlation_patterns": lambda s, d: tl.patterns(_history(s, d)).select(F.array_join("delays", ",").alias("delays"), F.array_join("types", ",").alias("types"), F.round("confidence", 6).alias("confidence")),
     "asof_click": lambda s, d: _asof(s, d).select("session", "id", F.coalesce("asof_id", F.lit(-1)).alias("click"), F.coalesce("asof_x", F.lit(-1.0)).alias("x")),
     "nearest_view": lambda s, d: _nearest(s, d).select("session", "id", F.coalesce("nearest_id", F.lit(-1)).alias("view")),
     "buffer_range": lambda s, d: bf.in_range(_buffer(s, d), 1704100000000, 1704400000000).select("session", "id", "ts_ms"),
@@ -108,7 +122,7 @@ m AS (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER w <= 3600000 AND (type = l
 g AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY start_ms, segment) AS grp FROM m),
 mg AS (SELECT session, min(start_ms) AS start_ms, max(end_ms) AS end_ms, CASE WHEN count(DISTINCT type) = 1 THEN min(type) ELSE 'complex' END AS type, avg(confidence) AS confidence, count(*) AS slices, array_to_string(list_sort(list_distinct(flatten(list(ev)))), ',') AS events FROM g GROUP BY session, grp)"""
 _BUF = "WITH buf AS (SELECT user_id AS session, event_id AS pos, event_id AS id, epoch_us(ts) // 1000 AS ts_ms, length(props) AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events)"
-_CHAIN = f"""{_E}, r AS (SELECT session, ts_ms // 21600000 AS part, list({{'t': ts_ms, 'id': id, 'p': y / 10}} ORDER BY ts_ms, id) AS l, avg(x / 100) AS mean FROM v_event GROUP BY 1, 2),
+_CHAIN = f"""{_E}, r AS (SELECT session, ts_ms // 21600000 AS part, list({{'t': ts_ms, 'id': id, 'p': y / 10, 'c': x / 100}} ORDER BY ts_ms, id) AS l, avg(x / 100) AS mean FROM v_event GROUP BY 1, 2),
 q AS (SELECT *, len(l) AS n, list_transform(l, lambda e: e.p) AS p, list_filter(l, lambda e: e.p > 1) AS felt FROM r),
 z AS (SELECT *, list_max(p) AS top, n >= 3 AND len(list_filter(range(2, n), lambda i: (p[i - 1] <= p[i] AND p[i] <= p[i + 1]) OR (p[i - 1] >= p[i] AND p[i] >= p[i + 1]))) / (n - 2.0::DOUBLE) > 0.7 AS smooth,
       list_transform(range(2, n), lambda i: (p[i + 1] - 2 * p[i] + p[i - 1]) / list_max(p)) AS acc FROM q),
@@ -125,13 +139,24 @@ SELECT session, start_ms, end_ms, frames, round(mp, 5) AS mean_pct, round(least(
     "strong_slices": f"{_MERGED} SELECT type, count(*) AS n FROM mg WHERE confidence >= 0.7 GROUP BY type",
     "slice_statistics": f"""{_SEG}, t AS (SELECT type, count(*) AS n, min((start_ms, session, segment)) AS f FROM seg GROUP BY type)
 SELECT count(*) AS slices, count(DISTINCT session) AS sessions, round(avg(end_ms - start_ms), 4) AS mean_ms, (SELECT type FROM t ORDER BY n DESC, f LIMIT 1) AS common FROM seg""",
+    "merged_by_regions": f"""{_COR}, sl AS (SELECT seg.session, segment, start_ms, end_ms, type, cor.confidence, ev, centres FROM seg JOIN cor USING (session, segment)),
+m AS (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER w <= 3600000 AND (type = lag(type) OVER w) AND abs(confidence - lag(confidence) OVER w) <= 0.3
+  AND (list_has_any(ev, lag(ev) OVER w) OR len(list_filter(centres, lambda p: len(list_filter(lag(centres) OVER w, lambda q: abs(p.x - q.x) <= 40 AND abs(p.y - q.y) <= 40)) > 0)) > 0) THEN 0 ELSE 1 END AS new FROM sl WINDOW w AS (PARTITION BY session ORDER BY start_ms, segment)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY start_ms, segment) AS grp FROM m),
+fr AS (SELECT session, grp, frame, min((start_ms, segment, i)) AS first FROM (SELECT session, grp, start_ms, segment, unnest(range(1, len(centres) + 1)) AS i, CAST(floor(unnest(centres).x / 100) AS BIGINT) AS frame FROM g) GROUP BY 1, 2, 3)
+SELECT session, min(start_ms) AS start_ms, max(end_ms) AS end_ms, CASE WHEN count(DISTINCT type) = 1 THEN min(type) ELSE 'complex' END AS type, round(avg(confidence), 6) AS confidence, count(*) AS slices, array_to_string(list_sort(list_distinct(flatten(list(ev)))), ',') AS events,
+ CAST(sum(len(centres)) AS BIGINT) AS regions, any_value(f) AS frames FROM g JOIN (SELECT session, grp, string_agg(CAST(frame AS VARCHAR), ',' ORDER BY first) AS f FROM fr GROUP BY 1, 2) USING (session, grp) GROUP BY session, grp""",
+    "correlation_history": f"{_E}, h AS (SELECT id % 997 AS id, ts_ms FROM v_event), k AS (SELECT id FROM h GROUP BY id ORDER BY min(ts_ms) DESC, id DESC LIMIT 100) SELECT id, count(*) AS n, max(ts_ms) AS last_ms FROM h WHERE id IN (SELECT id FROM k) GROUP BY id",
+    "correlation_patterns": f"""{_E}, h AS (SELECT id % 997 AS id, ts_ms, type, x / 100 AS c, CASE WHEN x / 100 > 0.8 THEN 0 WHEN x / 100 > 0.5 THEN 100 ELSE 300 END AS delay FROM v_event), k AS (SELECT id FROM h GROUP BY id ORDER BY min(ts_ms) DESC, id DESC LIMIT 100),
+r AS (SELECT * FROM h WHERE id IN (SELECT id FROM k)), d AS (SELECT delay // 50 * 50 AS value, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, value LIMIT 3), t AS (SELECT type AS value, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, value LIMIT 3)
+SELECT (SELECT string_agg(CAST(value AS VARCHAR), ',' ORDER BY n DESC, value) FROM d) AS delays, (SELECT string_agg(value, ',' ORDER BY n DESC, value) FROM t) AS types, (SELECT round(avg(c), 6) FROM r) AS confidence""",
     "primary_types": f"""{_E}, n AS (SELECT session, type, count(*) AS n FROM v_event GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY session ORDER BY n DESC) AS k FROM n)
 SELECT session, CASE WHEN count(*) > 1 THEN 'complex' ELSE min(type) END AS primary FROM r WHERE k = 1 GROUP BY session""",
     "common_delays": f"{_E} SELECT CAST(floor(y / 50) * 50 AS BIGINT) AS value, count(*) AS n FROM v_event GROUP BY 1 ORDER BY n DESC, value LIMIT 3",
     "common_types": f"{_E} SELECT type, count(*) AS n, round(avg(x / 100), 6) AS confidence FROM v_event GROUP BY 1 ORDER BY n DESC, type LIMIT 3",
     "causal_chains": f"""{_CHAIN} SELECT session, sha256(array_to_string(list_transform(l, lambda e: e.id), ',')) AS chain_id, l[1].id AS trigger, n, l[n].t - l[1].t AS duration,
  round(mean * greatest(0, least(1, 1 - (n - 5) * 0.1::DOUBLE)), 6) AS confidence, CASE WHEN len(felt) > 0 THEN felt[len(felt)].t - l[1].t ELSE 0 END AS settling,
- list_filter(l, lambda e: e.p = top)[1].t AS peak_ms, anim AS animated, CASE WHEN anim THEN felt[len(felt)].t - felt[1].t ELSE -1 END AS animation_ms,
+ CASE WHEN top > 0 THEN list_filter(l, lambda e: e.p = top)[1].t - l[1].t ELSE 0 END AS peak_ms, CASE WHEN l[1].c > 0.8 THEN 0 WHEN l[1].c > 0.5 THEN 100 ELSE 300 END AS initial_delay, l[1].c > 0.8 AS instantaneous, anim AS animated, CASE WHEN anim THEN felt[len(felt)].t - felt[1].t ELSE -1 END AS animation_ms,
  CASE WHEN NOT anim THEN '' WHEN n < 5 OR abs(am) < 0.05 THEN 'linear' WHEN am > 0.1 THEN 'ease-in' WHEN am < -0.1 THEN 'ease-out' WHEN a1 > 0 AND a2 < 0 THEN 'ease-in-out' ELSE 'custom' END AS easing FROM y""",
     "asof_click": f"{_E} SELECT p.session, p.id, coalesce(c.id, -1) AS click, coalesce(c.x, -1) AS x FROM (SELECT * FROM v_event WHERE type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM v_event WHERE type = 'click') c ON p.session = c.session AND p.ts_ms >= c.ts_ms",
     "nearest_view": f"""{_E} SELECT session, id, coalesce(w, -1) AS view FROM (SELECT e.session, e.id, v.id AS w, row_number() OVER (PARTITION BY e.session, e.id ORDER BY abs(v.ts_ms - e.ts_ms), v.id) AS k

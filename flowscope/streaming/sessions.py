@@ -50,8 +50,28 @@ def keyframes(frames: DataFrame, pct_over: float = 30.0, longest: int = 2000) ->
 
 
 def correlation_history(rows: DataFrame, most: int = 1000) -> DataFrame:
-    """(id, n): how many correlations of each event (id, ts) came so far; state older than the watermark's hour goes."""
-    return rows.withWatermark("ts", "1 hour").groupBy("id").agg(F.count("*").alias("n"))
+    """(source, id, n): how many correlations of each event (source, id, ts, clear) of a source are held after each micro-batch.
+
+    The state is the ``most`` events of a source that came last, so it never grows beyond them; the first to come goes first.
+    A row with ``clear`` forgets all that came before it. Rows of a micro-batch come in the order of ts, then id.
+    """
+
+    def step(key, batches, state: GroupState):
+        ids, counts = (list(x) for x in state.get) if state.exists else ([], [])
+        held = dict(zip(ids, counts, strict=True))
+        for pdf in batches:
+            for r in pdf.sort_values(["ts", "id"]).itertuples(index=False):
+                if r.clear:
+                    held.clear()
+                    continue
+                held[r.id] = held.get(r.id, 0) + 1
+                if len(held) > most:
+                    del held[next(iter(held))]
+        state.update((list(held), list(held.values())))
+        yield pd.DataFrame({"source": [key[0]] * len(held), "id": list(held), "n": list(held.values())})
+
+    cols = rows.select("source", "id", "ts", F.coalesce("clear", F.lit(False)).alias("clear"))
+    return cols.groupBy("source").applyInPandasWithState(step, "source long, id long, n long", "ids array<long>, counts array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def segments(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:

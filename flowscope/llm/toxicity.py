@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, vocabulary
             x = [(f := np.frombuffer(b, np.float32).astype(float), evidence(ruzzo_tompa(f), len(f), lam, ln_k))[1] for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], ["y", "best", "more"])
 
-    rows = np.array([tuple(r) for r in scored.mapInArrow(gather, "y int, best double, more double").orderBy("y", "best", "more").collect()], float)  # train_rows at most
+    rows = np.array(sorted(tuple(r) for r in scored.mapInArrow(gather, "y int, best double, more double").collect()), float)  # train_rows at most
     return ToxicityModel(of_folds([0, 1]), lam, ln_k, fit_logistic(rows[:, 1:], rows[:, 0]).tolist())
 
 

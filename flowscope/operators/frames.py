@@ -180,16 +180,16 @@ def visual_similarity(threshold: float = 0.1, planes=RGB):
 def content_bounds(frames: DataFrame, below: int = 240, side: int = SIDE) -> DataFrame:
     """(frame_no, x, y, w, h, alignment, padding): the box of pixels darker than ``below``; a blank frame is its own box.
 
-    padding is what is left around it: top, right, bottom, left.
+    padding is the space around it: top and left to the first row and column, right and bottom from the last to the full size.
     """
     inside = F.filter(F.sequence(F.lit(0), F.size("px") - 1), lambda i: F.get("px", i) < below)
     high = F.floor(F.size("px") / side).cast("int")
     xs, ys = F.transform(inside, lambda i: i % side), F.transform(inside, lambda i: F.floor(i / side).cast("int"))
     lo = lambda a: F.coalesce(F.array_min(a), F.lit(0))
     hi = lambda a, n=F.lit(side): F.coalesce(F.array_max(a), n - 1)
-    left, right = lo(xs), side - 1 - hi(xs)
-    padding = F.struct(lo(ys).alias("top"), right.alias("right"), (high - 1 - hi(ys, high)).alias("bottom"), left.alias("left"))
-    align = F.when(F.abs(left - right) <= 5, "center").when(left < right, "left").otherwise("right")
+    left, right = lo(xs), side - hi(xs)
+    padding = F.struct(lo(ys).alias("top"), right.alias("right"), (high - hi(ys, high)).alias("bottom"), left.alias("left"))
+    align = F.when(F.abs(left - right) < 5, "center").when(left < right, "left").otherwise("right")
     return frames.select("frame_no", lo(xs).alias("x"), lo(ys).alias("y"), (hi(xs) - lo(xs) + 1).alias("w"), (hi(ys, high) - lo(ys) + 1).alias("h"), align.alias("alignment"), padding.alias("padding"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowscope.operators import frames as fr
+from flowscope.operators import properties as pr
 from flowscope.plans import views as v
 
 
@@ -12,6 +13,13 @@ def _rounded(df, keys, cols, digits=5):
     return df.select(*keys, *(F.round(c, digits).alias(c) for c in cols))
 
 
+def _looks(s, d):
+    """Two crops of each frame: its left upper part, and one that begins outside and is wider than the frame."""
+    i = v.frames(s, d).select(F.col("frame_no").alias("image"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("px").alias("r"), F.col("px").alias("g"), F.col("px").alias("b"), "px", F.transform("px", lambda x: 255 - x).alias("alpha"))
+    at = F.array(F.struct(F.lit(0).alias("pos"), F.lit(1.0).alias("x"), F.lit(2.5).alias("y"), F.lit(5.0).alias("w"), F.lit(4.9).alias("h"), F.lit("button").alias("type")), F.struct(F.lit(1).alias("pos"), F.lit(-3.0).alias("x"), F.lit(3.0).alias("y"), F.lit(99.0).alias("w"), F.lit(2.0).alias("h"), F.lit("image").alias("type")))
+    return pr.extracted(pr.crops(i, i.select("image", F.inline(at))))
+
+
 _KEYS = ["session", "frame_no"]
 QUERIES = {
     "frame_pair_metrics": lambda s, d: _rounded(fr.metrics(v.frame_pairs(s, d)), _KEYS, ["mse", "psnr", "ssim", "histogram_diff", "edge_diff", "color_diff"]),
@@ -27,6 +35,7 @@ QUERIES = {
     "visual_similarity": lambda s, d: v.color_pairs(s, d).select(*_KEYS, F.round(fr.visual_similarity(), 6).alias("similarity")),
     "visual_differences": lambda s, d: fr.visual_differences(v.color_pairs(s, d)),
     "content_padding": lambda s, d: fr.content_bounds(v.frames(s, d), 120).select("frame_no", *(F.col(f"padding.{c}").cast("bigint").alias(c) for c in ("top", "right", "bottom", "left"))),
+    "element_looks": lambda s, d: _looks(s, d).select("image", "pos", "width", "height", F.col("colors.background.r").alias("back_r"), F.col("colors.foreground.r").alias("fore_r"), F.coalesce("gradient.angle", F.lit(0)).alias("angle"), F.round("opacity", 6).alias("opacity"), *(F.col(f"padding.{k}").alias(f"pad_{k}") for k in ("top", "right", "bottom", "left")), F.coalesce("typography.size", F.lit(0)).alias("font"), F.coalesce("typography.align", F.lit("")).alias("align")),
     "region_kinds": lambda s, d: fr.regions(v.frame_pairs(s, d), reach=4, step=1).select(*_KEYS, "region", "kind"),
     "total_regions": lambda s, d: fr.regions(v.frame_pairs(s, d), kinds=False).groupBy("session").agg(F.count("*").alias("n")),
 }
@@ -69,7 +78,21 @@ s AS (SELECT *, len(list_filter(a, lambda p: p > 10)) AS sa, len(list_filter(b,
     AND len(list_filter(cells, lambda i: 3 * abs(px[i + 8 * (m // 9 - 4) + m % 9 - 4 + 1] - prev_px[i + 1]) < 30)) / len(cells)::DOUBLE > 0.9)) AS moves FROM u)
 SELECT session, frame_no, region, CASE WHEN sa = 0 AND sb > 0 THEN 'appearance' WHEN sa > 0 AND sb = 0 THEN 'disappearance' WHEN moves > 0 THEN 'movement' WHEN sa > 0 AND NOT (sb / sa::DOUBLE BETWEEN 0.8 AND 1.2) THEN 'transformation'
   WHEN sqrt(3.0::DOUBLE) * abs(list_avg(a) - list_avg(b)) > 50 THEN 'style' WHEN abs(ta - tb) > 0.2 THEN 'text' WHEN abs(radius - sqrt(w * h) / 2) < 0.3 * sqrt(w * h) / 2 THEN 'animation' ELSE 'complex' END AS kind FROM s"""
+# the crop (1, 2, 5, 4) and the crop (0, 3, 8, 2) of a grey frame; a palette colour is the mean of the pixels in an eighth of 256
+_LOOKS = f"""{_FRAME}, b AS (SELECT frame_no AS image, CAST(pos AS INTEGER) AS pos, w AS width, h AS height, list_transform(list_filter(range(0, 64), lambda i: i % 8 >= x AND i % 8 < x + w AND i // 8 >= y AND i // 8 < y + h), lambda i: px[i + 1]) AS p
+  FROM v_frame, (VALUES (0, 1, 2, 5, 4), (1, 0, 3, 8, 2)) AS c(pos, x, y, w, h)),
+k AS (SELECT *, [p[1], p[width], p[width * (height - 1) + 1], p[width * height]] AS corner, list_filter(range(0, len(p)), lambda i: p[i + 1] < 240) AS inside FROM b),
+g AS (SELECT *, list_transform(corner, lambda c: len(list_filter(corner, lambda d: d = c))) AS n FROM k),
+u AS (SELECT image, pos, unnest(p) AS x FROM b), q AS (SELECT image, pos, x // 8 AS code, count(*) AS n, CAST(floor(avg(x) + 0.5) AS INTEGER) AS c FROM u GROUP BY 1, 2, 3),
+t AS (SELECT image, pos, list(c ORDER BY n DESC, code) AS pal FROM (SELECT *, row_number() OVER (PARTITION BY image, pos ORDER BY n DESC, code) AS k FROM q) WHERE k <= 5 GROUP BY 1, 2),
+z AS (SELECT *, corner[list_position(n, list_max(n))] AS back, list_min(list_transform(inside, lambda i: i % width)) AS x0, list_max(list_transform(inside, lambda i: i % width)) AS x1, list_min(list_transform(inside, lambda i: i // width)) AS y0, list_max(list_transform(inside, lambda i: i // width)) AS y1,
+  p[width // 2 + 1] AS top, p[width * (height - 1) + width // 2 + 1] AS low, p[width * (height // 2) + 1] AS lef, p[width * (height // 2) + width] AS rig FROM g JOIN t USING (image, pos))
+SELECT image, pos, width, height, back AS back_r, CASE WHEN list_max(list_transform(pal, lambda c: abs(c - back))) > 0 THEN pal[list_position(list_transform(pal, lambda c: abs(c - back)), list_max(list_transform(pal, lambda c: abs(c - back))))] ELSE 0 END AS fore_r,
+ CASE WHEN sqrt(3.0::DOUBLE) * abs(top - low) > 30 THEN 180 WHEN sqrt(3.0::DOUBLE) * abs(lef - rig) > 30 THEN 90 ELSE 0 END AS angle, round((255 - list_avg(p)) / 255, 6) AS opacity,
+ y0 AS pad_top, width - x1 AS pad_right, height - y1 AS pad_bottom, x0 AS pad_left, CASE WHEN pos = 0 THEN CAST(floor(height * 0.7 + 0.5) AS INTEGER) ELSE 0 END AS font,
+ CASE WHEN pos = 1 THEN '' WHEN abs(x0 - (width - x1)) < 5 THEN 'center' WHEN x0 < width - x1 THEN 'left' ELSE 'right' END AS align FROM z"""
 ORACLE = {
+    "element_looks": _LOOKS,
     "region_kinds": _KIND.replace("{P}", _P).replace("{DIFF}", _DIFF),
     "color_pair_metrics": f"""{_C}, m AS (SELECT *, list_sum(list_transform({_Z}, lambda z: CAST(pow(z[1] - z[4], 2) + pow(z[2] - z[5], 2) + pow(z[3] - z[6], 2) AS DOUBLE))) / 192 AS e, {_sobel('r')} AS e1, {_sobel('prev_r')} AS e2, list_concat(r, g, b) AS a1, list_concat(prev_r, prev_g, prev_b) AS a0 FROM v_rgb)
 SELECT session, frame_no, round(e, 5) AS mse, CASE WHEN e = 0 THEN 'inf'::DOUBLE ELSE round(10 * log10(65025.0::DOUBLE / e), 5) END AS psnr,
@@ -81,7 +104,7 @@ SELECT session, frame_no, round(e, 5) AS mse, CASE WHEN e = 0 THEN 'inf'::DOUBLE
  sqrt(pow(list_avg(r) - list_avg(prev_r), 2) + pow(list_avg(g) - list_avg(prev_g), 2) + pow(list_avg(b) - list_avg(prev_b), 2)) > 50 AS style FROM v_rgb""",
     "visual_similarity": f"{_C} SELECT session, frame_no, round(1 - len(list_filter({_Z}, lambda z: {_FAR} > 352.15::DOUBLE)) / 64.0::DOUBLE, 6) AS similarity FROM v_rgb",
     "content_padding": f"""{_FRAME}, m AS (SELECT frame_no, coalesce(list_min({_XS}), 0) AS x0, coalesce(list_max({_XS}), 7) AS x1, coalesce(list_min({_YS}), 0) AS y0, coalesce(list_max({_YS}), 7) AS y1 FROM v_frame)
-SELECT frame_no, y0 AS top, 7 - x1 AS right, 7 - y1 AS bottom, x0 AS left FROM m""",
+SELECT frame_no, y0 AS top, 8 - x1 AS right, 8 - y1 AS bottom, x0 AS left FROM m""",
     "frame_pair_metrics": f"""{_P}, m AS (SELECT *, list_sum(list_transform({_DIFF}, lambda x: CAST(x * x AS DOUBLE))) / 64 AS e, {_sobel('px')} AS e1, {_sobel('prev_px')} AS e2 FROM v_pair)
 SELECT session, frame_no, round(e, 5) AS mse, CASE WHEN e = 0 THEN 'inf'::DOUBLE ELSE round(10 * log10(65025.0::DOUBLE / e), 5) END AS psnr, round(1 - e / 65025.0::DOUBLE, 5) AS ssim,
  round(list_sum(list_transform(range(0, 256), lambda k: CAST(abs(len(list_filter(px, lambda p: p = k)) - len(list_filter(prev_px, lambda p: p = k))) AS DOUBLE))) / 64, 5) AS histogram_diff,
@@ -98,7 +121,7 @@ SELECT session, frame_no, len(c) AS changed_pixels, round(100.0::DOUBLE * len(c)
 SELECT session, frame_no, round(len(list_filter({_DIFF}, lambda x: 3 * x < 30)) / 64.0::DOUBLE, 6) AS similarity, s1 AS size, s1 = 0 AS empty, round(a1, 5) AS average,
  sqrt(3.0::DOUBLE) * abs(a1 - a0) > 50 AS style, CASE WHEN s0 = 0 THEN s1 > 0 ELSE s1 / s0 < 0.8 OR s1 / s0 > 1.2 END AS resized, abs(t1 - t0) > 0.2 AS text, coalesce(abs(radius - 4) < 1.2, false) AS animated FROM m""",
     "content_bounds": f"""{_FRAME}, m AS (SELECT frame_no, coalesce(list_min({_XS}), 0) AS x0, coalesce(list_max({_XS}), 7) AS x1, coalesce(list_min({_YS}), 0) AS y0, coalesce(list_max({_YS}), 7) AS y1 FROM v_frame)
-SELECT frame_no, x0 AS x, y0 AS y, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, CASE WHEN abs(x0 - (7 - x1)) <= 5 THEN 'center' WHEN x0 < 7 - x1 THEN 'left' ELSE 'right' END AS alignment FROM m""",
+SELECT frame_no, x0 AS x, y0 AS y, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, CASE WHEN abs(x0 - (8 - x1)) < 5 THEN 'center' WHEN x0 < 8 - x1 THEN 'left' ELSE 'right' END AS alignment FROM m""",
     "changed_regions": f"""{_P}, c AS (SELECT session, frame_no, i, d FROM (SELECT session, frame_no, unnest(range(0, 64)) AS i, unnest({_DIFF}) AS d FROM v_pair) WHERE d > 25),
 near AS (SELECT a.session, a.frame_no, a.i AS a, b.i AS b FROM c a JOIN c b ON a.frame_no = b.frame_no AND abs(a.i // 8 - b.i // 8) <= 1 AND abs(a.i % 8 - b.i % 8) <= 1),
 r(session, frame_no, a, b) AS (SELECT session, frame_no, i, i FROM c UNION SELECT r.session, r.frame_no, r.a, n.b FROM r JOIN near n ON n.frame_no = r.frame_no AND n.a = r.b),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from flowscope.functions import color, equations as eq, geometry as geo, jsjson, scoring as sc
 from flowscope.functions.js import js_round
@@ -104,3 +106,44 @@ def test_formulas_like_python(a, b, c):
 def test_json_as_a_browser_writes_it():
     assert jsjson.stringify({"b": 1.0, "a": [None, True, 1e21, 1e-7, 0.1, -2.5e-9], "é": " \"x"}) == '{"b":1,"a":[null,true,1e+21,1e-7,0.1,-2.5e-9],"é":" \\"x"}'
     assert jsjson.number(1e20) == "100000000000000000000" and jsjson.number(1.5e300) == "1.5e+300" and jsjson.number(0.00001) == "0.00001"
+
+
+def test_boxes_that_touch_are_one():
+    rng = random.Random(3)
+    for _ in range(60):
+        boxes = [(rng.randrange(30), rng.randrange(30), rng.randrange(1, 6), rng.randrange(1, 6)) for _ in range(rng.randrange(9))]
+        want = {(x, y, x + w, y + h) for x, y, w, h in boxes}
+        while True:  # by definition: join any two that touch until none do
+            hit = next(((a, b) for a in want for b in want if a < b and a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]), None)
+            if hit is None:
+                break
+            a, b = hit
+            want = (want - {a, b}) | {(min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))}
+        assert sorted(fr.joined(boxes)) == sorted((x, y, u - x, v - y) for x, y, u, v in want)
+
+
+def test_frames_of_other_sizes(spark):
+    """Twice as wide as high, by plain loops."""
+    rng = random.Random(5)
+    a, b = ([rng.randrange(256) for _ in range(32)] for _ in range(2))
+    df = spark.createDataFrame([(1, 1, a, b)], "session long, frame_no long, px array<int>, prev_px array<int>")
+
+    def edges(p):
+        out = [0] * 32
+        for y in range(1, 3):
+            for x in range(1, 7):
+                at = lambda dy, dx: p[(y + dy) * 8 + x + dx]  # noqa: E731, B023
+                gx = at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)
+                gy = at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)
+                out[y * 8 + x] = int((gx * gx + gy * gy) ** 0.5) % 256
+        return out
+
+    assert df.select(fr.sobel("px", 8)).head()[0] == edges(a)
+    got = fr.metrics(df, side=8).head()
+    assert abs(got.edge_diff - sum(abs(x - y) for x, y in zip(edges(a), edges(b))) / 32) < 1e-9
+    assert abs(got.color_diff - sum(abs(a[i * 6] - b[i * 6]) for i in range(5)) / 1275) < 1e-9
+    assert fr.content_bounds(df.select("frame_no", "px"), 0, 8).head().h == 4
+    one = fr.region_measures(df, 8).head()
+    assert one.size == sum(x > 10 for x in a)
+    both = spark.createDataFrame([([0], [0, 0])], "px array<int>, prev_px array<int>")
+    assert both.select(fr.visual_similarity(planes=fr.GREY)).head()[0] == 0.0

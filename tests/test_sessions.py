@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import json
 import os
@@ -5,9 +6,11 @@ import os
 import pytest
 from flowscope import session
 from flowscope.operators import document as doc
+from flowscope.operators import elements as el
 from flowscope.operators import explore as ex
 from flowscope.operators import graph as g
 from flowscope.operators import states as st
+from flowscope.operators import timeline as tl
 from flowscope.plans import views as v
 from flowscope.sources import export, readers, sample
 from flowscope.streaming import sessions as stream
@@ -206,3 +209,33 @@ def test_session_windows_and_counts(spark, tiny, tmp_path):
     run_stream(stream.segments(live), "segs", "append")
     closed = spark.table("segs").agg(F.sum("n")).head()[0]
     assert 0 < closed <= src.count()
+
+
+def test_history_stream_is_bounded_and_can_be_cleared(spark, tmp_path):
+    ts = lambda i: datetime.datetime(2024, 1, 1, 0, 0, i)
+    rows = [(1, i % 7, ts(i), None) for i in range(30)] + [(2, 1, ts(1), False), (2, 9, ts(2), True), (2, 3, ts(3), None)]
+    df = spark.createDataFrame(rows, "source long, id long, ts timestamp, clear boolean")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    run_stream(stream.correlation_history(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 3), "history", "update")
+    held, want = {}, {}
+    for i in range(30):  # the same by hand
+        held[i % 7] = held.get(i % 7, 0) + 1
+        if len(held) > 3:
+            del held[next(iter(held))]
+    want = {(1, k, n) for k, n in held.items()} | {(2, 3, 1)}
+    assert {tuple(r) for r in spark.table("history").collect()} == want
+    t = spark.createDataFrame([(i % 7, 100 * i) for i in range(30)], "id long, ts_ms long")
+    assert {r.id for r in tl.history(t, 3).select("id").distinct().collect()} == {4, 5, 6} and tl.event_history(t, 2).count() == 5 and tl.event_history(t, 99).count() == 0
+
+
+def test_visible_elements(spark):
+    html = '<div style="display: none"><a href="/a">x</a></div><a href="/b" style="opacity:0.5">y</a><button disabled>z</button><a href="/c" style="opacity:0">w</a><a href="/d" hidden>v</a><a href="/e" style="cursor: pointer">u</a>'
+    got = ex.detected(spark.createDataFrame([(1, html)], "id long, html string")).orderBy("pos").collect()
+    assert [(r.visible, r.enabled) for r in got] == [(False, True), (True, True), (True, False), (False, True), (False, True), (True, True)]
+    assert round(got[5].confidence, 6) == 1.0
+
+
+def test_outputs_of_a_model_in_four_arrays(spark):
+    rows = spark.createDataFrame([(1, [0.1, 0.2, 0.5, 0.6, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.1, 0.1], [0.9, 0.4, 0.8], [3.0, 1.0, 0.0], 2)], "id long, boxes array<double>, scores array<double>, classes array<double>, n int")
+    (r,) = el.parsed_tensors(rows).collect()  # the second is unsure, the third beyond n
+    assert [round(x, 6) for x in (r.x, r.y, r.w, r.h, r.confidence)] == [64.0, 128.0, 256.0, 256.0, 0.9] and r.type_no == 3

@@ -1,4 +1,4 @@
-"""All registered queries of the session engine, and the SQL each is checked against."""
+"""All registered queries on recordings and graphs, and the SQL each is checked against."""
 
 from __future__ import annotations
 

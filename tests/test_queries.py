@@ -1,4 +1,4 @@
-"""Every registered query of the session engine against its SQL on DuckDB."""
+"""Every registered query of the catalog against its SQL on DuckDB."""
 
 import math
 

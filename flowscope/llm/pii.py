@@ -337,7 +337,7 @@ def train(examples: int = 900, passes: int = 6, rate: float = 0.15, decay: float
 PIECE = 400
 _DIGITS = re.compile(r"[0-9@]+")
 _AT, _DOT = re.compile(r"\bat\b", re.I), re.compile(r"\bdot\b", re.I)
-_SECRET = re.compile(r"\b(?:password|passwd|pwd|passcode|secret|token|key)[\"']?\s{0,3}(?:[:=]|\bis\b)\s{0,3}[\"']?", re.I)
+_SECRET = re.compile(r"\b(?:password|passwd|pwd|passcode|secret|token|key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?", re.I)
 
 
 def marked(text: str, toks: list[tuple[int, int]]) -> np.ndarray:

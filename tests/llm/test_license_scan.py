@@ -1,7 +1,8 @@
 import random
 import re
 
-from flowscope.llm.license_scan import TEMPLATES, common, increasing, licenses, op3, patience
+import pytest
+from flowscope.llm.license_scan import TEMPLATES, common, increasing, licenses, load_templates, op3, patience
 
 
 def lcs(a, b):
@@ -53,3 +54,51 @@ def test_edited_long_text_and_odd_rows(spark):
     assert set(got) == {(1, "MIT"), (None, "MIT-notice")}
     assert abs(got[1, "MIT"].coverage - (len(w) - 3) / len(w)) < 0.02 and got[1, "MIT"].start == 30
     assert licenses(docs.filter("false")).count() == 0
+
+
+def test_whole_texts_two_ways(spark):
+    """Places found are those of a search of every window by longest common subsequences; coverage below 1 too."""
+    rng = random.Random(6)
+    words = lambda t: [x for x in (w.lower().strip("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~") for w in t.split()) if x]
+    rows, names = [], ["ISC", "Zlib", "MIT-notice", "All-rights-reserved"]
+    for i in range(24):
+        w = TEMPLATES[names[i % 4]].split()
+        cut = rng.choice([0, 0.05, 0.15, 0.3])
+        kept = [x if rng.random() > cut / 2 else rng.choice(["other", ""]) for x in w if rng.random() > cut / 2]
+        noise = lambda: [rng.choice(["so", "it", "the", "of", "license"]) for _ in range(rng.randrange(30))]
+        rows.append((i, " ".join(noise() + kept + noise())))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in licenses(docs, {n: TEMPLATES[n] for n in names}).collect():
+        got.setdefault((r.doc_id, r.license), []).append(r)
+    for i, text in rows:
+        t = words(text)
+        for n in names:
+            w = words(TEMPLATES[n])
+            best = max((lcs(w, t[a : a + len(w) * 3 // 2 + 1]) for a in range(0, len(t), 3)), default=0) / len(w)
+            places = got.get((i, n), [])
+            assert bool(places) == (best >= 0.8) or abs(best - 0.8) < 0.06, (i, n, best)
+            for p in places:
+                assert abs(p.coverage * len(w) - lcs(w, t[p.start : p.end])) <= 0.03 * len(w) + 1e-9 and p.coverage <= best + 1e-9 + 3 / len(w)
+
+
+def test_long_templates_from_files(spark, tmp_path):
+    text = " ".join(f"clause{i} the {i % 7} of" for i in range(1500))
+    (tmp_path / "Long-1.0.txt").write_text(text)
+    (tmp_path / "Short").write_text("Made freely by all.")
+    templates = load_templates(spark, str(tmp_path))
+    assert set(templates) == {"Long-1.0", "Short"}
+    w = text.split()
+    docs = spark.createDataFrame([(1, "x " * 3000 + " ".join(w[:2500] + w[2700:]) + " y" * 3000), (2, text + " " + text), (3, " ".join(w[:3000]))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.end, round(r.coverage, 2)) for r in licenses(docs, templates).collect())
+    assert got == [(1, 3000, 8800, 0.97), (2, 0, 6000, 1.0), (2, 6000, 12000, 1.0)]
+    with pytest.raises(ValueError, match="at most"):
+        load_templates(spark, str(tmp_path), most=100)
+
+
+def test_halved_tables_give_a_longest_subsequence():
+    rng = random.Random(7)
+    for _ in range(60):
+        a, b = ([rng.randrange(1, 9) for _ in range(rng.randrange(0, 40))] for _ in range(2))
+        pairs = common(a, b, cells=20)
+        assert len(pairs) == lcs(a, b) and all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))

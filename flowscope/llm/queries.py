@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": exact_dedup.OP5_SQL, "op10_url_filters": url_filter.OP10_SQL}
+    return {"op5_exact_dedup": exact_dedup.OP5_SQL, "op6_ngram_jaccard_join": ngram_join.OP6_SQL, "op10_url_filters": url_filter.OP10_SQL}

@@ -54,3 +54,31 @@ def capture_metrics(rows: DataFrame, expected_ms: int) -> DataFrame:
     rows = rows.withColumn("late", F.col("ts_ms") - F.lag("ts_ms").over(w) > 2 * expected_ms)
     span = (F.max("ts_ms") - F.min("ts_ms")) / 1000.0
     return rows.groupBy("session").agg(F.count("*").alias("frames"), span.alias("seconds"), F.round(F.coalesce(F.try_divide(F.count("*").cast("double"), span), F.lit(0.0)), 6).alias("fps"), F.count_if("late").alias("dropped"))
+
+
+#: Rates a capture can be asked for (fixed values).
+RATES_ALLOWED = (60, 120, 240)
+
+
+def checked_rate(fps: int) -> int:
+    """The rate, if a capture can have it; else an error."""
+    if fps not in RATES_ALLOWED:
+        raise ValueError(f"a rate of {fps} is none of {RATES_ALLOWED}")
+    return fps
+
+
+def progress(rows: DataFrame, every: int = 100) -> DataFrame:
+    """(session, frames, elapsed_ms, fps): after each ``every`` rows the time since the first and the mean rate."""
+    w = Window.partitionBy("session").orderBy("ts_ms", "pos")
+    n = rows.withColumns({"frames": F.row_number().over(w), "elapsed_ms": F.col("ts_ms") - F.min("ts_ms").over(Window.partitionBy("session"))})
+    return n.filter(F.col("frames") % every == 0).select("session", "frames", "elapsed_ms", F.coalesce(F.try_divide(F.col("frames") * F.lit(1000.0), F.col("elapsed_ms")), F.lit(0.0)).alias("fps"))
+
+
+def slow(rows: DataFrame, factor: float = 1.5) -> DataFrame:
+    """Operations (name, actual, expected) that took more than ``factor`` times what was expected, with that ratio."""
+    return rows.filter(F.col("actual") > factor * F.col("expected")).withColumn("ratio", F.try_divide(F.col("actual").cast("double"), F.col("expected").cast("double")))
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    """(session, dropped): what emptying each session's buffer drops."""
+    return rows.groupBy("session").agg(F.count("*").alias("dropped"))

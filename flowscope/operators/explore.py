@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowscope.functions import scoring as sc
+from flowscope.operators.states import VOID
 
 #: Roles, attributes and classes that make an element interactive, beside its tag (fixed values).
 ROLES = ("button", "link", "checkbox", "radio", "tab", "menuitem")
@@ -32,7 +33,7 @@ class _Elements(HTMLParser):
         if self._interactive(tag, a):
             selector = f"#{a['id']}" if a.get("id") else " > ".join([*self.path, step])
             self.found.append({"tag": tag, "role": a.get("role"), "kind": a.get("type"), "selector": selector, "hot": bool(a.keys() & {"onclick", "href", "role"}), "pointer": "cursor:pointer" in a.get("style", "").replace(" ", "").lower(), "visible": not hidden, "enabled": "disabled" not in a, "href": a.get("href"), "text": ""})
-        if tag not in ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"):
+        if tag not in VOID:
             self.path.append(step)
             self.counts.append({})
             self.hidden.append(hidden)
@@ -57,6 +58,71 @@ class _Elements(HTMLParser):
             self.found[-1]["text"] = data.strip()[:100]
 
 
+class _Nodes(HTMLParser):
+    """All elements in order: tag, classes, attributes, and whether a video or canvas lies within."""
+
+    def __init__(self):
+        super().__init__()
+        self.found, self.open = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag in ("video", "canvas"):
+            for _, node in self.open:
+                node["media"] = True
+        node = {"tag": tag, "classes": a.get("class", "").split(), "attributes": list(a.items()), "media": False}
+        self.found.append(node)
+        if tag not in VOID:
+            self.open.append((tag, node))
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                break
+
+
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """(page, pos, tag, classes, attributes, media) of each page's elements; where they stand on the page is not in its text."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for page, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p = _Nodes()
+                p.feed(html or "")
+                out += [{"page": page, "pos": i} | n for i, n in enumerate(p.found)]
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    kinds = pa.schema([("page", pa.int64()), ("pos", pa.int64()), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.string())), ("media", pa.bool_())])
+    return pages.select(F.col("id").alias("page"), "html").mapInArrow(run, "page long, pos long, tag string, classes array<string>, attributes map<string,string>, media boolean")
+
+
+#: Sections that hold content, by tag, class or attribute (fixed values).
+SECTIONS = ("header", "nav", "main", "section", "article", "footer", ".hero", ".banner", "[data-section]")
+
+
+def content_areas(nodes: DataFrame) -> DataFrame:
+    """(page, pos, selector, top, bottom, height, importance) of nodes (see ``page_nodes``) with their top and height.
+
+    A node is an area for each section selector that it fits; images that load late count 0.8, and the first node of each
+    sign of endless scrolling 1.0.
+    """
+    has = lambda k, v=None: F.map_contains_key("attributes", k) if v is None else F.coalesce(F.try_element_at("attributes", F.lit(k)) == v, F.lit(False))
+    marked = lambda c: F.array_contains("classes", c)
+    fits = lambda s: marked(s[1:]) if s[0] == "." else has(s[1:-1]) if s[0] == "[" else F.col("tag") == s
+    own = sc.importance(F.col("tag"), F.col("classes"), F.col("media"))
+    area = lambda when, name, value: F.when(when, F.struct(F.lit(name).alias("selector"), value.alias("importance")))
+    late = (F.col("tag") == "img") & (has("data-src") | has("loading", "lazy"))
+    found = F.array_compact(F.array(*(area(fits(s), s, own) for s in SECTIONS), area(late, "lazy-image", F.lit(0.8))))
+    place = ["page", "pos", "top", "height"]
+    rows = nodes.select(*place, F.inline(found))
+    for sign in (has("data-infinite-scroll"), marked("infinite-scroll"), has("data-pagination", "infinite")):
+        first = nodes.filter(sign).groupBy("page").agg(F.min_by(F.struct("pos", "top", "height"), "pos").alias("n"))
+        rows = rows.unionByName(first.select("page", "n.*", F.lit("infinite-scroll").alias("selector"), F.lit(1.0).alias("importance")))
+    return rows.select("page", "pos", "selector", "top", (F.col("top") + F.col("height")).alias("bottom"), "height", "importance")
+
+
 def detected(pages: DataFrame) -> DataFrame:
     """(state, pos, selector, type, confidence, visible, enabled, role, href, text) of each page's interactive elements, each node once.
 

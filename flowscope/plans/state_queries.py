@@ -60,6 +60,7 @@ QUERIES = {
     "next_hybrid": _next("hybrid"),
     "next_random": lambda s, d: ex.next_element(_elements(s, d), _explored(s, d), "random"),
     "state_priorities": lambda s, d: ex.state_priorities(_elements(s, d), _states(s, d)),
+    "content_areas": lambda s, d: ex.content_areas(ex.page_nodes(v.pages(s, d)).withColumns({"top": F.col("pos") * 20, "height": F.lit(20)})).groupBy("page", "selector").agg(F.count("*").alias("n"), F.max("importance").alias("importance")),
     "exploration_statistics": lambda s, d: ex.exploration_statistics(_elements(s, d), _explored(s, d), "guided"),
     "next_by_own_order": lambda s, d: ex.next_element(_elements(s, d), _explored(s, d), lambda rows: [F.length("text").desc(), "href"]).select("state", F.col("pos").cast("bigint").alias("pos")),
     "failed_interactions": lambda s, d: ex.failed(v.table(s, d, "events").filter("event_type = 'error'").select(F.col("user_id").alias("state"), F.concat(F.lit("#e"), F.col("event_id")).alias("selector"), v.epoch_ms("ts").alias("ts_ms"), F.get_json_object("props", "$.k").alias("error"))).select("id", "type", "selector", "from_state", "successful", "error"),
@@ -105,6 +106,9 @@ SELECT a_id, b_id, CASE WHEN eq OR av = bv THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
     "next_hybrid": _pick("CASE WHEN n < 10 THEN pos ELSE -score END, pos"),
     "state_priorities": f"""{_EL}, e AS (SELECT state, count(*) AS n, bool_or(type = 'link' OR pos = 9) AS nav FROM el GROUP BY state)
 SELECT page_id AS state, coalesce(n, 0) * 10 + (10 - length(url) % 6) * 5 + CASE WHEN nav THEN 15 ELSE 0 END - CASE WHEN contains(replace(url, '/9', '/error9'), 'error') OR contains(lower(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '')), 'error') THEN 30 ELSE 0 END AS priority FROM pages LEFT JOIN e ON state = page_id""",
+    "content_areas": r"""WITH c AS (SELECT page_id AS page, regexp_replace(coalesce(html, ''), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') AS h FROM pages),
+u AS (SELECT page, unnest(['header', 'nav', 'main', 'section', 'article', 'footer']) AS selector, h FROM c)
+SELECT page, selector, len(regexp_extract_all(h, '<' || selector || '[ >]')) AS n, CASE selector WHEN 'main' THEN 1.0::DOUBLE WHEN 'header' THEN 0.9 ELSE 0.5 END AS importance FROM u WHERE len(regexp_extract_all(h, '<' || selector || '[ >]')) > 0""",
     "exploration_statistics": f"{_EL} SELECT 'guided' AS strategy, count(*) FILTER (done) AS explored, count(*) FILTER (NOT done) AS open, count(DISTINCT state) AS scored FROM el",
     "next_by_own_order": _pick("length(text) DESC, href, pos"),
     "failed_interactions": "SELECT 'failed_' || user_id || '_' || (epoch_us(ts) // 1000) AS id, 'click' AS type, '#e' || event_id AS selector, CAST(user_id AS VARCHAR) AS from_state, false AS successful, coalesce(json_extract_string(props, '$.k'), 'unknown') AS error FROM events WHERE event_type = 'error'",

@@ -90,6 +90,8 @@ QUERIES = {
     "buffer_statistics": lambda s, d: bf.statistics(_buffer(s, d), 50),
     "buffer_snapshot": lambda s, d: bf.snapshot(bf.recent(_buffer(s, d), 8)).select("session", "n", "bytes", "first_ms", "last_ms", F.array_join("ids", ",").alias("ids")),
     "capture_rates": lambda s, d: bf.rates(_buffer(s, d)).select("session", "pos", F.round(F.coalesce("fps", F.lit(-1.0)), 8).alias("fps"), F.round(F.coalesce("peak", F.lit(-1.0)), 8).alias("peak")),
+    "capture_progress": lambda s, d: bf.progress(_buffer(s, d), 20).select("session", "frames", "elapsed_ms", F.round("fps", 9).alias("fps")),
+    "capture_slow": lambda s, d: bf.slow(v.events(s, d).select("id", F.col("y").alias("actual"), F.col("x").alias("expected"))).select("id", F.round(F.coalesce("ratio", F.lit(-1.0)), 6).alias("ratio")),
     "capture_metrics": lambda s, d: bf.capture_metrics(_buffer(s, d), HOUR).select("session", "frames", F.round("seconds", 3).alias("seconds"), "fps", "dropped"),
 }
 
@@ -170,6 +172,9 @@ SELECT session, CASE WHEN count(*) > 1 THEN 'complex' ELSE min(type) END AS prim
     "buffer_snapshot": f"{_BUF} SELECT session, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, arg_min(ts_ms, pos) AS first_ms, arg_max(ts_ms, pos) AS last_ms, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids FROM buf WHERE back <= 8 GROUP BY session",
     "capture_rates": f"""{_BUF}, f AS (SELECT session, pos, ts_ms, 1000.0::DOUBLE / nullif(ts_ms - lag(ts_ms) OVER (PARTITION BY session ORDER BY ts_ms, pos), 0) AS fps FROM buf)
 SELECT session, pos, round(coalesce(fps, -1), 8) AS fps, round(coalesce(max(fps) OVER (PARTITION BY session ORDER BY ts_ms, pos ROWS UNBOUNDED PRECEDING), -1), 8) AS peak FROM f""",
+    "capture_progress": f"""{_BUF}, f AS (SELECT session, row_number() OVER w AS frames, ts_ms - min(ts_ms) OVER (PARTITION BY session) AS elapsed_ms FROM buf WINDOW w AS (PARTITION BY session ORDER BY ts_ms, pos))
+SELECT session, frames, elapsed_ms, round(coalesce(frames * 1000.0::DOUBLE / nullif(elapsed_ms, 0), 0), 9) AS fps FROM f WHERE frames % 20 = 0""",
+    "capture_slow": f"{_E} SELECT id, round(coalesce(y / nullif(x, 0), -1), 6) AS ratio FROM v_event WHERE y > 1.5 * x",
     "capture_metrics": f"""{_BUF}, f AS (SELECT session, ts_ms, ts_ms - lag(ts_ms) OVER (PARTITION BY session ORDER BY ts_ms, pos) AS gap FROM buf)
 SELECT session, count(*) AS frames, round((max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE, 3) AS seconds, round(coalesce(count(*) / nullif((max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE, 0), 0), 6) AS fps, count(*) FILTER (gap > 7200000) AS dropped FROM f GROUP BY session""",
 }

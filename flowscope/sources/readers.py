@@ -49,9 +49,12 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("doc", F.from_json("raw", sch.of(sch.DOCUMENT)))
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, channels, pixels): decoded by Spark; BGR or BGRA bytes from the top row on. Bad files are left out."""
-    i = spark.read.format("image").option("dropInvalid", True).load(path)
+def images(spark: SparkSession, path: str, drop_bad: bool = True) -> DataFrame:
+    """(path, width, height, channels, pixels): decoded by Spark; BGR or BGRA bytes from the top row on.
+
+    Bad files are left out, or stay without pixels: compared with anything, they are not alike.
+    """
+    i = spark.read.format("image").option("dropInvalid", drop_bad).load(path)
     return i.select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
 
 
@@ -59,21 +62,36 @@ def binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length", "content")
 
 
-def grey(images_: DataFrame) -> DataFrame:
-    """(path, width, height, px): luma of decoded images as arrays, in Arrow batches."""
+def planes(images_: DataFrame) -> DataFrame:
+    """(path, width, height, r, g, b, px, alpha) of decoded images: colours, luma px, and alpha where there is one, row by row; nulls for a bad file."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches):
+        whole = pa.list_(pa.int32())
         for b in batches:
-            px = []
-            for n, data in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                a = np.frombuffer(data, np.uint8).reshape(-1, n).astype(float)
-                y = a[:, 0] if n == 1 else 0.114 * a[:, 0] + 0.587 * a[:, 1] + 0.299 * a[:, 2]
-                px.append(np.floor(y + 0.5).astype(np.int32).tolist())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(px, pa.list_(pa.int32()))], ["path", "width", "height", "px"])
-
-    return images_.select("path", "width", "height", "channels", "pixels").mapInArrow(run, "path string, width int, height int, px array<int>")
+            rows = []
+            for w, n, data in zip(*(b.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
+                if not data or n < 1 or w < 1:
+                    rows.append([None] * 5)
+                    continue
+                a = np.frombuffer(data, np.uint8).reshape(-1, n).astype(np.int32)
+                blue, green, red = (a[:, 0],) * 3 if n < 3 else a.T[:3]
+                luma = np.floor(0.114 * blue + 0.587 * green + 0.299 * red + 0.5).astype(np.int32)
+                rows.append([red, green, blue, luma, a[:, 3] if n == 4 else None])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array([r[k] for r in rows], whole) for k in range(5))], ["path", "width", "height", "r", "g", "b", "px", "alpha"])
+
+    ints = ", ".join(f"{p} array<int>" for p in ("r", "g", "b", "px", "alpha"))
+    return images_.select("path", "width", "height", "channels", "pixels").mapInArrow(run, f"path string, width int, height int, {ints}")
+
+
+def frame_pairs(images_: DataFrame, order) -> DataFrame:
+    """Planes of images (see ``planes``) with a ``session``, each with those of the one before by ``order`` as prev_ columns, and frame_no from 1 on."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("session").orderBy(order)
+    before = {f"prev_{p}": F.lag(p).over(w) for p in ("width", "height", "r", "g", "b", "px", "alpha")}
+    return images_.withColumns({"frame_no": F.row_number().over(w) - 1, **before}).filter("frame_no > 0")
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -147,3 +147,20 @@ def test_frames_of_other_sizes(spark):
     assert one.size == sum(x > 10 for x in a)
     both = spark.createDataFrame([([0], [0, 0])], "px array<int>, prev_px array<int>")
     assert both.select(fr.visual_similarity(planes=fr.GREY)).head()[0] == 0.0
+
+
+def test_a_crowded_shot_on_a_grid(spark):
+    rng = random.Random(8)
+    rows = [(1, i, rng.uniform(0, 400), rng.uniform(0, 300), rng.choice([5.0, 12.0, 60.0, 390.0]), rng.choice([4.0, 9.0, 250.0]), 0.9, 5) for i in range(150)]
+    boxes = spark.createDataFrame(rows, "shot long, pos long, x double, y double, w double, h double, confidence double, type_no int")
+    touch = lambda a, b: a[2] <= b[2] + b[4] and b[2] <= a[2] + a[4] and a[3] <= b[3] + b[5] and b[3] <= a[3] + a[5]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and touch(a, b)}
+    for grid_from in (64, 10**6):
+        got = [(r.a_pos, r.b_pos) for r in el.meeting(boxes, F.col("a_pos") < F.col("b_pos"), grid_from).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    parents = {r.pos: r.parent for r in el.parents(boxes).collect()}
+    area = sorted(rows, key=lambda r: (-r[4] * r[5], r[1]))
+    both = lambda a, b: max(0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2])) * max(0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3]))
+    for i, b in enumerate(area):
+        over = [a[1] for a in area[:i] if both(a, b) / (b[4] * b[5]) >= 0.9]
+        assert parents[b[1]] == (over[-1] if over else None)

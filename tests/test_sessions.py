@@ -2,12 +2,16 @@ import datetime
 import hashlib
 import json
 import os
+import struct
+import zlib
 
 import pytest
 from flowscope import session
+from flowscope.operators import buffer as bf
 from flowscope.operators import document as doc
 from flowscope.operators import elements as el
 from flowscope.operators import explore as ex
+from flowscope.operators import frames as fr
 from flowscope.operators import graph as g
 from flowscope.operators import states as st
 from flowscope.operators import timeline as tl
@@ -225,7 +229,7 @@ def test_history_stream_is_bounded_and_can_be_cleared(spark, tmp_path):
     want = {(1, k, n) for k, n in held.items()} | {(2, 3, 1)}
     assert {tuple(r) for r in spark.table("history").collect()} == want
     t = spark.createDataFrame([(i % 7, 100 * i) for i in range(30)], "id long, ts_ms long")
-    assert {r.id for r in tl.history(t, 3).select("id").distinct().collect()} == {4, 5, 6} and tl.event_history(t, 2).count() == 5 and tl.event_history(t, 99).count() == 0
+    assert {r.id for r in tl.history(t, 3).select("id").distinct().collect()} == {4, 5, 6} and tl.event_history(t, 2).count() == 4 and tl.event_history(t, 99).count() == 0
 
 
 def test_visible_elements(spark):
@@ -239,3 +243,40 @@ def test_outputs_of_a_model_in_four_arrays(spark):
     rows = spark.createDataFrame([(1, [0.1, 0.2, 0.5, 0.6, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.1, 0.1], [0.9, 0.4, 0.8], [3.0, 1.0, 0.0], 2)], "id long, boxes array<double>, scores array<double>, classes array<double>, n int")
     (r,) = el.parsed_tensors(rows).collect()  # the second is unsure, the third beyond n
     assert [round(x, 6) for x in (r.x, r.y, r.w, r.h, r.confidence)] == [64.0, 128.0, 256.0, 256.0, 0.9] and r.type_no == 3
+
+
+def png(width, height, pixels):
+    """RGBA bytes as a PNG file."""
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + bytes(pixels[y * width * 4 : (y + 1) * width * 4]) for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def test_images_become_pairs_of_planes(spark, tmp_path):
+    first = [v for i in range(6) for v in (10 * i, 100, 200, 255)]
+    second = first[:4] + [250, 0, 0, 255] + first[8:]
+    for name, data in (("1.png", png(3, 2, first)), ("2.png", png(3, 2, second)), ("3.png", b"no image"), ("4.png", png(2, 3, second))):
+        (tmp_path / name).write_bytes(data)
+    assert readers.images(spark, str(tmp_path)).count() == 3
+    i = readers.planes(readers.images(spark, str(tmp_path), drop_bad=False)).withColumn("session", F.lit(1))
+    names = ["path", "width", "height", "r", "g", "b", "px", "alpha", "session"]
+    rows = {r.path[-5]: r for r in i.select(*names).collect() if r.path}
+    assert rows["1"].r == [0, 10, 20, 30, 40, 50] and set(rows["1"].g) == {100} and rows["1"].px[0] == 82 and rows["1"].width == 3
+    pairs = readers.frame_pairs(i.filter("path is not null"), "path")
+    got = [r.s for r in pairs.select("frame_no", fr.visual_similarity().alias("s")).orderBy("frame_no").collect()]
+    assert abs(got[0] - 5 / 6) < 1e-9 and all(x == 0 for x in got[2:])
+    bad = spark.createDataFrame([(None, [1], None, [1], None, [1])], "r array<int>, prev_r array<int>, g array<int>, prev_g array<int>, b array<int>, prev_b array<int>")
+    assert bad.select(fr.visual_similarity()).head()[0] == 0.0
+
+
+def test_content_areas(spark):
+    html = '<header class="banner"><nav></nav></header><main><div class="hero"><canvas></canvas></div><img loading="lazy"></main><div data-infinite-scroll></div><div data-infinite-scroll></div>'
+    nodes = ex.page_nodes(spark.createDataFrame([(1, html), (2, None)], "id long, html string")).withColumns({"top": F.col("pos") * 10, "height": F.lit(5)})
+    got = sorted((r.selector, r.top, r.bottom, r.importance) for r in ex.content_areas(nodes).collect())
+    assert got == [(".banner", 0, 5, 0.9), (".hero", 30, 35, 1.0), ("header", 0, 5, 0.9), ("infinite-scroll", 60, 65, 1.0), ("lazy-image", 50, 55, 0.8), ("main", 20, 25, 1.0), ("nav", 10, 15, 0.5)]
+
+
+def test_rates_that_can_be_captured():
+    assert bf.checked_rate(120) == 120
+    with pytest.raises(ValueError, match="none of"):
+        bf.checked_rate(90)

@@ -78,6 +78,24 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+#: Bits of a membership filter at most: 16 MB.
+FILTER_BITS = 1 << 27
+
+
+def probably_among(rows: DataFrame, key, members: DataFrame, member_key, count: int) -> DataFrame:
+    """The rows whose ``key`` (64-bit) is a member's, and a few others: a filter before a join, so that most rows need no shuffle.
+
+    A bitmap of 16 bits a member, FILTER_BITS at most, is broadcast; it errs only in letting rows through.
+    """
+    size = min(FILTER_BITS, max(1 << 15, 1 << (16 * count).bit_length()))
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(size)) + 1
+    bits = members.select(place(member_key).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_fs_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_fs_bits"))
+    at = F.bitmap_bit_position("_fs_place")
+    byte = F.conv(F.hex(F.substring("_fs_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_fs_place", place(key)).withColumn("_fs_bucket", F.bitmap_bucket_number("_fs_place")).join(F.broadcast(written(bits, "filter")), "_fs_bucket")
+    return marked.filter(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0).select(*rows.columns)
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, label) for each node of an edge (a, b), label being the smallest node of its component.
 

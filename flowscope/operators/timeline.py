@@ -63,8 +63,8 @@ def candidates(events: DataFrame, spans: DataFrame, before_ms: int, width: int)
     return found.withColumn("history", F.row_number().over(Window.partitionBy("session", "id").orderBy("segment")) - 1)
 
 
-def correlated(cands: DataFrame, threshold: float = 0.6, near: float = 150.0) -> DataFrame:
-    """(session, segment, events, confidence): each slice's events that reach the threshold, in order of time.
+def correlated(cands: DataFrame, threshold: float = 0.6, near: float = 150.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(session, segment, events, confidence): each slice's events that reach the threshold, in order of time; ``keep`` names columns of the slice to go with it.
 
     An accepted event raises the slice's confidence, which is the intensity the next event is judged by: an ordered fold
     over the slice's candidates, as one array. history is known before (see ``candidates``), so slices fold independently.
@@ -72,7 +72,7 @@ def correlated(cands: DataFrame, threshold: float = 0.6, near: float = 150.0) ->
     pct = F.size("centres") * F.lit(10.0)
     prox = sc.proximity(F.col("centres"), F.col("x") * 10, F.col("y"), near)
     rows = cands.withColumns({"pct": pct, "prox": prox})
-    per = rows.groupBy("session", "segment").agg(F.first("confidence").alias("c0"), F.array_sort(F.collect_list(F.struct("ts_ms", "id", "history", "pct", "prox"))).alias("cands"))
+    per = rows.groupBy("session", "segment").agg(F.first("confidence").alias("c0"), *(F.first(c).alias(c) for c in keep), F.array_sort(F.collect_list(F.struct("ts_ms", "id", "history", "pct", "prox"))).alias("cands"))
 
     def step(acc, e):
         wait = sc.delay(acc["confidence"])
@@ -81,7 +81,7 @@ def correlated(cands: DataFrame, threshold: float = 0.6, near: float = 150.0) ->
         return F.when(score >= threshold, F.struct(F.greatest(acc["confidence"], score).alias("confidence"), F.concat(acc["events"], F.array(e["id"])).alias("events"))).otherwise(acc)
 
     start = F.struct(F.col("c0").alias("confidence"), F.array().cast("array<bigint>").alias("events"))
-    return per.withColumn("r", F.aggregate("cands", start, step)).select("session", "segment", "r.events", "r.confidence")
+    return per.withColumn("r", F.aggregate("cands", start, step)).select("session", "segment", *keep, "r.events", "r.confidence")
 
 
 def regions_meet(a, b):

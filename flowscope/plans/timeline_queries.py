@@ -25,7 +25,7 @@ def _segments(s, d):
 
 
 def _candidates(s, d):
-    return tl.candidates(v.events(s, d), _segments(s, d), BEFORE, 4 * HOUR)
+    return tl.candidates(v.events(s, d), _segments(s, d).withColumnRenamed("type", "seg_type"), BEFORE, 4 * HOUR)
 
 
 def _correlated(s, d):
@@ -33,7 +33,8 @@ def _correlated(s, d):
 
 
 def _slices(s, d):
-    return _segments(s, d).drop("confidence").join(_correlated(s, d), ["session", "segment"])
+    # a slice's own events are among its candidates, so none is missing
+    return tl.correlated(_candidates(s, d), 0.6, keep=("start_ms", "end_ms", "seg_type", "n", "centres")).withColumnRenamed("seg_type", "type")
 
 
 def _buffer(s, d):

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from flowscope.llm.common import new_path
 from flowscope.llm.exact_dedup import DigestIndex, deduplicated, op5
 
@@ -37,3 +38,16 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in out) == [1, 5, 6, 7, 8] and out[0].asDict().keys() == {"doc_id", "text", "digest"}
     empty = docs.filter("false")
     assert deduplicated(empty, DigestIndex(spark, new_path(spark, "idx"), 2), "b").count() == 0
+
+
+def test_an_index_that_can_not_be_read_is_no_empty_one(spark, tmp_path):
+    index = DigestIndex(spark, str(tmp_path / "idx"), 2)
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert index.read().count() == 0
+    index.ingest(docs, "one")
+    for f in (tmp_path / "idx").glob("part-*"):
+        f.write_bytes(b"no parquet")
+    for f in (tmp_path / "idx").glob(".part-*"):
+        f.unlink()
+    with pytest.raises(Exception):
+        index.ingest(docs, "two").count()

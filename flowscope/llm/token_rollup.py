@@ -23,22 +23,26 @@ SUMS = ("docs", "tokens", "chars")
 PART = "source string, lang string, tokenizer string, docs bigint, tokens bigint, chars bigint"
 
 
+#: Characters from which a text's pieces are met one by one.
+LONG = 4_000_000
+
+
 class Counter:
     """Token counts by a byte-level BPE, given its ranks file's lines; short pre-tokens are remembered, in a bounded number."""
 
-    def __init__(self, ranks: bytes, pattern: str, most: int = 100_000):
+    def __init__(self, ranks: bytes, pattern: str, most: int = 300_000):
         import regex
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.split = regex.compile(pattern).finditer
+        self.pattern = regex.compile(pattern)
         self.known, self.most = {}, most
 
     def count(self, text: str | None) -> int:
-        n, known = 0, self.known
-        for m in self.split(text or ""):
-            piece = m.group()
+        n, known, text = 0, self.known, text or ""
+        # the pieces of a very long text are not all held at once
+        for piece in self.pattern.findall(text) if len(text) < LONG else (m.group() for m in self.pattern.finditer(text)):
             k = known.get(piece)
             if k is None:
                 k = len(self.encode(piece))

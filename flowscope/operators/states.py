@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -29,16 +30,21 @@ def with_hashes(pages: DataFrame, hasher=None) -> DataFrame:
     return out.withColumn("combined_hash", F.sha2(F.concat_ws(":", F.coalesce("visual_hash", F.lit("")), "struct_hash", F.coalesce("url", F.lit(""))), 256))
 
 
+#: Styles that take an element and all within it out of the tree.
+HIDDEN = re.compile(r"(^|;)(display:none|visibility:hidden)")
+
+
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__()
-        self.root = {"tag": "#", "children": []}
-        self.open = [self.root]
+        self.root = {"tag": "body", "id": "", "classes": [], "children": []}
+        self.open, self.nodes = [self.root], [self.root]
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         node = {"tag": tag, "id": a.get("id") or "", "classes": sorted((a.get("class") or "").split()), "children": []}
-        if "display:none" not in (a.get("style") or "").replace(" ", ""):
+        self.nodes.append(node)
+        if not HIDDEN.search((a.get("style") or "").replace(" ", "").lower()):
             self.open[-1]["children"].append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -50,11 +56,25 @@ class _Tree(HTMLParser):
                 break
 
 
-def tree_hash(html: str | None) -> str:
-    """SHA-256 of the tree of tags, ids, sorted classes and visible children as compact JSON."""
+def tree_text(html: str | None) -> str:
+    """The body's tree as a browser writes it: tag, id and children where there are any, sorted classes; hidden elements left out.
+
+    A page without a body is its own body. Written from the last element to the first, so depth is no concern.
+    """
     tree = _Tree()
     tree.feed(html or "")
-    return hashlib.sha256(json.dumps(tree.root["children"], separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    quoted = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    for node in reversed(tree.nodes):
+        parts = [f'"tag":{quoted(node["tag"])}', *([f'"id":{quoted(node["id"])}'] if node["id"] else []), f'"classes":{quoted(node["classes"])}']
+        if node["children"]:
+            parts.append(f'"children":[{",".join(c["text"] for c in node["children"])}]')
+        node["text"] = "{" + ",".join(parts) + "}"
+    return next((n for n in tree.nodes[1:] if n["tag"] == "body"), tree.root)["text"]
+
+
+def tree_hash(html: str | None) -> str:
+    """SHA-256 of the tree of tags, ids, sorted classes and visible children."""
+    return hashlib.sha256(tree_text(html).encode()).hexdigest()
 
 
 def tree_hashes(pages: DataFrame) -> DataFrame:

@@ -124,6 +124,13 @@ def test_pages_of_a_small_site(spark):
     assert st.tree_hash("<p class='b a'>x</p>") == st.tree_hash("<p class='a b'>y</p>") != st.tree_hash("<div class='a b'>x</div>")
 
 
+def test_tree_as_a_browser_writes_it():
+    html = '<html><head><title>t</title></head><body class="b a"><p id="x">1<br>2</p><div style="display: none"><i></i></div><div style="visibility:hidden"></div><span></span></body></html>'
+    assert st.tree_text(html) == '{"tag":"body","classes":["a","b"],"children":[{"tag":"p","id":"x","classes":[],"children":[{"tag":"br","classes":[]}]},{"tag":"span","classes":[]}]}'
+    assert st.tree_text(None) == '{"tag":"body","classes":[]}' and st.tree_text("<p>") == '{"tag":"body","classes":[],"children":[{"tag":"p","classes":[]}]}'
+    assert st.tree_text("<b>" * 20_000).count('"b"') == 20_000
+
+
 def test_structural_similarity_golden(spark):
     a, b = F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"))
     assert abs(spark.range(1).select(st.structural_similarity(a, b)).head()[0] - (0.7 / 3 + 0.3)) < 1e-12

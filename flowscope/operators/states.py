@@ -59,17 +59,26 @@ class _Tree(HTMLParser):
 def tree_text(html: str | None) -> str:
     """The body's tree as a browser writes it: tag, id and children where there are any, sorted classes; hidden elements left out.
 
-    A page without a body is its own body. Written from the last element to the first, so depth is no concern.
+    A page without a body is its own body. Written without recursion, so depth is no concern.
     """
     tree = _Tree()
     tree.feed(html or "")
     quoted = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
-    for node in reversed(tree.nodes):
-        parts = [f'"tag":{quoted(node["tag"])}', *([f'"id":{quoted(node["id"])}'] if node["id"] else []), f'"classes":{quoted(node["classes"])}']
+    out, todo = [], [next((n for n in tree.nodes[1:] if n["tag"] == "body"), tree.root)]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        out.append(f'{{"tag":{quoted(node["tag"])}' + (f',"id":{quoted(node["id"])}' if node["id"] else "") + f',"classes":{quoted(node["classes"])}')
         if node["children"]:
-            parts.append(f'"children":[{",".join(c["text"] for c in node["children"])}]')
-        node["text"] = "{" + ",".join(parts) + "}"
-    return next((n for n in tree.nodes[1:] if n["tag"] == "body"), tree.root)["text"]
+            out.append(',"children":[')
+            todo.append("]}")
+            for i, child in reversed(list(enumerate(node["children"]))):
+                todo += [child, ","] if i else [child]
+        else:
+            out.append("}")
+    return "".join(out)
 
 
 def tree_hash(html: str | None) -> str:

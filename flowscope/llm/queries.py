@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowscope.llm import decontaminate, exact_dedup, filter_audit, language, license_scan, mixing, ngram_join, pii
+from flowscope.llm import decontaminate, divergence, exact_dedup, filter_audit, language, license_scan, mixing, ngram_join, pii
 from flowscope.llm import token_rollup, toxicity, url_filter
 
 
@@ -18,6 +18,7 @@ def queries():
         "op8_language_id": language.op8,
         "op9_mixing": mixing.op9,
         "op10_url_filters": url_filter.op10,
+        "op12_source_divergence": divergence.op12,
         "op13_filter_audit": filter_audit.op13,
     }
 
@@ -27,5 +28,7 @@ def oracle_sql():
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op6_ngram_jaccard_join": ngram_join.OP6_SQL,
         "op10_url_filters": url_filter.OP10_SQL,
+        "op12_source_divergence": divergence.op12,
+        "op12_source_divergence": divergence.OP12_SQL,
         "op13_filter_audit": filter_audit.OP13_SQL,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowscope.llm import decontaminate, divergence, exact_dedup, filter_audit, language, license_scan, mixing, ngram_join, pii
+from flowscope.llm import decontaminate, divergence, exact_dedup, filter_audit, hmm, language, license_scan, mixing, ngram_join, pii
 from flowscope.llm import token_rollup, toxicity, url_filter
 
 
@@ -18,6 +18,7 @@ def queries():
         "op8_language_id": language.op8,
         "op9_mixing": mixing.op9,
         "op10_url_filters": url_filter.op10,
+        "op11_hmm_lm": hmm.op11,
         "op12_source_divergence": divergence.op12,
         "op13_filter_audit": filter_audit.op13,
     }

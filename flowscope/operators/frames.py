@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowscope.operators.labels import label, lists, measured, numbered_runs
+
 SIDE = 8
 GREY = ("px",)
 RGB = ("r", "g", "b")
@@ -193,25 +195,6 @@ def content_bounds(frames: DataFrame, below: int = 240, side: int = SIDE) -> Dat
     return frames.select("frame_no", lo(xs).alias("x"), lo(ys).alias("y"), (hi(xs) - lo(xs) + 1).alias("w"), (hi(ys, high) - lo(ys) + 1).alias("h"), align.alias("alignment"), padding.alias("padding"))
 
 
-def label(mask: np.ndarray, eight: bool = True) -> np.ndarray:
-    """Components of a mask, numbered from 1 in the order of their first pixel; 0 elsewhere."""
-    out = np.zeros(mask.shape, np.int32)
-    near = [(-1, 0), (1, 0), (0, -1), (0, 1)] + ([(-1, -1), (-1, 1), (1, -1), (1, 1)] if eight else [])
-    n = 0
-    for y, x in zip(*np.nonzero(mask), strict=True):
-        if not out[y, x]:
-            n += 1
-            out[y, x], todo = n, [(y, x)]
-            while todo:
-                a, b = todo.pop()
-                for dy, dx in near:
-                    c, d = a + dy, b + dx
-                    if 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not out[c, d]:
-                        out[c, d] = n
-                        todo.append((c, d))
-    return out
-
-
 def moved(before: np.ndarray, after: np.ndarray, box, reach: int = 50, step: int = 5) -> bool:
     """Whether a region's pixels reappear elsewhere in the later frame: nine tenths within 30 in all planes together."""
     x, y, w, h = box
@@ -253,6 +236,16 @@ def kind_of(before: np.ndarray, after: np.ndarray, box, mask, reach: int, step:
     return "animation" if abs(radius - (w * h) ** 0.5 / 2) < 0.3 * (w * h) ** 0.5 / 2 else "complex"
 
 
+class _Only:
+    """One label's pixels of a labelled frame, looked at box by box."""
+
+    def __init__(self, marks: np.ndarray, k: int):
+        self.marks, self.k = marks, k
+
+    def __getitem__(self, box):
+        return self.marks[box] == self.k
+
+
 def regions(pairs: DataFrame, threshold: int = 25, least: int = 2, side: int = SIDE, reach: int = 50, step: int = 5, full: int = 1000, planes=GREY, kinds: bool = True) -> DataFrame:
     """(session, frame_no, region, n, x, y, w, h, intensity, confidence, kind) of each component of changed pixels.
 
@@ -261,23 +254,24 @@ def regions(pairs: DataFrame, threshold: int = 25, least: int = 2, side: int = S
     """
 
     def run(batches):
-        names = ["session", "frame_no", "region", "n", "x", "y", "w", "h", "intensity", "confidence", "kind"]
         for batch in batches:
             out = []
-            for session, no, px, prev, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                diff = np.abs(np.array(px, np.int64) - np.array(prev, np.int64)).reshape(-1, side)
-                marks = label(diff > threshold)
+            keys = (c.to_pylist() for c in batch.columns[:2])
+            for session, no, px, prev, *more in zip(*keys, *map(lists, batch.columns[2:]), strict=True):
+                diff = np.abs(px.astype(np.int64) - prev.astype(np.int64)).reshape(-1, side)
+                row, start, end, number = numbered_runs(diff > threshold)
+                found = measured(diff, row, start, end, number)
                 if kinds:
-                    after, before_ = (np.stack([np.array(p, np.int64).reshape(-1, side) for p in part], axis=2) for part in (more[: len(planes)], more[len(planes) :]))
-                for k in range(1, int(marks.max(initial=0)) + 1):
-                    ys, xs = np.nonzero(marks == k)
-                    if len(xs) < least:
-                        continue
-                    box = (int(xs.min()), int(ys.min()), int(xs.max() - xs.min()) + 1, int(ys.max() - ys.min()) + 1)
-                    light = float(diff[ys, xs].mean()) / 255
-                    kind = kind_of(before_, after, box, marks == k, reach, step) if kinds else None
-                    out.append((session, no, k, len(xs), *box, light, (min(len(xs) / full, 1.0) + light) / 2, kind))
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=schema)
+                    stacked = (np.stack([p.astype(np.int64).reshape(-1, side) for p in part], axis=2) for part in (more[: len(planes)], more[len(planes) :]))
+                    after, before_ = stacked
+                    marks = label(diff > threshold)
+                for k in np.flatnonzero(found["n"] >= least).tolist():
+                    n, total, x0, y0, x1, y1 = (found[c][k].item() for c in ("n", "sum", "x0", "y0", "x1", "y1"))
+                    box, light = (x0, y0, x1 - x0, y1 - y0), total / n / 255
+                    kind = kind_of(before_, after, box, _Only(marks, k + 1), reach, step) if kinds else None
+                    out.append((session, no, k + 1, n, *box, light, (min(n / full, 1.0) + light) / 2, kind))
+            columns = zip(*out, strict=True) if out else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     schema = pa.schema([(c, pa.int64()) for c in ("session", "frame_no", "region", "n", "x", "y", "w", "h")] + [("intensity", pa.float64()), ("confidence", pa.float64()), ("kind", pa.string())])
     own = [F.col(c).alias(f"p{i}") for i, c in enumerate((*planes, *map(before, planes)))] if kinds else []
@@ -295,11 +289,10 @@ def visual_differences(pairs: DataFrame, side: int = SIDE, threshold: float = 0.
         for batch in batches:
             out = []
             for session, no, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = label(np.array(marks or [], bool).reshape(-1, side), eight=False)
-                boxes = []
-                for k in range(1, int(found.max(initial=0)) + 1):
-                    ys, xs = np.nonzero(found == k)
-                    boxes.append((int(xs.min()), int(ys.min()), int(xs.max() - xs.min()) + 1, int(ys.max() - ys.min()) + 1))
+                mask = np.array(marks or [], bool).reshape(-1, side)
+                found = measured(mask, *numbered_runs(mask, eight=False))
+                corners = zip(*(found[c].tolist() for c in ("x0", "y0", "x1", "y1")), strict=True)
+                boxes = [(x0, y0, x1 - x0, y1 - y0) for x0, y0, x1, y1 in corners]
                 out += [dict(zip(names, (session, no, *b), strict=True)) for b in joined(boxes)]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowscope.operators import frames as fr
+from flowscope.operators import labels as lb
 from flowscope.operators import properties as pr
 from flowscope.plans import views as v
 
@@ -36,6 +37,9 @@ QUERIES = {
     "visual_differences": lambda s, d: fr.visual_differences(v.color_pairs(s, d)),
     "content_padding": lambda s, d: fr.content_bounds(v.frames(s, d), 120).select("frame_no", *(F.col(f"padding.{c}").cast("bigint").alias(c) for c in ("top", "right", "bottom", "left"))),
     "element_looks": lambda s, d: _looks(s, d).select("image", "pos", "width", "height", F.col("colors.background.r").alias("back_r"), F.col("colors.foreground.r").alias("fore_r"), F.coalesce("gradient.angle", F.lit(0)).alias("angle"), F.round("opacity", 6).alias("opacity"), *(F.col(f"padding.{k}").alias(f"pad_{k}") for k in ("top", "right", "bottom", "left")), F.coalesce("typography.size", F.lit(0)).alias("font"), F.coalesce("typography.align", F.lit("")).alias("align")),
+    "strip_regions": lambda s, d: lb.regions_by_strips(v.frame_pairs(s, d), side=fr.SIDE, high=3).select(
+        *_KEYS, "n", "x", "y", "w", "h", F.round("intensity", 6).alias("intensity"), F.round("confidence", 6).alias("confidence")
+    ),
     "region_kinds": lambda s, d: fr.regions(v.frame_pairs(s, d), reach=4, step=1).select(*_KEYS, "region", "kind"),
     "total_regions": lambda s, d: fr.regions(v.frame_pairs(s, d), kinds=False).groupBy("session").agg(F.count("*").alias("n")),
 }
@@ -93,6 +97,9 @@ SELECT image, pos, width, height, back AS back_r, CASE WHEN list_max(list_transf
  CASE WHEN pos = 1 THEN '' WHEN abs(x0 - (width - x1)) < 5 THEN 'center' WHEN x0 < width - x1 THEN 'left' ELSE 'right' END AS align FROM z"""
 ORACLE = {
     "element_looks": _LOOKS,
+    "strip_regions": lambda s, d: lb.regions_by_strips(v.frame_pairs(s, d), side=fr.SIDE, high=3).select(
+        *_KEYS, "n", "x", "y", "w", "h", F.round("intensity", 6).alias("intensity"), F.round("confidence", 6).alias("confidence")
+    ),
     "region_kinds": _KIND.replace("{P}", _P).replace("{DIFF}", _DIFF),
     "color_pair_metrics": f"""{_C}, m AS (SELECT *, list_sum(list_transform({_Z}, lambda z: CAST(pow(z[1] - z[4], 2) + pow(z[2] - z[5], 2) + pow(z[3] - z[6], 2) AS DOUBLE))) / 192 AS e, {_sobel('r')} AS e1, {_sobel('prev_r')} AS e2, list_concat(r, g, b) AS a1, list_concat(prev_r, prev_g, prev_b) AS a0 FROM v_rgb)
 SELECT session, frame_no, round(e, 5) AS mse, CASE WHEN e = 0 THEN 'inf'::DOUBLE ELSE round(10 * log10(65025.0::DOUBLE / e), 5) END AS psnr,
@@ -130,3 +137,4 @@ g AS (SELECT l.session, l.frame_no, label, count(*) AS n, min(i % 8) AS x, min(i
 SELECT session, frame_no, n, x, y, w, h, round(intensity, 6) AS intensity, round((least(n / 1000.0::DOUBLE, 1) + intensity) / 2, 6) AS confidence FROM g WHERE n >= 2""",
 }
 ORACLE["total_regions"] = "SELECT session, count(*) AS n FROM (" + ORACLE["changed_regions"] + ") GROUP BY session"
+ORACLE["strip_regions"] = ORACLE["changed_regions"]

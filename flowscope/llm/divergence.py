@@ -1,9 +1,10 @@
 """How the sources of a language differ in their words, and by which.
 
-Every text gives one record for each of its terms. Records are dealt by ranges of (lang, term, source, document) and sorted
-so within a task, which splits a term that a third of all documents use, and keeps all others whole. One pass over the
-sorted records measures runs: documents and occurrences of a term in a source. A term that lies between two others of the
-same task is complete; the two at a task's ends may go on in the next, and only those are summed by a shuffle.
+A task counts the terms of its texts by language and source, which leaves one record for a term's stretch of documents there;
+no term can have more than one record a stretch, however common it is. Records are dealt by ranges of (lang, term, source)
+and sorted by (lang, term, source, first document) within a task. One pass over the sorted records measures runs: documents
+and occurrences of a term in a source. A term that lies between two others of the same task is complete; the two at a task's
+ends may go on in the next, and only those are summed by a shuffle.
 
 Shares are smoothed, so terms that neither of two sources uses count too. For those a source's constant share stands: what
 a pair's sum owes to terms in one of both sources follows from how many terms it uses once, twice, ...; only terms of both
@@ -22,52 +23,86 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowscope.llm.common import bounded, white_cut, written
+from flowscope.llm.common import bounded, partitions, white_cut, written
 
-MIN_DOCS, LEADERS = 3, 200
+MIN_DOCS, LEADERS, SEED = 3, 200, 12
 #: Shares are counted in steps of 1000 to this power.
 SCALE_STEPS = 3
 #: Records, pairs and partial results that a task works on at a time.
 RECORDS, PAIRS, PARTIAL = 200_000, 1_000_000, 2_000_000
 #: Bytes as terms have them: A-Z lower-cased, other ASCII than letters as spaces.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)).lower()
-_RUNS = pa.schema([("key", pa.binary()), ("source", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
+_RUNS = pa.schema([("key", pa.binary()), ("docs", pa.int64()), ("n", pa.int64())])
+#: Terms that a task holds before it emits their records; documents, at about, that ranges are drawn from (they only balance
+#: tasks), and bytes of a key by which it is dealt.
+HELD, SAMPLE, PREFIX = 400_000, 2000, 64
 
 
-def term_counts(text: bytes | None) -> Counter:
-    """Terms ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` of a text in UTF-8, with A-Z lower-cased."""
-    found: Counter = Counter()
+def terms_of(text: bytes | None):
+    """Terms ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` of a text in UTF-8, with A-Z lower-cased, in lists of bounded size."""
     for part in white_cut((text or b"").translate(_FOLD)):
-        found.update(part.split())
-    return found
+        yield part.split()
 
 
-def records(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(key, source, row, n) for each document and term; the key is the language, a zero byte and the term.
+def escaped(lang: bytes) -> bytes:
+    """Without zero bytes, which separate the parts of a key; in the same order."""
+    return lang.replace(b"\1", b"\1\2").replace(b"\0", b"\1\1")
 
-    A document is a row of ``docs``. Null texts, languages and sources count as empty.
+
+def unescaped(lang: bytes) -> bytes:
+    return lang.replace(b"\1\1", b"\0").replace(b"\1\2", b"\1")
+
+
+def records(docs: DataFrame, bounds: list[bytes] = (), text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """(part, key, row, docs, n): a term's documents and occurrences in a stretch of a source's documents; row is the first of them.
+
+    The key is language, term and source with zero bytes between. A document is a row of ``docs``. Null texts, languages and
+    sources count as empty. Part is the number of ``bounds`` up to the key.
     """
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).cast("binary")
     cols = docs.select(
-        blank(lang).cast("binary").alias("lang"), blank(source).alias("source"), F.monotonically_increasing_id().alias("row"),
-        F.col(text).cast("binary").alias("text"),
-    )
+        blank(lang).alias("lang"), blank(source).alias("source"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("binary").alias("text")
+    )
+    edges = np.array([b[:PREFIX] for b in bounds], f"S{PREFIX}")
 
     def run(batches):
+        held: dict[tuple[bytes, bytes], tuple[int, Counter, Counter]] = {}
+
+        def out():
+            for (lang, source), (row, docs, n) in held.items():
+                head, tail = escaped(lang) + b"\0", b"\0" + source
+                keys = [head + t + tail for t in n]
+                part = np.searchsorted(edges, np.array([k[:PREFIX] for k in keys], f"S{PREFIX}"), "right")
+                counts = (np.fromiter(c, np.int64, len(keys)) for c in (map(docs.__getitem__, n), n.values()))
+                columns = [pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(np.full(len(keys), row)), *map(pa.array, counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "key", "row", "docs", "n"])
+            held.clear()
+
+        size = 0
         for batch in bounded(batches, 3):
-            terms, counts, sizes = [], [], []
-            for body in batch.column(3).to_pylist():
-                found = term_counts(body)
-                terms.extend(found)
-                counts.extend(found.values())
-                sizes.append(len(found))
-            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            key = pc.binary_join_element_wise(batch.column(0).take(of), pa.array(terms, pa.binary()), b"\0")
-            yield pa.RecordBatch.from_arrays(
-                [key, batch.column(1).take(of), batch.column(2).take(of), pa.array(counts, pa.int64())], ["key", "source", "row", "n"]
-            )
-
-    return cols.mapInArrow(run, "key binary, source string, row long, n long")
+            for lang, source, row, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = held.get((lang, source))
+                if own is None:
+                    own = held[lang, source] = (row, Counter(), Counter())
+                before, once = len(own[2]), set()
+                for words in terms_of(body):
+                    own[2].update(words)
+                    once.update(words)
+                own[1].update(once)
+                size += len(own[2]) - before
+                if size > HELD:
+                    yield from out()
+                    size = 0
+        yield from out()
+
+    return cols.mapInArrow(run, "part int, key binary, row long, docs long, n long")
+
+
+def drawn_bounds(docs: DataFrame, parts: int) -> list[bytes]:
+    """Keys that cut the records of about SAMPLE documents in ``parts`` ranges of like size; how rows are dealt changes no result."""
+    some = records(docs.sample(min(1.0, SAMPLE / max(docs.count(), 1)), SEED)).repartitionByRange(parts, "key")
+    firsts = some.groupBy(F.spark_partition_id().alias("at")).agg(F.min(F.substring("key", 1, PREFIX)).alias("key")).collect()
+    return sorted(bytes(r.key) for r in firsts)[1:]
 
 
 def starts_of(*columns) -> np.ndarray:
@@ -112,51 +147,51 @@ def run_lengths(batches):
     """
     carry, begun = _RUNS.empty_table(), False
     for part in chain(gathered(batches, RECORDS), [None]):
-        if part is None:
-            table = carry
-        else:
-            one = pa.array(np.ones(part.num_rows, np.int64))
-            new = pa.Table.from_arrays([part.column("key"), part.column("source"), one, part.column("n")], schema=_RUNS)
-            table = pa.concat_tables([carry, new]).combine_chunks()
-        key, source = column(table, "key"), column(table, "source")
-        starts = starts_of(key, source)
+        table = carry if part is None else pa.concat_tables([carry, part.select(_RUNS.names)]).combine_chunks()
+        key = column(table, "key")
+        starts = starts_of(key)
         docs, n = sums(column(table, "docs"), starts), sums(column(table, "n"), starts)
-        key, source = key.take(pa.array(starts)), source.take(pa.array(starts))
-        terms = starts_of(key)
+        key = key.take(pa.array(starts))
+        names = pc.split_pattern(key, b"\0", max_splits=2).flatten()
+        lang, term, source = (names.take(pa.array(np.arange(i, len(names), 3))) for i in range(3))
+        terms = starts_of(lang, term)
         if part is not None:  # the last term may go on
             cut = int(terms[-1])
-            carry = pa.Table.from_arrays([key[cut:], source[cut:], pa.array(docs[cut:]), pa.array(n[cut:])], schema=_RUNS)
-            key, source, docs, n, terms = key[:cut], source[:cut], docs[:cut], n[:cut], terms[:-1]
+            carry = pa.Table.from_arrays([key[cut:], pa.array(docs[cut:]), pa.array(n[cut:])], schema=_RUNS)
+            lang, term, source, docs, n, terms = lang[:cut], term[:cut], source[:cut], docs[:cut], n[:cut], terms[:-1]
         if not len(terms):
             continue
         open_ = np.zeros(len(terms), bool)
         open_[0], begun = not begun, True
         if part is None:
             open_[-1] = True
-        sizes = np.diff(np.append(terms, len(key)))
-        kept = open_ | (np.add.reduceat(docs, terms) >= MIN_DOCS)
-        rows, of = np.repeat(kept, sizes), np.repeat(np.cumsum(kept) - 1, sizes)
-        names = [x.rpartition(b"\0") for x in key.take(pa.array(terms[kept])).to_pylist()]
-        of, is_first = of[rows], np.zeros(len(key), bool)
+        sizes = np.diff(np.append(terms, len(term)))
+        rows = np.repeat(open_ | (np.add.reduceat(docs, terms) >= MIN_DOCS), sizes)
+        is_first = np.zeros(len(term), bool)
         is_first[terms] = True
-        total = np.repeat(np.add.reduceat(n, terms), sizes)
+        kept, total = pa.array(rows), np.repeat(np.add.reduceat(n, terms), sizes)
+        langs = lang.filter(kept).dictionary_encode()
+        plain = pa.array([unescaped(x).decode() for x in langs.dictionary.to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([x[0].decode() for x in names], pa.string()).take(pa.array(of)),
-                pa.array([x[2].decode() for x in names], pa.string()).take(pa.array(of)),
-                source.filter(pa.array(rows)), pa.array(docs[rows]), pa.array(n[rows]), pa.array(total[rows]),
-                pa.array(is_first[rows]), pa.array(np.repeat(open_, sizes)[rows]),
+                plain.take(langs.indices), term.filter(kept).cast(pa.string()), source.filter(kept).cast(pa.string()),
+                pa.array(docs[rows]), pa.array(n[rows]), pa.array(total[rows]), pa.array(is_first[rows]), pa.array(np.repeat(open_, sizes)[rows]),
             ],
             ["lang", "term", "source", "docs", "n", "total", "first", "open"],
         )
 
 
+def sorted_records(docs: DataFrame) -> DataFrame:
+    """The records in ranges of the key, in order within each."""
+    parts = partitions(docs.sparkSession)
+    bounds = drawn_bounds(docs, parts)
+    return records(docs, bounds).repartitionById(parts, "part").sortWithinPartitions("key", "row").select("key", "docs", "n")
+
+
 def kept_terms(docs: DataFrame) -> DataFrame:
     """(lang, term, source, n, total, first) of each kept term in each source that has it."""
-    order = ["key", "source", "row"]
-    ordered = records(docs).repartitionByRange(*order).sortWithinPartitions(*order).select("key", "source", "n")
     kind = "lang string, term string, source string, docs long, n long, total long, first boolean, open boolean"
-    runs = written(ordered.mapInArrow(run_lengths, kind), "runs")
+    runs = written(sorted_records(docs).mapInArrow(run_lengths, kind), "runs")
     parts = runs.filter("open").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     whole = parts.groupBy("lang", "term").agg(F.sum("docs").alias("all_docs"), F.sum("n").alias("total"), F.min("source").alias("least"))
     joined = parts.join(whole.filter(F.col("all_docs") >= MIN_DOCS), ["lang", "term"]).withColumn("first", F.col("source") == F.col("least"))
@@ -332,9 +367,10 @@ def audit(docs: DataFrame) -> DataFrame:
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pair_values(groups, rows, partial.filter("b is not null")).withColumn("rank", F.row_number().over(by_value))
     terms = partial.filter("b is null").select(F.col("a").alias("group"), F.col("term").alias("item"), F.col("v").alias("value"))
-    terms = terms.join(groups, "group").select("lang", "source", "item", "value").withColumn("rank", F.row_number().over(by_value))
+    best = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("value"), "item"))
+    terms = terms.withColumn("rank", best).filter(F.col("rank") <= LEADERS).join(groups, "group")
     out = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
-    return out(pairs, "pair").unionByName(out(terms.filter(F.col("rank") <= LEADERS), "term"))
+    return out(pairs, "pair").unionByName(out(terms, "term"))
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,9 @@ import re
 from collections import Counter
 
 import duckdb
-import numpy as np
 import pyarrow as pa
 from flowscope.llm import divergence, queries
-from flowscope.llm.divergence import audit, compared, op12, run_lengths, share, term_counts
+from flowscope.llm.divergence import audit, compared, op12, run_lengths, share, terms_of
 from pyspark.sql import functions as F
 
 
@@ -68,20 +67,21 @@ def test_terms_of_bytes():
     for _ in range(200):
         text = "".join(rng.choice("aAzZ@[`{é日\x00\x7f 09-\u0085 ") for _ in range(rng.randrange(40)))
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
-        assert term_counts(text.encode()) == Counter(x.encode() for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low))
+        assert [t for ts in terms_of(text.encode()) for t in ts] == [x.encode() for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low)]
 
 
 def test_runs_over_batches_of_any_size(monkeypatch):
     rng = random.Random(3)
-    rows = sorted((f"l\0{rng.choice('abcde')}".encode(), rng.choice("xyz"), i, rng.randrange(1, 5)) for i in range(60))
+    rows = sorted((f"l\0{rng.choice('abcde')}\0{rng.choice('xyz')}".encode(), rng.randrange(1, 4), rng.randrange(4, 9)) for i in range(60))
     for size in (1, 2, 7, 60):
         monkeypatch.setattr(divergence, "RECORDS", size)
-        batches = [pa.RecordBatch.from_pydict({"key": [r[0] for r in part], "source": [r[1] for r in part], "n": [r[3] for r in part]}) for part in (rows[i : i + size] for i in range(0, 60, size))]
+        batches = [pa.RecordBatch.from_pydict({c: [r[k] for r in rows[i : i + size]] for k, c in enumerate(("key", "docs", "n"))}) for i in range(0, 60, size)]
         out = pa.Table.from_batches(list(run_lengths(batches))).to_pylist()
         runs = {}
-        for key, source, _, n in rows:
-            docs, total = runs.get((key[2:].decode(), source), (0, 0))
-            runs[key[2:].decode(), source] = docs + 1, total + n
+        for key, d, n in rows:
+            at = tuple(key[2:].decode().split("\0"))
+            docs, total = runs.get(at, (0, 0))
+            runs[at] = docs + d, total + n
         assert {(r["term"], r["source"]): (r["docs"], r["n"]) for r in out} == runs
         assert {r["term"] for r in out if r["open"]} == {"a", "e"} and [r["lang"] for r in out] == ["l"] * len(out)
         assert all(r["total"] == sum(n for (t, _), (_, n) in runs.items() if t == r["term"]) for r in out if not r["open"])
@@ -125,9 +125,16 @@ def test_shares_are_exact_beyond_long(spark):
     assert spark.range(1).select(share("0L", "0L", "0L").alias("p")).head().p is None
 
 
-def test_a_hot_term_is_dealt_to_several_tasks(spark):
+def test_common_terms_and_single_sources_are_no_hot_spots(spark):
     docs = spark.range(4000).select(F.lit("ok").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
-    order = ["key", "source", "row"]
-    sizes = np.array([r[0] for r in divergence.records(docs).repartitionByRange(4, *order).groupBy(F.spark_partition_id()).count().select("count").collect()])
-    assert len(sizes) == 4 and sizes.max() < 2000
-    assert as_set(audit(docs)) == set()
+    assert divergence.records(docs).count() <= docs.rdd.getNumPartitions() and as_set(audit(docs)) == set()
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]
+    docs = spark.createDataFrame([(" ".join(words), "en", f"s{i}") for i in range(40)], "text string, lang string, source string")
+    bounds = divergence.drawn_bounds(docs, 8)
+    sizes = [r[1] for r in divergence.records(docs, bounds).groupBy("part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+
+
+def test_languages_with_zero_bytes(spark):
+    rows = [("b c c", lang, source) for lang in ("a", "a\0b", "a\1", "\1\2", "\0") for source in ("c", "d", "\0", "c\0d")] * 3
+    assert as_set(audit(spark.createDataFrame(rows, "text string, lang string, source string"))) == plain(rows)

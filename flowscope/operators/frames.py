@@ -114,6 +114,12 @@ def metrics(pairs: DataFrame, threshold: int = 25, side: int = SIDE, planes=GREY
     ).drop("_changed")
 
 
+def changed_parts(pairs: DataFrame, threshold: int = 25) -> DataFrame:
+    """(session, frame_no, changed_pct) alone, without the other measures."""
+    n = F.size(F.filter(changed(threshold), lambda x: x > 0))
+    return pairs.select("session", "frame_no", (100.0 * n / F.size("px")).alias("changed_pct"))
+
+
 def average(px):
     return _sum(F.transform(px, lambda p: p.cast("double"))) / F.size(px)
 

@@ -63,21 +63,28 @@ def candidates(events: DataFrame, spans: DataFrame, before_ms: int, width: int)
     return found.withColumn("history", F.row_number().over(Window.partitionBy("session", "id").orderBy("segment")) - 1)
 
 
-def correlated(cands: DataFrame, threshold: float = 0.6, near: float = 150.0, keep: tuple[str, ...] = ()) -> DataFrame:
+def correlated(
+    cands: DataFrame, threshold: float = 0.6, near: float = 150.0, keep: tuple[str, ...] = (), x=None, y=None, longest: float = 1000.0
+) -> DataFrame:
     """(session, segment, events, confidence): each slice's events that reach the threshold, in order of time; ``keep`` names columns of the slice to go with it.
 
+    An event's place is ``x`` and ``y``, by default 10 x and y. Slices may have ``moving``: with more than two regions, one of
+    which moved, they count as animated.
+
     An accepted event raises the slice's confidence, which is the intensity the next event is judged by: an ordered fold
     over the slice's candidates, as one array. history is known before (see ``candidates``), so slices fold independently.
     """
     pct = F.size("centres") * F.lit(10.0)
-    prox = sc.proximity(F.col("centres"), F.col("x") * 10, F.col("y"), near)
-    rows = cands.withColumns({"pct": pct, "prox": prox})
-    per = rows.groupBy("session", "segment").agg(F.first("confidence").alias("c0"), *(F.first(c).alias(c) for c in keep), F.array_sort(F.collect_list(F.struct("ts_ms", "id", "history", "pct", "prox"))).alias("cands"))
+    prox = sc.proximity(F.col("centres"), F.col("x") * 10 if x is None else x, F.col("y") if y is None else y, near)
+    many_moving = (F.size("centres") > 2) & F.col("moving") if "moving" in cands.columns else F.lit(False)
+    rows = cands.withColumns({"pct": pct, "prox": prox, "many_moving": many_moving})
+    listed = F.array_sort(F.collect_list(F.struct("ts_ms", "id", "history", "pct", "prox", "many_moving")))
+    per = rows.groupBy("session", "segment").agg(F.first("confidence").alias("c0"), *(F.first(c).alias(c) for c in keep), listed.alias("cands"))
 
     def step(acc, e):
         wait = sc.delay(acc["confidence"])
-        kind = sc.correlation_type(acc["confidence"], e["pct"], wait, e["history"])
-        score = sc.correlation_confidence(wait, e["prox"], e["pct"], kind)
+        kind = sc.correlation_type(acc["confidence"], e["pct"], wait, e["history"], e["many_moving"])
+        score = sc.correlation_confidence(wait, e["prox"], e["pct"], kind, longest)
         return F.when(score >= threshold, F.struct(F.greatest(acc["confidence"], score).alias("confidence"), F.concat(acc["events"], F.array(e["id"])).alias("events"))).otherwise(acc)
 
     start = F.struct(F.col("c0").alias("confidence"), F.array().cast("array<bigint>").alias("events"))

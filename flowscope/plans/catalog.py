@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("graph_queries", "element_queries", "frame_queries", "timeline_queries", "state_queries", "document_queries")
+MODULES = ("graph_queries", "element_queries", "frame_queries", "timeline_queries", "analysis_queries", "state_queries", "document_queries")
 
 
 def _all(name: str) -> dict:

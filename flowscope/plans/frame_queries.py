@@ -97,9 +97,6 @@ SELECT image, pos, width, height, back AS back_r, CASE WHEN list_max(list_transf
  CASE WHEN pos = 1 THEN '' WHEN abs(x0 - (width - x1)) < 5 THEN 'center' WHEN x0 < width - x1 THEN 'left' ELSE 'right' END AS align FROM z"""
 ORACLE = {
     "element_looks": _LOOKS,
-    "strip_regions": lambda s, d: lb.regions_by_strips(v.frame_pairs(s, d), side=fr.SIDE, high=3).select(
-        *_KEYS, "n", "x", "y", "w", "h", F.round("intensity", 6).alias("intensity"), F.round("confidence", 6).alias("confidence")
-    ),
     "region_kinds": _KIND.replace("{P}", _P).replace("{DIFF}", _DIFF),
     "color_pair_metrics": f"""{_C}, m AS (SELECT *, list_sum(list_transform({_Z}, lambda z: CAST(pow(z[1] - z[4], 2) + pow(z[2] - z[5], 2) + pow(z[3] - z[6], 2) AS DOUBLE))) / 192 AS e, {_sobel('r')} AS e1, {_sobel('prev_r')} AS e2, list_concat(r, g, b) AS a1, list_concat(prev_r, prev_g, prev_b) AS a0 FROM v_rgb)
 SELECT session, frame_no, round(e, 5) AS mse, CASE WHEN e = 0 THEN 'inf'::DOUBLE ELSE round(10 * log10(65025.0::DOUBLE / e), 5) END AS psnr,

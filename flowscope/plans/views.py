@@ -15,6 +15,10 @@ FRAME_SQL = """v_frame AS (
   SELECT vec_id AS frame_no, label AS session, 100 * vec_id AS ts_ms,
          list_transform(embedding, lambda e: CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS INTEGER)) AS px FROM embeddings)"""
 
+#: Events on the frames' clock, one every five milliseconds; their sessions are the frames'.
+CLICK_SQL = """v_click AS (
+  SELECT event_id AS id, user_id % 10 AS session, 5 * event_id AS ts_ms, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS x, value AS y FROM events)"""
+
 PAIR_SQL = f"""{FRAME_SQL},
 v_pair AS (
   SELECT * FROM (
@@ -62,6 +66,10 @@ def events(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("session"), epoch_ms("ts").alias("ts_ms"), F.col("event_type").alias("type"), F.get_json_object("props", "$.k").cast("double").alias("x"), F.col("value").alias("y"))
 
 
+def clicks(spark, d) -> DataFrame:
+    return events(spark, d).select("id", (F.col("session") % 10).alias("session"), (F.col("id") * 5).alias("ts_ms"), "x", "y")
+
+
 def frames(spark, d) -> DataFrame:
     px = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 127.5).cast("int"))
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_no"), F.col("label").alias("session"), (F.col("vec_id") * 100).alias("ts_ms"), px.alias("px"))

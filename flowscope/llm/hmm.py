@@ -3,7 +3,8 @@
 The words of all training texts are counted. What a state emits is a symbol: the end of the text, one of the most frequent
 words (``vocabulary`` at most), or the class that a rarer or unknown word's last two bytes fall in; within its class a rare
 word has its smoothed share of the class's occurrences, whatever the state. So the model's tables have a fixed bound while
-every word's own count takes part. A class keeps the share of one more word, as the base score does, for all unknown ones.
+every word's own count takes part: tasks know the counts of the ``at_hand`` most frequent words at most, those of all others
+are joined by word. A class keeps the share of one more word, as the base score does, for all unknown ones.
 
 Baum-Welch: tasks run forward and backward over stretches of training texts and give expected counts by symbol and state,
 which Spark sums; ``warm_rounds`` rounds each take another part of all training texts, ``full_rounds`` take all. Scoring is
@@ -57,7 +58,7 @@ def class_column(word: str = "word"):
     return (F.crc32(F.expr(f"substring({word}, greatest(length({word}) - 1, 1), 2)")) % CLASSES).cast("int")
 
 
-def counted(texts: DataFrame, most: int = 500_000) -> DataFrame:
+def counted(texts: DataFrame, most: int = 300_000) -> DataFrame:
     """(word, c) over all rows of ``texts`` (text as binary); the empty word stands for the end of a text."""
 
     def run(batches):
@@ -83,8 +84,11 @@ def counted(texts: DataFrame, most: int = 500_000) -> DataFrame:
 class Vocabulary:
     """Symbols of words and their counts; all of bounded size but for the numbers ``total`` and ``distinct``."""
 
-    def __init__(self, words: list[tuple[bytes, int]], ends: int, class_n: np.ndarray, class_words: np.ndarray, total: int, distinct: int):
-        self.total, self.distinct, self.ends = total, distinct, ends
+    def __init__(
+        self, words: list[tuple[bytes, int]], at_hand: dict[bytes, int], ends: int, class_n: np.ndarray, class_words: np.ndarray, size: tuple[int, int]
+    ):
+        self.total, self.distinct = size
+        self.ends, self.at_hand = ends, at_hand
         self.words = {w: i + 1 for i, (w, _) in enumerate(words)}
         self.class_n, self.class_words = class_n, class_words
         self.first_class = len(words) + 1
@@ -93,31 +97,30 @@ class Vocabulary:
         self.counts = np.concatenate(([float(ends)], [float(c) for _, c in words], class_n))
         #: log10 of what a rare word's ADDED count is divided by, by class.
         self.class_log = np.log10(class_n + ADDED * (class_words + 1))
-        self.base_log = math.log10(total + ADDED * (distinct + 1))
+        self.base_log = math.log10(self.total + ADDED * (self.distinct + 1))
 
     def base(self, count):
         """log10 of the base score's probability of tokens with these counts."""
         return np.log10(count + ADDED) - self.base_log
 
     @staticmethod
-    def of(counts: DataFrame, vocabulary: int) -> Vocabulary:
-        """From a written table (word, c): the words with the largest counts, all with the same count or none, ``vocabulary`` at most."""
+    def of(counts: DataFrame, vocabulary: int, at_hand: int) -> Vocabulary:
+        """From a written table (word, c): the words with the largest counts, all with the same count or none, ``vocabulary`` at
+        most, and after them those that tasks know the counts of, ``at_hand`` at most."""
         own = F.col("word") != F.lit(bytearray(END))
         bucket = F.floor(F.log2("c") * FINE).alias("bucket")
         sizes = counts.filter(own & (F.col("c") >= LEAST)).groupBy(bucket).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
-        least, n = None, 0
-        for r in sorted(sizes, key=lambda r: -r.bucket):  # as many as there are buckets in 64 doublings
-            n += r.n
-            if n > vocabulary:
-                break
-            least = r.least
-        often = F.lit(False) if least is None else F.col("c") >= least
+        sizes.sort(key=lambda r: -r.bucket)  # as many as there are buckets in 64 doublings
+        above = lambda most: min((r.least for r, n in zip(sizes, np.cumsum([r.n for r in sizes]), strict=True) if n <= most), default=None)
+        from_ = lambda least: F.lit(False) if least is None else F.col("c") >= least
+        often, some = from_(above(vocabulary)), from_(above(vocabulary + at_hand))
         words = [(bytes(r.word), r.c) for r in counts.filter(own & often).orderBy(F.desc("c"), "word").collect()]
+        more = {bytes(r.word): r.c for r in counts.filter(own & some & ~often).collect()}
         class_n, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
         for r in counts.filter(own & ~often).groupBy(class_column().alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("words")).collect():
             class_n[r.k], class_words[r.k] = r.n, r.words
         size = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(~own, F.col("c")))).head()
-        return Vocabulary(words, size[2] or 0, class_n, class_words, size[0] or 0, size[1])
+        return Vocabulary(words, more, size[2] or 0, class_n, class_words, (size[0] or 0, size[1]))
 
 
 class Symbols(dict):
@@ -138,10 +141,10 @@ class Symbols(dict):
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, holdout: int) -> DataFrame:
-    """(row, doc_id, held_out, n_tokens, known, base, symbols, rare) of every row; written, so that ``row`` stays the same.
+    """(row, doc_id, held_out, n_tokens, known, base, inner, symbols, rare) of every row; written, so that ``row`` stays the same.
 
-    ``known`` and ``base`` are of the tokens that aren't rare, ``rare`` has the others and how often the text has them;
-    symbols are little-endian 32-bit numbers, the last one the end.
+    ``known``, ``base`` and ``inner``, the log of words' shares of their classes, are of the tokens whose counts are at hand;
+    ``rare`` has the others and how often the text has them. Symbols are little-endian 32-bit numbers, the last one the end.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
     cols = docs.select(
@@ -153,7 +156,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, holdout: int) -> DataFrame:
         v = shipped.value
         known, base, first = Symbols(v), v.base(v.counts[: v.first_class]), v.first_class
         for batch in bounded(batches, 3):
-            n, n_known, base_sum, symbols, rare = [], [], [], [], []
+            n, n_known, base_sum, inner, symbols, rare = [], [], [], [], [], []
             for text in batch.column(3).to_pylist():
                 found, odd = [], Counter()
                 for words in words_of(text):
@@ -162,9 +165,14 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, holdout: int) -> DataFrame:
                     found.append(s)
                 s = np.concatenate([*found, np.zeros(1, np.int32)])
                 often = s[s < first]
+                near = [(w, k, v.at_hand[w]) for w, k in odd.items() if w in v.at_hand]
+                times, log = np.array([k for _, k, _ in near], float), np.log10(np.array([c for *_, c in near], float) + ADDED)
+                for w, _, _ in near:
+                    del odd[w]
                 n.append(len(s))
-                n_known.append(len(often) - (not v.ends))
-                base_sum.append(float(base[often].sum()))
+                n_known.append(len(often) - (not v.ends) + int(times.sum()))
+                base_sum.append(float(base[often].sum() + times @ (log - v.base_log)))
+                inner.append(float(times @ (log - v.class_log[[word_class(w) for w, _, _ in near]])) if near else 0.0)
                 symbols.append(s.astype("<i4").tobytes())
                 rare.append(odd)
             at = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in rare]))), pa.int32())
@@ -174,19 +182,19 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, holdout: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()),
-                    pa.array(base_sum, pa.float64()), pa.array(symbols, pa.binary()), pa.ListArray.from_arrays(at, entries),
+                    pa.array(base_sum, pa.float64()), pa.array(inner, pa.float64()), pa.array(symbols, pa.binary()), pa.ListArray.from_arrays(at, entries),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "symbols", "rare"],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "inner", "symbols", "rare"],
             )
 
-    kind = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, symbols binary, rare array<struct<word:binary,n:long>>"
-    return written(cols.mapInArrow(run, kind), "symbols")
+    kind = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, symbols binary"
+    return written(cols.mapInArrow(run, f"{kind}, rare array<struct<word:binary,n:long>>"), "symbols")
 
 
 def rare_sums(coded: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(row, rare_known, rare_base, within): each text's rare words by their own counts, joined by word.
 
-    No word of the vocabulary's size or above is among them, so no key is hot.
+    No frequent word is among them, so no key is hot.
     """
     spark = coded.sparkSession
     below = spark.createDataFrame([(k, float(x)) for k, x in enumerate(vocabulary.class_log)], "class int, below double")
@@ -333,20 +341,20 @@ def fit(coded: DataFrame, vocabulary: Vocabulary, states: int = 12, warm_rounds:
 
 
 def likelihoods(coded: DataFrame, model: Model) -> DataFrame:
-    """(row, doc_id, held_out, n_tokens, known, base, symbols_log): log10 of each row's symbols under the model."""
+    """(row, doc_id, held_out, n_tokens, known, base, inner, symbols_log): log10 of each row's symbols under the model."""
     shipped = coded.sparkSession.sparkContext.broadcast(model)
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "inner"]
 
     def run(batches):
         for batch, found in sequences_of(batches, len(names)):
             log = log_likelihoods(shipped.value, found) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(log)], [*names, "symbols_log"])
 
-    kind = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, symbols_log double"
+    kind = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, symbols_log double"
     return coded.select(*names, "symbols").mapInArrow(run, kind)
 
 
-def scored(docs: DataFrame, vocabulary: int = 1 << 14, states: int = 12, holdout: int = 10) -> DataFrame:
+def scored(docs: DataFrame, vocabulary: int = 1 << 14, at_hand: int = 1 << 17, states: int = 12, holdout: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
 
     Scores are log10 probabilities of whole texts; null and empty texts are one token, the end. Rows repeated are trained on
@@ -355,14 +363,14 @@ def scored(docs: DataFrame, vocabulary: int = 1 << 14, states: int = 12, holdout
     """
     texts = docs.filter(~held_out(holdout)).select(F.col("text").cast("binary").alias("text"))
     counts = written(counted(texts), "word-counts")
-    words = Vocabulary.of(counts, vocabulary)
+    words = Vocabulary.of(counts, vocabulary, at_hand)
     coded = encoded(docs, words, holdout)
     model = fit(coded, words, states)
     rows = likelihoods(coded, model).join(rare_sums(coded, counts, words), "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return rows.select(
         "doc_id", "held_out", "n_tokens", plus("known", "rare_known").alias("n_known"), F.lit(words.total).cast("bigint").alias("train_tokens"),
-        plus("base", "rare_base").alias("base_score"), plus("symbols_log", "within").alias("score"),
+        plus("base", "rare_base").alias("base_score"), (plus("symbols_log", "within") + F.col("inner")).alias("score"),
     )
 
 

@@ -87,17 +87,20 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), ""]
 
 
-def test_op11_against_plain_loops(spark, tiny, monkeypatch):
+@pytest.mark.parametrize("bounds", [(), (300, 500)])
+def test_op11_against_plain_loops(spark, tiny, monkeypatch, bounds):
     """Every column again by dictionaries and loops; the model's own score from its tables, a word at a time."""
     fitted = []
     monkeypatch.setattr(hmm, "fit", lambda coded, words, states, f=hmm.fit: fitted.append((words, f(coded, words, states))) or fitted[0][1])
-    rows = {r.doc_id: r for r in hmm.op11(spark, tiny).collect()}
+    table = spark.read.parquet(f"{tiny}/documents.parquet")
+    rows = {r.doc_id: r for r in (scored(table, *bounds) if bounds else hmm.op11(spark, tiny)).collect()}
     docs = {r.doc_id: tokens(r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in docs}
     count = Counter(w for d in docs if not held[d] for w in docs[d])
     n, v = sum(count.values()), len(count)
     words, m = fitted[0]
     assert (words.total, words.distinct) == (n, v) and rows.keys() == docs.keys()
+    assert not bounds or (0 < len(words.words) <= 300 and 0 < len(words.at_hand) <= 500 and len(count) > 2000)
     rare = {w: c for w, c in count.items() if w and w.encode() not in words.words}
     within = Counter(), Counter()
     for w, c in rare.items():

@@ -85,6 +85,31 @@ You should have received a copy of the GNU Lesser General Public License along w
     "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
 
+#: Words that tell a licence from its likes: without them aligned, a text isn't it.
+TELLING = {
+    "MIT-notice": "mit",
+    "Apache-2.0-notice": "apache 2.0",
+    "Apache-2.0-header": "apache 2.0",
+    "GPL-3.0-notice": "gnu general public 3",
+    "GPL-3.0-header": "general public 3",
+    "LGPL-3.0-header": "lesser 3",
+    "MPL-2.0-header": "mozilla 2.0",
+    "CC-BY-NC-4.0-notice": "by-nc 4.0",
+    "All-rights-reserved": "all rights reserved",
+    "BSD-3-Clause": "neither endorse",
+}
+#: Words that a licence's text can't have between its own.
+BARRED = {"GPL-3.0-notice": "lesser library affero", "GPL-3.0-header": "lesser library affero"}
+#: Of licences that share most words, only the one with most of them aligned is reported at a place.
+FAMILIES = (
+    ("MIT", "MIT-notice"),
+    ("BSD-2-Clause", "BSD-3-Clause"),
+    ("Apache-2.0-notice", "Apache-2.0-header"),
+    ("GPL-3.0-notice", "GPL-3.0-header", "LGPL-3.0-header"),
+)
+#: A template of fewer than SHORT words may have MORE others between its own.
+SHORT, MORE = 20, 2
+
 
 def load_templates(spark: SparkSession, path: str, most: int = 4_000_000) -> dict[str, str]:
     """Whole licence texts from the files of a folder, by file name; more than ``most`` characters in all are refused, as they are broadcast."""
@@ -176,6 +201,9 @@ class Scanner:
         self.names = [n for n, t in templates.items() if len(memo.of(t.encode()))]
         self.words = [memo.of(templates[n].encode()) for n in self.names]
         self.least = [math.ceil(coverage * len(w) - 1e-9) for w in self.words]
+        self.telling = [set(memo.of(TELLING.get(n, "").encode()).tolist()) for n in self.names]
+        self.barred = [set(memo.of(BARRED.get(n, "").encode()).tolist()) for n in self.names]
+        self.family = [next((i for i, f in enumerate(FAMILIES) if n in f), -1 - t) for t, n in enumerate(self.names)]
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
         self.has = np.zeros((len(self.vocabulary), len(self.words)), np.int32)  # how often
         for t, w in enumerate(self.words):
@@ -201,8 +229,25 @@ class Scanner:
             lo, hi = np.searchsorted(doc, [d, d + 1])
             mine = at[lo:hi][self.has[word[lo:hi], t] > 0]
             out += [(int(d), int(t), *x) for x in self._windows(words, int(bounds[d]), mine, int(t))]
+        return self._best_of_families(out)
+
+    def _best_of_families(self, found):
+        """Without places that overlap one of the same family with more words aligned, or as many and a larger part of it."""
+        taken, out = {}, []
+        for d, t, n, s, e in sorted(found, key=lambda x: (x[0], -x[2], len(self.words[x[1]]), x[1], x[3])):
+            own = taken.setdefault((d, self.family[t]), [])
+            if not any(s < y and x < e and u != t for x, y, u in own):
+                own.append((s, e, t))
+                out.append((d, t, n, s, e))
         return out
 
+    def _is_it(self, t: int, words: list, pairs: list[tuple[int, int]]) -> bool:
+        """Whether an alignment has the telling words, no barred ones between, and a short notice's words close together."""
+        at = {words[j] for _, j in pairs}
+        span = words[pairs[0][1] : pairs[-1][1] + 1]
+        close = len(self.words[t]) >= SHORT or len(span) <= len(self.words[t]) + MORE
+        return close and self.telling[t] <= at and not (self.barred[t] and self.barred[t].intersection(span))
+
     def _windows(self, words, base, at, t):
         """Aligned windows of one and a half template lengths; of those that overlap the one that covers most, then the shortest.
 
@@ -217,14 +262,16 @@ class Scanner:
             k = int(able[i])
             lo = int(at[k])
             hi = int(at[int(np.searchsorted(at, lo + width)) - 1]) + 1
-            pairs = patience(template, words[lo:hi].tolist())
+            there = words[lo:hi].tolist()
+            pairs = patience(template, there)
             n, end = len(pairs), lo + pairs[-1][1] + 1 if pairs else lo
             best = best if lo < best_end else 0
-            if n >= least:
+            real = n >= least and self._is_it(t, there, pairs)
+            if real:
                 found.append((-n, end - lo - pairs[0][1], lo + pairs[0][1]))
                 if n >= best:
                     best, best_end = n, end
-            k = max(k + 1, int(np.searchsorted(at, end))) if n == len(w) else k + max(1, max(least, best) - n)
+            k = max(k + 1, int(np.searchsorted(at, end))) if real and n == len(w) else k + max(1, max(least, best) - n)
         taken = []
         for n, length, s in sorted(set(found)):
             if not any(s < y and x < s + length for x, y in taken):
@@ -236,8 +283,10 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
     """(doc_id, license, coverage, start, end) of each place in a whole text that covers a template; start and end count words.
 
     Null, empty and blank texts have none. Rows are scanned one by one: repeated rows and null doc_ids give rows of their own.
-    Of places of one template that overlap the one that covers most is reported, then the shortest, then the first; places
-    of different templates may overlap. No documents or no templates: no rows. Other columns don't matter.
+    Of places of one template that overlap the one that covers most is reported, then the shortest, then the first. A place
+    must have the words that tell the licence from others (``TELLING``) and none that belong to another (``BARRED``); of one
+    family's licences (``FAMILIES``) that overlap the one with most words aligned is reported; others may overlap. No documents
+    or no templates: no rows. Other columns don't matter.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, coverage))
 

@@ -61,12 +61,18 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _to_255(digits: str) -> bool:
+    """Whatever the number of leading zeros."""
+    d = digits.lstrip("0")
+    return len(d) <= 3 and int(d or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then by kind as listed."""
     if not text or not _ANY.search(text):
         return []
     out = [(s, e, 0) for s, e in emails(text)]
-    out += [(*m.span(), 1) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(*m.span(), 1) for m in _IP.finditer(text) if all(map(_to_255, m.group().split(".")))]
     for m in _CARD.finditer(text):
         d = digits_of(m.group()) if m.end() - m.start() >= 14 else ""
         if 14 <= len(d) <= 19 and luhn(d):

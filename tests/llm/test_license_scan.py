@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from flowscope.llm.license_scan import TEMPLATES, common, increasing, licenses, load_templates, op3, patience
+from flowscope.llm.license_scan import FAMILIES, TEMPLATES, common, increasing, licenses, load_templates, op3, patience
 
 
 def lcs(a, b):
@@ -102,3 +102,28 @@ def test_halved_tables_give_a_longest_subsequence():
         a, b = ([rng.randrange(1, 9) for _ in range(rng.randrange(0, 40))] for _ in range(2))
         pairs = common(a, b, cells=20)
         assert len(pairs) == lcs(a, b) and all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
+def test_other_licences_are_not_mistaken(spark):
+    texts = [
+        "Released under the BSD License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License, version 2.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the Apache License, Version 1.1.", "It was released in May under strict rules the license", "all the rights he never had were reserved",
+        "released to us under some terms that the old MIT file had, as a license", "Released under the X11 License.", "Licensed under CC BY-NC 3.0.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert licenses(docs).collect() == []
+    right = ["so it is released under the mit license now", "Licensed under the Apache License Version 2.0", "licensed under CC BY-NC 4.0", "All Rights Reserved"]
+    right += ["this work is licensed under the gnu general public license version 3"]
+    got = licenses(spark.createDataFrame(list(enumerate(right)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == list(enumerate(["MIT-notice", "Apache-2.0-notice", "CC-BY-NC-4.0-notice", "All-rights-reserved", "GPL-3.0-notice"]))
+
+
+def test_licences_of_a_family_compete(spark):
+    names = [n for f in FAMILIES for n in f if n not in ("MIT-notice",)]
+    docs = spark.createDataFrame([(i, f"so {TEMPLATES[n]} so") for i, n in enumerate(names)], "doc_id long, text string")
+    got = licenses(docs).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == list(enumerate(names))
+    both = spark.createDataFrame([(1, TEMPLATES["BSD-2-Clause"] + " so " + TEMPLATES["BSD-3-Clause"])], "doc_id long, text string")
+    assert sorted(r.license for r in licenses(both).collect()) == ["BSD-2-Clause", "BSD-3-Clause"]

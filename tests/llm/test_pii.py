@@ -41,6 +41,26 @@ def test_base_spans_equal_the_patterns():
         assert luhn(d) == check(d)
 
 
+def test_long_runs_of_digits():
+    for n in (4299, 4301, 5000, 1_000_000):
+        zeros, ones = "0" * n, "1" * n
+        assert base_spans(f"{zeros}.1.1.{zeros}255") == [(0, 2 * n + 8, "ip")]
+        assert base_spans(f"{zeros}256.1.1.1") == base_spans(f"{ones}.1.1.1") == base_spans(ones) == base_spans(f"+{ones}") == []
+        assert base_spans(f"{zeros}.1.1.1 a@b.c")[-1] == (n + 7, n + 12, "email")
+
+
+def test_long_runs_of_digits_go_through_the_query(spark, tmp_path):
+    rows = [(i, "0" * n + ".1.1.1") for i, n in enumerate((5000, 1_000_000))] + [(2, "9" * 1_000_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op1(spark, str(tmp_path)).collect()}
+    assert [got[i].n_ip for i in range(3)] == [1, 1, 0]
+    assert all(got[i].base_sha256 == sha_of(plain_long(n)) for i, n in ((0, 5000), (1, 1_000_000)))
+
+
+def plain_long(n):
+    return [(0, n + 6, "ip")]
+
+
 def test_op1_against_the_patterns(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = op1(spark, small).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,16 +89,16 @@ def visits(steps: DataFrame) -> DataFrame:
 
 
 def with_cut(df: DataFrame) -> DataFrame:
-    """A level's rows cut from their lineage: a reliable checkpoint in the session's folder for them.
+    """A level's rows cut from their lineage: a table in the session's folder for them, written in one pass.
 
-    The folder is the context's, or that named in spark.checkpoint.dir; on a single machine without either, cached only.
+    The folder is that named in spark.checkpoint.dir, or the context's; on a single machine without either, cached only.
     """
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not sc.getCheckpointDir() and folder:
-        sc.setCheckpointDir(folder)
-    if sc.getCheckpointDir():
-        return df.checkpoint()
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder:
+        path = f"{folder.rstrip('/')}/flowscope-{sc.applicationId}/cut-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return df.persist()

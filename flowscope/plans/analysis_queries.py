@@ -26,7 +26,7 @@ def _slices(s, d):
 
 
 def _correlated(s, d):
-    return _analysis(s, d)["correlated"].select("session", "segment", F.array_join("events", ",").alias("events"), F.round("confidence", 6).alias("confidence"))
+    return _analysis(s, d)["correlations"].select("session", "segment", F.array_join("events", ",").alias("events"), F.round("confidence", 6).alias("confidence"))
 
 
 def _merged(s, d):

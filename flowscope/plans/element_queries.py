@@ -46,7 +46,7 @@ QUERIES = {
     "boxes_by_area": lambda s, d: el.by_area(v.boxes(s, d)).select("shot", "pos", "rank"),
     "box_pair_measures": _facts,
     "overlapping_boxes": lambda s, d: el.overlapping(v.boxes(s, d)).select("shot", "a_pos", "b_pos", F.round("iou", 6).alias("iou")),
-    "contained_boxes": lambda s, d: el.pairs(v.boxes(s, d), (F.col("a_pos") != F.col("b_pos")) & geo.contains()).select("shot", "a_pos", "b_pos"),
+    "contained_boxes": lambda s, d: el.meeting(v.boxes(s, d), (F.col("a_pos") != F.col("b_pos")) & geo.contains()).select("shot", "a_pos", "b_pos"),
     "box_parents": lambda s, d: _links(s, d).select("shot", "pos", F.coalesce("parent", F.lit(-1)).alias("parent")),
     "box_depths": lambda s, d: el.depths(_links(s, d)).select("shot", "pos", F.col("depth").cast("bigint").alias("depth")),
     "boxes_per_depth": lambda s, d: el.depths(_links(s, d)).groupBy(F.col("depth").cast("bigint").alias("depth")).agg(F.count("*").alias("n")),

@@ -50,7 +50,7 @@ class Timeline:
         sure = joined.filter(joined.confidence >= self.threshold)
         links = slicing.chain_links(sure, judged, events, self.near, self.longest_delay)
         return {
-            "keyframes": keys, "slices": spans, "correlated": held, "merged": sure,
+            "keyframes": keys, "slices": spans, "correlations": held, "merged": sure,
             "chains": timeline.chains(links, ["session"], self.strict_reference), "statistics": slicing.statistics(all_frames, events, sure),
         }
 

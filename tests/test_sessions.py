@@ -287,3 +287,37 @@ def test_rates_that_can_be_captured():
     assert bf.checked_rate(120) == 120
     with pytest.raises(ValueError, match="none of"):
         bf.checked_rate(90)
+
+
+def test_analysis_of_a_session_by_hand(spark):
+    """A block appears at 1000 and vanishes at 3000; a click beside it is answered, one far away is not; another session sleeps."""
+    blank, block = [0] * 64, [200 if 2 <= i % 8 < 5 and 2 <= i // 8 < 5 else 0 for i in range(64)]
+    shown = {1: [blank, block, block, blank, blank], 2: [blank] * 3, 3: [blank]}
+    rows = [(s, i, 1000 * i, px) for s, pictures in shown.items() for i, px in enumerate(pictures)]
+    frames = spark.createDataFrame(rows, "session long, frame_no long, ts_ms long, px array<int>")
+    before = frames.select("session", (F.col("frame_no") + 1).alias("frame_no"), F.col("px").alias("prev_px"))
+    pairs = frames.join(before, ["session", "frame_no"])
+    clicks = [(10, 1, 900, "click", 3.0, 3.0), (11, 1, 2900, "click", 500.0, 500.0), (12, 2, 100, "click", 3.0, 3.0), (13, 9, 100, "click", 3.0, 3.0)]
+    events = spark.createDataFrame(clicks, "id long, session long, ts_ms long, type string, x double, y double")
+    out = session.create("timeline", longest=5000, threshold=0.6, reach=2, step=1).analyze(pairs, frames, events)
+    assert sorted((r.session, r.frame_no, r.reason) for r in out["keyframes"].collect()) == [
+        (1, 0, "first"), (1, 1, "change"), (1, 3, "change"), (1, 4, "last"), (2, 0, "first"), (2, 2, "last"), (3, 0, "first"),
+    ]
+    spans = {(r.session, r.segment): r for r in out["slices"].collect()}
+    assert {k: (r.start_ms, r.end_ms, r.frames, r.type) for k, r in spans.items()} == {
+        (1, 1): (0, 1000, [0, 1], "appearance"), (1, 2): (1000, 3000, [1, 2, 3], "disappearance"), (1, 3): (3000, 4000, [3, 4], "none"), (2, 1): (0, 2000, [0, 1, 2], "none"),
+    }
+    assert [tuple(x)[1:5] for x in spans[1, 1].regions] == [(2, 2, 3, 3)] and spans[1, 3].regions == []
+    assert spans[1, 1].confidence == pytest.approx(0.5 + 0.3 * 2 / 30 + 0.2 / 5)  # 9 of 64 pixels, two frames, one region
+    held = {(r.session, r.segment): r for r in out["correlations"].collect()}
+    # of strength 0.56: a delay of 100, animated; near by 1 - 0.707 / 100
+    score = 0.3 * 0.95 + 0.3 * (1 - 0.5**0.5 / 100) + 0.2 + 0.2 * 0.9
+    assert held[1, 1].events == [10] and held[1, 1].confidence == pytest.approx(score)
+    assert held[1, 2].events == [10, 11] and held[2, 1].events == []
+    merged = out["merged"].collect()
+    assert [(r.session, r.start_ms, r.end_ms, r.type, r.events) for r in sorted(merged, key=lambda r: r.start_ms)] == [(1, 0, 1000, "appearance", [10]), (1, 1000, 3000, "disappearance", [10, 11])]
+    chain = out["chains"].collect()
+    assert [(r.session, r.trigger, r.n, r.duration, r.settling) for r in chain] == [(1, 10, 3, 2000, 2000)]
+    assert {r.session: (r.frames, r.events, r.slices, r.mean_ms, r.common) for r in out["statistics"].collect()} == {
+        1: (5, 2, 2, 1500.0, "appearance"), 2: (3, 1, 0, 0.0, "none"), 3: (1, 0, 0, 0.0, "none"),
+    }

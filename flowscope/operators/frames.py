@@ -179,7 +179,10 @@ def unlike(threshold: float = 0.1, planes=RGB):
 
 
 def visual_similarity(threshold: float = 0.1, planes=RGB):
-    """Part of the pixels that look alike; 0 where the sizes differ or a frame is missing. Edges' smoothing counts as a difference."""
+    """Part of the pixels that look alike; 0 where the sizes differ or a frame is missing.
+
+    Every pixel counts, those of smoothed edges too; ``pixels.like`` leaves these out.
+    """
     same = F.size(planes[0]) == F.size(before(planes[0]))
     marks = unlike(threshold, planes)
     return F.when(F.coalesce(same, F.lit(False)), 1 - F.size(F.filter(marks, lambda m: m)) / F.size(marks)).otherwise(0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.functions import color
+from flowscope.operators import pixels
 
 #: Types whose text matters, and types whose text is read (fixed values).
 TEXT_TYPES = ("text", "header", "button", "link")
@@ -57,7 +58,7 @@ def background():
     return F.get(corners, (F.array_position(n, F.array_max(n)) - 1).cast("int"))
 
 
-def palette(n: int = 5):
+def frequent(n: int = 5):
     """The n most frequent colours in five bits a plane, each the mean of its pixels; of equally frequent ones the darker code."""
     pixels = F.arrays_zip("r", "g", "b")
     code = lambda c: F.shiftright(c["r"], 3) * 1024 + F.shiftright(c["g"], 3) * 32 + F.shiftright(c["b"], 3)
@@ -118,16 +119,17 @@ def font_size(height):
     return F.floor(height * F.lit(0.7) + 0.5).cast("int")
 
 
-def extracted(cropped: DataFrame) -> DataFrame:
+def extracted(cropped: DataFrame, palette=None) -> DataFrame:
     """Crops with colors, gradient, padding, opacity and, for texts, typography (size, line height, weight, alignment).
 
-    A crop without pixels gets the defaults: black on white, no gradient or padding, opacity 1.
+    The palette is that of ``pixels.palette``, by median cut, unless another column of colours is given. A crop without pixels
+    gets the defaults: black on white, no gradient or padding, opacity 1.
     """
     some = F.size("px") > 0
     white, black = (F.struct(*(F.lit(v).alias(p) for p in "rgb")) for v in (255, 0))
     nothing = F.array().cast("array<struct<r:int,g:int,b:int>>")
     plain = F.struct(black.alias("primary"), F.lit(None).cast("struct<r:int,g:int,b:int>").alias("secondary"), white.alias("background"), black.alias("foreground"), nothing.alias("accent"))
-    out = cropped.withColumns({"_back": background(), "_palette": palette(), "_bounds": content()})
+    out = cropped.withColumns({"_back": background(), "_palette": pixels.palette() if palette is None else palette, "_bounds": content()})
     zero = F.struct(*(F.lit(0).alias(k) for k in ("top", "right", "bottom", "left")))
     typo = F.struct(font_size(F.col("height")).alias("size"), (font_size(F.col("height")) * 1.5).alias("line_height"), F.lit(400).alias("weight"), alignment(F.col("_bounds")).alias("align"))
     return out.withColumns({

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowscope.operators import frames as fr
 from flowscope.operators import labels as lb
+from flowscope.operators import pixels as px
 from flowscope.operators import properties as pr
 from flowscope.plans import views as v
 
@@ -18,7 +19,7 @@ def _looks(s, d):
     """Two crops of each frame: its left upper part, and one that begins outside and is wider than the frame."""
     i = v.frames(s, d).select(F.col("frame_no").alias("image"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("px").alias("r"), F.col("px").alias("g"), F.col("px").alias("b"), "px", F.transform("px", lambda x: 255 - x).alias("alpha"))
     at = F.array(F.struct(F.lit(0).alias("pos"), F.lit(1.0).alias("x"), F.lit(2.5).alias("y"), F.lit(5.0).alias("w"), F.lit(4.9).alias("h"), F.lit("button").alias("type")), F.struct(F.lit(1).alias("pos"), F.lit(-3.0).alias("x"), F.lit(3.0).alias("y"), F.lit(99.0).alias("w"), F.lit(2.0).alias("h"), F.lit("image").alias("type")))
-    return pr.extracted(pr.crops(i, i.select("image", F.inline(at))))
+    return pr.extracted(pr.crops(i, i.select("image", F.inline(at))), pr.frequent())
 
 
 _KEYS = ["session", "frame_no"]
@@ -34,6 +35,10 @@ QUERIES = {
     "color_pair_metrics": lambda s, d: _rounded(fr.metrics(v.color_pairs(s, d), planes=fr.RGB), _KEYS, ["mse", "psnr", "histogram_diff", "edge_diff", "color_diff"]),
     "color_measures": lambda s, d: fr.region_measures(v.color_pairs(s, d), planes=fr.RGB).select(*_KEYS, F.round("similarity", 6).alias("similarity"), F.col("size").cast("bigint").alias("size"), F.round("average", 5).alias("average"), "style"),
     "visual_similarity": lambda s, d: v.color_pairs(s, d).select(*_KEYS, F.round(fr.visual_similarity(), 6).alias("similarity")),
+    "perceived_similarity": lambda s, d: v.color_pairs(s, d).select(*_KEYS, F.round(px.like(fr.SIDE, 0.05), 6).alias("similarity")),
+    "frame_palettes": lambda s, d: v.color_pairs(s, d).select(
+        *_KEYS, F.array_join(F.transform(px.palette(5, 1), lambda c: F.concat_ws(" ", c["r"], c["g"], c["b"])), ",").alias("palette")
+    ),
     "visual_differences": lambda s, d: fr.visual_differences(v.color_pairs(s, d)),
     "content_padding": lambda s, d: fr.content_bounds(v.frames(s, d), 120).select("frame_no", *(F.col(f"padding.{c}").cast("bigint").alias(c) for c in ("top", "right", "bottom", "left"))),
     "element_looks": lambda s, d: _looks(s, d).select("image", "pos", "width", "height", F.col("colors.background.r").alias("back_r"), F.col("colors.foreground.r").alias("fore_r"), F.coalesce("gradient.angle", F.lit(0)).alias("angle"), F.round("opacity", 6).alias("opacity"), *(F.col(f"padding.{k}").alias(f"pad_{k}") for k in ("top", "right", "bottom", "left")), F.coalesce("typography.size", F.lit(0)).alias("font"), F.coalesce("typography.align", F.lit("")).alias("align")),
@@ -135,3 +140,20 @@ SELECT session, frame_no, n, x, y, w, h, round(intensity, 6) AS intensity, round
 }
 ORACLE["total_regions"] = "SELECT session, count(*) AS n FROM (" + ORACLE["changed_regions"] + ") GROUP BY session"
 ORACLE["strip_regions"] = ORACLE["changed_regions"]
+# smoothed edges: neighbours column by column, the first darkest and brightest of them, and how many are of a pixel's own colour
+_Y = " + ".join(f"{w}::DOUBLE * {p}" for w, p in zip(_YIQ[0], "rgb"))
+_SHIFTS = ", ".join(f"({k}, {dx}, {dy})" for k, (dx, dy) in enumerate((x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y))
+ORACLE["perceived_similarity"] = f"""{_C},
+img AS (SELECT frame_no, o, i, r, g, b, {_Y} AS y FROM (
+  SELECT frame_no, 0 AS o, unnest(range(0, 64)) AS i, unnest(prev_r) AS r, unnest(prev_g) AS g, unnest(prev_b) AS b FROM v_rgb
+  UNION ALL SELECT frame_no, 1, unnest(range(0, 64)), unnest(r), unnest(g), unnest(b) FROM v_rgb)),
+nb AS (SELECT a.frame_no, a.o, a.i, k, b.i AS j, a.y - b.y AS d, a.r = b.r AND a.g = b.g AND a.b = b.b AS same
+  FROM img a JOIN (VALUES {_SHIFTS}) AS s(k, dx, dy) ON a.i % 8 + dx BETWEEN 0 AND 7 AND a.i // 8 + dy BETWEEN 0 AND 7
+  JOIN img b ON b.frame_no = a.frame_no AND b.o = a.o AND b.i = a.i + dx + 8 * dy),
+one AS (SELECT frame_no, o, i, CASE WHEN i % 8 IN (0, 7) OR i // 8 IN (0, 7) THEN 1 ELSE 0 END AS edge, count(*) FILTER (d = 0) AS zeroes,
+  count(*) FILTER (same) AS own, min(d) AS mn, max(d) AS mx, arg_min(j, (d, k)) AS lo, arg_min(j, (-d, k)) AS hi FROM nb GROUP BY 1, 2, 3),
+solid AS (SELECT frame_no, i, bool_and(own + edge > 2) AS solid FROM one GROUP BY 1, 2),
+soft AS (SELECT one.frame_no, one.i, bool_or(zeroes + edge <= 2 AND mn < 0 AND mx > 0 AND (l.solid OR h.solid)) AS soft FROM one
+  JOIN solid l ON l.frame_no = one.frame_no AND l.i = lo JOIN solid h ON h.frame_no = one.frame_no AND h.i = hi GROUP BY 1, 2),
+far AS (SELECT session, frame_no, unnest(range(0, 64)) AS i, unnest(list_transform({_Z}, lambda z: {_FAR} > {35215 * 0.05 * 0.05}::DOUBLE)) AS far FROM v_rgb)
+SELECT session, frame_no, round(1 - count(*) FILTER (far AND NOT soft) / 64.0::DOUBLE, 6) AS similarity FROM far JOIN soft USING (frame_no, i) GROUP BY 1, 2"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,27 +105,83 @@ def with_cut(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+#: Levels of a search after which those reached so far become one table.
+LEVELS = 16
+
+
+class _Reached:
+    """The levels of a search so far, as few tables."""
+
+    def __init__(self, first: DataFrame):
+        self.old, self.levels = None, [first]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, self.levels if self.old is None else [self.old, *self.levels])
+
+    def add(self, level: DataFrame) -> None:
+        self.levels.append(level)
+        if len(self.levels) >= LEVELS:
+            self.old, self.levels = with_cut(self.all()), []
+
+
 def distances(edges: DataFrame, start: str) -> DataFrame:
-    """(state, distance, path) of every state reached from ``start`` in fewest steps; of equal paths the least by its states.
+    """(state, distance) of every state reached from ``start`` in fewest steps.
 
     A frontier a round, until none is left: each joins the edges once and the states already reached once. The start is
     reached by itself.
     """
     e = with_cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    frontier = edges.sparkSession.createDataFrame([(start, 0, [start])], "state string, distance int, path array<string>")
-    seen, level = frontier, 0
+    frontier = edges.sparkSession.createDataFrame([(start, 0)], "state string, distance int")
+    reached, level = _Reached(frontier), 0
     while not frontier.isEmpty():
         level += 1
-        nxt = frontier.join(e, F.col("state") == F.col("src")).select(F.col("dst").alias("state"), F.lit(level).alias("distance"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = with_cut(nxt.groupBy("state", "distance").agg(F.min("path").alias("path")).join(seen.select("state"), "state", "left_anti"))
-        seen = seen.union(frontier)
-    return seen
+        nxt = frontier.join(e, F.col("state") == F.col("src")).select(F.col("dst").alias("state")).distinct()
+        frontier = with_cut(nxt.join(reached.all().select("state"), "state", "left_anti").select("state", F.lit(level).alias("distance")))
+        reached.add(frontier)
+    return reached.all()
+
+
+def predecessors(edges: DataFrame, start: str, end: str | None = None) -> DataFrame:
+    """(state, distance, prev) as far as ``end``, if given: the state before each on its shortest path, of equal paths the least
+    by its states.
+
+    Paths of a level are in the order of their predecessors' places and their last states, so a level is sorted by ranges and
+    numbered, and no path is carried along.
+    """
+    e = with_cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    ddl = "state string, distance int, prev string, place long"
+    frontier = edges.sparkSession.createDataFrame([(start, 0, None, 0)], ddl)
+    reached, level = _Reached(frontier), 0
+    while not frontier.isEmpty() and (end is None or frontier.filter(F.col("state") == end).isEmpty()):
+        level += 1
+        nxt = frontier.join(e, F.col("state") == F.col("src")).groupBy("dst").agg(F.min(F.struct("place", F.col("src").alias("prev"))).alias("by"))
+        new = with_cut(nxt.join(reached.all().select(F.col("state").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("state"), "by"))
+        order = ["by.place", "state"]
+        ranked = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+        frontier = with_cut(ranked.select("state", F.lit(level).alias("distance"), F.col("by.prev").alias("prev"), "place"))
+        reached.add(frontier)
+    return reached.all().select("state", "distance", "prev")
 
 
 def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
-    """One row with the path, or none; a state's way to itself is itself if it is known."""
-    known = nodes(edges).filter(F.col("state") == start)
-    return distances(edges, start).filter(F.col("state") == end).join(known.select(F.lit(True)), how="left_semi", on=F.lit(True)).select("path", "distance")
+    """One row with the path, or none; a state's way to itself is itself if it is known.
+
+    The states on the way are marked from the end by twice as many steps back in each round.
+    """
+    if nodes(edges).filter(F.col("state") == start).isEmpty():
+        return edges.sparkSession.createDataFrame([], "path array<string>, distance int")
+    before = with_cut(predecessors(edges, start, end))
+    marked, back = before.filter(F.col("state") == end).select("state"), before.filter("prev is not null").select("state", "prev")
+    while True:
+        more = marked.join(back, "state").select(F.col("prev").alias("state"))
+        if more.isEmpty():
+            break
+        marked = with_cut(marked.union(more).distinct())
+        further = back.select(F.col("state").alias("prev"), F.col("prev").alias("_prev"))
+        back = with_cut(back.join(further, "prev").select("state", F.col("_prev").alias("prev")))
+    way = before.join(marked, "state").agg(F.array_sort(F.collect_list(F.struct("distance", "state"))).alias("way"))
+    path = F.transform("way", lambda x: x["state"]).alias("path")
+    return way.filter(F.size("way") > 0).select(path, F.get("way", F.size("way") - 1)["distance"].alias("distance"))
 
 
 def max_depth(edges: DataFrame, start: str) -> DataFrame:
@@ -132,17 +189,49 @@ def max_depth(edges: DataFrame, start: str) -> DataFrame:
     return distances(edges, start).agg(F.max("distance").alias("max_depth"))
 
 
-def _trimmed(e: DataFrame) -> DataFrame:
-    """Edges without those whose source has no way in or whose target has no way out, repeated until none is left to drop."""
-    n = e.count()
-    while n:
-        kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        kept = with_cut(kept)
-        m = kept.count()
-        if m == n:
+def _contracted(e: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Edges and weights (state, least, states) with chains drawn together, and whether there were any.
+
+    A state's only way out and the next state's only way in make a link: both lie on the same cycles. Links form paths and
+    rings, which pointer jumping measures in rounds that double the steps: a path becomes its last state, a ring its least
+    with an edge to itself. As long as pointers move no two are at the same state, so no key is hot.
+    """
+    only = lambda at, other: e.groupBy(at).agg(F.count("*").alias("n"), F.max(other).alias(other)).filter("n = 1").drop("n")
+    links = with_cut(only("src", "dst").join(only("dst", "src"), ["src", "dst"]).filter("src <> dst"))
+    n = links.count()
+    if not n:
+        return e, weights, False
+    inner = links.select(F.col("src").alias("dst"), F.lit(False).alias("done"))
+    at = links.join(inner, "dst", "left").select(
+        F.col("src").alias("state"), F.col("dst").alias("to"), F.least("src", "dst").alias("least"), F.coalesce("done", F.lit(True)).alias("done")
+    )
+    at = with_cut(at)
+    for _ in range(n.bit_length() + 1):
+        moving = at.filter("not done")
+        if moving.isEmpty():
             break
-        e, n = kept, m
-    return e
+        ahead = at.select(F.col("state").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"), F.col("done").alias("_done"))
+        step = moving.join(ahead, "to").select("state", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), F.col("_done").alias("done"))
+        at = with_cut(at.filter("done").union(step))
+    into = with_cut(at.select("state", F.when(F.col("done"), F.col("to")).otherwise(F.col("least")).alias("into"), (~F.col("done")).alias("ring")))
+    rings = into.filter("ring").select(F.col("into").alias("src"), F.col("into").alias("dst")).distinct()
+    left = e.join(links, ["src", "dst"], "left_anti")
+    for end in ("src", "dst"):
+        left = left.join(into.select(F.col("state").alias(end), F.col("into").alias("_into")), end, "left").withColumn(end, F.coalesce("_into", end)).drop("_into")
+    joined = weights.join(into.select("state", "into"), "state", "left").groupBy(F.coalesce("into", "state").alias("state"))
+    return with_cut(left.select("src", "dst").union(rings).distinct()), with_cut(joined.agg(F.min("least").alias("least"), F.sum("states").alias("states"))), True
+
+
+def _reduced(e: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without edges that lie on no cycle for want of a way in or out, and with chains drawn together, until neither is left."""
+    n, again = e.count(), True
+    while again and n:
+        e, weights, again = _contracted(e, weights)
+        into, out_of = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
+        e = with_cut(e.join(into, "src", "left_semi").join(out_of, "dst", "left_semi").select("src", "dst"))
+        m = e.count()
+        again, n = again or m < n, m
+    return e, weights
 
 
 def _spread(e: DataFrame, values: DataFrame) -> DataFrame:
@@ -160,26 +249,29 @@ def _spread(e: DataFrame, values: DataFrame) -> DataFrame:
 def cyclic_components(edges: DataFrame) -> DataFrame:
     """(component, states): strongly connected components with a cycle, named after their least state.
 
-    Colouring: the largest state that reaches each state is its colour; the states that lead back to a colour's root
+    What lies on no cycle goes and chains are drawn together first, so a ring or a chain of any length takes few rounds.
+    Then colouring: the largest state that reaches each state is its colour; the states that lead back to a colour's root
     within the colour are its component. All colours' components go at once, and the rest is coloured anew.
     """
-    e, out = _trimmed(with_cut(edges.select("src", "dst").distinct())), None
+    e, out = with_cut(edges.select("src", "dst").distinct()), None
+    weights = nodes(e).select("state", F.col("state").alias("least"), F.lit(1).cast("long").alias("states"))
+    e, weights = _reduced(e, weights)
     while not e.isEmpty():
         states = nodes(e)
         color = _spread(e, states.select("state", F.col("state").alias("color")))
-        same = e.join(color.select(F.col("state").alias("src"), F.col("color").alias("c1")), "src").join(color.select(F.col("state").alias("dst"), F.col("color").alias("c2")), "dst").filter("c1 = c2")
+        ends = [color.select(F.col("state").alias(end), F.col("color").alias(c)) for end, c in (("src", "c1"), ("dst", "c2"))]
+        same = e.join(ends[0], "src").join(ends[1], "dst").filter("c1 = c2")
         back = with_cut(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        roots = color.filter("state = color")
-        member = _spread(back, roots)
-        out = member if out is None else out.union(member)
+        member = _spread(back, color.filter("state = color"))
+        selves = e.filter("src = dst").select(F.col("src").alias("state"), F.lit(1).alias("self"))
+        sizes = member.join(weights, "state").join(selves, "state", "left").groupBy("color")
+        found = sizes.agg(F.min("least").alias("component"), F.sum("states").alias("states"), (F.count("*") + F.count("self")).alias("ways"))
+        found = with_cut(found.filter("ways > 1").select("component", "states"))
+        out = found if out is None else out.union(found)
         gone = member.select("state")
         e = e.join(gone.select(F.col("state").alias("src")), "src", "left_anti").join(gone.select(F.col("state").alias("dst")), "dst", "left_anti")
-        e = _trimmed(with_cut(e.select("src", "dst")))
-    if out is None:
-        return edges.sparkSession.createDataFrame([], "component string, states long")
-    sizes = out.groupBy("color").agg(F.min("state").alias("component"), F.count("*").alias("states"))
-    selves = edges.filter("src = dst").select(F.col("src").alias("component"), F.lit(True).alias("self")).distinct()
-    return sizes.join(selves, "component", "left").filter("states > 1 or self").select("component", "states")
+        e, weights = _reduced(with_cut(e.select("src", "dst")), weights)
+    return edges.sparkSession.createDataFrame([], "component string, states long") if out is None else out
 
 
 def explored(steps: DataFrame, states: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowscope.functions import scoring as sc
 from flowscope.operators import buffer as bf
 from flowscope.operators import frames as fr
-from flowscope.operators import joins, timeline as tl
+from flowscope.operators import joins, ranges, timeline as tl
 from flowscope.plans import views as v
 
 HOUR = 3600 * 1000
@@ -41,14 +41,14 @@ def _buffer(s, d):
     return v.table(s, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("pos"), F.col("event_id").alias("id"), v.epoch_ms("ts").alias("ts_ms"), F.length("props").alias("bytes"))
 
 
-def _asof(s, d):
+def _asof(s, d, join=joins.asof_join):
     e = v.events(s, d)
-    return joins.asof_join(e.filter("type = 'purchase'").select("session", "id", "ts_ms"), e.filter("type = 'click'"), ["session"], "ts_ms", "ts_ms", ["id", "x"], "id")
+    return join(e.filter("type = 'purchase'").select("session", "id", "ts_ms"), e.filter("type = 'click'"), ["session"], "ts_ms", "ts_ms", ["id", "x"], "id")
 
 
-def _nearest(s, d):
+def _nearest(s, d, join=joins.nearest_join):
     e = v.events(s, d)
-    return joins.nearest_join(e.filter("type = 'error'").select("session", "id", "ts_ms"), e.filter("type = 'view'"), ["session"], "ts_ms", "ts_ms", "id", "id")
+    return join(e.filter("type = 'error'").select("session", "id", "ts_ms"), e.filter("type = 'view'"), ["session"], "ts_ms", "ts_ms", "id", "id")
 
 
 def _chain_rows(s, d):
@@ -84,6 +84,13 @@ QUERIES = {
     "correlation_patterns": lambda s, d: tl.patterns(_history(s, d)).select(F.array_join("delays", ",").alias("delays"), F.array_join("types", ",").alias("types"), F.round("confidence", 6).alias("confidence")),
     "asof_click": lambda s, d: _asof(s, d).select("session", "id", F.coalesce("asof_id", F.lit(-1)).alias("click"), F.coalesce("asof_x", F.lit(-1.0)).alias("x")),
     "nearest_view": lambda s, d: _nearest(s, d).select("session", "id", F.coalesce("nearest_id", F.lit(-1)).alias("view")),
+    "asof_click_by_ranges": lambda s, d: _asof(s, d, ranges.asof_join).select(
+        "session", "id", F.coalesce("asof_id", F.lit(-1)).alias("click"), F.coalesce("asof_x", F.lit(-1.0)).alias("x")
+    ),
+    "nearest_view_by_ranges": lambda s, d: _nearest(s, d, ranges.nearest_join).select("session", "id", F.coalesce("nearest_id", F.lit(-1)).alias("view")),
+    "capture_rates_by_ranges": lambda s, d: ranges.rates(_buffer(s, d)).select(
+        "session", "pos", F.round(F.coalesce("fps", F.lit(-1.0)), 8).alias("fps"), F.round(F.coalesce("peak", F.lit(-1.0)), 8).alias("peak")
+    ),
     "buffer_range": lambda s, d: bf.in_range(_buffer(s, d), 1704100000000, 1704400000000).select("session", "id", "ts_ms"),
     "buffer_not_older": lambda s, d: bf.not_older(_buffer(s, d), 1704400000000).groupBy("session").agg(F.count("*").alias("n")),
     "buffer_recent": lambda s, d: bf.recent(_buffer(s, d), 5).select("session", "id"),
@@ -179,3 +186,4 @@ SELECT session, frames, elapsed_ms, round(coalesce(frames * 1000.0::DOUBLE / nul
     "capture_metrics": f"""{_BUF}, f AS (SELECT session, ts_ms, ts_ms - lag(ts_ms) OVER (PARTITION BY session ORDER BY ts_ms, pos) AS gap FROM buf)
 SELECT session, count(*) AS frames, round((max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE, 3) AS seconds, round(coalesce(count(*) / nullif((max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE, 0), 0), 6) AS fps, count(*) FILTER (gap > 7200000) AS dropped FROM f GROUP BY session""",
 }
+ORACLE |= {f"{name}_by_ranges": ORACLE[name] for name in ("asof_click", "nearest_view", "capture_rates")}

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowscope.functions import scoring as sc
-from flowscope.operators.states import VOID
+from flowscope.operators.scopes import VOID, Scopes
 
 #: Roles, attributes and classes that make an element interactive, beside its tag (fixed values).
 ROLES = ("button", "link", "checkbox", "radio", "tab", "menuitem")
@@ -20,24 +19,31 @@ CLASSES = ("btn", "button", "clickable")
 UNSEEN = re.compile(r"(^|;)(display:none|visibility:hidden|opacity:0(\.0*)?(;|$)|(width|height):0(px)?(;|$))")
 
 
-class _Elements(HTMLParser):
+class _Elements(Scopes):
     def __init__(self):
         super().__init__()
-        self.found, self.path, self.counts, self.hidden = [], [], [{}], []
+        self.found, self.path, self.counts, self.hidden = [], [], [{}], [False]
 
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
+    def began(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs.items()}
         n = self.counts[-1][tag] = self.counts[-1].get(tag, 0) + 1
         step = f"{tag}:nth-of-type({n})"
-        hidden = any(self.hidden) or "hidden" in a or bool(UNSEEN.search(a.get("style", "").replace(" ", "").lower()))
+        hidden = self.hidden[-1] or "hidden" in a or bool(UNSEEN.search(a.get("style", "").replace(" ", "").lower()))
         if self._interactive(tag, a):
             selector = f"#{a['id']}" if a.get("id") else " > ".join([*self.path, step])
-            self.found.append({"tag": tag, "role": a.get("role"), "kind": a.get("type"), "selector": selector, "hot": bool(a.keys() & {"onclick", "href", "role"}), "pointer": "cursor:pointer" in a.get("style", "").replace(" ", "").lower(), "visible": not hidden, "enabled": "disabled" not in a, "href": a.get("href"), "text": ""})
+            self.found.append({
+                "tag": tag, "role": a.get("role"), "kind": a.get("type"), "selector": selector, "hot": bool(a.keys() & {"onclick", "href", "role"}),
+                "pointer": "cursor:pointer" in a.get("style", "").replace(" ", "").lower(), "visible": not hidden, "enabled": "disabled" not in a,
+                "href": a.get("href"), "text": "",
+            })
         if tag not in VOID:
             self.path.append(step)
             self.counts.append({})
             self.hidden.append(hidden)
 
+    def ending(self, at):
+        del self.path[at:], self.hidden[at + 1 :], self.counts[at + 1 :]
+
     @staticmethod
     def _interactive(tag, a):
         return bool(
@@ -45,41 +51,32 @@ class _Elements(HTMLParser):
             or a.keys() & set(MARKS) or set(a.get("class", "").split()) & set(CLASSES) or ("tabindex" in a and a["tabindex"] != "-1")
         )
 
-    def handle_endtag(self, tag):
-        for i in range(len(self.path) - 1, -1, -1):
-            if self.path[i].split(":")[0] == tag:
-                del self.path[i:]
-                del self.hidden[i:]
-                del self.counts[i + 1 :]
-                break
-
     def handle_data(self, data):
         if self.found and self.path and self.found[-1]["selector"].endswith(self.path[-1]) and not self.found[-1]["text"]:
             self.found[-1]["text"] = data.strip()[:100]
 
 
-class _Nodes(HTMLParser):
+class _Nodes(Scopes):
     """All elements in order: tag, classes, attributes, and whether a video or canvas lies within."""
 
     def __init__(self):
         super().__init__()
         self.found, self.open = [], []
 
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag in ("video", "canvas"):
-            for _, node in self.open:
-                node["media"] = True
+    def began(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs.items()}
+        if tag in ("video", "canvas") and self.open:
+            self.open[-1]["media"] = True
         node = {"tag": tag, "classes": a.get("class", "").split(), "attributes": list(a.items()), "media": False}
         self.found.append(node)
         if tag not in VOID:
-            self.open.append((tag, node))
+            self.open.append(node)
 
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+    def ending(self, at):
+        while len(self.open) > at:
+            media = self.open.pop()["media"]
+            if media and self.open:
+                self.open[-1]["media"] = True
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
@@ -89,9 +86,7 @@ def page_nodes(pages: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for page, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                p = _Nodes()
-                p.feed(html or "")
-                out += [{"page": page, "pos": i} | n for i, n in enumerate(p.found)]
+                out += [{"page": page, "pos": i} | n for i, n in enumerate(_Nodes().read(html).found)]
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     kinds = pa.schema([("page", pa.int64()), ("pos", pa.int64()), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attributes", pa.map_(pa.string(), pa.string())), ("media", pa.bool_())])
@@ -134,9 +129,7 @@ def detected(pages: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for state, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                p = _Elements()
-                p.feed(html or "")
-                out += [{"state": state, "pos": i} | e for i, e in enumerate(p.found)]
+                out += [{"state": state, "pos": i} | e for i, e in enumerate(_Elements().read(html).found)]
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     kinds = pa.schema([("state", pa.int64()), ("pos", pa.int64()), ("tag", pa.string()), ("role", pa.string()), ("kind", pa.string()), ("selector", pa.string()), ("hot", pa.bool_()), ("pointer", pa.bool_()), ("visible", pa.bool_()), ("enabled", pa.bool_()), ("href", pa.string()), ("text", pa.string())])

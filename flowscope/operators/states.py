@@ -5,13 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+from flowscope.operators.scopes import VOID, Scopes
 
 
 def tag_sequence(html):
@@ -34,35 +33,31 @@ def with_hashes(pages: DataFrame, hasher=None) -> DataFrame:
 HIDDEN = re.compile(r"(^|;)(display:none|visibility:hidden)")
 
 
-class _Tree(HTMLParser):
+class _Tree(Scopes):
     def __init__(self):
         super().__init__()
         self.root = {"tag": "body", "id": "", "classes": [], "children": []}
         self.open, self.nodes = [self.root], [self.root]
 
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        node = {"tag": tag, "id": a.get("id") or "", "classes": sorted((a.get("class") or "").split()), "children": []}
+    def began(self, tag, attrs):
+        node = {"tag": tag, "id": attrs.get("id") or "", "classes": sorted((attrs.get("class") or "").split()), "children": []}
         self.nodes.append(node)
-        if not HIDDEN.search((a.get("style") or "").replace(" ", "").lower()):
+        if not HIDDEN.search((attrs.get("style") or "").replace(" ", "").lower()):
             self.open[-1]["children"].append(node)
         if tag not in VOID:
             self.open.append(node)
 
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i]["tag"] == tag:
-                del self.open[i:]
-                break
+    def ending(self, at):
+        del self.open[at + 1 :]
 
 
 def tree_text(html: str | None) -> str:
     """The body's tree as a browser writes it: tag, id and children where there are any, sorted classes; hidden elements left out.
 
-    A page without a body is its own body. Written without recursion, so depth is no concern.
+    Ends that the page leaves out are filled in (see ``scopes``). A page without a body is its own body. Written without
+    recursion, so depth is no concern.
     """
-    tree = _Tree()
-    tree.feed(html or "")
+    tree = _Tree().read(html)
     quoted = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
     out, todo = [], [next((n for n in tree.nodes[1:] if n["tag"] == "body"), tree.root)]
     while todo:

@@ -115,9 +115,11 @@ def structural_similarity(a, b, same_scroll=None, storage_a=None, storage_b=None
 
 
 def compared(pairs: DataFrame, visual=None, like: float = 0.95, alike: float = 0.9) -> DataFrame:
-    """(a_id, b_id, visual, structural, differences, identical) of pairs of states: a_ and b_ of id, url, title, visual_hash, struct_hash, links.
+    """(a_id, b_id, visual, structural, differences, identical) of pairs of states: a_ and b_ of id, url, title, visual_hash, struct_hash, links,
+    and where they are known scroll_x, scroll_y and storage (keys), which the structural similarity takes in.
 
-    States with equal visual and structural hashes are identical, whatever else they hold. ``visual`` is a column of
+    States with equal visual and structural hashes are identical, whatever else they hold; a null or empty hash, of a page that
+    couldn't be hashed, equals none. ``visual`` is a column of
     visual similarity; without it hashes decide it and it is no difference by itself. differences are (kind, severity):
     visual and structural below their thresholds (critical below a half), content for another url (major) or title
     (minor), interaction for another number of elements (major if more than five). Identical needs no difference and both
@@ -125,9 +127,12 @@ def compared(pairs: DataFrame, visual=None, like: float = 0.95, alike: float = 0
     """
     c = lambda n: (F.col(f"a_{n}"), F.col(f"b_{n}"))
     differs = lambda n: ~c(n)[0].eqNullSafe(c(n)[1])
-    equal = ~differs("visual_hash") & ~differs("struct_hash")
-    seen = F.when(~differs("visual_hash"), 1.0).otherwise(0.0) if visual is None else visual
-    sim, more = structural_similarity(*c("links")), F.abs(F.size("a_links") - F.size("b_links"))
+    same_hash = lambda n: F.coalesce((c(n)[0] == c(n)[1]) & (c(n)[0] != ""), F.lit(False))
+    equal = same_hash("visual_hash") & same_hash("struct_hash")
+    seen = F.when(same_hash("visual_hash"), 1.0).otherwise(0.0) if visual is None else visual
+    scroll = ~differs("scroll_x") & ~differs("scroll_y") if {"a_scroll_x", "a_scroll_y"} <= set(pairs.columns) else None
+    keys = [F.coalesce(k, F.array().cast("array<string>")) for k in c("storage")] if "a_storage" in pairs.columns else (None, None)
+    sim, more = structural_similarity(*c("links"), scroll, *keys), F.abs(F.size("a_links") - F.size("b_links"))
     note = lambda when, kind, severity: F.when(when, F.struct(F.lit(kind).alias("kind"), severity.alias("severity")))
     low = lambda x: F.when(x < 0.5, "critical").otherwise("major")
     found = F.array_compact(F.array(
@@ -140,8 +145,8 @@ def compared(pairs: DataFrame, visual=None, like: float = 0.95, alike: float = 0
 
 
 def neighbours(pages: DataFrame, key) -> DataFrame:
-    """Each page with the next of its key, as a_ and b_ columns."""
-    cols = ["id", "url", "title", "visual_hash", "struct_hash", "links"]
+    """Each page with the next of its key, as a_ and b_ columns; scroll_x, scroll_y and storage go along where pages have them."""
+    cols = ["id", "url", "title", "visual_hash", "struct_hash", "links", *(x for x in ("scroll_x", "scroll_y", "storage") if x in pages.columns)]
     w = Window.partitionBy("_key").orderBy("id")
     rows = with_hashes(pages).withColumn("_key", key)
     both = rows.select(*(F.col(c).alias(f"a_{c}") for c in cols), *(F.lead(c).over(w).alias(f"b_{c}") for c in cols))

@@ -35,6 +35,13 @@ def _compared(s, d):
     return st.compared(st.neighbours(v.pages(s, d), F.regexp_extract("url", _HOST, 1)))
 
 
+def _placed(s, d):
+    """Pages scrolled to a place by their number, with the names of their url's parameters as their storage's keys."""
+    keys = F.array_sort(F.array_distinct(F.regexp_extract_all("url", F.lit("[?&]([a-z]+)="), F.lit(1))))
+    pages = v.pages(s, d).withColumns({"scroll_x": F.col("id") % 3, "scroll_y": F.floor(F.col("id") / 3) % 2, "storage": keys})
+    return st.compared(st.neighbours(pages, F.regexp_extract("url", _HOST, 1)))
+
+
 def _states(s, d):
     return v.pages(s, d).select(F.col("id").alias("state"), (F.length("url") % 6).alias("depth"), F.regexp_replace("url", "/9", "/error9").alias("url"), "title")
 
@@ -47,6 +54,7 @@ QUERIES = {
     "state_hashes": lambda s, d: st.with_hashes(v.pages(s, d)).select("id", "visual_hash", "struct_hash", "combined_hash"),
     "same_states": lambda s, d: st.canonical(v.pages(s, d)),
     "state_comparison": lambda s, d: _compared(s, d).select("a_id", "b_id", "visual", F.round("structural", 6).alias("structural"), F.array_join(F.transform("differences", lambda e: F.concat_ws(":", e["kind"], e["severity"])), ",").alias("differences"), "identical"),
+    "placed_comparison": lambda s, d: _placed(s, d).select("a_id", "b_id", F.round("structural", 6).alias("structural"), F.size("differences").cast("bigint").alias("n"), "identical"),
     "tag_hashes": lambda s, d: st.with_hashes(v.pages(s, d), lambda html: F.md5(st.tag_sequence(html))).select("id", "struct_hash"),
     "tree_hashes": lambda s, d: st.tree_hashes(v.pages(s, d)),
     "detected_elements": lambda s, d: ex.detected(v.pages(s, d)).groupBy(F.col("state").alias("id"), "type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence")),
@@ -120,3 +128,11 @@ SELECT page, selector, len(regexp_extract_all(h, '<' || selector || '[ >]')) AS
 SELECT page, 0.0::DOUBLE AS y, 2000 AS delay, 0 AS part FROM b UNION ALL SELECT page, y, 500, 2 FROM b UNION ALL SELECT shot, greatest(0, y - 100), 300, 1 FROM v_box WHERE confidence > 0.7""",
     "page_types": """SELECT coalesce(nullif(regexp_extract(coalesce(html, ''), '<html lang="([a-z]+)"', 1), ''), 'unknown') AS type, count(*) AS n FROM pages GROUP BY 1""",
 }
+# the comparison of states with the place they are scrolled to and their storage
+_KEYS_OF = "list_distinct(regexp_extract_all(url, '[?&]([a-z]+)=', 1))"
+ORACLE["placed_comparison"] = (
+    ORACLE["state_comparison"]
+    .replace("title AS ta,", f"title AS ta, id % 3 = lead(id) OVER w % 3 AND id // 3 % 2 = lead(id) OVER w // 3 % 2 AS still, {_KEYS_OF} AS ka, lead({_KEYS_OF}) OVER w AS kb,")
+    .replace("0.2::DOUBLE + 0.1::DOUBLE END", "0.2::DOUBLE * CASE WHEN still THEN 1 ELSE 0.8::DOUBLE END + 0.1::DOUBLE * CASE WHEN len(list_concat(ka, kb)) = 0 THEN 1 ELSE len(list_intersect(ka, kb)) / len(list_distinct(list_concat(ka, kb))) END END")
+)
+ORACLE["placed_comparison"] = f"SELECT a_id, b_id, structural, CASE WHEN differences = '' THEN 0 ELSE len(string_split(differences, ',')) END AS n, identical FROM ({ORACLE['placed_comparison']})"

@@ -321,3 +321,16 @@ def test_analysis_of_a_session_by_hand(spark):
     assert {r.session: (r.frames, r.events, r.slices, r.mean_ms, r.common) for r in out["statistics"].collect()} == {
         1: (5, 2, 2, 1500.0, "appearance"), 2: (3, 1, 0, 0.0, "none"), 3: (1, 0, 0, 0.0, "none"),
     }
+
+
+def test_empty_hashes_are_equal_to_none_and_places_count(spark):
+    ddl = ", ".join(f"{s}_id long, {s}_url string, {s}_title string, {s}_visual_hash string, {s}_struct_hash string, {s}_links array<string>, {s}_scroll_x int, {s}_scroll_y int, {s}_storage array<string>" for s in "ab")
+    side = lambda i, visual, struct, x=0, keys=("k",), links=("l",): (i, "u", "t", visual, struct, list(links), x, 0, None if keys is None else list(keys))
+    rows = [
+        side(1, "v", "s") + side(2, "v", "s", 9), side(3, "", "") + side(4, "", ""), side(5, None, "s") + side(6, None, "s"), side(7, "v", "s") + side(8, "v", "z", 9),
+        side(9, "v", "s") + side(10, "v", "z", 0, ("k", "m", "n", "o")), side(11, "v", "s", 0, None) + side(12, "v", "z", 0, None), side(13, "v", "s", 9, ("k",), ()) + side(14, "v", "z", 0, (), ()),
+    ]
+    got = {r.a_id: (r.visual, round(r.structural, 6), r.identical) for r in st.compared(spark.createDataFrame(rows, ddl)).collect()}
+    assert got == {
+        1: (1.0, 1.0, True), 3: (0.0, 1.0, False), 5: (0.0, 1.0, False), 7: (1.0, 0.96, True), 9: (1.0, 0.925, True), 11: (1.0, 1.0, True), 13: (1.0, 1.0, True),
+    }

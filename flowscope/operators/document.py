@@ -200,7 +200,7 @@ REQUIRED = {
     "validationChecksums": ["visualDataChecksum", "moleculeTreeChecksum", "stateGraphChecksum", "crossValidation"],
     "validationChecksums.crossValidation[]": ["source", "target", "method", "score", "details"],
 }
-#: Values that a part may have.
+#: Values that a part may have (fixed values).
 ALLOWED = {
     "metadata.captureEnvironment.platform": ["windows", "linux", "macos"],
     "metadata.captureSettings.colorSpace": ["srgb", "p3", "rec2020"],
@@ -220,16 +220,17 @@ ALLOWED = {
     "behavioralEquations[].variables[].type": ["scrollY", "scrollX", "time", "mouseX", "mouseY", "viewportWidth", "viewportHeight", "custom"],
     "validationChecksums.crossValidation[].method": ["visual_match", "behavioral_consistency", "timing_correlation"],
 }
-#: Least and largest value of numbers.
+#: Least and largest value of numbers (fixed values).
 RANGES = {
     **{f"metadata.fidelityScore.{k}": (0, 1) for k in ("overall", "visual", "behavioral", "timing", "color")}, "metadata.captureSettings.frameRate": (60, 240), "molecules[].relationships[].strength": (0, 1),
     "stateGraph.edges[].probability": (0, 1), "behavioralEquations[].accuracy": (0, 1), "validationChecksums.crossValidation[].score": (0, 1),
 }
-#: Least and largest length of arrays.
+#: Least and largest length of arrays (fixed values).
 LENGTHS = {
     "molecules": (1, None), "metadata.captureEnvironment.displayInfo.resolution": (2, 2), "visualData.tensor4D.dimensions": (4, 4), "visualData.tensor4D.spatialResolution": (2, 2), "visualData.depthMaps[].resolution": (2, 2),
     "visualData.colorProfiles[].whitePoint": (2, 2), "molecules[].bounds.transformations[].origin": (3, 3), "behavioralEquations[].variables[].range": (2, 2),
 }
+#: Forms of texts (fixed values).
 PATTERNS = {"version": r"\d+\.\d+", "metadata.captureId": r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"}
 
 

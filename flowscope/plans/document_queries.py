@@ -57,7 +57,7 @@ QUERIES = {
     "document_state_at": lambda s, d: doc.state_at(_docs(s, d), AT),
     "document_path": lambda s, d: doc.path_between(_docs(s, d), FROM, TO).select("path", F.col("distance").cast("bigint").alias("distance"), F.array_join("states", ">").alias("states")),
     "document_difference": lambda s, d: doc.state_difference(_docs(s, d).filter(F.exists("doc.stateGraph.nodes", lambda n: n["id"] == FROM) & F.exists("doc.stateGraph.nodes", lambda n: n["id"] == TO)), FROM, TO),
-    "document_equation": lambda s, d: doc.evaluated(_docs(s, d), "m", "scale", {"hover_state": 5}).select("path", F.round("value", 9).alias("value")),
+    "document_equation": lambda s, d: doc.evaluated(_docs(s, d), "m", "width", {"size": 5}).select("path", F.round("value", 9).alias("value")),
     "document_subset": _subset,
     "document_checksums": lambda s, d: doc.checksums(v.documents(s, d, _tampered)).select("path", "section", (F.col("stored") == F.col("actual")).alias("holds")),
     "document_errors": lambda s, d: doc.errors(v.documents(s, d, _broken)),

@@ -128,7 +128,7 @@ def raw_documents(spark, d) -> DataFrame:
     box = (F.col("visits") * 10).alias("x"), F.lit(0).alias("y"), F.lit(10).alias("w"), F.lit(10).alias("h")
     ways = e.filter("next_state is not null").groupBy("path", F.col("state").alias("src"), F.col("next_state").alias("dst")).agg(F.count("*").alias("n"), F.min("kind").alias("kind"))
     ways = ways.withColumn("probability", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("path", "src")), 6))
-    formulas = e.groupBy("path").agg((1 + F.count("*") / 10000).alias("hi")).select("path", F.lit("q").alias("id"), F.lit("m").alias("element"), F.lit("scale").alias("property"), F.lit("1 + 0.05 * hover_state").alias("equation"), F.lit(1).alias("lo"), "hi")
+    formulas = e.groupBy("path").agg((1 + F.count("*") / 10000).alias("hi")).select("path", F.lit("q").alias("id"), F.lit("m").alias("element"), F.lit("width").alias("property"), F.lit("size * size / 20").alias("equation"), F.lit(1).alias("lo"), "hi")
     return export.documents(e.filter("kind = 'purchase'").select("path", "ts", look), n.select("path", F.col("state").alias("id"), kind.alias("type"), *box), n.select("path", F.col("state").alias("id"), look, "ts", "visits"), ways, formulas, "http://events.example/")
 
 

@@ -51,13 +51,14 @@ def test_discovery_file(spark, tmp_path):
 
 def test_document_queries(spark, tmp_path):
     d = sample.documents(spark)
-    assert [doc.state_at(d, t).head().state for t in (500, 950, -1)] == ["list-hover", "basket", None]
-    assert doc.path_between(d, "list", "basket").head().states == ["list", "list-hover", "basket"] and doc.path_between(d, "basket", "list").count() == 0
-    assert doc.path_between(d, "list", "list").head().distance == 0
-    assert doc.of_type(d, "interactive_button").count() == 2 and doc.state_molecules(d).count() == 5
-    assert [doc.evaluated(d, "m1", "scale", {"hover": x}).head().value for x in (1, 0, 5)] == [1.05, 1.0, 1.05]
-    assert [doc.first_metric(d, k).head().value for k in ("fps", "none")] == [60.0, 0.0]
-    assert [doc.state_difference(d, "list", x).head().difference for x in ("basket", "list")] == [1, 0]
+    assert [doc.state_at(d, t).head().state for t in (1300, 9001, -1)] == ["runs", "rings", None]
+    assert doc.path_between(d, "set", "rings").head().states == ["set", "runs", "rings"] and doc.path_between(d, "rings", "set").count() == 0
+    assert doc.path_between(d, "set", "set").head().distance == 0
+    assert doc.of_type(d, "canvas").count() == 1 and doc.state_molecules(d).count() == 10
+    assert [doc.evaluated(d, "dial", "angle", {"total": 60, "left": x}).head().value for x in (45, 60, 90)] == [90.0, 0.0, 0.0]
+    assert [doc.evaluated(d, "log", "offset", {"lines": x}).head().value for x in (9, 2)] == [-90.0, 0.0]
+    assert [doc.first_metric(d, k).head().value for k in ("memory", "none")] == [21.5, 0.0]
+    assert [doc.state_difference(d, "set", x).head().difference for x in ("rings", "set")] == [1, 0]
     assert doc.loaded(d).count() == 1 and doc.errors(d).count() == 0
     (tmp_path / "a.json").write_text(d.head().raw)
     (tmp_path / "b.json").write_text("{")
@@ -69,7 +70,7 @@ def test_document_queries(spark, tmp_path):
     with pytest.raises(ValueError, match="checksum of stateGraph"):
         doc.loaded(sample.documents(spark, broken))
     with pytest.raises(Exception, match="no such state"):
-        doc.state_difference(d, "list", "nowhere").collect()
+        doc.state_difference(d, "set", "nowhere").collect()
 
 
 def test_checksums_are_those_of_the_browser_text(spark):
@@ -83,13 +84,13 @@ def test_checksums_are_those_of_the_browser_text(spark):
 
 def test_subsets_stay_documents(spark):
     d = sample.documents(spark)
-    cut = doc.subset(d, 400, 900)
+    cut = doc.subset(d, 1200, 4700)
     got = cut.head().doc
-    assert [len(got.visualData.keyframes), len(got.stateGraph.nodes), len(got.stateGraph.edges)] == [2, 2, 2]
+    assert [len(got.visualData.keyframes), len(got.stateGraph.nodes), len(got.stateGraph.edges)] == [2, 2, 4]
     assert doc.loaded(cut).count() == 1  # with new checksums
-    got = doc.subset(d, states=["list", "list-hover"], molecules=["m2"]).head().doc
+    got = doc.subset(d, states=["set", "runs"], molecules=["log"]).head().doc
     assert [len(got.stateGraph.nodes), len(got.stateGraph.edges), len(got.molecules)] == [2, 1, 1]
-    assert len(doc.subset(d, end=500).head().doc.visualData.keyframes) == 2
+    assert len(doc.subset(d, end=1500).head().doc.visualData.keyframes) == 2
 
 
 @pytest.mark.parametrize(

@@ -41,6 +41,11 @@ def _graph(s, d):
     return n, e
 
 
+def _layout(s, d):
+    nodes = g.visits(v.steps(s, d)).select(F.col("state").alias("id"), F.upper("state").alias("label"), (F.col("visits") - 40).alias("size"))
+    return export.force_layout(nodes, g.transition_counts(v.edges(s, d)))
+
+
 def _formula(s, d):
     names = {"price": F.col("l_extendedprice"), "off": F.col("l_discount"), "tax": F.col("l_tax"), "n": F.col("l_quantity")}
     value = eq.clamped(eq.column("price * (1 - off) / n + -tax * 100", names), 0, 1500)
@@ -51,7 +56,8 @@ QUERIES = {
     "formula_values": _formula,
     "dot_export": lambda s, d: export.dot_lines(*_graph(s, d)),
     "cytoscape_export": lambda s, d: export.cytoscape(*_graph(s, d)),
-    "force_layout_edges": lambda s, d: export.force_layout(g.visits(v.steps(s, d)).select(F.col("state").alias("id"), F.col("state").alias("label"), F.col("visits").alias("size")), g.transition_counts(v.edges(s, d)))[1],
+    "force_layout_edges": lambda s, d: _layout(s, d)[1],
+    "force_layout_nodes": lambda s, d: _layout(s, d)[0].select("id", "label", "size", (F.col("x").between(0, 1000) & F.col("y").between(0, 1000)).alias("placed")),
     "box_tree": lambda s, d: (lambda b: export.tree_lines(b, el.depths(el.parents(b)), el.parents(b)).select("shot", "path", "line"))(v.boxes(s, d)),
     "document_types": lambda s, d: doc.type_counts(_docs(s, d)),
     "document_state_at": lambda s, d: doc.state_at(_docs(s, d), AT),
@@ -75,6 +81,7 @@ UNION ALL SELECT 1, '  "' || state || '" [label="' || state || ' (' || visits ||
 UNION ALL SELECT 2, '  "' || src || '" -> "' || dst || '" [label="' || c || '"];' FROM e""",
     "cytoscape_export": f"""{_E}, e AS (SELECT src, dst, CAST(count(*) AS VARCHAR) AS c FROM v_edge GROUP BY 1, 2) SELECT 'node' AS kind, '{{"data":{{"id":"' || state || '","label":"' || state || '"}}}}' AS json FROM (SELECT DISTINCT state FROM v_step)
 UNION ALL SELECT 'edge', '{{"data":{{"id":"edge-' || (row_number() OVER (ORDER BY src, dst, c) - 1) || '","source":"' || src || '","target":"' || dst || '","label":"' || c || '"}}}}' FROM e""",
+    "force_layout_nodes": f"{_E} SELECT state AS id, upper(state) AS label, greatest(count(*) - 40, 1) AS size, true AS placed FROM v_step GROUP BY state",
     "force_layout_edges": f"{_E} SELECT src AS source, dst AS target, count(*) AS weight FROM v_edge GROUP BY 1, 2",
     "box_tree": f"""WITH RECURSIVE {v.BOX_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY shot ORDER BY w * h DESC, pos) AS rank FROM v_box),
 link AS (SELECT b.shot, b.pos, any_value({_N.replace('type_no', 'b.type_no')}) || ' ' || CAST(any_value(b.w) AS INTEGER) || 'x' || CAST(any_value(b.h) AS INTEGER) AS t, arg_max(a.pos, a.rank) AS parent FROM ranked b

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowscope.functions import color
 from flowscope.functions import geometry as geo
 from flowscope.operators import elements as el
+from flowscope.operators import properties as pr
 from flowscope.plans import views as v
 
 #: Written out, not taken from the library: the checks must not share its table.
@@ -57,6 +58,7 @@ QUERIES = {
     "box_warnings": lambda s, d: el.warnings(v.boxes(s, d)),
     "box_spacing": lambda s, d: el.spacing(v.boxes(s, d)),
     "overall_confidence": lambda s, d: v.boxes(s, d).groupBy("shot").agg(F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("confidence")),
+    "read_boxes": lambda s, d: v.boxes(s, d).filter(pr.is_read(el.type_name())).groupBy("shot").agg(F.count("*").alias("n"), F.max("confidence").alias("best")),
     "type_distribution": lambda s, d: v.boxes(s, d).groupBy(el.type_name().alias("type")).agg(F.count("*").alias("n")),
     "largest_boxes": lambda s, d: v.boxes(s, d).withColumn("area", geo.area()).orderBy(F.desc("area"), "shot", "pos").limit(5).select("shot", "pos", "area"),
     "suppressed_boxes": lambda s, d: el.suppressed(v.boxes(s, d)).select("shot", "pos"),
@@ -162,3 +164,5 @@ SELECT p_partkey, '#' || lpad(lower(to_hex(r)), 2, '0') || lpad(lower(to_hex(g))
  CAST(floor((hi + lo) / 2 * 100 + 0.5) AS INTEGER) AS l, r, g, b, round(sqrt(r * r + (g - 123) * (g - 123) + (b - 255) * (b - 255)), 4) AS distance FROM m""",
     "primary_colors": "SELECT count(DISTINCT (p_partkey * 7 % 256, p_partkey * 13 % 256, p_size * 5 % 256)) AS colors FROM part",
 }
+# numbers of the types whose text is read: text, input, link, header
+ORACLE["read_boxes"] = f"WITH {v.BOX_SQL} SELECT shot, count(*) AS n, max(confidence) AS best FROM v_box WHERE type_no IN (0, 1, 3, 4, 7) GROUP BY shot"

@@ -95,6 +95,7 @@ QUERIES = {
     "buffer_not_older": lambda s, d: bf.not_older(_buffer(s, d), 1704400000000).groupBy("session").agg(F.count("*").alias("n")),
     "buffer_recent": lambda s, d: bf.recent(_buffer(s, d), 5).select("session", "id"),
     "buffer_export": lambda s, d: bf.exported(_buffer(s, d), 2, 6).select("session", "id"),
+    "buffers_cleared": lambda s, d: bf.cleared(bf.recent(_buffer(s, d), 12)),
     "buffer_statistics": lambda s, d: bf.statistics(_buffer(s, d), 50),
     "buffer_snapshot": lambda s, d: bf.snapshot(bf.recent(_buffer(s, d), 8)).select("session", "n", "bytes", "first_ms", "last_ms", F.array_join("ids", ",").alias("ids")),
     "capture_rates": lambda s, d: bf.rates(_buffer(s, d)).select("session", "pos", F.round(F.coalesce("fps", F.lit(-1.0)), 8).alias("fps"), F.round(F.coalesce("peak", F.lit(-1.0)), 8).alias("peak")),
@@ -187,3 +188,4 @@ SELECT session, frames, elapsed_ms, round(coalesce(frames * 1000.0::DOUBLE / nul
 SELECT session, count(*) AS frames, round((max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE, 3) AS seconds, round(coalesce(count(*) / nullif((max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE, 0), 0), 6) AS fps, count(*) FILTER (gap > 7200000) AS dropped FROM f GROUP BY session""",
 }
 ORACLE |= {f"{name}_by_ranges": ORACLE[name] for name in ("asof_click", "nearest_view", "capture_rates")}
+ORACLE["buffers_cleared"] = f"{_BUF} SELECT session, count(*) AS dropped FROM buf WHERE back <= 12 GROUP BY 1"

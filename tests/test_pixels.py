@@ -1,6 +1,8 @@
 """Palettes and smoothed edges against plain loops over pixels, and by hand."""
 
 import numpy as np
+from flowscope.operators import explore as ex
+from flowscope.operators import frames as fr
 from flowscope.operators import pixels as px
 from pyspark.sql import functions as F
 
@@ -123,3 +125,61 @@ def test_an_edge_moved_by_half_a_pixel_is_alike(spark):
     every = {r.k: r.s for r in pairs.select("k", px.like(8, edges=True).alias("s")).collect()}
     assert every[1] == 0.875 and every[2] == 0.75
     assert [r.s for r in pairs.filter("k < 3").select(px.like(8, planes=("r",)).alias("s"), F.lit(1)).collect()] == [1.0, 1.0, 0.75]
+
+
+def plain_boxes(marks):
+    """Boxes around marks that meet at edges, in the order of their first marks; each takes in all later ones that it touches, again
+    and again until none does."""
+    left, found = {(y, x) for y, row in enumerate(marks) for x, m in enumerate(row) if m}, []
+    while left:
+        todo, own = [min(left)], []
+        left.remove(todo[0])
+        while todo:
+            y, x = todo.pop()
+            own.append((y, x))
+            for p in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                if p in left:
+                    left.remove(p)
+                    todo.append(p)
+        ys, xs = zip(*own)
+        found.append((min(xs), min(ys), max(xs) + 1, max(ys) + 1))
+    out = []
+    for i, box in enumerate(found):
+        if box is None:
+            continue
+        grown = True
+        while grown:
+            grown = False
+            for j in range(i + 1, len(found)):
+                o = found[j]
+                if o and box[0] <= o[2] and o[0] <= box[2] and box[1] <= o[3] and o[1] <= box[3]:
+                    box, found[j], grown = (min(box[0], o[0]), min(box[1], o[1]), max(box[2], o[2]), max(box[3], o[3])), None, True
+        out.append((box[0], box[1], box[2] - box[0], box[3] - box[1]))
+    return sorted(out)
+
+
+def test_visual_differences_equal_plain_boxes(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(30):
+        marks = rng.random((9, 12)) < (0.02, 0.06, 0.2)[k % 3]
+        before = rng.integers(100, 110, (9, 12))
+        after = np.where(marks, 250, before)
+        rows.append((1, k, *[after.reshape(-1).tolist()] * 3, *[before.reshape(-1).tolist()] * 3))
+        want[k] = plain_boxes(marks.tolist())
+    names = [*"rgb", "prev_r", "prev_g", "prev_b"]
+    pairs = spark.createDataFrame(rows, "session int, frame_no long, " + ", ".join(f"{n} array<int>" for n in names))
+    got = {k: [] for k in want}
+    for r in fr.visual_differences(pairs, side=12).collect():
+        got[r.frame_no].append((r.x, r.y, r.w, r.h))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_random_choice_is_any_open_element_by_its_seed(spark):
+    rows = [(s, p, f"e{p}", "link", 0.5, True, True, "t", 0.0, 0.0, "/x") for s in range(40) for p in range(6)]
+    ddl = "state int, pos int, selector string, type string, confidence double, visible boolean, enabled boolean, text string, top double, `left` double, href string"
+    elements, explored = spark.createDataFrame(rows, ddl), spark.createDataFrame([(s, f"e{s % 6}") for s in range(40)] + [(0, f"e{p}") for p in range(6)], "state int, selector string")
+    pick = lambda seed: {r.state: r.pos for r in ex.next_element(elements, explored, "random", seed).collect()}
+    one = pick(1)
+    assert set(one) == set(range(1, 40)) and all(p != s % 6 for s, p in one.items()) and one == pick(1) != pick(2)
+    assert len(set(one.values())) == 6

@@ -192,9 +192,10 @@ def identified(rows: DataFrame, model: TextModel) -> DataFrame:
         logs = each(lambda i: F.log((F.col(f"s{i}") + PSEUDO * overall) / (float(some[f"s{i}"] or 0) + PSEUDO)))
         return written(m.select(col, F.col("n").alias(f"n_{col}"), logs.alias(f"ll_{col}")), f"by-{col}"), int(total)
 
-    domain = soft.filter("domain is not null").groupBy("domain").agg(*sums())
-    domain = domain.select("domain", *((F.col(f"s{i}") + SMOOTH * base[i]).alias(f"d{i}") for i in range(k)), (F.col("n") + SMOOTH).alias("dn"))
-    host = soft.filter("host is not null").groupBy("host", "domain").agg(*sums()).join(domain, "domain")
+    hosts = written(soft.filter("host is not null").groupBy("host", "domain").agg(*sums()), "host-sums")
+    parts = [(F.sum(f"s{i}") + SMOOTH * base[i]).alias(f"d{i}") for i in range(k)]
+    domain = written(hosts.groupBy("domain").agg(*parts, (F.sum("n") + SMOOTH).alias("dn"), F.count("*").alias("hosts")), "domain-sums")
+    host = join_counted(hosts, domain, "domain", "hosts", hosts.count())  # a domain may have most hosts
     # a domain's part without the host's own rows, so that nothing counts twice
     smooth = lambda i: SMOOTH * F.greatest(F.lit(1e-9), (F.col(f"d{i}") - F.col(f"s{i}")) / (F.col("dn") - F.col("n")))
     host = written(host.select("host", F.col("n").alias("n_host"), each(lambda i: F.col(f"s{i}")).alias("h_sum"), each(smooth).alias("h_prior")), "by-host")
@@ -221,14 +222,19 @@ def _looked_up(rows: DataFrame, table: DataFrame, key: str, n: str, total: int)
     return found.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
 
 
+#: The domain of a host: its last two labels, or three where the last but one is a country's own class of domains.
+DOMAIN = r"([^.]*\.)?((co|com|org|net|gov|edu|ac|ne|or|go)\.[a-z]{2}|[^.]*)$"
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Pages: the host's last two labels are the domain, the last is the suffix; the html element declares the language."""
+    """Pages: the host's last two labels are the domain, three where the last but one is general (``co.uk``), the last is the
+    suffix; the html element declares the language."""
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     some = lambda c: F.when(c != "", c)
     host = some(F.lower(F.regexp_extract(url, r"^[^/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     declared = some(F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)))
     null = F.lit(None).cast("bigint")
-    return pages.select(null.alias("doc_id"), F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0).alias("domain"), some(F.regexp_extract(host, r"\.([a-z]+)$", 1)).alias("suffix"), declared.alias("declared"), F.lit(True).alias("markup"), html.alias("text"))
+    return pages.select(null.alias("doc_id"), F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), F.regexp_extract(host, DOMAIN, 0).alias("domain"), some(F.regexp_extract(host, r"\.([a-z]+)$", 1)).alias("suffix"), declared.alias("declared"), F.lit(True).alias("markup"), html.alias("text"))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

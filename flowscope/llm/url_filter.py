@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowscope.llm.common import join_counted, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = "host string, path string, action string"
 #: So many different URLs of one host suffix are swept together; more are dealt among salts, for each of which that suffix's rules are repeated.
@@ -80,7 +82,9 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     labels = F.split("host", r"\.")
     size = F.size(labels)
     suffixes = F.when(F.col("host") != "", F.transform(F.sequence(F.lit(1), size), lambda n: F.concat_ws(".", F.reverse(F.slice(labels, size - n + 1, n)))))
-    distinct = own.filter("host <> ''").select("host", "path").distinct()  # only what differs is swept
+    hosted = own.filter("host <> ''")
+    counted = hosted.groupBy("host", "path").agg(F.count("*").alias("n"))  # only what differs is swept
+    distinct = counted.select("host", "path")
     below = distinct.select("host", "path", F.explode(suffixes).alias("below")).join(ev.select(F.col("host").alias("below")).distinct(), "below", "left_semi")
     places = below.select("below", interval_key(F.col("below"), F.col("path")).alias("at")).distinct()
     hot = places.groupBy("below").count().filter(F.col("count") > sweep).select("below", F.ceil(F.col("count") / sweep).cast("int").alias("salts"))
@@ -94,7 +98,11 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     found = active.filter("kind is null and size(active) > 0").select("below", "at", F.element_at("active", -1).alias("top"))
     best = F.max_by(F.struct("top.rule", "top.action"), F.struct(F.length("top.rule"), F.length("below")))
     won = below.withColumn("at", interval_key(F.col("below"), F.col("path"))).join(found, ["below", "at"]).groupBy("host", "path").agg(best.alias("top"))
-    out = own.join(won, ["host", "path"], "left")
+    # a URL that most rows have, or none, makes no task larger
+    both = F.struct("host", "path").alias("_fs_url")
+    keyed = written(counted.join(won, ["host", "path"], "left").select(both, "n", "top"), "judged")
+    found = join_counted(hosted.select("*", both), keyed, "_fs_url", "n", keyed.agg(F.sum("n")).head()[0] or 0)
+    out = found.drop("_fs_url", "n").unionByName(own.filter("host = ''"), allowMissingColumns=True)
     return out.select(F.col("_fs_id").alias(url_id), "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.action", F.lit(default)).alias("verdict"))
 
 

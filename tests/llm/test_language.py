@@ -108,3 +108,9 @@ def test_ties_many_languages_and_long_texts(spark):
         fit_text(many)
     assert fit_text(many, languages=["l1", "l7"]).languages == ["l1", "l7"]
     assert len(fit_text(many.filter("doc_id < 150")).languages) == 150
+
+
+def test_domains_of_hosts(spark):
+    urls = {"http://a.b.co.uk/x": "b.co.uk", "https://u@news.google.de:80/": "google.de", "http://co.uk": "co.uk", "http://x.y.com.br?q": "y.com.br", "http://host/": "host", "http://example.com": "example.com", "none": None}
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert [r.domain or None for r in page_rows(pages).orderBy("page_id").collect()] == list(urls.values())

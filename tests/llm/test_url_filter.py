@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 from flowscope.llm.url_filter import QUERY_RULES, judged, op10
+from pyspark.sql import functions as F
 
 
 def brute(url, rules, default="allow"):
@@ -44,3 +46,12 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or 0, r.host, len(r.path), r.rule, r.verdict) for r in judged(pages, rules).collect())
     assert [x[3:] for x in got] == [(None, "allow")] * 4 + [("org/", "block")] * 2
     assert judged(pages, rules.filter("false"), "block").filter("verdict = 'block'").count() == 6 and judged(pages.filter("false"), rules).count() == 0
+
+
+def test_urls_that_most_rows_have(spark):
+    rows = [(i, "http://Hot.example.org/es/x") for i in range(300)] + [(1000 + i, None) for i in range(300)] + [(2000 + i, f"http://h{i}.com/fr/") for i in range(50)]
+    rows += [(3000, "no url"), (None, "http://x.org/"), (None, "http://x.org/")]
+    rules = spark.createDataFrame([("example.org", "/es/", "block"), ("org", "/", "allow"), ("com", "/fr/", "block")], "host string, path string, action string")
+    urls = spark.createDataFrame(rows, "page_id long, url string").withColumns({"n": F.lit(1), "top": F.lit(2), "_fs_url": F.lit("x")})
+    got = judged(urls, rules).collect()
+    assert len(got) == len(rows) and Counter((r.rule, r.verdict) for r in got) == {("example.org/es/", "block"): 300, (None, "allow"): 301, ("com/fr/", "block"): 50, ("org/", "allow"): 2}

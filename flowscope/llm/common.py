@@ -100,7 +100,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, label) for each node of an edge (a, b), label being the smallest node of its component.
 
     Alternating large-star and small-star steps until only stars are left; each round is written to the shared folder.
-    Stars of any size are aggregated map-side first; no node's neighbours are gathered in one task.
+    A star's least neighbour is found by partial sums; its edges are then joined by their centre, so the pairs of one large
+    star, 16 bytes each, meet in one task.
     """
     cur = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
     while True:

@@ -4,7 +4,8 @@ Documents are counted into cells (source, language, topic); the cells' token wei
 each margin in turn until they hold, never above what a cell has. A document is then drawn with its cell's probability.
 
 Topics are learned: documents as weighted bags of words over ``BUCKETS`` hashes, in as many clusters as there are topics,
-found by spherical k-means on a bounded sample (``topic_rows``, about). Every document then gets the nearest cluster.
+found by spherical k-means over all documents. The bags are counted and written once; each round is a pass over them that
+sums whole numbers by task and cluster, so the centres don't depend on how the rows are dealt.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ CELLS_ON_DRIVER = 50_000
 BUCKETS = 1024
 #: Topic of texts without words.
 NO_TOPIC = "none"
+#: Unit vectors and centres are whole numbers of this part: their products and sums are exact in any order.
+STEPS = 1 << 20
+#: Bags that are spread out at a time, and rounds at most.
+SPREAD, ROUNDS = 512, 20
 
 
 class Bags(Memo):
@@ -31,16 +36,53 @@ class Bags(Memo):
     def of_key(self, key: bytes) -> int:
         return xxhash.xxh64_intdigest(key.decode("utf8", "replace").lower()) % BUCKETS
 
+    def counts(self, text: bytes | None) -> tuple[np.ndarray, int]:
+        """The words' counts by bucket, and their sum."""
+        n, total = np.zeros(BUCKETS, np.int64), 0
+        for part in white_cut(text or b""):
+            words = part.split()
+            n += np.bincount(np.fromiter(map(self.__getitem__, words), np.intp, len(words)), minlength=BUCKETS)
+            total += len(words)
+        return n, total
+
     def of(self, text: bytes | None) -> np.ndarray:
         """Square roots of the words' counts by bucket."""
-        n = np.zeros(BUCKETS)
-        for part in white_cut(text or b""):
-            n += np.bincount([self[w] for w in part.split()], minlength=BUCKETS)
-        return np.sqrt(n)
+        return np.sqrt(self.counts(text)[0])
+
+    def packed(self, texts) -> tuple[list[bytes], list[bytes], list[int]]:
+        """Of each text the buckets it has, their counts, and its number of words."""
+        at, n, tokens = [], [], []
+        for text in texts:
+            counts, total = self.counts(text.as_py())
+            own = np.flatnonzero(counts)
+            at.append(own.astype(np.uint16).tobytes())
+            n.append(counts[own].astype(np.uint32).tobytes())
+            tokens.append(total)
+        return at, n, tokens
+
+
+def units(at: list[bytes], n: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Packed bags as weighted unit vectors in STEPS, a row each; zeros for a bag without weight."""
+    rows = np.repeat(np.arange(len(at)), [len(a) // 2 for a in at])
+    bucket = np.frombuffer(b"".join(at), np.uint16).astype(np.int64)
+    value = np.sqrt(np.frombuffer(b"".join(n), np.uint32)) * weights[bucket]
+    size = np.maximum(np.sqrt(np.bincount(rows, value * value, len(at))), 1e-12)
+    out = np.zeros((len(at), BUCKETS))
+    out[rows, bucket] = np.rint(value / size[rows] * STEPS)
+    return out
+
+
+def centre(sums: np.ndarray) -> np.ndarray:
+    """A sum of vectors as one of unit length, in STEPS."""
+    sums = sums.astype(float)
+    return np.rint(sums / max(np.linalg.norm(sums), 1e-12) * STEPS)
 
 
 def clusters(rows: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
-    """Centres of spherical k-means over unit rows; begun with the row nearest to the mean and then the farthest from those taken, so it repeats."""
+    """Centres of spherical k-means over unit rows; begun with the row nearest to the mean and then the farthest from those taken, so it repeats.
+
+    Rows in memory: what ``fit_topics`` does over all documents, for tables of that size and for tests.
+    """
     first = int(np.argmax(rows @ rows.mean(0)))
     taken, near = [first], rows @ rows[first]
     while len(taken) < min(k, len(rows)):
@@ -63,32 +105,118 @@ class TopicModel:
     def __init__(self, weights: np.ndarray, centres: np.ndarray):
         self.weights, self.centres = weights, centres
 
-    def name(self, bag: np.ndarray) -> str:
-        if not bag.any() or not len(self.centres):
-            return NO_TOPIC
-        return f"topic-{int(np.argmax(self.centres @ (bag * self.weights)))}"
+    def nearest(self, at: list[bytes], n: list[bytes]) -> np.ndarray:
+        """The cluster of each packed bag, -1 without words."""
+        out = np.full(len(at), -1)
+        for i in range(0, len(at) if len(self.centres) else 0, SPREAD):
+            part = slice(i, i + SPREAD)
+            own = np.argmax(units(at[part], n[part], self.weights) @ self.centres.T, axis=1)
+            out[part] = np.where([len(a) > 0 for a in at[part]], own, -1)
+        return out
+
+    def names(self, at: list[bytes], n: list[bytes]) -> list[str]:
+        return [f"topic-{c}" if c >= 0 else NO_TOPIC for c in self.nearest(at, n).tolist()]
 
 
-def fit_topics(docs: DataFrame, topics: int = 8, topic_rows: int = 4000, doc_id: str = "doc_id", text: str = "text") -> TopicModel:
-    """From about ``topic_rows`` rows, drawn by a hash of doc_id (rows with a null one share a draw). No words at all: no topics."""
-    rows = docs.select(F.xxhash64(F.col(doc_id).cast("bigint")).alias("h"), F.col(text).alias("text")).filter("length(text) > 0")
-    n = rows.count()
-    some = rows.filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < min(1.0, topic_rows / max(n, 1)))
+def bagged(rows: DataFrame, text: str = "text") -> DataFrame:
+    """All columns but the text, and (tokens, at, n): its number of words, the buckets they fall in and their counts."""
+    rows = rows.select(*(c for c in rows.columns if c != text), text)
+    last = len(rows.columns) - 1
 
     def run(batches):
         memo = Bags()
-        for batch in bounded(batches, 1):
-            bags = [memo.of(t.as_py()).astype(np.float32).tobytes() for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["h", "bag"])
+        for batch in bounded(batches, last):
+            at, n, tokens = memo.packed(batch.column(last).cast(pa.binary()))
+            new = [pa.array(tokens, pa.int64()), pa.array(at, pa.binary()), pa.array(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *new], [*batch.schema.names[:last], "tokens", "at", "n"])
+
+    from pyspark.sql.types import BinaryType, LongType, StructType
+
+    return rows.mapInArrow(run, StructType(rows.schema.fields[:last]).add("tokens", LongType()).add("at", BinaryType()).add("n", BinaryType()))
+
+
+def packed_parts(batches):
+    """(at, n) of batches of packed bags, SPREAD at a time; bags without words are left out."""
+    for batch in batches:
+        rows = [x for x in zip(*(c.to_pylist() for c in batch.columns), strict=True) if x[0]]
+        for i in range(0, len(rows), SPREAD):
+            yield tuple(map(list, zip(*rows[i : i + SPREAD], strict=True)))
+
+
+def summed(bags: DataFrame, of_part) -> dict[int, np.ndarray]:
+    """{c: sum of v} over what ``of_part(at, n)`` gives as {c: v}, v being whole numbers: a row a task and c, then one a c."""
+
+    def by_key(pairs):
+        sums: dict[int, np.ndarray] = {}
+        for c, v in pairs:
+            sums[c] = sums[c] + v if c in sums else v
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.int64).tobytes() for v in sums.values()], pa.binary())], ["c", "v"])
+
+    def partial(batches):
+        return by_key(x for at, n in packed_parts(batches) for x in of_part(at, n).items())
 
-    got = sorted((r.h, bytes(r.bag)) for r in some.mapInArrow(run, "h long, bag binary").collect())  # 4 kB a row
-    bags = np.array([np.frombuffer(b, np.float32) for _, b in got], float).reshape(-1, BUCKETS)
-    bags = bags[bags.any(1)]
-    weights = np.log((1 + len(bags)) / (1 + (bags > 0).sum(0)))
-    bags = bags * weights
-    size = np.linalg.norm(bags, axis=1, keepdims=True)
-    rows_ = (bags / np.maximum(size, 1e-12))[size[:, 0] > 0]
-    return TopicModel(weights, clusters(rows_, topics) if len(rows_) else np.zeros((0, BUCKETS)))
+    def whole(batches):
+        return by_key((c, np.frombuffer(v, np.int64)) for b in batches for c, v in zip(*(x.to_pylist() for x in b.columns), strict=True))
+
+    kind = "c int, v binary"
+    rows = bags.select("at", "n").mapInArrow(partial, kind).repartition("c").mapInArrow(whole, kind).collect()
+    return {r.c: np.frombuffer(bytes(r.v), np.int64) for r in rows}
+
+
+def least_bag(bags: DataFrame, weights: np.ndarray, score) -> tuple[float, np.ndarray]:
+    """The smallest of the scores that ``score`` gives unit vectors, and the vector that has it; of ties the first by its buckets and counts."""
+
+    def run(batches):
+        best = None
+        for at, n in packed_parts(batches):
+            got = score(units(at, n, weights))
+            for i in np.flatnonzero(got == got.min()).tolist():
+                best = min(x for x in (best, (float(got[i]), at[i], n[i])) if x)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary()), pa.array([best[2]], pa.binary())], ["s", "at", "n"])
+
+    r = bags.select("at", "n").mapInArrow(run, "s double, at binary, n binary").orderBy("s", "at", "n").head()
+    return r.s, units([bytes(r.at)], [bytes(r.n)], weights)[0]
+
+
+def fit(bags: DataFrame, topics: int = 8) -> TopicModel:
+    """From all rows of ``bagged``, at best a written table as each round reads it. No words at all: no topics."""
+
+    def present(at, n):
+        return {0: np.bincount(np.frombuffer(b"".join(at), np.uint16), minlength=BUCKETS), 1: np.array([len(at)])}
+
+    got = summed(bags, present)
+    if 1 not in got:
+        return TopicModel(np.zeros(BUCKETS), np.zeros((0, BUCKETS)))
+    weights = np.log((1 + got[1][0]) / (1 + got[0]))
+    if not (weights * (got[0] > 0)).any():  # every text has every word: nothing tells them apart
+        return TopicModel(weights, np.zeros((0, BUCKETS)))
+    mean = centre(summed(bags, lambda at, n: {0: units(at, n, weights).sum(0)})[0])
+    first = least_bag(bags, weights, lambda rows: -(rows @ mean))[1]
+    centres = first[None, :]
+    while len(centres) < topics:
+        near, far = least_bag(bags, weights, lambda rows, c=centres: np.where(rows.any(1), (rows @ c.T).max(1), np.inf))
+        if (centres == far).all(1).any() or np.isinf(near):
+            break
+        centres = np.vstack([centres, far])
+    for _ in range(ROUNDS):
+
+        def own_sums(at, n, c=centres):
+            rows = units(at, n, weights)
+            own = np.where(rows.any(1), np.argmax(rows @ c.T, axis=1), -1)
+            return {k: rows[own == k].sum(0) for k in np.unique(own).tolist() if k >= 0}
+
+        sums = summed(bags, own_sums)
+        new = np.array([centre(sums[k]) if k in sums else centres[k] for k in range(len(centres))])
+        if (new == centres).all():
+            break
+        centres = new
+    return TopicModel(weights, centres)
+
+
+def fit_topics(docs: DataFrame, topics: int = 8, text: str = "text") -> TopicModel:
+    """Learned from every row."""
+    return fit(written(bagged(docs.select(text), text), "bags"), topics)
 
 
 def with_topics(df: DataFrame, model: TopicModel, text: str = "text", name: str = "topic") -> DataFrame:
@@ -98,7 +226,7 @@ def with_topics(df: DataFrame, model: TopicModel, text: str = "text", name: str
     def run(batches):
         memo, m = Bags(), shipped.value
         for batch in bounded(batches, at):
-            topics = [m.name(memo.of(t.as_py())) for t in batch.column(at).cast(pa.binary())]
+            topics = m.names(*memo.packed(batch.column(at).cast(pa.binary()))[:2])
             yield batch.append_column(name, pa.array(topics, pa.string()))
 
     from pyspark.sql.types import StringType, StructType
@@ -106,12 +234,23 @@ def with_topics(df: DataFrame, model: TopicModel, text: str = "text", name: str
     return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, StringType()))
 
 
-def weighed(docs: DataFrame, model: TopicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, source, lang, topic, tokens): null source or lang is '', tokens are runs of other than white space."""
+def weighed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, source, lang, tokens, at, n) of every row, written: null source or lang is '', tokens are runs of other than white space."""
     some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    tokens = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+")).cast("long").alias("tokens")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), some("source"), some("lang"), F.col(text).alias("text"), tokens)
-    return with_topics(rows, model).select("doc_id", *DIMS, "tokens")
+    return written(bagged(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), some("source"), some("lang"), F.col(text).alias("text"))), "bags")
+
+
+def named(bags: DataFrame, model: TopicModel) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens) of rows of ``weighed``."""
+    shipped = bags.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            *keys, tokens, at, n = batch.columns
+            topics = pa.array(shipped.value.names(at.to_pylist(), n.to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([*keys, topics, tokens], ["doc_id", *DIMS, "tokens"])
+
+    return bags.select("doc_id", "source", "lang", "tokens", "at", "n").mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long")
 
 
 def margins(cells: DataFrame, dim: str, power: float = 1.0, shares: dict[str, float] | None = None) -> DataFrame:
@@ -172,17 +311,19 @@ def residuals(cells: DataFrame, targets: dict[str, DataFrame], total: float) ->
     return out
 
 
-def calibrated(docs: DataFrame, part: float = 0.5, powers=None, shares=None, rounds: int = 50, seed: int = 17, on_driver: int = CELLS_ON_DRIVER, model: TopicModel | None = None) -> DataFrame:
+def calibrated(docs: DataFrame, part: float = 0.5, powers=None, shares=None, rounds: int = 50, seed: int = 17, on_driver: int = CELLS_ON_DRIVER, bags: DataFrame | None = None, model: TopicModel | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, residual, sampled) of every row.
 
     The sample is to hold ``part`` of all tokens. Each dimension's shares are tempered (tokens ** power) or named.
     Values without a named share, null too, never get a share of 0. A cell without tokens has probability ``part``.
     residual is the largest distance of a row's three margins from their targets: above 0 where cells have too little
     for it or ``rounds`` were too few. The draw is a hash of doc_id and seed, so it repeats, and repeated rows share their
-    fate; rows with a null doc_id share one draw. An empty table gives no rows.
+    fate; rows with a null doc_id share one draw. An empty table gives no rows. ``bags`` and ``model`` are what ``weighed``
+    and ``fit`` gave for docs, where they are at hand.
     """
     powers, shares = powers or {}, shares or {}
-    rows = written(weighed(docs, model or fit_topics(docs)).withColumn("cell", F.concat_ws("\x1f", *DIMS)), "weighed")
+    bags = weighed(docs) if bags is None else bags
+    rows = written(named(bags, model or fit(bags)).withColumn("cell", F.concat_ws("\x1f", *DIMS)), "weighed")
     cells = written(rows.groupBy("cell", *DIMS).agg(F.sum("tokens").alias("have"), F.count("*").alias("n")), "cells")
     sums = cells.agg(F.coalesce(F.sum("have"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).head()
     total = part * sums[0]
@@ -230,8 +371,9 @@ def sampled(docs: DataFrame, part: float = 0.5, seed: int = 17) -> DataFrame:
     an empty table stays empty.
     """
     name = next(n for n in ("probability", "mix_probability", "_mix_probability") if n not in docs.columns)
-    model = fit_topics(docs)
-    verdict = calibrated(docs, part, POWERS, SHARES, seed=seed, model=model)
+    bags = weighed(docs)
+    model = fit(bags)
+    verdict = calibrated(docs, part, POWERS, SHARES, seed=seed, bags=bags, model=model)
     cells = written(verdict.groupBy(*(F.col(d).alias(f"_fs_{d}") for d in DIMS)).agg(F.first("probability").alias("_fs_p")), "cell-chances")
     keyed = with_topics(docs, model, name="_fs_t").withColumns({"_fs_s": F.coalesce(F.col("source").cast("string"), F.lit("")), "_fs_l": F.coalesce(F.col("lang").cast("string"), F.lit(""))})
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)

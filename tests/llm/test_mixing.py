@@ -106,3 +106,26 @@ def test_topics_tell_subjects_apart_and_repeat(spark):
     assert len(fit_topics(docs.filter("false")).centres) == 0
     rows = np.eye(BUCKETS)[:2]
     assert len(clusters(rows, 8)) == 2 and Bags().of(b"A a b").sum() == 2**0.5 + 1
+
+
+def test_topics_are_learned_from_every_row(spark):
+    """A small subject that a sample of thousands would miss has a topic, and centres are those of plain k-means over all rows."""
+    n, rare = 9000, [17, 4003, 8101]
+    text = lambda i: " ".join(f"rare{j}" if i in rare else f"s{i % 3}w{(i + j) % 14}" for j in range(12))
+    texts = {i: text(i) for i in range(n)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = fit_topics(docs, topics=4)
+    got = {r.doc_id: r.topic for r in with_topics(docs, model).collect()}
+    assert len({got[i] for i in rare}) == 1 and got[17] not in {t for i, t in got.items() if i not in rare}
+    bags = np.array([Bags().of(t.encode()) for t in texts.values()])
+    weights = np.log((1 + n) / (1 + (bags > 0).sum(0)))
+    assert np.allclose(model.weights, weights)
+    rows = bags * weights
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    unit = model.centres / np.linalg.norm(model.centres, axis=1, keepdims=True)
+    own = np.argmax(rows @ unit.T, axis=1)
+    for c in range(4):  # a fixed point of the rounds over all rows
+        mean = rows[own == c].sum(0)
+        assert np.allclose(mean / np.linalg.norm(mean), unit[c], atol=1e-4)
+    again = fit_topics(docs.repartition(5), topics=4)
+    assert (again.centres == model.centres).all()

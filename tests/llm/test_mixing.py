@@ -129,3 +129,15 @@ def test_topics_are_learned_from_every_row(spark):
         assert np.allclose(mean / np.linalg.norm(mean), unit[c], atol=1e-4)
     again = fit_topics(docs.repartition(5), topics=4)
     assert (again.centres == model.centres).all()
+
+
+def test_the_pipelines_sample_draws_by_topics_of_every_row(spark):
+    """A row's chance in ``sampled`` is its own in ``calibrated`` with topics of all rows, also of a subject of two rows."""
+    rare = (3, 4)  # a draw of 4,000 of these rows by their hash misses both
+    text = lambda i: " ".join(f"s{i % 3 if i not in rare else 9}w{(i + j) % 14}" for j in range(12))
+    docs = spark.createDataFrame([(i, text(i), "en", "s") for i in range(9000)], "doc_id long, text string, lang string, source string")
+    want = {r.doc_id: r.probability for r in calibrated(docs, powers=POWERS, shares=SHARES, model=fit_topics(docs)).collect() if r.sampled}
+    got = {r.doc_id: r.probability for r in sampled(docs).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()))
+    topics = {r.doc_id: r.topic for r in calibrated(docs, powers=POWERS, shares=SHARES).collect()}
+    assert {topics[i] for i in rare}.isdisjoint({topics[i] for i in range(9000) if i not in rare})

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -50,11 +52,28 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Seconds between two collections of the driver's garbage at least.
+COLLECT_S = 30
+_collected = [time.monotonic()]
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Every COLLECT_S at most, a full collection on the driver, as its heap otherwise grows to its bound over a run of many steps.
+
+    What is live is small (plans, tasks' states); with it Spark's cleaner drops the shuffle files and broadcasts of steps that are done.
+    """
+    if time.monotonic() - _collected[0] >= COLLECT_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

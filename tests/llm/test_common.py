@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+from flowscope.llm import common
 from flowscope.llm.common import Memo, bounded, components, join_counted, pieces, probably_among, white_cut
 from pyspark.sql import functions as F
 
@@ -60,3 +61,19 @@ def test_components_against_plain_search(spark):
             low[a] = low[b] = min(low[a], low[b])
     want = {x: low[x] for a, b in edges if a != b for x in (a, b)}
     assert {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_the_drivers_garbage_goes_between_steps(spark, monkeypatch):
+    """Not with every step: after COLLECT_S, and then its heap holds nothing that only finished steps had."""
+    jvm, asked = spark.sparkContext._jvm, []
+    weak = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    monkeypatch.setattr(common, "COLLECT_S", 1e9)
+    monkeypatch.setattr(common.gc, "collect", lambda f=common.gc.collect: asked.append(1) or f())
+    common.written(spark.range(3), "some")
+    assert not asked
+    monkeypatch.setattr(common, "COLLECT_S", 0)
+    for _ in range(20):  # Python lets go of the JVM's objects in the background
+        assert common.written(spark.range(3), "some").count() == 3
+        if weak.refersTo(None):
+            break
+    assert asked and weak.refersTo(None)

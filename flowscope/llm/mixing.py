@@ -4,8 +4,9 @@ Documents are counted into cells (source, language, topic); the cells' token wei
 each margin in turn until they hold, never above what a cell has. A document is then drawn with its cell's probability.
 
 Topics are learned: documents as weighted bags of words over ``BUCKETS`` hashes, in as many clusters as there are topics,
-found by spherical k-means over all documents. The bags are counted and written once; each round is a pass over them that
-sums whole numbers by task and cluster, so the centres don't depend on how the rows are dealt.
+found by spherical k-means over all documents. The bags are counted and written once, then their unit vectors, many in a
+row; each round is a pass over these that sums whole numbers by task and cluster, so the centres don't depend on how the
+rows are dealt.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ BUCKETS = 1024
 NO_TOPIC = "none"
 #: Unit vectors and centres are whole numbers of this part: their products and sums are exact in any order.
 STEPS = 1 << 20
-#: Bags that are spread out at a time, and rounds at most.
+#: Bags that are worked on at a time, and rounds at most.
 SPREAD, ROUNDS = 512, 20
 
 
@@ -34,13 +35,13 @@ class Bags(Memo):
     """word (bytes, case folded) -> bucket."""
 
     def of_key(self, key: bytes) -> int:
-        return xxhash.xxh64_intdigest(key.decode("utf8", "replace").lower()) % BUCKETS
+        return xxhash.xxh64_intdigest(key.lower() if key.isascii() else key.decode("utf8", "replace").lower()) % BUCKETS
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, int]:
         """The words' counts by bucket, and their sum."""
         n, total = np.zeros(BUCKETS, np.int64), 0
         for part in white_cut(text or b""):
-            words = part.split()
+            words = (part.lower() if part.isascii() else part).split()
             n += np.bincount(np.fromiter(map(self.__getitem__, words), np.intp, len(words)), minlength=BUCKETS)
             total += len(words)
         return n, total
@@ -61,15 +62,20 @@ class Bags(Memo):
         return at, n, tokens
 
 
-def units(at: list[bytes], n: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """Packed bags as weighted unit vectors in STEPS, a row each; zeros for a bag without weight."""
-    rows = np.repeat(np.arange(len(at)), [len(a) // 2 for a in at])
-    bucket = np.frombuffer(b"".join(at), np.uint16).astype(np.int64)
+def flat_units(at: list[bytes], n: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed bags as weighted unit vectors in STEPS, one after the other: (how many buckets each has, buckets, values); zeros for a bag without weight."""
+    sizes = np.array([len(a) // 2 for a in at], np.int64)
+    rows = np.repeat(np.arange(len(at)), sizes)
+    bucket = np.frombuffer(b"".join(at), np.uint16)
     value = np.sqrt(np.frombuffer(b"".join(n), np.uint32)) * weights[bucket]
-    size = np.maximum(np.sqrt(np.bincount(rows, value * value, len(at))), 1e-12)
-    out = np.zeros((len(at), BUCKETS))
-    out[rows, bucket] = np.rint(value / size[rows] * STEPS)
-    return out
+    length = np.maximum(np.sqrt(np.bincount(rows, value * value, len(at))), 1e-12)
+    return sizes, bucket, np.rint(value / length[rows] * STEPS)
+
+
+def products(sizes: np.ndarray, bucket: np.ndarray, value: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Of flat vectors, none of them empty, the products with each centre, a row each."""
+    starts, bucket = np.cumsum(sizes) - sizes, bucket.astype(np.intp)
+    return np.stack([np.add.reduceat(value * c.take(bucket, mode="clip"), starts) for c in centres], axis=1)
 
 
 def centre(sums: np.ndarray) -> np.ndarray:
@@ -108,10 +114,10 @@ class TopicModel:
     def nearest(self, at: list[bytes], n: list[bytes]) -> np.ndarray:
         """The cluster of each packed bag, -1 without words."""
         out = np.full(len(at), -1)
-        for i in range(0, len(at) if len(self.centres) else 0, SPREAD):
-            part = slice(i, i + SPREAD)
-            own = np.argmax(units(at[part], n[part], self.weights) @ self.centres.T, axis=1)
-            out[part] = np.where([len(a) > 0 for a in at[part]], own, -1)
+        some = [i for i, a in enumerate(at) if a] if len(self.centres) else []
+        for k in range(0, len(some), SPREAD):
+            part = some[k : k + SPREAD]
+            out[part] = np.argmax(products(*flat_units([at[i] for i in part], [n[i] for i in part], self.weights), self.centres), axis=1)
         return out
 
     def names(self, at: list[bytes], n: list[bytes]) -> list[str]:
@@ -143,8 +149,26 @@ def packed_parts(batches):
             yield tuple(map(list, zip(*rows[i : i + SPREAD], strict=True)))
 
 
-def summed(bags: DataFrame, of_part) -> dict[int, np.ndarray]:
-    """{c: sum of v} over what ``of_part(at, n)`` gives as {c: v}, v being whole numbers: a row a task and c, then one a c."""
+def vectors(bags: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(sizes, at, v), written: the unit vectors of SPREAD bags in a row, as every round reads them."""
+
+    def run(batches):
+        for at, n in packed_parts(batches):
+            sizes, bucket, value = flat_units(at, n, weights)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype(np.uint16), bucket, value.astype(np.int32))], ["sizes", "at", "v"])
+
+    return written(bags.select("at", "n").mapInArrow(run, "sizes binary, at binary, v binary"), "vectors")
+
+
+def flat_parts(batches):
+    """(sizes, buckets, values) of each row of ``vectors``."""
+    for batch in batches:
+        for sizes, at, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield np.frombuffer(sizes, np.uint16).astype(np.int64), np.frombuffer(at, np.uint16), np.frombuffer(v, np.int32).astype(float)
+
+
+def summed(rows: DataFrame, parts, of_part) -> dict[int, np.ndarray]:
+    """{c: sum of v} over what ``of_part`` gives of each of ``parts(batches)`` as {c: v}, v being whole numbers: a row a task and c, then one a c."""
 
     def by_key(pairs):
         sums: dict[int, np.ndarray] = {}
@@ -153,60 +177,72 @@ def summed(bags: DataFrame, of_part) -> dict[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.int64).tobytes() for v in sums.values()], pa.binary())], ["c", "v"])
 
     def partial(batches):
-        return by_key(x for at, n in packed_parts(batches) for x in of_part(at, n).items())
+        return by_key(x for part in parts(batches) for x in of_part(*part).items())
 
     def whole(batches):
         return by_key((c, np.frombuffer(v, np.int64)) for b in batches for c, v in zip(*(x.to_pylist() for x in b.columns), strict=True))
 
     kind = "c int, v binary"
-    rows = bags.select("at", "n").mapInArrow(partial, kind).repartition("c").mapInArrow(whole, kind).collect()
+    rows = rows.mapInArrow(partial, kind).repartition("c").mapInArrow(whole, kind).collect()
     return {r.c: np.frombuffer(bytes(r.v), np.int64) for r in rows}
 
 
-def least_bag(bags: DataFrame, weights: np.ndarray, score) -> tuple[float, np.ndarray]:
-    """The smallest of the scores that ``score`` gives unit vectors, and the vector that has it; of ties the first by its buckets and counts."""
+def least_vector(rows: DataFrame, score) -> tuple[float, np.ndarray]:
+    """The smallest of the scores that ``score`` gives rows of ``vectors``, and the vector that has it; of ties the first by its buckets and values."""
 
     def run(batches):
         best = None
-        for at, n in packed_parts(batches):
-            got = score(units(at, n, weights))
+        for sizes, bucket, value in flat_parts(batches):
+            got, ends = score(sizes, bucket, value), np.cumsum(sizes)
             for i in np.flatnonzero(got == got.min()).tolist():
-                best = min(x for x in (best, (float(got[i]), at[i], n[i])) if x)
+                own = slice(ends[i] - sizes[i], ends[i])
+                best = min(x for x in (best, (float(got[i]), bucket[own].tobytes(), value[own].astype(np.int32).tobytes())) if x)
         if best:
-            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary()), pa.array([best[2]], pa.binary())], ["s", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary()), pa.array([best[2]], pa.binary())], ["s", "at", "v"])
 
-    r = bags.select("at", "n").mapInArrow(run, "s double, at binary, n binary").orderBy("s", "at", "n").head()
-    return r.s, units([bytes(r.at)], [bytes(r.n)], weights)[0]
+    r = rows.mapInArrow(run, "s double, at binary, v binary").orderBy("s", "at", "v").head()
+    out = np.zeros(BUCKETS)
+    out[np.frombuffer(bytes(r.at), np.uint16)] = np.frombuffer(bytes(r.v), np.int32)
+    return r.s, out
+
+
+def some_weight(sizes: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which of the flat vectors aren't all zeros."""
+    return np.logical_or.reduceat(value != 0, np.cumsum(sizes) - sizes)
 
 
 def fit(bags: DataFrame, topics: int = 8) -> TopicModel:
-    """From all rows of ``bagged``, at best a written table as each round reads it. No words at all: no topics."""
+    """From all rows of ``bagged``, at best a written table. No words at all: no topics."""
 
     def present(at, n):
         return {0: np.bincount(np.frombuffer(b"".join(at), np.uint16), minlength=BUCKETS), 1: np.array([len(at)])}
 
-    got = summed(bags, present)
+    got = summed(bags.select("at", "n"), packed_parts, present)
     if 1 not in got:
         return TopicModel(np.zeros(BUCKETS), np.zeros((0, BUCKETS)))
     weights = np.log((1 + got[1][0]) / (1 + got[0]))
     if not (weights * (got[0] > 0)).any():  # every text has every word: nothing tells them apart
         return TopicModel(weights, np.zeros((0, BUCKETS)))
-    mean = centre(summed(bags, lambda at, n: {0: units(at, n, weights).sum(0)})[0])
-    first = least_bag(bags, weights, lambda rows: -(rows @ mean))[1]
-    centres = first[None, :]
+    rows = vectors(bags, weights)
+    mean = centre(summed(rows, flat_parts, lambda sizes, bucket, value: {0: np.bincount(bucket, value, BUCKETS)})[0])
+    centres = least_vector(rows, lambda *x: -products(*x, mean[None, :])[:, 0])[1][None, :]
     while len(centres) < topics:
-        near, far = least_bag(bags, weights, lambda rows, c=centres: np.where(rows.any(1), (rows @ c.T).max(1), np.inf))
+
+        def nearness(sizes, bucket, value, c=centres):
+            return np.where(some_weight(sizes, value), products(sizes, bucket, value, c).max(1), np.inf)
+
+        near, far = least_vector(rows, nearness)
         if (centres == far).all(1).any() or np.isinf(near):
             break
         centres = np.vstack([centres, far])
     for _ in range(ROUNDS):
 
-        def own_sums(at, n, c=centres):
-            rows = units(at, n, weights)
-            own = np.where(rows.any(1), np.argmax(rows @ c.T, axis=1), -1)
-            return {k: rows[own == k].sum(0) for k in np.unique(own).tolist() if k >= 0}
+        def own_sums(sizes, bucket, value, c=centres):
+            own = np.where(some_weight(sizes, value), np.argmax(products(sizes, bucket, value, c), axis=1), len(c))
+            sums = np.bincount(np.repeat(own * BUCKETS, sizes) + bucket, value, (len(c) + 1) * BUCKETS).reshape(-1, BUCKETS)
+            return {k: sums[k] for k in np.unique(own).tolist() if k < len(c)}
 
-        sums = summed(bags, own_sums)
+        sums = summed(rows, flat_parts, own_sums)
         new = np.array([centre(sums[k]) if k in sums else centres[k] for k in range(len(centres))])
         if (new == centres).all():
             break

@@ -1,4 +1,5 @@
 import numpy as np
+from flowscope.llm import mixing
 from flowscope.llm.mixing import BUCKETS, NO_TOPIC, POWERS, SHARES, Bags, calibrated, clusters, fit_topics, op9, sampled, with_topics
 
 
@@ -141,3 +142,30 @@ def test_the_pipelines_sample_draws_by_topics_of_every_row(spark):
     assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()))
     topics = {r.doc_id: r.topic for r in calibrated(docs, powers=POWERS, shares=SHARES).collect()}
     assert {topics[i] for i in rare}.isdisjoint({topics[i] for i in range(9000) if i not in rare})
+
+
+def test_rounds_read_unit_vectors_many_in_a_row(spark, monkeypatch):
+    """Bags become vectors once: one read for the weights and one for them, whatever the number of rounds."""
+    texts = [*(" ".join(f"w{(i * j) % 40}" for j in range(1, 9)) for i in range(700)), "", None]
+    bags = mixing.bagged(spark.createDataFrame([(t,) for t in texts], "text string")).localCheckpoint()
+    weights = np.linspace(0.5, 2, BUCKETS)
+    weights[3] = 0
+    rows = mixing.vectors(bags.coalesce(1), weights)
+    assert rows.count() == 2  # 512 bags and the rest
+    got = []
+    for sizes, at, v in mixing.flat_parts([b for b in rows.toArrow().to_batches()]):
+        for a, b in zip(np.split(at, np.cumsum(sizes)[:-1]), np.split(v, np.cumsum(sizes)[:-1]), strict=True):
+            out = np.zeros(BUCKETS)
+            out[a] = b
+            got.append(out)
+    want = np.array([Bags().of(t.encode()) * weights for t in texts if t])
+    want = np.rint(want / np.linalg.norm(want, axis=1, keepdims=True) * mixing.STEPS)
+    assert np.abs(np.array(sorted(map(tuple, got))) - np.array(sorted(map(tuple, want)))).max() <= 1
+    centres = np.vstack([want[0], want[1], np.zeros(BUCKETS)])
+    flat = [np.flatnonzero(x) for x in want]
+    products = mixing.products(np.array([len(x) for x in flat]), np.concatenate(flat), np.concatenate([w[x] for w, x in zip(want, flat, strict=True)]), centres)
+    assert (products == want @ centres.T).all()
+    read = []
+    monkeypatch.setattr(mixing, "summed", lambda rows, *a, f=mixing.summed: read.append(rows.columns) or f(rows, *a))
+    mixing.fit(bags, topics=3)
+    assert read[0] == ["at", "n"] and len(read) > 2 and all(c == ["sizes", "at", "v"] for c in read[1:])

@@ -19,12 +19,18 @@ _WHITE = re.compile(rb"[\x20\x09-\x0D]")
 _own_dirs: dict[str, str] = {}
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executor are one process."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or on a single machine without it, a folder of our own."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        if not on_one_machine(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="flowscope-"))
     return f"{base.rstrip('/')}/flowscope-{sc.applicationId}"
@@ -68,6 +74,15 @@ def collect_garbage(spark: SparkSession) -> None:
         _collected[0] = time.monotonic()
 
 
+def collect_on_executors(spark: SparkSession) -> None:
+    """A full collection on each executor, best when no job runs: between two stages a heap that has grown goes back to what is live.
+
+    A task for each core asks for it, so each executor has some; an executor that gets none only keeps its garbage.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, so a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -1,3 +1,4 @@
+import gc
 import random
 
 import pyarrow as pa
@@ -77,3 +78,15 @@ def test_the_drivers_garbage_goes_between_steps(spark, monkeypatch):
         if weak.refersTo(None):
             break
     assert asked and weak.refersTo(None)
+
+
+def test_executors_collect_their_garbage(spark):
+    """On one machine the executor is the driver's process, so an object that is dropped there shows it."""
+    jvm = spark.sparkContext._jvm
+    weak = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    for _ in range(20):
+        gc.collect()
+        common.collect_on_executors(spark)
+        if weak.refersTo(None):
+            break
+    assert weak.refersTo(None)

@@ -6,6 +6,7 @@ import atexit
 import gc
 import re
 import tempfile
+import threading
 import time
 import uuid
 
@@ -63,17 +64,47 @@ COLLECT_S = 30
 _collected = [time.monotonic()]
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Every COLLECT_S at most, a full collection on the driver, as its heap otherwise grows to its bound over a run of many steps.
+def collect_garbage(spark: SparkSession, after: float | None = None) -> None:
+    """Every COLLECT_S (or ``after``) at most, a full collection on the driver, as its heap otherwise grows to its bound over a run of many steps.
 
     What is live is small (plans, tasks' states); with it Spark's cleaner drops the shuffle files and broadcasts of steps that are done.
     """
-    if time.monotonic() - _collected[0] >= COLLECT_S:
+    if time.monotonic() - _collected[0] >= (COLLECT_S if after is None else after):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         _collected[0] = time.monotonic()
 
 
+#: Seconds between two looks at the driver's heap, and the part of its bound from which on it isn't left to grow.
+TICK_S, HEAP_PART = 5, 0.5
+_watched: dict[str, threading.Event] = {}
+
+
+def collect_meanwhile(spark: SparkSession) -> threading.Event:
+    """Collects the driver's garbage during a job too, as one job over a large table takes many times COLLECT_S; setting the event ends it.
+
+    One thread an application. A heap beyond HEAP_PART of its bound is collected at the next look, so that it shrinks again.
+    """
+    sc, app = spark.sparkContext, spark.sparkContext.applicationId
+    if app in _watched:
+        return _watched[app]
+    stop = _watched[app] = threading.Event()
+    atexit.register(stop.set)
+
+    def run():
+        while not stop.wait(TICK_S):
+            try:
+                if sc._jsc is None:
+                    return
+                heap = sc._jvm.Runtime.getRuntime()
+                collect_garbage(spark, TICK_S if heap.totalMemory() > HEAP_PART * heap.maxMemory() else None)
+            except Exception:  # noqa: BLE001  the JVM may be gone already
+                return
+
+    threading.Thread(target=run, name="flowscope-garbage", daemon=True).start()
+    return stop
+
+
 def collect_on_executors(spark: SparkSession) -> None:
     """A full collection on each executor, best when no job runs: between two stages a heap that has grown goes back to what is live.
 
@@ -87,6 +118,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if not on_one_machine(spark):
+        collect_meanwhile(spark)
     df.write.parquet(path)
     collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)

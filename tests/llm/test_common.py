@@ -1,5 +1,6 @@
 import gc
 import random
+import time
 
 import pyarrow as pa
 from flowscope.llm import common
@@ -80,6 +81,23 @@ def test_the_drivers_garbage_goes_between_steps(spark, monkeypatch):
     assert asked and weak.refersTo(None)
 
 
+def test_the_drivers_garbage_goes_during_a_job_too(spark, monkeypatch):
+    """Without a further step: what is dropped while nothing is written goes, and no longer once the application's thread is told to end."""
+    jvm = spark.sparkContext._jvm
+    monkeypatch.setattr(common, "COLLECT_S", 0)
+    monkeypatch.setattr(common, "TICK_S", 0.2)
+    monkeypatch.setattr(common, "_watched", {})
+    stop = common.collect_meanwhile(spark)
+    assert common.collect_meanwhile(spark) is stop
+    try:
+        weak, end = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object()), time.monotonic() + 30
+        while not weak.refersTo(None) and time.monotonic() < end:
+            time.sleep(0.2)
+        assert weak.refersTo(None)
+    finally:
+        stop.set()
+
+
 def test_executors_collect_their_garbage(spark):
     """On one machine the executor is the driver's process, so an object that is dropped there shows it."""
     jvm = spark.sparkContext._jvm

@@ -84,15 +84,16 @@ def with_events(spans: DataFrame, events: DataFrame, before_ms: int, threshold:
 
 def chain_links(spans: DataFrame, judged: DataFrame, events: DataFrame, near: float, longest_delay: float) -> DataFrame:
     """(session, ts_ms, id, pct, confidence, delay) of each event of each slice, judged once more by the slice it ended in."""
-    rows = spans.select("session", "grp", "start_ms", "confidence", "regions", F.explode("events").alias("id"))
+    places = F.transform("regions", lambda r: F.struct((r["x"] + r["w"] / 2).alias("x"), (r["y"] + r["h"] / 2).alias("y")))
+    many = (F.size("regions") > 2) & F.exists("regions", lambda r: r["kind"] == "movement")
+    own = F.array_distinct(places).alias("centres"), (F.size("regions") * F.lit(10.0)).alias("pct"), many.alias("moving")
+    rows = spans.select("session", "grp", "start_ms", "confidence", "events", *own).withColumn("id", F.explode("events")).drop("events")
     rows = rows.join(events.select("session", "id", "ts_ms", "x", "y"), ["session", "id"]).join(judged, ["session", "id"])
     earlier = F.row_number().over(Window.partitionBy("session", "id").orderBy("start_ms", "grp")) - 1
-    centres = F.transform("regions", lambda r: F.struct((r["x"] + r["w"] / 2).alias("x"), (r["y"] + r["h"] / 2).alias("y")))
-    moving = (F.size("regions") > 2) & F.exists("regions", lambda r: r["kind"] == "movement")
-    pct, wait = F.size("regions") * F.lit(10.0), sc.delay(F.col("confidence"))
-    kind = sc.correlation_type(F.col("confidence"), pct, wait, F.col("judged") + earlier, moving)
-    score = sc.correlation_confidence(wait, sc.proximity(centres, F.col("x"), F.col("y"), near), pct, kind, longest_delay)
-    return rows.withColumn("score", score).select("session", "ts_ms", "id", pct.alias("pct"), F.col("score").alias("confidence"), wait.alias("delay"))
+    pct, wait = F.col("pct"), sc.delay(F.col("confidence"))
+    kind = sc.correlation_type(F.col("confidence"), pct, wait, F.col("judged") + earlier, F.col("moving"))
+    score = sc.correlation_confidence(wait, sc.proximity(F.col("centres"), F.col("x"), F.col("y"), near), pct, kind, longest_delay)
+    return rows.withColumn("score", score).select("session", "ts_ms", "id", "pct", F.col("score").alias("confidence"), wait.alias("delay"))
 
 
 def statistics(frames: DataFrame, events: DataFrame, spans: DataFrame) -> DataFrame:

@@ -147,33 +147,44 @@ def chains(events: DataFrame, keys: list[str], strict_reference: bool = False) -
     Times count from the trigger. initial_delay: the first link's delay, below 50 instantaneous; settling: the last change
     above 1 %; peak: the first largest change, 0 if nothing changed; animated: three links or more,
     seven tenths of the inner ones between their neighbours. An id of the content, not of the clock.
+
+    Links are numbered and meet their neighbours in one sorted pass a key, which spills; only the id needs a chain's links in
+    one row, and isn't made where it isn't asked for.
     """
-    links = F.array_sort(F.collect_list(F.struct("ts_ms", "id", "pct", "confidence", "delay")))
-    c = events.groupBy(*keys).agg(links.alias("links"), F.avg("confidence").alias("mean"))
-    n, first = F.size("links"), F.get("links", F.lit(0))
-    felt = F.filter("links", lambda e: e["pct"] > 1)
-    pcts = F.transform("links", lambda e: e["pct"])
-    inner = F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2))
-    at = lambda i: F.get(pcts, i)
-    smooth_at = lambda i: ((at(i - 1) <= at(i)) & (at(i) <= at(i + 1))) | ((at(i - 1) >= at(i)) & (at(i) >= at(i + 1)))
-    smooth = (n >= 3) & (F.size(F.filter(inner, smooth_at)) / (n - 2.0) > 0.7)
-    top = F.array_max(pcts)
-    accel = F.transform(inner, lambda i: (at(i + 1) - 2 * at(i) + at(i - 1)) / F.nullif(top, F.lit(0.0)))
-    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a).cast("double"))
-    half = F.floor(F.size(accel) / 2).cast("int")
+    whole = Window.partitionBy(*keys)
+    w = whole.orderBy("ts_ms", "id", "pct", "confidence", "delay")
+    rows = events.select(*keys, "ts_ms", "id", "pct", "confidence", "delay").withColumns(
+        {"_k": F.row_number().over(w), "_before": F.lag("pct").over(w), "_after": F.lead("pct").over(w), "_n": F.count("*").over(whole), "_top": F.max("pct").over(whole)}
+    )
+    k, n, at, before, after = F.col("_k"), F.col("_n"), F.col("pct"), F.col("_before"), F.col("_after")
+    felt, inner, half = at > 1, (k > 1) & (k < n), F.floor((n - 2) / 2)
+    smooth_at = ((before <= at) & (at <= after)) | ((before >= at) & (at >= after))
+    accel = (after - 2 * at + before) / F.nullif(F.col("_top"), F.lit(0.0))
+    # null if any of the summed is
+    total = lambda part: F.when(F.count_if(part & accel.isNull()) == 0, F.coalesce(F.sum(F.when(part, accel)), F.lit(0.0)))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "id", "pct", "confidence", "delay"))), lambda e: e["id"].cast("string"))
+    c = rows.groupBy(*keys).agg(
+        F.sha2(F.concat_ws(",", ids), 256).alias("chain_id"), F.count("*").alias("n"), F.avg("confidence").alias("mean"),
+        F.min(F.struct("ts_ms", "id", "pct", "confidence", "delay")).alias("first"), F.max("ts_ms").alias("last_ms"),
+        F.min(F.when(felt, F.col("ts_ms"))).alias("felt_first"), F.max(F.when(felt, F.col("ts_ms"))).alias("felt_last"),
+        F.max(F.struct("pct", (-F.col("ts_ms")).alias("back"))).alias("peak"), F.count_if(inner & smooth_at).alias("smooth"),
+        total(inner).alias("accel"), total(inner & (k - 1 <= half)).alias("accel_1"), total(inner & (k - 1 > half)).alias("accel_2"),
+    )
+    n, first, half = F.col("n"), F.col("first"), F.floor((F.col("n") - 2) / 2)
+    mean = lambda name, size: F.try_divide(F.col(name), size.cast("double"))
     easing = (
-        F.when(n < 5, "linear").when(F.abs(mean(accel)) < 0.05, "linear").when(mean(accel) > 0.1, "ease-in").when(mean(accel) < -0.1, "ease-out")
-        .when((mean(F.slice(accel, F.lit(1), half)) > 0) & (mean(F.slice(accel, half + 1, F.size(accel))) < 0), "ease-in-out").otherwise("custom")
+        F.when(n < 5, "linear").when(F.abs(mean("accel", n - 2)) < 0.05, "linear").when(mean("accel", n - 2) > 0.1, "ease-in").when(mean("accel", n - 2) < -0.1, "ease-out")
+        .when((mean("accel_1", half) > 0) & (mean("accel_2", n - 2 - half) < 0), "ease-in-out").otherwise("custom")
     )
-    span = F.get(felt, F.size(felt) - 1)["ts_ms"] - F.get(felt, F.lit(0))["ts_ms"]
-    animated = smooth & (F.size(felt) > 0)
-    peak = F.when(top > 0, F.get(F.filter("links", lambda e: e["pct"] == top), F.lit(0))["ts_ms"] - first["ts_ms"]).otherwise(0)
+    some = F.col("felt_last").isNotNull()
+    animated = (n >= 3) & F.coalesce(F.try_divide(F.col("smooth").cast("double"), n - 2.0) > 0.7, F.lit(False)) & some
+    peak = F.when(F.col("peak.pct") > 0, -F.col("peak.back") - first["ts_ms"]).otherwise(0)
     return c.select(
-        *keys, F.sha2(F.concat_ws(",", F.transform("links", lambda e: e["id"].cast("string"))), 256).alias("chain_id"), first["id"].alias("trigger"), n.cast("bigint").alias("n"),
-        (F.get("links", n - 1)["ts_ms"] - first["ts_ms"]).alias("duration"), sc.chain_confidence(F.col("mean"), n, strict_reference).alias("confidence"),
-        F.when(F.size(felt) > 0, F.get(felt, F.size(felt) - 1)["ts_ms"] - first["ts_ms"]).otherwise(0).alias("settling"), peak.alias("peak_ms"),
+        *keys, "chain_id", first["id"].alias("trigger"), "n",
+        (F.col("last_ms") - first["ts_ms"]).alias("duration"), sc.chain_confidence(F.col("mean"), n, strict_reference).alias("confidence"),
+        F.when(some, F.col("felt_last") - first["ts_ms"]).otherwise(0).alias("settling"), peak.alias("peak_ms"),
         first["delay"].alias("initial_delay"), (first["delay"] < 50).alias("instantaneous"),
-        animated.alias("animated"), F.when(animated, span).alias("animation_ms"), F.when(animated, easing).alias("easing"),
+        animated.alias("animated"), F.when(animated, F.col("felt_last") - F.col("felt_first")).alias("animation_ms"), F.when(animated, easing).alias("easing"),
     )
 
 

@@ -3,6 +3,7 @@ import hashlib
 import json
 import os
 import struct
+import threading
 import zlib
 
 import pytest
@@ -335,3 +336,21 @@ def test_empty_hashes_are_equal_to_none_and_places_count(spark):
     assert got == {
         1: (1.0, 1.0, True), 3: (0.0, 1.0, False), 5: (0.0, 1.0, False), 7: (1.0, 0.96, True), 9: (1.0, 0.925, True), 11: (1.0, 1.0, True), 13: (1.0, 1.0, True),
     }
+
+
+def test_a_long_chains_work_grows_with_its_links(spark):
+    """One chain of 12,000 links against a loop; where each link looked through the others it took minutes."""
+    pct = [(i * 7919) % 101 / 10 for i in range(12_000)]
+    rows = spark.range(len(pct)).select(F.lit(1).alias("k"), (F.col("id") * 5).alias("ts_ms"), "id", ((F.col("id") * 7919) % 101 / 10).alias("pct"), F.lit(0.75).alias("confidence"), F.lit(100).alias("delay"))
+    spark.sparkContext.setJobGroup("long chain", "one long chain", True)
+    timer = threading.Timer(60, spark.sparkContext.cancelJobGroup, ["long chain"])
+    timer.start()
+    try:
+        got = tl.chains(rows, ["k"]).drop("chain_id").head()
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    felt = [5 * i for i, p in enumerate(pct) if p > 1]
+    smooth = sum((a <= b <= c) or (a >= b >= c) for a, b, c in zip(pct, pct[1:], pct[2:], strict=False))
+    assert (got.trigger, got.n, got.duration, got.settling, got.peak_ms) == (0, 12_000, 59_995, felt[-1], 5 * pct.index(max(pct)))
+    assert got.animated == (smooth / 11_998 > 0.7) and not got.instantaneous

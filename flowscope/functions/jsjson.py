@@ -37,5 +37,46 @@ def stringify(value) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-def checksum(value) -> str:
-    return hashlib.sha256(stringify(value).encode()).hexdigest()
+class _Odd(Exception):
+    """A number that Python's own writer would not write as a browser does."""
+
+
+def _plain_int(text: str) -> int:
+    if len(text) > 15:
+        raise _Odd
+    return int(text)
+
+
+def _plain_float(text: str):
+    x = float(text)
+    if not abs(x) < 1e21:
+        raise _Odd
+    if x == int(x):
+        return int(x)
+    if "e" in repr(x):
+        raise _Odd
+    return x
+
+
+def _no_number(text: str):
+    raise _Odd
+
+
+def _written(value) -> str:
+    return json.dumps(value, ensure_ascii=False, check_circular=False, separators=(",", ":"))
+
+
+def read(text: str):
+    """(value, writer): a JSON text's value, and what writes it or a part of it as ``stringify`` does.
+
+    Where all numbers look the same in Python and a browser, Python's writer in C does, many times as fast. Whole numbers
+    come as int.
+    """
+    try:
+        return json.loads(text, parse_int=_plain_int, parse_float=_plain_float, parse_constant=_no_number), _written
+    except _Odd:
+        return json.loads(text), stringify
+
+
+def checksum(value, write=stringify) -> str:
+    return hashlib.sha256(write(value).encode()).hexdigest()

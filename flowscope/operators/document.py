@@ -6,11 +6,12 @@ import json
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowscope.functions import equations as eq
-from flowscope.functions.jsjson import checksum, stringify
+from flowscope.functions.jsjson import checksum, read, stringify
 from flowscope.operators.graph import with_cut
 
 #: Where the parts of a document are that queries take apart.
@@ -98,6 +99,36 @@ def evaluated(docs: DataFrame, element: str, name: str, values: dict[str, float]
     return equation(docs, element, name).mapInArrow(run, "path string, value double")
 
 
+#: Bytes of documents that a worker has in hand at a time, and in a batch on the way to it; a longer document comes alone.
+PIECE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+
+
+def _pieces(batches):
+    """The rows of batches (path, raw, ...) in slices of about PIECE_BYTES of raw, so that the texts made of them stay few."""
+    for b in batches:
+        at, total = 0, 0
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+        for i, n in enumerate(sizes):
+            if i > at and total + n > PIECE_BYTES:
+                yield b.slice(at, i - at)
+                at, total = i, 0
+            total += n
+        yield b.slice(at)
+        pa.default_memory_pool().release_unused()
+
+
+def _by_pieces(docs: DataFrame, run, schema: str) -> DataFrame:
+    """``docs`` (path, raw, ...) through ``run``, a generator over slices of batches.
+
+    Batches lie outside the heap, several at once where one pass follows another, hence the session's bound on their bytes
+    is lowered to BATCH_BYTES where it is higher.
+    """
+    spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+    return docs.mapInArrow(lambda batches: run(_pieces(batches)), schema)
+
+
 def subset(docs: DataFrame, start: float | None = None, end: float | None = None, molecules: list[str] | None = None, states: list[str] | None = None) -> DataFrame:
     """The documents (path, raw, doc) cut to keyframes and states of a time (both ends included, a missing one open), molecules by id, states and edges by state ids.
 
@@ -123,9 +154,9 @@ def subset(docs: DataFrame, start: float | None = None, end: float | None = None
     return _rewritten(docs, cut).withColumn("doc", F.from_json("raw", schema))
 
 
-def section_checksums(doc: dict) -> dict[str, str]:
+def section_checksums(doc: dict, write=stringify) -> dict[str, str]:
     """A document's three checksums: SHA-256 of the sections as a browser writes them."""
-    return {name: f"sha256:{checksum(doc[section])}" for section, name in SUMMED.items() if section in doc}
+    return {name: f"sha256:{checksum(doc[section], write)}" for section, name in SUMMED.items() if section in doc}
 
 
 def _rewritten(docs: DataFrame, change) -> DataFrame:
@@ -135,12 +166,13 @@ def _rewritten(docs: DataFrame, change) -> DataFrame:
         for b in batches:
             out = []
             for raw in b.column(1).to_pylist():
-                doc = change(json.loads(raw))
-                doc["validationChecksums"] = {**section_checksums(doc), "crossValidation": (doc.get("validationChecksums") or {}).get("crossValidation", [])}
-                out.append(stringify(doc))
+                doc, write = read(raw)
+                doc = change(doc)
+                doc["validationChecksums"] = {**section_checksums(doc, write), "crossValidation": (doc.get("validationChecksums") or {}).get("crossValidation", [])}
+                out.append(write(doc))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["path", "raw"])
 
-    return docs.select("path", "raw").mapInArrow(run, "path string, raw string")
+    return _by_pieces(docs.select("path", "raw"), run, "path string, raw string")
 
 
 def sealed(docs: DataFrame) -> DataFrame:
@@ -155,12 +187,12 @@ def checksums(docs: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for path, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                doc = json.loads(raw)
-                stored, actual = doc.get("validationChecksums") or {}, section_checksums(doc)
+                doc, write = read(raw)
+                stored, actual = doc.get("validationChecksums") or {}, section_checksums(doc, write)
                 out += [(path, k, stored.get(name), actual[name]) for k, name in SUMMED.items() if name in actual]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(4)], ["path", "section", "stored", "actual"])
 
-    return docs.select("path", "raw").mapInArrow(run, "path string, section string, stored string, actual string")
+    return _by_pieces(docs.select("path", "raw"), run, "path string, section string, stored string, actual string")
 
 
 #: What the format asks for (fixed values): parts that must be there, by the place of what holds them; [] is each of an array.
@@ -234,29 +266,50 @@ LENGTHS = {
 PATTERNS = {"version": r"\d+\.\d+", "metadata.captureId": r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"}
 
 
+def _rules() -> dict:
+    """The rules as a tree of places: what lies below one by its key, an array's elements at None; parts without rules aren't in it."""
+    root = {"at": "", "below": {}}
+    for at in (*REQUIRED, *ALLOWED, *RANGES, *LENGTHS, *PATTERNS):
+        node = root
+        for key in at.replace("[]", ".[]").split(".") if at else ():
+            below = f"{node['at']}[]" if key == "[]" else f"{node['at']}.{key}".lstrip(".")
+            node = node["below"].setdefault(None if key == "[]" else key, {"at": below, "below": {}})
+        node |= {name: rules[at] for name, rules in (("required", REQUIRED), ("allowed", ALLOWED), ("range", RANGES), ("length", LENGTHS), ("pattern", PATTERNS)) if at in rules}
+    return root
+
+
+_TREE = _rules()
+
+
 def broken_rules(doc) -> list[str]:
     """What a document lacks or has wrong, each rule once, in order."""
     if not isinstance(doc, dict):
         return ["not a document"]
     out: list[str] = []
 
-    def look(value, at: str) -> None:
-        out.extend(f"{at}.{k} is missing".lstrip(".") for k in REQUIRED.get(at, ()) if isinstance(value, dict) and k not in value)
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        if at in ALLOWED and value not in ALLOWED[at]:
+    def look(value, node: dict) -> None:
+        at, below = node["at"], node["below"]
+        if isinstance(value, dict):
+            out.extend(f"{at}.{k} is missing".lstrip(".") for k in node.get("required", ()) if k not in value)
+        if "allowed" in node and value not in node["allowed"]:
             out.append(f"{at} is none of the known values")
-        if at in RANGES and not (number and RANGES[at][0] <= value <= RANGES[at][1]):
-            out.append(f"{at} is not within {RANGES[at][0]} and {RANGES[at][1]}")
-        if at in LENGTHS and not (isinstance(value, list) and LENGTHS[at][0] <= len(value) <= (LENGTHS[at][1] or len(value))):
+        if "range" in node:
+            lo, hi = node["range"]
+            if not (isinstance(value, (int, float)) and not isinstance(value, bool) and lo <= value <= hi):
+                out.append(f"{at} is not within {lo} and {hi}")
+        if "length" in node and not (isinstance(value, list) and node["length"][0] <= len(value) <= (node["length"][1] or len(value))):
             out.append(f"{at} has not the right length")
-        if at in PATTERNS and not (isinstance(value, str) and re.fullmatch(PATTERNS[at], value)):
+        if "pattern" in node and not (isinstance(value, str) and re.fullmatch(node["pattern"], value)):
             out.append(f"{at} is not well formed")
-        for k, v in value.items() if isinstance(value, dict) else ():
-            look(v, f"{at}.{k}".lstrip("."))
-        for v in value if isinstance(value, list) else ():
-            look(v, f"{at}[]")
-
-    look(doc, "")
+        if isinstance(value, dict):
+            for k, v in value.items() if below else ():
+                if k in below:
+                    look(v, below[k])
+        elif isinstance(value, list) and None in below:
+            for v in value:
+                look(v, below[None])
+
+    look(doc, _TREE)
     overall = ((doc.get("metadata") or {}).get("fidelityScore") or {}).get("overall")
     if isinstance(overall, (int, float)) and 0 <= overall < 0.999:
         out.append("warning: fidelity below 0.999")
@@ -277,7 +330,7 @@ def errors(docs: DataFrame) -> DataFrame:
                 out += [(path, rule) for rule in broken_rules(doc)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in (0, 1)], ["path", "rule"])
 
-    return docs.select("path", "raw").mapInArrow(run, "path string, rule string")
+    return _by_pieces(docs.select("path", "raw"), run, "path string, rule string")
 
 
 def loaded(docs: DataFrame) -> DataFrame:

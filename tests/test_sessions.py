@@ -6,8 +6,10 @@ import struct
 import threading
 import zlib
 
+import pyarrow as pa
 import pytest
 from flowscope import session
+from flowscope.functions import jsjson
 from flowscope.operators import buffer as bf
 from flowscope.operators import document as doc
 from flowscope.operators import elements as el
@@ -354,3 +356,27 @@ def test_a_long_chains_work_grows_with_its_links(spark):
     smooth = sum((a <= b <= c) or (a >= b >= c) for a, b, c in zip(pct, pct[1:], pct[2:], strict=False))
     assert (got.trigger, got.n, got.duration, got.settling, got.peak_ms) == (0, 12_000, 59_995, felt[-1], 5 * pct.index(max(pct)))
     assert got.animated == (smooth / 11_998 > 0.7) and not got.instantaneous
+
+
+def test_documents_pass_through_workers_in_small_slices(spark):
+    """However many documents a task has, a worker has about a megabyte of them in hand; a large one comes alone, none is lost."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        d = spark.range(0, 200, 1, 1).select(F.col("id").cast("string").alias("path"), F.repeat(F.lit("x"), F.when(F.col("id") == 7, 9_000_000).otherwise(200_000).cast("int")).alias("raw"))
+        assert doc.errors(d).count() == 200
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.column(1).nbytes])], ["rows", "bytes"]) for b in batches)
+        whole = d.mapInArrow(sizes, "rows long, bytes long").agg(F.sum("rows"), F.max(F.when(F.col("rows") > 1, F.col("bytes")))).head()
+        assert whole[0] == 200 and whole[1] < 16_000_000  # batches on their way to a worker, 40 MB without the bound
+    finally:
+        spark.conf.unset(key)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", None, "d", "e"]), pa.array(["x" * 600_000, None, "x" * 600_000, "x" * 3_000_000, "x"])], ["path", "raw"])
+    assert [b.column(0).to_pylist() for b in doc._pieces([batch, batch.slice(4), batch.slice(5)])] == [["a", "b"], [None], ["d"], ["e"], ["e"], []]
+
+
+def test_json_text_by_the_fast_writer_is_the_browsers():
+    texts = ['[1.0,1e2,-0.0,-0,0.1,1.5e-3]', '[1e-7]', '[1e21,1e20]', '[9007199254740993]', '[123456789012345]', '{"a":NaN}', '[1e400]', '{"\\u00e9":"\\ud83d\\ude00 \\"x","b":[true,null,{}]}']
+    for text in texts:
+        value, write = jsjson.read(text)
+        assert write(value) == jsjson.stringify(json.loads(text)), text
+    assert jsjson.read('[0.25,3]')[1] is not jsjson.stringify and jsjson.read('[1e-7]')[1] is jsjson.stringify

@@ -180,19 +180,26 @@ def sealed(docs: DataFrame) -> DataFrame:
     return _rewritten(docs, lambda doc: doc)
 
 
-def checksums(docs: DataFrame) -> DataFrame:
-    """(path, section, stored, actual): SHA-256 of each summed section as a browser would write it, from the raw text."""
+def checksums(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, section, stored, actual): SHA-256 of each summed section as a browser would write it, from the raw text.
+
+    ``keep`` names columns of the documents that go with each section.
+    """
 
     def run(batches):
         for b in batches:
             out = []
-            for path, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, (path, raw) in enumerate(zip(*(c.to_pylist() for c in b.columns[:2]), strict=True)):
                 doc, write = read(raw)
                 stored, actual = doc.get("validationChecksums") or {}, section_checksums(doc, write)
-                out += [(path, k, stored.get(name), actual[name]) for k, name in SUMMED.items() if name in actual]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(4)], ["path", "section", "stored", "actual"])
-
-    return _by_pieces(docs.select("path", "raw"), run, "path string, section string, stored string, actual string")
+                out += [(path, k, stored.get(name), actual[name], i) for k, name in SUMMED.items() if name in actual]
+            at = pa.array([r[4] for r in out], pa.int64())
+            kept = [c.take(at) for c in b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], pa.string()) for i in range(4)), *kept], ["path", "section", "stored", "actual", *keep])
+
+    rows = docs.select("path", "raw", *keep)
+    more = "".join(f", `{c}` {kind}" for c, kind in rows.dtypes[2:])
+    return _by_pieces(rows, run, f"path string, section string, stored string, actual string{more}")
 
 
 #: What the format asks for (fixed values): parts that must be there, by the place of what holds them; [] is each of an array.

@@ -31,8 +31,10 @@ def _broken(raw, n):
 def _subset(s, d):
     cut = doc.subset(_docs(s, d), AT, 2 * AT)
     n = lambda c: F.size(c).cast("bigint")
-    holds = doc.checksums(cut).groupBy("path").agg(F.bool_and(F.col("stored") == F.col("actual")).alias("holds"))
-    return cut.select("path", n("doc.visualData.keyframes").alias("keyframes"), n("doc.stateGraph.nodes").alias("states"), n("doc.stateGraph.edges").alias("edges")).join(holds, "path")
+    sizes = cut.select("path", "raw", n("doc.visualData.keyframes").alias("keyframes"), n("doc.stateGraph.nodes").alias("states"), n("doc.stateGraph.edges").alias("edges"))
+    holds = F.bool_and(F.col("stored") == F.col("actual")).alias("holds")
+    # sizes go with the sections, so that each document is made and cut once
+    return doc.checksums(sizes, ("keyframes", "states", "edges")).groupBy("path", "keyframes", "states", "edges").agg(holds)
 
 
 def _graph(s, d):

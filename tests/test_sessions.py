@@ -18,6 +18,7 @@ from flowscope.operators import frames as fr
 from flowscope.operators import graph as g
 from flowscope.operators import states as st
 from flowscope.operators import timeline as tl
+from flowscope.plans import document_queries
 from flowscope.plans import views as v
 from flowscope.sources import export, readers, sample
 from flowscope.streaming import sessions as stream
@@ -380,3 +381,14 @@ def test_json_text_by_the_fast_writer_is_the_browsers():
         value, write = jsjson.read(text)
         assert write(value) == jsjson.stringify(json.loads(text)), text
     assert jsjson.read('[0.25,3]')[1] is not jsjson.stringify and jsjson.read('[1e-7]')[1] is jsjson.stringify
+
+
+def test_a_documents_columns_go_with_its_checksums(spark):
+    d = sample.documents(spark).select("*", F.lit(7).cast("bigint").alias("n"), F.array(F.lit("x")).alias("more"))
+    rows = doc.checksums(d, ("n", "more")).collect()
+    assert len(rows) == 3 and all(r.stored == r.actual and r.n == 7 and r.more == ["x"] for r in rows)
+
+
+def test_a_subset_makes_each_document_once(spark, tiny):
+    plan = document_queries.QUERIES["document_subset"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # sealed, cut, summed; before twice with a join

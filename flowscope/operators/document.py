@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 from flowscope.functions import equations as eq
 from flowscope.functions.jsjson import checksum, read, stringify
-from flowscope.operators.graph import with_cut
 
 #: Where the parts of a document are that queries take apart.
 PARTS = {
@@ -65,19 +65,38 @@ def state_difference(docs: DataFrame, a: str, b: str) -> DataFrame:
 def path_between(docs: DataFrame, start: str, end: str) -> DataFrame:
     """(path, distance, states) of each document in which transitions lead from ``start`` to ``end``: the fewest, of equal ways the least.
 
-    All documents at once, a frontier a round; a document's search ends when it has met the end.
+    A document's transitions are in its row, so each search is done where the row is, without rounds over all documents.
     """
-    e = with_cut(part(docs, "edges").select("path", F.col("fromState").alias("src"), F.col("toState").alias("dst")).filter("src <> dst").distinct())
-    frontier = with_cut(docs.select("path", F.lit(start).alias("state"), F.array(F.lit(start)).alias("states")))
-    seen, out, level = frontier.select("path", "state"), None, 0
-    while not frontier.isEmpty():
-        met = frontier.filter(F.col("state") == end).select("path", F.lit(level).alias("distance"), "states")
-        out = met if out is None else out.union(met)
-        level += 1
-        on = frontier.join(met.select("path"), "path", "left_anti").join(e.withColumnRenamed("src", "state"), ["path", "state"]).select("path", F.col("dst").alias("state"), F.concat("states", F.array("dst")).alias("states"))
-        frontier = with_cut(on.groupBy("path", "state").agg(F.min("states").alias("states")).join(seen, ["path", "state"], "left_anti"))
-        seen = seen.union(frontier.select("path", "state"))
-    return docs.select("path", F.lit(0).alias("distance"), F.array(F.lit(start)).alias("states")).limit(0) if out is None else out
+
+    def way(src: list | None, dst: list | None) -> list[str] | None:
+        on: dict[str, list[str]] = {}
+        for a, b in set(zip(src or (), dst or (), strict=True)):
+            if a is not None and b is not None:
+                on.setdefault(a, []).append(b)
+        came, queue = {start: None}, deque([start])
+        # states are met in the order of their ways, as each one's next states come sorted
+        while queue and end not in came:
+            at = queue.popleft()
+            for b in sorted(on.get(at, ())):
+                if b not in came:
+                    came[b] = at
+                    queue.append(b)
+        if end not in came:
+            return None
+        out = [end]
+        while came[out[-1]] is not None:
+            out.append(came[out[-1]])
+        return out[::-1]
+
+    def run(batches):
+        for b in batches:
+            found = [(p, way(src.as_py(), dst.as_py())) for p, src, dst in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True)]
+            found = [(p, len(w) - 1, w) for p, w in found if w]
+            columns = [pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "distance", "states"])
+
+    ends = docs.select("path", F.col(f"doc.{PARTS['edges']}.fromState").alias("src"), F.col(f"doc.{PARTS['edges']}.toState").alias("dst"))
+    return ends.mapInArrow(run, "path string, distance int, states array<string>")
 
 
 def equation(docs: DataFrame, element: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@ import datetime
 import hashlib
 import json
 import os
+import random
 import struct
 import threading
 import zlib
@@ -392,3 +393,24 @@ def test_a_documents_columns_go_with_its_checksums(spark):
 def test_a_subset_makes_each_document_once(spark, tiny):
     plan = document_queries.QUERIES["document_subset"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 3  # sealed, cut, summed; before twice with a join
+
+
+def test_ways_in_documents_are_the_fewest_and_of_equal_ones_the_least(spark):
+    """Random documents against a walk through all shortest ways; a long line takes no rounds over all documents."""
+    rng = random.Random(4)
+    made = {f"r{k}": [(rng.choice("abcdefgh"), rng.choice("abcdefgh")) for _ in range(rng.randrange(4, 24))] for k in range(60)}
+    made["line"] = [(f"s{i}", f"s{i + 1}") for i in range(300)] + [("a", "s0"), ("s300", "h"), ("s5", "s2")]
+    made["none"] = None
+    edge = "struct<doc:struct<stateGraph:struct<edges:array<struct<fromState:string,toState:string>>>>>"
+    rows = spark.createDataFrame([(p, ((e,),)) for p, e in made.items()], f"path string, {edge[7:-1].replace('doc:', 'doc ', 1)}")
+    want = {}
+    for p, e in made.items():
+        ways, seen = [["a"]], {"a"}
+        while ways and not any(w[-1] == "h" for w in ways):
+            ways = [[*w, b] for w in ways for a, b in {*(e or ())} if a == w[-1] and b not in seen]
+            seen |= {w[-1] for w in ways}
+        if ways:
+            want[p] = min(w for w in ways if w[-1] == "h")
+    got = {r.path: (r.distance, r.states) for r in doc.path_between(rows, "a", "h").collect()}
+    assert got == {p: (len(w) - 1, w) for p, w in want.items()} and got["line"][0] == 302 and len(got) > 20
+    assert {(r.distance, *r.states) for r in doc.path_between(rows, "z", "z").collect()} == {(0, "z")}

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from flowscope.functions import equations as eq
 from flowscope.operators import document as doc
-from flowscope.operators import elements as el
 from flowscope.operators import graph as g
 from flowscope.plans import views as v
 from flowscope.sources import export
@@ -60,7 +59,7 @@ QUERIES = {
     "cytoscape_export": lambda s, d: export.cytoscape(*_graph(s, d)),
     "force_layout_edges": lambda s, d: _layout(s, d)[1],
     "force_layout_nodes": lambda s, d: _layout(s, d)[0].select("id", "label", "size", (F.col("x").between(0, 1000) & F.col("y").between(0, 1000)).alias("placed")),
-    "box_tree": lambda s, d: (lambda b: export.tree_lines(b, el.depths(el.parents(b)), el.parents(b)).select("shot", "path", "line"))(v.boxes(s, d)),
+    "box_tree": lambda s, d: export.tree_lines(v.boxes(s, d)),
     "document_types": lambda s, d: doc.type_counts(_docs(s, d)),
     "document_state_at": lambda s, d: doc.state_at(_docs(s, d), AT),
     "document_path": lambda s, d: doc.path_between(_docs(s, d), FROM, TO).select("path", F.col("distance").cast("bigint").alias("distance"), F.array_join("states", ">").alias("states")),

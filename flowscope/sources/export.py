@@ -106,18 +106,22 @@ def _escape(c):
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
 
 
-def tree_lines(boxes: DataFrame, depths: DataFrame, links: DataFrame, html: bool = False) -> DataFrame:
-    """(shot, path, line): each box under its parent, indented by depth; sorting by path draws the tree."""
-    from flowscope.operators.elements import type_name
+def tree_lines(boxes: DataFrame, html: bool = False) -> DataFrame:
+    """(shot, path, line): each box under its parent, indented by depth; sorting by path draws the tree.
 
-    rows = boxes.select("shot", "pos", type_name().alias("type"), "w", "h").join(depths, ["shot", "pos"]).join(links, ["shot", "pos"])
+    Boxes and their parents are worked out once and kept as one table; a level's boxes are sought only among those with a parent.
+    """
+    from flowscope.operators.elements import parents, type_name
+
+    rows = with_cut(parents(boxes.select("*", type_name().alias("type")), ("type", "w", "h")))
     key = F.lpad(F.col("pos").cast("string"), 19, "0")  # as many digits as a position can have
-    level = with_cut(rows.filter("depth = 0").select("shot", "pos", key.alias("path"), "type", "w", "h", "depth"))
-    out, depth = level, 0
+    look = ["shot", "pos", "path", "type", "w", "h", "depth"]
+    out = level = rows.filter("parent is null").withColumns({"path": key, "depth": F.lit(0)}).select(*look)
+    held, depth = rows.filter("parent is not null"), 0
     while not level.isEmpty():
         depth += 1
         up = level.select("shot", F.col("pos").alias("parent"), F.col("path").alias("above"))
-        level = with_cut(rows.filter(F.col("depth") == depth).join(up, ["shot", "parent"]).select("shot", "pos", F.concat_ws("/", "above", key).alias("path"), "type", "w", "h", "depth"))
+        level = with_cut(held.join(up, ["shot", "parent"]).withColumns({"path": F.concat_ws("/", "above", key), "depth": F.lit(depth)}).select(*look))
         out = out.union(level)
     text = F.concat_ws(" ", "type", F.concat(F.col("w").cast("int").cast("string"), F.lit("x"), F.col("h").cast("int").cast("string")))
     line = F.concat(F.lit("<li style='margin-left:"), (F.col("depth") * 20).cast("string"), F.lit("px'>"), _escape(text), F.lit("</li>")) if html else F.concat(F.repeat(F.lit("  "), F.col("depth")), text)

@@ -395,6 +395,23 @@ def test_a_subset_makes_each_document_once(spark, tiny):
     assert plan.count("MapInArrow") == 3  # sealed, cut, summed; before twice with a join
 
 
+def test_a_deep_tree_works_boxes_out_a_fixed_number_of_times(spark):
+    """Twelve boxes in each other: rows of boxes that are made don't grow with the depth."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [(1, i, 0.0, 0.0, 100.0 - i, 100.0 - i, 1.0, 5) for i in range(1, 13)]
+    ddl = "shot long, pos long, x double, y double, w double, h double, confidence double, type_no int"
+    boxes = spark.createDataFrame(rows, ddl).repartition(1).mapInArrow(counted, ddl)
+    lines = [r.line for r in export.tree_lines(boxes).orderBy("path").collect()]
+    assert lines == ["  " * (i - 1) + f"container {100 - i}x{100 - i}" for i in range(1, 13)]
+    assert made.value <= 8 * len(rows)
+
+
 def test_ways_in_documents_are_the_fewest_and_of_equal_ones_the_least(spark):
     """Random documents against a walk through all shortest ways; a long line takes no rounds over all documents."""
     rng = random.Random(4)

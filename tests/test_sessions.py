@@ -5,6 +5,7 @@ import os
 import random
 import struct
 import threading
+import tracemalloc
 import zlib
 
 import pyarrow as pa
@@ -431,3 +432,22 @@ def test_ways_in_documents_are_the_fewest_and_of_equal_ones_the_least(spark):
     got = {r.path: (r.distance, r.states) for r in doc.path_between(rows, "a", "h").collect()}
     assert got == {p: (len(w) - 1, w) for p, w in want.items()} and got["line"][0] == 302 and len(got) > 20
     assert {(r.distance, *r.states) for r in doc.path_between(rows, "z", "z").collect()} == {(0, "z")}
+
+
+def test_a_workers_memory_does_not_grow_with_its_batch(spark):
+    """The functions that workers run, over one batch with 30 MB of documents: what they hold at a time stays at a few."""
+
+    class Docs:
+        sparkSession, dtypes = spark, [("path", "string"), ("raw", "string")]
+        select = lambda self, *c: self
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    raw = json.dumps({**sample.document(), "more": ["x" * 1000] * 100})
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(300)]), pa.array([raw] * 300)], ["path", "raw"])
+    for work, each in ((doc.checksums, 3), (doc.sealed, 1), (doc.errors, 0)):
+        tracemalloc.start()
+        try:
+            assert sum(b.num_rows for b in work(Docs())(iter([batch]))) == 300 * each
+            assert tracemalloc.get_traced_memory()[1] < 12_000_000
+        finally:
+            tracemalloc.stop()
